@@ -1,0 +1,33 @@
+"""Queries over the supplied tables and the SQL they must equal."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@query("""SELECT lang, count(*) AS n_docs, sum(strlen(text))::BIGINT AS bytes,
+  sum(strlen(text) - strlen(replace(text, chr(10), '')))::BIGINT AS newlines,
+  bool_and(strlen(text) = length(text)) AS is_ascii, bool_and(true) AS valid_utf8 FROM documents GROUP BY lang""")
+def file_stats(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return d.groupBy("lang").agg(
+        F.count("*").alias("n_docs"), F.sum(F.octet_length("text").cast("long")).alias("bytes"),
+        F.sum((F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))).cast("long")).alias("newlines"),
+        F.bool_and(F.octet_length("text") == F.char_length("text")).alias("is_ascii"), F.bool_and(F.is_valid_utf8("text")).alias("valid_utf8"))
