@@ -15,7 +15,6 @@ null ids are carried; an empty table on either side gives no match; extra column
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,12 +23,11 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import clean_name
 
-SPACE = re.compile(r"\s+")
 HITS = "array<struct<item_id:long,distance:long>>"
 
 
 def fold(text: str | None) -> str:
-    return SPACE.sub(" ", (text or "").lower()).strip()
+    return " ".join((text or "").lower().split())
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:

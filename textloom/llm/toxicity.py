@@ -47,7 +47,11 @@ def lookup(lexicon: dict[str, float], word: str) -> float:
     return max((lexicon[x] for x in forms(word) if x in lexicon), default=0.0)
 
 
-def clause_weight(words: list[str], lexicon: dict[str, float], known: dict[str, float]) -> float:
+def heads_of(lexicon: dict[str, float]) -> set[str]:
+    return {x[:4] for x in lexicon}
+
+
+def clause_weight(words: list[str], known: dict[str, float]) -> float:
     """Runs the composed transducers over one clause.  ``known`` holds the weights of words seen in the document."""
     negated, reported, target, out, threats = 0, False, False, 0.0, 0
     for w in words:
@@ -66,14 +70,14 @@ def clause_weight(words: list[str], lexicon: dict[str, float], known: dict[str,
     return (out * (1.15 if target else 1.0)) + (2.0 * threats if target else 0.0)
 
 
-def features(text: str | None, lexicon: dict[str, float]) -> tuple[float, float, float]:
-    """(log of the total, largest clause, matched clauses) of a whole text."""
+def features(text: str | None, lexicon: dict[str, float], heads: set[str]) -> tuple[float, float, float]:
+    """(log of the total, largest clause, matched clauses) of a whole text.  heads: the forms' first four letters."""
     low = (text or "").lower()
     vocab = set(WORD.findall(low))
-    known = {w: x for w in vocab if (x := lookup(lexicon, w)) > 0}
+    known = {w: x for w in vocab if w[:4] in heads and (x := lookup(lexicon, w)) > 0}
     if not known and not (vocab & THREAT):
         return 0.0, 0.0, 0.0
-    got = [x for c in CLAUSE.split(low) if (x := clause_weight(WORD.findall(c), lexicon, known)) > 0]
+    got = [x for c in CLAUSE.split(low) if (x := clause_weight(WORD.findall(c), known)) > 0]
     return math.log1p(sum(got)), math.log1p(max(got, default=0.0)), math.log1p(len(got))
 
 
@@ -140,8 +144,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 30_000, min_g2: f
     full = pick_lexicon(pd.DataFrame({"form": c["form"], "pos": c["c01"] + c["c11"], "neg": c["c00"] + c["c10"]}), n["c01"] + n["c11"], n["c00"] + n["c10"], min_g2, min_pos, max_size)
 
     def feats(batches):
+        heads = heads_of(first)
         for b in batches:
-            f = [features(t, first) for t in b["text"]]
+            f = [features(t, first, heads) for t in b["text"]]
             yield pd.DataFrame({"y": b["toxic"].astype("int32"), "a": [x[0] for x in f], "b": [x[1] for x in f], "c": [x[2] for x in f]})
 
     x = rows.where("half = 1").mapInPandas(feats, "y int, a double, b double, c double").toPandas()
@@ -153,12 +158,13 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 30_000, min_g2: f
 def score(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
     """docs with held_out, score and predicted; other columns pass through (three of those names are replaced)."""
     lexicon, weights = model
+    heads = heads_of(lexicon)
 
     @F.pandas_udf("double")
     def udf(texts: pd.Series) -> pd.Series:
         if weights is None:
             return pd.Series(np.zeros(len(texts)))
-        z = np.array([features(t, lexicon) for t in texts]).reshape(-1, 3)
+        z = np.array([features(t, lexicon, heads) for t in texts]).reshape(-1, 3)
         return pd.Series(1 / (1 + np.exp(-np.clip(weights[0] + z @ weights[1:], -30, 30))))
 
     held = F.coalesce(fold(doc_id) == 1, F.lit(False))
