@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontaminate, line_dedup, packing, toxicity
+from textloom.llm import decontaminate, line_dedup, packing, simhash, toxicity
 from textloom.llm.common import Workspace, table
 
 ORACLE_SQL = None  # a learned score and packing can't be put in SQL
@@ -22,6 +22,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays."""
+    return simhash.drop_near_copies(docs)
+
+
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
@@ -30,7 +35,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.best_fit(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("decontaminate", drop_leaks), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("simhash_neardup", drop_copies), ("decontaminate", drop_leaks), ("packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
