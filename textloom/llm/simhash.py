@@ -176,7 +176,7 @@ def simhash_components(docs: DataFrame, words: int = 3, max_distance: int = 2, w
     masks = [sum(1 << i for i in range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     keyed = own.select(F.col("fp").alias("node"), F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("t", "k"))
-    items = own.select(F.col("fp").alias("node"), F.expr("reverse(CAST(fp AS BINARY))").alias("fp"), F.lit(1).alias("n"))
+    items = own.select(F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp"), F.lit(1).alias("n"))
     edges = ws.write(block_edges(ws, items, keyed, max_distance))
     of = components(ws, edges).join(own.withColumnRenamed("fp", "node"), "node")
     of = ws.write(of)
