@@ -89,4 +89,5 @@ def components(ws: Workspace, edges: DataFrame, max_rounds: int = 60) -> DataFra
         last = state
     else:
         raise RuntimeError("components did not settle")
-    return cur.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "node")
+    leaves = cur.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "node")
+    return leaves.union(cur.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
