@@ -2,10 +2,11 @@
 
 from textloom.llm.chat_format import op4_chat_format
 from textloom.llm.decontaminate import op2_benchmark_decontamination
+from textloom.llm.html_extract import op6_html_extraction
 from textloom.llm.line_dedup import OP1_SQL, op1_line_dedup
 from textloom.llm.packing import op8_best_fit_packing
 from textloom.llm.simhash import op9_simhash_neardup
 from textloom.llm.toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_benchmark_decontamination, op4_chat_format, op7_toxicity, op8_best_fit_packing, op9_simhash_neardup)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_benchmark_decontamination, op4_chat_format, op6_html_extraction, op7_toxicity, op8_best_fit_packing, op9_simhash_neardup)}
 SQL = {"op1_line_dedup": OP1_SQL}
