@@ -1,33 +1,377 @@
-"""Queries over the supplied tables and the SQL they must equal."""
+"""Queries over the supplied tables, one for each operator, and the SQL they must equal."""
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions import ascii as a
+from textloom.functions import encode as e
+from textloom.functions import hashing as h
+from textloom.functions import scan as s
+from textloom.functions import strings as t
+from textloom.functions import url as u
+from textloom.functions import utf8 as v
+from textloom.functions.pattern import BytePattern, find_all_patterns, find_pattern
+from textloom.operators import diff as d
+from textloom.operators import parsers as p
+from textloom.operators import reductions as r
+from textloom.sources import files
+from textloom.streaming.utf8_chunks import utf8_chunked
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def table(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None, name: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[name or f.__name__] = sql
         return f
 
     return add
 
 
-def _docs(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def column(name: str, expr, sql: str | None, tab: str = "documents", key: str = "doc_id") -> None:
+    """A query (key, out) of one expression over a table."""
+
+    def run(expr, tab, key, spark, sf_dir):
+        return table(spark, sf_dir, tab).select(key, expr().alias("out"))
+
+    query(sql and f"SELECT {key}, {sql} AS out FROM {tab}", name)(functools.partial(run, expr, tab, key))
+
+
+UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LINES = "CASE WHEN {0} = '' THEN [] WHEN {0} LIKE '%' || {1} THEN string_split({0}, {1})[:-2] ELSE string_split({0}, {1}) END"
+NL = "chr(10)"
+WS = "chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
+
+# scans
+column("count_byte", lambda: s.count_byte("text", "e"), "(strlen(text) - strlen(replace(text, 'e', '')))::BIGINT")
+column("count_newlines", lambda: s.count_newlines("text"), f"(strlen(text) - strlen(replace(text, {NL}, '')))::BIGINT")
+column("contains", lambda: s.contains("text", "idiot"), "contains(text, 'idiot')")
+column("find_byte", lambda: s.find_byte("text", ","), "CASE WHEN instr(text, ',') = 0 THEN strlen(text) ELSE strlen(substr(text, 1, instr(text, ',') - 1)) END::BIGINT")
+column("contains_char", lambda: s.contains_char("text", "$"), "contains(text, '$')")
+column("starts_with", lambda: s.starts_with("text", "The"), "starts_with(text, 'The')")
+column("ends_with", lambda: s.ends_with("text", "."), "suffix(text, '.')")
+column("is_ascii", lambda: a.is_ascii("text"), "strlen(text) = length(text)")
+column("lowercase_ascii", lambda: a.lowercase_ascii("text"), f"translate(text, '{UP}', '{LOW}')")
+column("uppercase_ascii", lambda: a.uppercase_ascii("text"), f"translate(text, '{LOW}', '{UP}')")
+column("trim_ascii", lambda: a.trim_ascii(F.concat(F.lit(" \t\n"), "text", F.lit("\r\n "))), "trim(text, chr(32) || chr(9) || chr(13) || chr(10))")
+column("trim_left", lambda: t.trim_left(F.concat(F.lit(" \x0b\n"), "text")), f"ltrim(text, {WS})")
+column("trim_right", lambda: t.trim_right(F.concat("text", F.lit("\f\r\n "))), f"rtrim(text, {WS})")
+column("trim_ws", lambda: t.trim_ws(F.concat(F.lit("\t\f"), "text", F.lit("\x0b "))), f"trim(text, {WS})")
+column("split_vec", lambda: F.to_json(t.split_vec("text", ",")), "to_json(string_split(text, ','))::VARCHAR")
+column("split_into", lambda: F.size(t.split_into("text", ",", 4)).cast("long"), "len(string_split(text, ',')[:4])::BIGINT")
+column("fields", lambda: F.array_join(t.fields("text"), "|"), "array_to_string(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> ''), '|')")
+column("replace_char", lambda: t.replace_char("text", "e", "3"), "translate(text, 'e', '3')")
+column("replace_substr", lambda: t.replace_substr("text", "th", "TTH"), "replace(text, 'th', 'TTH')")
+
+# codecs
+column("hex_encode", lambda: e.hex_encode("text"), "lower(hex(text))")
+column("hex_decode", lambda: e.hex_decode(e.hex_encode("text")).cast("string"), "text")
+column("hex_decode_result", lambda: e.hex_decode_result(F.concat(e.hex_encode("text"), F.lit("zz")))["error_offset"], "(2 * strlen(text))::BIGINT")
+column("base64_encode", lambda: e.base64_encode("text"), "base64(encode(text))")
+column("base64_decode", lambda: e.base64_decode(e.base64_encode("text")).cast("string"), "text")
+column("base64_decode_result", lambda: e.base64_decode_result(F.concat(F.lit("AAAA"), F.lit("A!"), F.substring("text", 1, 0), F.lit("==")))["error_offset"], "5::BIGINT")
+column("hex_val", lambda: e.hex_val(F.substring("text", 1, 1)).cast("long"), "(instr('0123456789abcdef', lower(substr(text, 1, 1))) - 1)::BIGINT")
+column("url_encode", lambda: u.url_encode("text"), "url_encode(text)")
+column("url_decode", lambda: u.url_decode(F.concat(u.url_encode("text"), F.lit("+%GG%4"))), "text || ' %GG%4'")
+column("valid_utf8", lambda: v.valid_utf8("text"), "text IS NOT NULL")
+column("count_code_points", lambda: v.count_code_points("text"), "length(text)::BIGINT")
+column("validate_utf8_detailed", lambda: v.validate_utf8_detailed(F.concat(F.col("text").cast("binary"), F.lit(bytearray(b"\xe4\xb8"))))["error_offset"], "strlen(text)::BIGINT")
+
+# hashes
+column("crc32", lambda: h.crc32("text"), None)
+column("crc32c", lambda: h.crc32c("text"), None)
+column("xxhash64", lambda: h.xxhash64("text"), None)
+column("wyhash", lambda: h.wyhash("text"), None)
+column("fnv1a", lambda: h.fnv1a("url"), """lower(printf('%016x', list_reduce(
+  list_transform(regexp_extract_all(hex(url), '..'), lambda x: ((instr('0123456789ABCDEF', x[1]) - 1) * 16 + instr('0123456789ABCDEF', x[2]) - 1)::UHUGEINT),
+  lambda hh, b: (xor(hh, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, 14695981039346656037::UHUGEINT)::UBIGINT))""", "pages", "page_id")
+
+# patterns
+PATTERN = "74 68 65 ? 6F"  # "the", any byte, "o"
+column("find_pattern", lambda: find_pattern("text", BytePattern.parse(PATTERN)),
+       "CASE WHEN regexp_matches(text, '(?s)the[\\x00-\\x7f]o') THEN strlen(regexp_extract(text, '(?s)^(.*?)the[\\x00-\\x7f]o', 1)) END::BIGINT")
+column("find_all_patterns", lambda: F.size(find_all_patterns("text", BytePattern.parse("74 68 65"))).cast("long"), "((strlen(text) - strlen(replace(text, 'the', ''))) // 3)::BIGINT")
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 116::BIGINT, 255::BIGINT), (1, 104, 255), (2, 101, 255), (3, 0, 0), (4, 111, 255)) x(pos, byte, mask)")
+def pattern_parse(spark, sf_dir):
+    b = BytePattern.parse(PATTERN)
+    return spark.createDataFrame([(i, *x) for i, x in enumerate(zip(b.values, b.masks, strict=True))], "pos long, byte long, mask long")
+
+
+# lines and queries
+@query(f"SELECT doc_id, generate_subscripts(l, 1) - 1 AS seq, unnest(l) AS line FROM (SELECT doc_id, {LINES.format('text', NL)} AS l FROM documents)")
+def lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(t.lines("text")).alias("seq", "line")).withColumn("seq", F.col("seq").cast("long"))
+
+
+@query(f"SELECT doc_id, generate_subscripts(l, 1) - 1 AS seq, unnest(l) AS part FROM (SELECT doc_id, {LINES.format('text', chr(39) + '.' + chr(39))} AS l FROM documents)")
+def split_view(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(t.split_view("text", ".")).alias("seq", "part")).withColumn("seq", F.col("seq").cast("long"))
+
+
+QUERY_SQL = """WITH q AS (SELECT page_id, CASE WHEN instr(url, '?') > 0 THEN substr(url, instr(url, '?')) ELSE '' END AS q FROM pages),
+p AS (SELECT page_id, unnest(string_split(substr(q, 2), '&')) AS x FROM q WHERE q <> '')
+SELECT page_id, string_split(x, '=')[1] AS key, replace(CASE WHEN instr(x, '=') > 0 THEN substr(x, instr(x, '=') + 1) ELSE '' END, '+', ' ') AS value FROM p"""
+
+
+@query(QUERY_SQL)
+def parse_query(spark, sf_dir):
+    q = F.when(F.instr("url", "?") > 0, F.substring(F.col("url"), F.instr("url", "?"), F.char_length("url"))).otherwise("")
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(u.parse_query(q)))
+
+
+@query(f"SELECT page_id, string_agg(key || '=' || url_encode(value), '&' ORDER BY key) AS query FROM ({QUERY_SQL}) GROUP BY page_id")
+def url_roundtrip(spark, sf_dir):
+    pairs = parse_query(spark, sf_dir).select("page_id", F.struct("key", F.concat("key", F.lit("="), u.url_encode("value")).alias("x")).alias("x"))
+    return pairs.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["x"]), "&").alias("query"))
+
+
+# parsers
+@query("""SELECT event_id, generate_subscripts(l, 1) - 1 AS seq, unnest(l) AS value FROM (SELECT event_id,
+  regexp_extract_all(props, '"(?:\\\\.|[^"\\\\])*"|-?[0-9]+(?:\\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null|[{}\\[\\]:,]') AS l FROM events)""")
+def json_tokens(spark, sf_dir):
+    return p.json_tokens(table(spark, sf_dir, "events"), "event_id", "props").select("event_id", "seq", "value")
+
+
+column("looks_like_json", lambda: p.looks_like_json("props"), "regexp_matches(props, '^[ \\t\\n\\r]*[{\\[]')", "events", "event_id")
+column("is_json_number", lambda: p.is_json_number(F.col("value").cast("decimal(20,3)").cast("string")), "true", "events", "event_id")
+column("json_unescape", lambda: p.json_unescape(F.replace(F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit('"'), F.lit('\\"'))), "text")
+column("looks_like_xml", lambda: p.looks_like_xml("html"), "regexp_matches(html, '^[ \\t\\n\\r]*<')", "pages", "page_id")
+column("xml_escape", lambda: p.xml_escape("text"), "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')")
+
+
+@query("""SELECT page_id, generate_subscripts(l, 1) - 1 AS seq, x.type, x.value FROM (SELECT page_id, l, unnest(list_transform(l, lambda x:
+  CASE WHEN starts_with(x, '<!--') THEN {'type': 'Comment', 'value': x[5:-4]} WHEN starts_with(x, '</') THEN {'type': 'CloseTag', 'value': regexp_extract(x, '^</([^> ]*)', 1)}
+  WHEN starts_with(x, '<') THEN {'type': CASE WHEN x LIKE '%/>' THEN 'SelfClose' ELSE 'OpenTag' END, 'value': regexp_extract(x, '^<([^> /\\t\\n]*)', 1)}
+  ELSE {'type': 'Text', 'value': x} END)) AS x FROM (SELECT page_id, regexp_extract_all(html, '<!--(?:[^-]|-[^-]|--[^>])*-->|<[^>]*(?:>|$)|[^< \\t\\n\\r][^<]*') AS l FROM pages))""")
+def xml_tokens(spark, sf_dir):
+    return p.xml_tokens(table(spark, sf_dir, "pages"), "page_id", "html").select("page_id", "seq", "type", "value")
+
+
+@query("""SELECT p_partkey, x.row, x.col, x.value FROM (SELECT p_partkey, unnest([
+  {'row': 1::BIGINT, 'col': 0::BIGINT, 'value': p_partkey::VARCHAR}, {'row': 1, 'col': 1, 'value': p_name || ', "" ' || p_brand}, {'row': 1, 'col': 2, 'value': p_size::VARCHAR},
+  {'row': 2, 'col': 0, 'value': ''}, {'row': 2, 'col': 1, 'value': p_type}]) AS x FROM part)""")
+def csv_rows(spark, sf_dir):
+    text = F.concat(F.col("p_partkey").cast("string"), F.lit(',"'), "p_name", F.lit(', "" '), "p_brand", F.lit('",'), F.col("p_size").cast("string"), F.lit("\r\n,"), "p_type", F.lit("\n"))
+    return p.csv_rows(table(spark, sf_dir, "part").withColumn("t", text), "p_partkey", "t")
+
+
+column("parse_csv_row", lambda: F.array_join(p.parse_csv_row(F.concat_ws(",", "c_name", F.lit(""), "c_mktsegment")), "|"), "c_name || '||' || c_mktsegment", "customer", "c_custkey")
+
+MD_SQL = """WITH l AS (SELECT n_nationkey, unnest([
+  {'seq': 0::BIGINT, 'type': 'Heading', 'content': n_name, 'level': 2::BIGINT}, {'seq': 1, 'type': 'Paragraph', 'content': '', 'level': 0},
+  {'seq': 2, 'type': 'ListItem', 'content': n_name, 'level': 0}, {'seq': 3, 'type': 'ListItem', 'content': ' ' || n_name, 'level': 1},
+  {'seq': 4, 'type': 'CodeBlock', 'content': 'py', 'level': 0}, {'seq': 5, 'type': 'CodeBlock', 'content': '# ' || n_name, 'level': 0},
+  {'seq': 6, 'type': 'CodeBlock', 'content': '', 'level': 0}, {'seq': 7, 'type': 'Blockquote', 'content': n_name, 'level': 0},
+  {'seq': 8, 'type': 'HorizontalRule', 'content': '', 'level': 0}]) AS x FROM nation)
+SELECT n_nationkey, x.seq, x.type, x.content, x.level FROM l"""
+
+
+@query(MD_SQL)
+def markdown_tokens(spark, sf_dir):
+    n = F.col("n_name")
+    text = F.concat_ws("\n", F.concat(F.lit("## "), n), F.lit(""), F.concat(F.lit("- "), n), F.concat(F.lit("1. "), n), F.lit("```py"), F.concat(F.lit("# "), n), F.lit("```"),
+                       F.concat(F.lit("> "), n), F.lit("---"))
+    return p.markdown_tokens(table(spark, sf_dir, "nation").withColumn("t", text), "n_nationkey", "t")
+
+
+def _ini(spark, sf_dir) -> DataFrame:
+    text = F.concat(F.lit("; head\ntop = 1\n[names]\nname = \""), "n_name", F.lit("\"\n # no\nplain=  "), "n_name", F.lit(" \n[keys]\nregion = "), F.col("n_regionkey").cast("string"), F.lit("\n"))
+    return p.config_entries(table(spark, sf_dir, "nation").withColumn("t", text), "n_nationkey", "t")
+
+
+@query("""SELECT n_nationkey, x.section, x.name, x.value, x.line FROM (SELECT n_nationkey, unnest([
+  {'section': '', 'name': 'top', 'value': '1', 'line': 2::BIGINT}, {'section': 'names', 'name': 'name', 'value': n_name, 'line': 4},
+  {'section': 'names', 'name': 'plain', 'value': n_name, 'line': 6}, {'section': 'keys', 'name': 'region', 'value': n_regionkey::VARCHAR, 'line': 8}]) AS x FROM nation)""")
+def config_entries(spark, sf_dir):
+    return _ini(spark, sf_dir)
+
+
+@query("SELECT n_nationkey, n_name AS value FROM nation")
+def config_get(spark, sf_dir):
+    return p.config_get(_ini(spark, sf_dir), "n_nationkey", "names", "plain", "none")
+
+
+# logs, made of the events
+LOG_SQL = """log AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' WHEN 'signup' THEN 'debug' WHEN 'view' THEN '' ELSE 'INFO' END AS level,
+  event_type, event_id::VARCHAR AS stamp FROM events)"""
+
+
+def _log(spark, sf_dir) -> DataFrame:
+    k = F.col("event_type")
+    level = F.when(k == "error", "ERROR").when(k == "purchase", "WARN").when(k == "signup", "debug").when(k == "view", "").otherwise("INFO")
+    line = F.concat(F.col("event_id").cast("string"), F.lit(" "), level, F.when(level == "", "").otherwise(": "), F.lit("did "), k)
+    return table(spark, sf_dir, "events").select("event_id", "user_id", line.alias("line"))
+
+
+def _log_text(spark, sf_dir) -> DataFrame:
+    got = _log(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "line"))).alias("x"))
+    return got.select("user_id", F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("t"))
+
+
+RANK_SQL = "CASE level WHEN 'debug' THEN 1 WHEN 'INFO' THEN 2 WHEN 'WARN' THEN 3 WHEN 'ERROR' THEN 4 ELSE 6 END"
+column("parse_log_level", lambda: p.parse_log_level("event_type"), "CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'UNKNOWN' END", "events", "event_id")
+
+
+@query(f"""WITH {LOG_SQL} SELECT event_id, CASE WHEN level = '' THEN '' ELSE stamp END AS timestamp, level,
+  CASE WHEN level = '' THEN stamp || ' did ' || event_type ELSE 'did ' || event_type END AS message FROM log""")
+def parse_log_line(spark, sf_dir):
+    return _log(spark, sf_dir).select("event_id", p.parse_log_line("line").alias("x")).select("event_id", "x.*")
+
+
+@query(f"""WITH {LOG_SQL}, r AS (SELECT user_id, {RANK_SQL} AS r FROM log) SELECT user_id, 0::BIGINT AS n_trace, count(*) FILTER (r = 1) AS n_debug, count(*) FILTER (r = 2) AS n_info,
+  count(*) FILTER (r = 3) AS n_warn, count(*) FILTER (r = 4) AS n_error, 0::BIGINT AS n_fatal, count(*) FILTER (r = 6) AS n_unknown, count(*) AS n_total FROM r GROUP BY user_id""")
+def count_log_levels(spark, sf_dir):
+    return p.count_log_levels(_log_text(spark, sf_dir), "user_id", "t")
+
+
+@query(f"""WITH {LOG_SQL} SELECT user_id, row_number, stamp || ' ' || level || CASE WHEN level = '' THEN '' ELSE ': ' END || 'did ' || event_type AS line
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS row_number FROM log) WHERE {RANK_SQL} >= 3""".replace("row_number,", "row_number AS line_number,", 1))
+def filter_log_lines(spark, sf_dir):
+    return p.filter_log_lines(_log_text(spark, sf_dir), "user_id", "t", "WARN")
+
+
+@query(f"""WITH {LOG_SQL} SELECT CASE WHEN level = 'ERROR' THEN 'ERROR' WHEN level = 'WARN' THEN 'WARN' WHEN level = 'INFO' THEN 'INFO' ELSE 'OTHER' END AS level, count(*) AS n FROM log GROUP BY 1""")
+def log_summary(spark, sf_dir):
+    line = a.trim_ascii("line")
+    kind = F.when(line.contains("ERROR"), "ERROR").when(line.contains("WARN"), "WARN").when(line.contains("INFO"), "INFO").otherwise("OTHER")
+    return _log(spark, sf_dir).groupBy(kind.alias("level")).agg(F.count("*").alias("n"))
+
+
+# diffs: each document against the next of its source
+def _pairs(spark, sf_dir) -> DataFrame:
+    x = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    y = x.select((F.col("doc_id") - 20).alias("doc_id"), F.col("text").alias("other"))
+    return x.join(y, "doc_id")
+
+
+PAIRS_SQL = "(SELECT x.doc_id, x.text, y.text AS other FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 20)"
+
+
+@query()
+def line_diff(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("doc_id", F.inline(d.line_diff("text", "other")))
+
+
+@query()
+def count_diff_lines(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("doc_id", d.count_diff_lines("text", "other").alias("out"))
+
+
+@query(f"SELECT doc_id, text = other AS out FROM {PAIRS_SQL}")
+def text_equal(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("doc_id", d.text_equal("text", "other").alias("out"))
+
+
+@query("""SELECT page_id, CASE WHEN m IS NULL THEN least(strlen(a), strlen(b)) ELSE m - 1 END::BIGINT AS out FROM (SELECT page_id, a, b,
+  list_position(list_transform(list_zip(regexp_extract_all(hex(a), '..'), regexp_extract_all(hex(b), '..'), true), lambda x: x[1] = x[2]), false) AS m
+  FROM (SELECT x.page_id, x.url AS a, y.url AS b FROM pages x JOIN pages y ON y.page_id = x.page_id + 1))""")
+def common_prefix_length(spark, sf_dir):
+    x = table(spark, sf_dir, "pages").select("page_id", "url")
+    return x.join(x.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("other")), "page_id").select("page_id", d.common_prefix_length("url", "other").alias("out"))
+
+
+@query("""SELECT page_id, CASE WHEN m IS NULL THEN least(strlen(a), strlen(b)) ELSE m - 1 END::BIGINT AS out FROM (SELECT page_id, a, b,
+  list_position(list_transform(list_zip(list_reverse(regexp_extract_all(hex(a), '..')), list_reverse(regexp_extract_all(hex(b), '..')), true), lambda x: x[1] = x[2]), false) AS m
+  FROM (SELECT x.page_id, x.url AS a, y.url AS b FROM pages x JOIN pages y ON y.page_id = x.page_id + 1))""")
+def common_suffix_length(spark, sf_dir):
+    x = table(spark, sf_dir, "pages").select("page_id", "url")
+    return x.join(x.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("other")), "page_id").select("page_id", d.common_suffix_length("url", "other").alias("out"))
+
+
+# reductions and files
+def reduction(name: str, expr, sql: str, tab: str = "documents") -> None:
+    def run(expr, tab, spark, sf_dir):
+        return table(spark, sf_dir, tab).agg(expr().alias("out"))
+
+    query(f"SELECT {sql} AS out FROM {tab}", name)(functools.partial(run, expr, tab))
+
+
+reduction("agg_count_byte", lambda: r.agg_count_byte("text", "e"), "sum(strlen(text) - strlen(replace(text, 'e', '')))::BIGINT")
+reduction("agg_count_newlines", lambda: r.agg_count_newlines("text"), f"sum(strlen(text) - strlen(replace(text, {NL}, '')))::BIGINT")
+reduction("agg_is_ascii", lambda: r.agg_is_ascii("text"), "bool_and(strlen(text) = length(text))")
+reduction("agg_valid_utf8", lambda: r.agg_valid_utf8("text"), "true")
+reduction("agg_find_byte", lambda: r.agg_find_byte("text", ","), "min(CASE WHEN contains(text, ',') THEN strlen(substr(text, 1, instr(text, ',') - 1)) END)::BIGINT")
+SQL["agg_valid_utf8"] = "SELECT bool_and(text IS NOT NULL) AS out FROM documents"
+
+
+@query("""SELECT doc_id, o AS "offset", strlen(text) - o AS result FROM (SELECT doc_id, text, unnest(range(0, strlen(text), 65536)) AS o FROM documents)
+  WHERE strlen(text) - o <= 65536 UNION ALL SELECT doc_id, o, 65536 FROM (SELECT doc_id, text, unnest(range(0, strlen(text), 65536)) AS o FROM documents) WHERE strlen(text) - o > 65536""")
+def for_each_chunk(spark, sf_dir):
+    return r.for_each_chunk(table(spark, sf_dir, "documents"), "doc_id", "text", 1 << 16, lambda b, off: len(b), "long")
 
 
 @query("""SELECT lang, count(*) AS n_docs, sum(strlen(text))::BIGINT AS bytes,
   sum(strlen(text) - strlen(replace(text, chr(10), '')))::BIGINT AS newlines,
-  bool_and(strlen(text) = length(text)) AS is_ascii, bool_and(true) AS valid_utf8 FROM documents GROUP BY lang""")
+  bool_and(strlen(text) = length(text)) AS is_ascii, bool_and(text IS NOT NULL) AS valid_utf8 FROM documents GROUP BY lang""")
 def file_stats(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    return d.groupBy("lang").agg(
-        F.count("*").alias("n_docs"), F.sum(F.octet_length("text").cast("long")).alias("bytes"),
-        F.sum((F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))).cast("long")).alias("newlines"),
-        F.bool_and(F.octet_length("text") == F.char_length("text")).alias("is_ascii"), F.bool_and(F.is_valid_utf8("text")).alias("valid_utf8"))
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(
+        F.count("*").alias("n_docs"), F.sum(F.octet_length("text").cast("long")).alias("bytes"), r.agg_count_newlines("text").alias("newlines"),
+        r.agg_is_ascii("text").alias("is_ascii"), r.agg_valid_utf8("text").alias("valid_utf8"))
+
+
+@query(f"SELECT doc_id, line FROM (SELECT doc_id, unnest({LINES.format('text', NL)}) AS line FROM documents) WHERE contains(line, 'idiot')")
+def grep_lines(spark, sf_dir):
+    return lines(spark, sf_dir).where(F.contains("line", F.lit("idiot"))).select("doc_id", "line")
+
+
+@query(f"SELECT count(*) AS n FROM (SELECT unnest({LINES.format('text', NL)}) AS line FROM documents) WHERE contains(line, 'idiot')")
+def count_matching_lines(spark, sf_dir):
+    return lines(spark, sf_dir).agg(F.count_if(F.contains("line", F.lit("idiot"))).alias("n"))
+
+
+@query()
+def src_whole_file(spark, sf_dir):
+    return files.whole_files(spark, f"{sf_dir}/region.parquet").select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "length")
+
+
+@query()
+def src_text_lines(spark, sf_dir):
+    return files.text_lines(spark, f"{sf_dir}/region.parquet").select(F.octet_length("value").cast("long").alias("n_bytes"))
+
+
+@query()
+def file_count_lines(spark, sf_dir):
+    return files.file_count_lines(spark, f"{sf_dir}/region.parquet").select("n")
+
+
+@query("""SELECT (p_partkey % 7)::BIGINT AS k, count(*) AS n_hits, sum(strlen(l) - strlen(replace(l, ',', '')))::BIGINT AS commas FROM
+  (SELECT p_partkey, concat_ws(',', p_partkey::VARCHAR, p_name, p_brand) AS l FROM part) WHERE contains(string_split(l, ',')[3], '1') GROUP BY 1""")
+def csv_scan(spark, sf_dir):
+    line = F.concat_ws(",", F.col("p_partkey").cast("string"), "p_name", "p_brand")
+    rows = table(spark, sf_dir, "part").select("p_partkey", line.alias("l"))
+    return rows.where(F.get(t.split_vec("l", ","), F.lit(2)).contains("1")).groupBy((F.col("p_partkey") % 7).alias("k")).agg(
+        F.count("*").alias("n_hits"), F.sum(s.count_byte("l", ",")).alias("commas"))
+
+
+@query("SELECT doc_id, 1::BIGINT AS line_number, strlen(text) AS byte_offset FROM documents WHERE NOT contains(text, chr(10)) UNION ALL SELECT doc_id, (length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT, strlen(text) FROM documents WHERE contains(text, chr(10))")
+def utf8_first_bad_line(spark, sf_dir):
+    """The first line with an invalid byte and its offset; a stray lead byte is put at the end of each text."""
+    got = v.validate_utf8_detailed("b")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("text").cast("binary"), F.lit(bytearray(b"\xff"))).alias("b")).withColumn("e", got).where("NOT e.valid")
+    before = F.decode(F.substring("b", F.lit(1), F.col("e.error_offset").cast("int")), "ISO-8859-1")
+    return rows.select("doc_id", (F.char_length(before) - F.char_length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("line_number"), F.col("e.error_offset").alias("byte_offset"))
+
+
+@query("SELECT doc_id AS stream_id, true AS valid FROM documents")
+def utf8_chunked_query(spark, sf_dir):
+    b = F.col("text").cast("binary")
+    n = F.greatest(F.ceil(F.octet_length("text") / 1000), F.lit(1)).cast("int")
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("stream_id"), b.alias("b"), F.explode(F.sequence(F.lit(0), n - 1)).alias("seq"))
+    return utf8_chunked(chunks.select("stream_id", "seq", F.substring("b", F.col("seq") * 1000 + 1, F.lit(1000)).alias("chunk")))
+
+
+for _registry in (QUERIES, SQL):
+    _registry["utf8_chunked"] = _registry.pop("utf8_chunked_query")
