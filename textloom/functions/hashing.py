@@ -8,6 +8,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, LongType, StringType
 
 from textloom.functions.scan import col
 
@@ -88,7 +89,7 @@ def _bytes(s: pd.Series) -> list[bytes]:
     return [b"" if x is None else bytes(x) for x in s]
 
 
-def _udf(kind: str, f):
+def _udf(kind: DataType, f):
     @F.pandas_udf(kind)
     def run(s: pd.Series) -> pd.Series:
         return pd.Series(f(_bytes(s)), index=s.index)
@@ -100,7 +101,7 @@ def _udf(kind: str, f):
     return wrap
 
 
-fnv1a = _udf("string", lambda t: [f"{x:016x}" for x in fnv1a_batch(t).tolist()])
-crc32c = _udf("long", lambda t: crc32c_batch(t).astype(np.int64))
-xxhash64 = _udf("string", lambda t: [xxhash.xxh64_hexdigest(x, seed=0) for x in t])
-wyhash = _udf("string", lambda t: [f"{wyhash_one(x):016x}" for x in t])
+fnv1a = _udf(StringType(), lambda t: [f"{x:016x}" for x in fnv1a_batch(t).tolist()])
+crc32c = _udf(LongType(), lambda t: crc32c_batch(t).astype(np.int64))
+xxhash64 = _udf(StringType(), lambda t: [xxhash.xxh64_hexdigest(x, seed=0) for x in t])
+wyhash = _udf(StringType(), lambda t: [f"{wyhash_one(x):016x}" for x in t])

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from textloom.functions.scan import col
 
@@ -57,7 +58,7 @@ def find_all_patterns(c, pattern: BytePattern) -> Column:
     ahead = re.compile(b"(?=" + b"".join(re.escape(bytes([v])) if m else b"." for v, m in zip(pattern.values, pattern.masks, strict=True)) + b")", re.S)
     empty = not len(pattern)
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf(ArrayType(LongType()))
     def run(s: pd.Series) -> pd.Series:
         return pd.Series([None if b is None else [] if empty else [m.start() for m in ahead.finditer(bytes(b))] for b in s], dtype=object)
 

@@ -3,10 +3,11 @@
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructType
 
 from textloom.functions.scan import col
 
-DETAIL = "valid boolean, error_offset long, error_byte int, error_desc string"
+DETAIL = StructType().add("valid", BooleanType()).add("error_offset", LongType()).add("error_byte", IntegerType()).add("error_desc", StringType())
 
 
 def valid_utf8(c) -> Column:

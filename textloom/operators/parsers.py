@@ -11,11 +11,12 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from textloom.functions.scan import col
 from textloom.functions.strings import SPACE, lines
 
-TOKENS = "array<struct<seq:long,type:string,value:string,offset:long>>"
+TOKENS = ArrayType(StructType().add("seq", LongType()).add("type", StringType()).add("value", StringType()).add("offset", LongType()))
 NUMBER = re.compile(rb"-?[0-9]+")
 JSON_NUMBER = r"-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?"
 JSON_STRING = re.compile(rb'"(?:\\.|[^"\\])*"', re.S)
