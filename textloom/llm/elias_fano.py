@@ -113,8 +113,12 @@ def dump(arrays: dict[str, np.ndarray]) -> bytes:
     return len(head).to_bytes(8, "little") + head + b"".join(body)
 
 
+def loaded(m) -> dict[str, np.ndarray]:
+    """The arrays of a block, as views of its bytes."""
+    head = int.from_bytes(m[:8], "little")
+    return {k: np.frombuffer(m, np.dtype(d), n, 8 + head + at) for k, (at, d, n) in json.loads(bytes(m[8: 8 + head])).items()}
+
+
 def mapped(path: str) -> dict[str, np.ndarray]:
     with open(path, "rb") as f:
-        m = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-    head = int.from_bytes(m[:8], "little")
-    return {k: np.frombuffer(m, np.dtype(d), n, 8 + head + at) for k, (at, d, n) in json.loads(m[8: 8 + head]).items()}
+        return loaded(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))

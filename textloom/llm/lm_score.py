@@ -8,10 +8,14 @@ finds its context on level 1 and then its word by successor search among that co
     p(w | u) = max(c(uw) - D, 0) / c(u) + D T(u) / c(u) p1(w),   p1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))
 
 with T(u) the number of distinct words after u; an unknown context gives p1(w).  Counts cover all training texts: tasks
-count pairs of their part of the corpus, pack them by bucket of the context's hash, and a bucket's task merges them and
-codes its piece of the trie.  The pieces (about a fifth of the corpus in size) stream to each executor's disk as files
-of the session and are memory-mapped there, so no process holds the model; ``max_model_bytes`` bounds them, and a larger
-model raises an error instead of filling disks.
+count pairs of their part of the corpus and pack them by bucket of the context's hash; packs of a bucket are merged in a
+tree, so that a very frequent context costs each task its distinct successors only; the last task of a bucket codes its
+piece of the trie.
+
+Scoring turns texts into blocks of distinct contexts and pairs.  A model of at most ``ship_bytes`` goes to the executors
+as files of the session, which are memory-mapped there.  A larger one stays where it is and the blocks' questions go to
+it: they are dealt to shelves of pieces (a shelf asked very often is read by several tasks), each task maps its shelf's
+pieces from its own temporary file while it answers, and the answers go back to the blocks.  Both ways use one search.
 
 Defined results: null and empty texts are one end token; null doc_ids are not held out and are learned from; repeated
 rows are scored and counted each; without training texts c, N and V are 0; extra columns do no harm.
@@ -21,8 +25,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -32,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import Workspace
-from textloom.llm.elias_fano import EliasFano, dump, mapped
+from textloom.llm.elias_fano import EliasFano, dump, loaded, mapped
 
 START = xxhash.xxh64_intdigest(b"\n\n")  # no word holds a newline
 END = xxhash.xxh64_intdigest(b"\n")
@@ -151,109 +157,256 @@ def build_piece(u: np.ndarray, w: np.ndarray, c: np.ndarray) -> dict[str, np.nda
             **EliasFano.encode(keys, len(new) << 40).parts("after")}
 
 
-def _build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by bucket."""
-    held: list[tuple] = []
-    at = None
-
-    def done():
-        u, w, c = merge(*[np.concatenate(x) for x in zip(*held, strict=True)])
-        piece = build_piece(u, w, c)
-        start = np.flatnonzero(u == np.uint64(START))
-        return pd.DataFrame({"bucket": [at], "tokens": [int(c.sum())], "words": [len(piece["count"]) - bool(len(start))], "texts": [int(c[start].sum())], "piece": [dump(piece)]})
-
-    for p in batches:
-        for b, blob in zip(p["bucket"], p["pairs"], strict=True):
-            if at is not None and b != at:
-                yield done()
-                held = []
-            at = b
-            held.append(decode_pairs(blob))
-    if held:
-        yield done()
+def _merged(then):
+    """Runs over rows sorted by their first columns; of each key the packed pairs are merged as they come."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        size, at = 0, None
+        for p in batches:
+            for *key, blob in zip(*(p[c] for c in p.columns), strict=True):
+                if at is not None and key != at:
+                    yield then(at, *merge(*[np.concatenate(x) for x in zip(*held, strict=True)]))
+                    held, size = [], 0
+                at = key
+                held.append(decode_pairs(blob))
+                size += len(held[-1][0])
+                if size > 4 * CHUNK and len(held) > 1:
+                    held = [merge(*[np.concatenate(x) for x in zip(*held, strict=True)])]
+                    size = len(held[0][0]) // 2
+        if held:
+            yield then(at, *merge(*[np.concatenate(x) for x in zip(*held, strict=True)]))
 
-class Model:
-    def __init__(self, paths: dict[int, str], buckets: int, n: int, v: int, ends: int):
-        self.buckets, self.ends, self.scale = buckets, ends, n + 0.5 * (v + 1)
-        self.pieces = {}
-        for b, path in paths.items():
-            a = mapped(path)
-            self.pieces[b] = (a, *(EliasFano.load(a, k) for k in ("words", "pointers", "after")))
-
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
-        """(tokens, known tokens, base score, score) of each text."""
-        u, w, of = pairs_of(texts)
-        words, where = np.unique(np.concatenate((u, w)), return_inverse=True)
-        count, rest, number = np.zeros(len(words)), np.full(len(words), np.nan), np.zeros(len(words), np.uint64)
-        bucket = (words % np.uint64(self.buckets)).astype(int)
-        for b, (a, level, _, _) in self.pieces.items():
-            mine = np.flatnonzero(bucket == b)
-            i, hit = level.find(words[mine])
-            mine, i = mine[hit], i[hit]
-            count[mine], number[mine] = a["count"][i], i
-            rest[mine] = a["rest_book"][a["rest"][i]]
-        known_rest = ~np.isnan(rest)
-        count[words == np.uint64(START)] = 0
-        count[words == np.uint64(END)] = self.ends
-        cu, cw = where[: len(u)], where[len(u):]
-        pair, back = np.unique(cu.astype(np.int64) * len(words) + cw, return_inverse=True)
-        pu, pw = pair // len(words), pair % len(words)
-        p1 = (count[pw] + 0.5) / self.scale
-        p = np.where(known_rest[pu], 10.0 ** np.where(known_rest[pu], rest[pu], 0), 1.0) * p1
-        for b, (a, _, pointers, after) in self.pieces.items():
-            mine = np.flatnonzero((bucket[pu] == b) & known_rest[pu])
-            if not len(mine):
+    return run
+
+
+def _pack(key: list, u: np.ndarray, w: np.ndarray, c: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"bucket": [key[0]], "pairs": [encode_pairs(u, w, c)]})
+
+
+def _build(key: list, u: np.ndarray, w: np.ndarray, c: np.ndarray) -> pd.DataFrame:
+    piece = build_piece(u, w, c)
+    start = np.flatnonzero(u == np.uint64(START))
+    return pd.DataFrame({"bucket": key, "tokens": [int(c.sum())], "words": [len(piece["count"]) - bool(len(start))], "texts": [int(c[start].sum())], "piece": [dump(piece)]})
+
+
+class Pieces:
+    """Memory-mapped pieces of the trie by bucket."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.of = buckets, {}
+
+    def add(self, bucket: int, path: str) -> None:
+        a = mapped(path)
+        self.of[bucket] = (a, *(EliasFano.load(a, k) for k in ("words", "pointers", "after")))
+
+    def ask(self, u: np.ndarray, fan: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each context its count and back-off weight (log10; NaN: unknown), of each of its fan pairs the probability (0: unseen)."""
+        count, rest, prob = np.zeros(len(u)), np.full(len(u), np.nan), np.zeros(len(w))
+        bucket = (u % np.uint64(self.buckets)).astype(int)
+        of = np.repeat(np.arange(len(u)), fan)
+        order = np.argsort(bucket, kind="stable")
+        pairs = np.argsort(bucket[of], kind="stable")
+        have = np.array(sorted(self.of), int)
+        cut = np.searchsorted(bucket[order], np.stack((have, have + 1)))
+        cut2 = np.searchsorted(bucket[of][pairs], np.stack((have, have + 1)))
+        number = np.full(len(u), -1)
+        for b, lo, hi, lo2, hi2 in zip(have.tolist(), *cut.tolist(), *cut2.tolist(), strict=True):
+            if lo == hi:
                 continue
-            ctx = number[pu[mine]].astype(np.int64)
-            i, hit = after.find((number[pu[mine]] << np.uint64(40)) | words[pw[mine]] >> SHORT)
+            a, words, pointers, after = self.of[b]
+            mine = order[lo:hi]
+            i, hit = words.find(u[mine])
+            mine, i = mine[hit], i[hit]
+            count[mine], rest[mine], number[mine] = a["count"][i], a["rest_book"][a["rest"][i]], i
+            mine = pairs[lo2:hi2]
+            mine = mine[number[of[mine]] >= 0]
+            ctx = number[of[mine]]
+            i, hit = after.find((ctx.astype(np.uint64) << np.uint64(40)) | w[mine])
             hit &= (i >= pointers.get(ctx).astype(np.int64)) & (i < pointers.get(ctx + 1).astype(np.int64))
-            p[mine[hit]] += 10.0 ** a["prob_book"][a["prob"][i[hit]]]
-        n = len(texts)
-        base = np.log10((count[cw] + 0.5) / self.scale)
-        return (np.bincount(of, minlength=n), np.bincount(of, weights=count[cw] > 0, minlength=n).astype(np.int64),
-                np.bincount(of, weights=base, minlength=n), np.bincount(of, weights=np.log10(p)[back], minlength=n))
+            prob[mine[hit]] = 10.0 ** a["prob_book"][a["prob"][i[hit]]]
+        return count, rest, prob
+
+
+def questions(texts: list[str | None], buckets: int, shelves: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """(what turns answers into scores, contexts, 40-bit hashes of the words after them), in order of shelf and context."""
+    u, w, of = pairs_of(texts)
+    words, where = np.unique(np.concatenate((u, w)), return_inverse=True)
+    shelf = (words % np.uint64(buckets) % np.uint64(shelves)).astype(np.int64)
+    shelf[words == np.uint64(END)] = shelves  # no context
+    order = np.argsort(shelf, kind="stable")
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    pair, back = np.unique(rank[where[: len(u)]] * len(words) + where[len(u):], return_inverse=True)
+    ctx, after = pair // len(words), pair % len(words)
+    n = len(words) - int((shelf == shelves).sum())
+    how = {"tokens": np.bincount(of, minlength=len(texts)).astype(np.uint32), "pair": back.astype(np.uint32), "fan": np.bincount(ctx, minlength=n).astype(np.uint32),
+           "word": rank[after].astype(np.uint32), "cut": np.searchsorted(shelf[order][:n], np.arange(shelves + 1)).astype(np.uint32)}
+    return how, words[order][:n], words[after] >> SHORT
+
+
+def scores(how: dict[str, np.ndarray], count: np.ndarray, rest: np.ndarray, prob: np.ndarray, ends: int, scale: float) -> tuple[np.ndarray, ...]:
+    """(tokens, known tokens, base score, score) of each text."""
+    c = np.concatenate((count, [ends]))[how["word"]]
+    p1 = (c + 0.5) / scale
+    p = np.where(np.isnan(rest), 1.0, 10.0 ** np.nan_to_num(rest)).repeat(how["fan"]) * p1 + prob
+    tokens = how["tokens"].astype(np.int64)
+    of, n = np.repeat(np.arange(len(tokens)), tokens), len(tokens)
+    total = lambda x: np.bincount(of, weights=x[how["pair"]], minlength=n)
+    return tokens, total((c > 0).astype(float)).astype(np.int64), total(np.log10(p1)), total(np.log10(p))
+
+
+@dataclass
+class Model:
+    pieces: DataFrame  # bucket, piece
+    buckets: int
+    n: int
+    v: int
+    texts: int
+    size: int
+    names: dict[int, str] | None  # of the session's files, if the model was shipped
+
+    @property
+    def scale(self) -> float:
+        return self.n + 0.5 * (self.v + 1)
 
 
-def train(docs: DataFrame, bucket_bytes: int = 32 << 20, max_model_bytes: int = 32 << 30) -> tuple[dict[int, str], int, int, int, int]:
-    """Counts all texts of docs and hands the trie's pieces to the executors: (file names, buckets, N, V, texts)."""
+def train(docs: DataFrame, bucket_bytes: int = 32 << 20, ship_bytes: int = 1 << 30, fan_in: int = 64) -> Model:
+    """Counts all texts of docs and codes the trie; the model is shipped if it is small enough."""
     spark = docs.sparkSession
     ws = Workspace(spark, "lm")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     buckets = max(16, -(-size // bucket_bytes))
     counted = docs.select("text").mapInPandas(_count(buckets), "bucket int, pairs binary")
-    pieces = ws.write(counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInPandas(
-        _build, "bucket int, tokens long, words long, texts long, piece binary"), compression="none")
+    packs = size // (16 * CHUNK) + 1  # of a bucket, about
+    while packs > fan_in:
+        packs = -(-packs // fan_in)
+        dealt = counted.withColumn("part", (F.rand(7) * packs).cast("int")).repartition(min(buckets * packs, 20_000), "bucket", "part")
+        counted = ws.write(dealt.sortWithinPartitions("bucket", "part").select("bucket", "part", "pairs").mapInPandas(_merged(_pack), "bucket int, pairs binary"))
+    pieces = ws.write(counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").select("bucket", "pairs").mapInPandas(
+        _merged(_build), "bucket int, tokens long, words long, texts long, piece binary"), compression="none")
     n, v, texts, total = pieces.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("tokens", "words", "texts", F.length("piece").cast("long"))]).first()
-    if total > max_model_bytes:
-        raise ValueError(f"the model has {total} bytes, more than max_model_bytes={max_model_bytes}")
-    names = {}
-    folder = tempfile.mkdtemp(prefix="trie-")
-    for b in sorted(r[0] for r in pieces.select("bucket").collect()):
-        name = f"{os.path.basename(folder)}-{b}"
-        path = os.path.join(folder, name)
+    model = Model(pieces.select("bucket", "piece"), buckets, n, v + (texts > 0), texts, total, None)
+    if total <= ship_bytes:
+        model.names = _ship(model)
+    return model
+
+
+def _ship(model: Model) -> dict[int, str]:
+    """The pieces as files of the session, one after the other through the driver."""
+    sc = model.pieces.sparkSession.sparkContext
+    folder, names = tempfile.mkdtemp(prefix="trie-"), {}
+    for b, piece in model.pieces.toLocalIterator():
+        names[b] = f"{os.path.basename(folder)}-{b}"
+        path = os.path.join(folder, names[b])
         with open(path, "wb") as f:
-            f.write(pieces.where(F.col("bucket") == b).first()["piece"])
-        spark.sparkContext.addFile(path)
-        names[int(b)] = name
-    return names, buckets, n, v + (texts > 0), texts
+            f.write(piece)
+        sc.addFile(path)
+    return names
+
+
+OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def lm_score(docs: DataFrame, model) -> DataFrame:
+def _rows(ids, held, got: tuple[np.ndarray, ...]) -> pd.DataFrame:
+    return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "held_out": held} | dict(zip(("n_tokens", "n_known", "base_score", "score"), got, strict=True)))
+
+
+def lm_score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, base_score, score) of docs' (doc_id, held_out, text)."""
-    names, buckets, n, v, texts = model
+    docs = docs.select("doc_id", "held_out", "text")
+    if model.names is None:
+        return _score_by_shelves(docs, model)
+    names, buckets, ends, scale = model.names, model.buckets, model.texts, model.scale
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = Model({b: SparkFiles.get(x) for b, x in names.items()}, buckets, n, v, texts)
+        trie = Pieces(buckets)
+        for b, x in names.items():
+            trie.add(b, SparkFiles.get(x))
+        for p in batches:
+            texts = p["text"].tolist()
+            for part in _texts_by_size(texts):
+                how, u, w = questions([texts[i] for i in part], buckets, 1)
+                yield _rows(p["doc_id"].iloc[part], p["held_out"].iloc[part].to_numpy(), scores(how, *trie.ask(u, how["fan"], w), ends, scale))
+
+    return docs.mapInPandas(run, OUT)
+
+
+def _score_by_shelves(docs: DataFrame, model: Model, shelf_bytes: int = 1 << 29) -> DataFrame:
+    spark = docs.sparkSession
+    ws = Workspace(spark, "lm_score")
+    buckets, ends, scale = model.buckets, model.texts, model.scale
+    shelves = min(buckets, max(4, -(-model.size // shelf_bytes)))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            texts = p["text"].tolist()
+            for part in _texts_by_size(texts):
+                how, u, w = questions([texts[i] for i in part], buckets, shelves)
+                ids = p["doc_id"].iloc[part].astype("Int64")
+                more = {"id": ids.fillna(0).to_numpy(np.int64), "null": ids.isna().to_numpy(), "held": p["held_out"].iloc[part].to_numpy(bool)}
+                rows = [(-1, dump(how | more))]
+                pair = np.concatenate(([0], np.cumsum(how["fan"].astype(np.int64))))
+                for s, (a, b) in enumerate(zip(how["cut"][:-1].tolist(), how["cut"][1:].tolist(), strict=True)):
+                    if a < b:
+                        rows.append((s, dump({"u": u[a:b], "fan": how["fan"][a:b], "w": w[pair[a]: pair[b]].view(np.uint8).reshape(-1, 8)[:, :5].ravel()})))
+                yield pd.DataFrame(rows, columns=["shelf", "x"]).assign(block=uuid.uuid4().int >> 65)[["block", "shelf", "x"]]
+
+    asked = ws.write(docs.mapInPandas(ask, "block long, shelf int, x binary"))
+    sizes = asked.where("shelf >= 0").groupBy("shelf").agg(F.sum(F.length("x").cast("long")).alias("bytes"))
+    sizes = ws.write(sizes.withColumn("ways", F.ceil(F.col("bytes") / (256 << 20)).cast("int")).select("shelf", "ways"))
+    # the pieces first, then the questions, for each shelf and way
+    held = model.pieces.select((F.col("bucket") % shelves).alias("shelf"), "bucket", F.col("piece").alias("x")).join(sizes, "shelf")
+    held = held.select("shelf", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"), F.lit(0).alias("kind"), F.col("bucket").cast("long").alias("k"), "x")
+    put = asked.where("shelf >= 0").join(sizes, "shelf").select("shelf", F.pmod(F.col("block"), F.col("ways")).cast("int").alias("way"), F.lit(1).alias("kind"), F.col("block").alias("k"), "x")
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, trie = None, Pieces(buckets)
+        with tempfile.TemporaryDirectory(prefix="shelf-") as folder:
+            for p in batches:
+                rows = []
+                for shelf, way, kind, k, x in zip(*(p[c] for c in ("shelf", "way", "kind", "k", "x")), strict=True):
+                    if (shelf, way) != at:
+                        at, trie = (shelf, way), Pieces(buckets)
+                        for name in os.listdir(folder):
+                            os.unlink(os.path.join(folder, name))
+                    if kind == 0:
+                        path = os.path.join(folder, str(k))
+                        with open(path, "wb") as f:
+                            f.write(x)
+                        trie.add(int(k), path)
+                        continue
+                    q = loaded(x)
+                    w = np.zeros((len(q["w"]) // 5, 8), np.uint8)
+                    w[:, :5] = q["w"].reshape(-1, 5)
+                    count, rest, prob = trie.ask(q["u"], q["fan"], w.view("<u8").ravel())
+                    rows.append((k, shelf, dump({"count": count, "rest": rest, "prob": prob.astype(np.float32)})))
+                if rows:
+                    yield pd.DataFrame(rows, columns=["block", "shelf", "x"])
+
+    dealt = held.union(put).repartition("shelf", "way").sortWithinPartitions("shelf", "way", "kind", "k")
+    answers = ws.write(dealt.mapInPandas(answer, "block long, shelf int, x binary"))
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, how, got = None, {}, []
+
+        def done():
+            z = [np.concatenate([g[c] for g in got]) for c in ("count", "rest", "prob")]
+            return _rows(pd.Series(how["id"]).astype("Int64").mask(how["null"]), how["held"], scores(how, *z, ends, scale))
+
         for p in batches:
-            all_texts = p["text"].tolist()
-            for part in _texts_by_size(all_texts):
-                got = m.score([all_texts[i] for i in part])
-                yield pd.DataFrame({"doc_id": p["doc_id"].iloc[part].astype("Int64").to_numpy(dtype=object), "held_out": p["held_out"].iloc[part].to_numpy()} |
-                                   dict(zip(("n_tokens", "n_known", "base_score", "score"), got, strict=True)))
+            for block, shelf, x in zip(p["block"], p["shelf"], p["x"], strict=True):
+                if shelf < 0:
+                    if at is not None:
+                        yield done()
+                    at, how, got = block, loaded(x), []
+                else:
+                    got.append(loaded(x))
+        if at is not None:
+            yield done()
 
-    return docs.select("doc_id", "held_out", "text").mapInPandas(
-        run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    back = asked.where("shelf < 0").union(answers).repartition("block").sortWithinPartitions("block", "shelf")
+    return back.mapInPandas(finish, OUT)
 
 
 def op10_lm_score(spark, sf_dir):
@@ -263,4 +416,4 @@ def op10_lm_score(spark, sf_dir):
         "held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False)))
     model = train(docs.where(~F.col("held_out")))
     got = lm_score(docs, model)
-    return got.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model[2]).cast("long").alias("train_tokens"), "base_score", "score")
+    return got.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
