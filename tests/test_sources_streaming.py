@@ -1,0 +1,51 @@
+"""File sources, the text sink and the streaming validator."""
+
+from pyspark.sql import functions as F
+
+from textloom.functions.scan import count_newlines
+from textloom.sources import files
+from textloom.streaming.utf8_chunks import utf8_stream
+
+
+def test_files(spark, tmp_path):
+    p = tmp_path / "a.txt"
+    p.write_bytes("".join(f"line {i}\r\n" for i in range(10_000)).encode() + b"\xff")
+    (tmp_path / "empty.txt").write_bytes(b"")
+    path = f"file://{p}"
+    assert files.whole_files(spark, path).first()["length"] == p.stat().st_size
+    assert files.text_lines(spark, path).count() == 10_001
+    assert files.text_lines(spark, path).first()["value"] == "line 0\r"
+    assert files.grep_lines(spark, path, "line 9999").count() == 1
+    assert files.count_matching_lines(spark, path, "line 999").first()["n"] == 11
+    assert files.file_count_lines(spark, path).first()["n"] == 10_000
+    got = files.file_stats(spark, path).first()
+    assert (got["lines"], got["is_ascii"], got["valid_utf8"]) == (10_000, False, False)
+    assert files.file_stats(spark, f"file://{tmp_path}/empty.txt").count() == 0
+
+
+def test_write_text(spark, tmp_path):
+    files.write_text(spark.createDataFrame([("a",), ("b c",)], "x string").coalesce(1), "x", f"file://{tmp_path}/out")
+    assert sorted(r[0] for r in files.text_lines(spark, f"file://{tmp_path}/out").collect()) == ["a", "b c"]
+
+
+def test_stateless_functions_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.txt").write_text("a,b\nc\n")
+    q = spark.readStream.text(f"file://{tmp_path}/in", wholetext=True).select(count_newlines("value").alias("n")).writeStream.format("memory").queryName("nl").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.table("nl").first()["n"] == 2
+
+
+def test_stream_of_chunks_in_any_order(spark, tmp_path):
+    rows = [(1, 1, b"\x98"), (1, 0, b"\xf0\x9f"), (1, 2, b"\x80"), (2, 0, b"\xc2"), (3, 0, b"\xff")]
+    df = spark.createDataFrame(rows, "stream_id int, seq int, chunk binary")
+    for i in range(2):  # two files, two triggers
+        df.where(F.col("seq") % 2 == i).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    q = utf8_stream(src).writeStream.outputMode("update").format("memory").queryName("u8").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    last = {}
+    for r in spark.table("u8").collect():
+        k = r["stream_id"]
+        last[k] = (r["valid"], r["complete"]) if k not in last or r["complete"] else last[k]
+    assert last == {1: (True, True), 2: (True, False), 3: (False, False)}

@@ -89,11 +89,16 @@ def _bytes(s: pd.Series) -> list[bytes]:
     return [b"" if x is None else bytes(x) for x in s]
 
 
-def _udf(kind: DataType, f):
+UDFS: dict = {}
+
+
+def _udf(name: str, kind: DataType, f):
     @F.pandas_udf(kind)
     def run(s: pd.Series) -> pd.Series:
         return pd.Series(f(_bytes(s)), index=s.index)
 
+    UDFS[name] = run
+
     def wrap(c) -> Column:
         b = col(c).cast("binary")
         return F.when(b.isNotNull(), run(b))
@@ -101,7 +106,7 @@ def _udf(kind: DataType, f):
     return wrap
 
 
-fnv1a = _udf(StringType(), lambda t: [f"{x:016x}" for x in fnv1a_batch(t).tolist()])
-crc32c = _udf(LongType(), lambda t: crc32c_batch(t).astype(np.int64))
-xxhash64 = _udf(StringType(), lambda t: [xxhash.xxh64_hexdigest(x, seed=0) for x in t])
-wyhash = _udf(StringType(), lambda t: [f"{wyhash_one(x):016x}" for x in t])
+fnv1a = _udf("fnv1a", StringType(), lambda t: [f"{x:016x}" for x in fnv1a_batch(t).tolist()])
+crc32c = _udf("crc32c", LongType(), lambda t: crc32c_batch(t).astype(np.int64))
+xxhash64 = _udf("xxhash64", StringType(), lambda t: [xxhash.xxh64_hexdigest(x, seed=0) for x in t])
+wyhash = _udf("wyhash", StringType(), lambda t: [f"{wyhash_one(x):016x}" for x in t])

@@ -1,0 +1,40 @@
+"""The functions under SQL names, for ``spark.sql``.
+
+Names are ``tl_`` and the function's; the Catalyst ones become SQL functions with a body and stay inside code generation,
+the others are Arrow UDFs.
+"""
+
+from pyspark.sql import SparkSession
+
+from textloom.functions import hashing, utf8
+from textloom.operators import diff
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BODIES = {
+    "count_byte(t STRING, b STRING) RETURNS BIGINT": "CAST(octet_length(t) - octet_length(replace(t, b, '')) AS BIGINT)",
+    "count_newlines(t STRING) RETURNS BIGINT": "CAST(octet_length(t) - octet_length(replace(t, char(10), '')) AS BIGINT)",
+    "find_byte(t STRING, b STRING) RETURNS BIGINT": "CAST(CASE WHEN instr(t, b) = 0 THEN octet_length(t) ELSE octet_length(substring(t, 1, instr(t, b) - 1)) END AS BIGINT)",
+    "is_ascii(t STRING) RETURNS BOOLEAN": "octet_length(t) = char_length(t)",
+    "lowercase_ascii(t STRING) RETURNS STRING": f"translate(t, '{UPPER}', '{LOWER}')",
+    "uppercase_ascii(t STRING) RETURNS STRING": f"translate(t, '{LOWER}', '{UPPER}')",
+    "trim_ascii(t STRING) RETURNS STRING": "trim(BOTH concat(' ', char(9), char(13), char(10)) FROM t)",
+    "lines(t STRING) RETURNS ARRAY<STRING>": "CASE WHEN t = '' THEN CAST(array() AS ARRAY<STRING>) WHEN endswith(t, char(10)) THEN slice(split(t, char(10), -1), 1, size(split(t, char(10), -1)) - 1) ELSE split(t, char(10), -1) END",
+    "valid_utf8(t STRING) RETURNS BOOLEAN": "is_valid_utf8(t)",
+    "count_code_points(t STRING) RETURNS BIGINT": "CAST(char_length(t) AS BIGINT)",
+    "hex_encode(b BINARY) RETURNS STRING": "lower(hex(b))",
+    "hex_decode(t STRING) RETURNS BINARY": "CASE WHEN octet_length(t) % 2 = 0 AND NOT t RLIKE '[^0-9A-Fa-f]' THEN unhex(t) END",
+    "base64_encode(b BINARY) RETURNS STRING": "replace(base64(b), concat(char(13), char(10)), '')",
+    "url_encode(t STRING) RETURNS STRING": "replace(replace(replace(url_encode(t), '+', '%20'), '*', '%2A'), '%7E', '~')",
+    "url_decode(t STRING) RETURNS STRING": "url_decode(regexp_replace(t, '%(?![0-9A-Fa-f]{2})', '%25'))",
+    "crc32(b BINARY) RETURNS BIGINT": "crc32(b)",
+}
+
+
+def register(spark: SparkSession) -> list[str]:
+    """Registers all for the session and gives their names."""
+    for head, body in BODIES.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION tl_{head} RETURN {body}")
+    arrow = {**hashing.UDFS, "validate_utf8_detailed": utf8.detail_udf, "line_diff": diff.diff_udf, "count_diff_lines": diff.count_udf, "common_prefix_length": diff.prefix_udf, "common_suffix_length": diff.suffix_udf}
+    for name, udf in arrow.items():
+        spark.udf.register(f"tl_{name}", udf)
+    return [f"tl_{n}" for n in (*(h.split("(")[0] for h in BODIES), *arrow)]

@@ -48,7 +48,7 @@ def first_error(b: bytes) -> tuple[int, int, str] | None:
 
 
 @F.pandas_udf(DETAIL)
-def _detail(s: pd.Series) -> pd.DataFrame:
+def detail_udf(s: pd.Series) -> pd.DataFrame:
     rows = []
     for b in s:
         e = first_error(bytes(b)) if b is not None else None
@@ -60,5 +60,5 @@ def validate_utf8_detailed(c) -> Column:
     """struct(valid, error_offset, error_byte, error_desc); only bytes of invalid rows go to Python."""
     b = col(c).cast("binary")
     good = valid_utf8(b)
-    d = _detail(F.when(~good, b))
+    d = detail_udf(F.when(~good, b))
     return F.when(col(c).isNotNull(), F.struct(good.alias("valid"), *[d[k].alias(k) for k in ("error_offset", "error_byte", "error_desc")]))

@@ -1,4 +1,7 @@
-"""File sources and the commands over them.  Lines end at LF only; a missing path is an error of Spark's reader."""
+"""File sources and the commands over them.
+
+Lines end at LF only.  A missing path is an error of Spark's reader, and an empty file gives no row.
+"""
 
 from __future__ import annotations
 
