@@ -152,7 +152,7 @@ column("looks_like_xml", lambda: p.looks_like_xml("html"), "regexp_matches(html,
 column("xml_escape", lambda: p.xml_escape("text"), "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')")
 
 
-@query("""SELECT page_id, generate_subscripts(l, 1) - 1 AS seq, x.type, x.value FROM (SELECT page_id, l, unnest(list_transform(l, lambda x:
+@query("""SELECT page_id, seq, x.type, x.value FROM (SELECT page_id, generate_subscripts(l, 1) - 1 AS seq, unnest(list_transform(l, lambda x:
   CASE WHEN starts_with(x, '<!--') THEN {'type': 'Comment', 'value': x[5:-4]} WHEN starts_with(x, '</') THEN {'type': 'CloseTag', 'value': regexp_extract(x, '^</([^> ]*)', 1)}
   WHEN starts_with(x, '<') THEN {'type': CASE WHEN x LIKE '%/>' THEN 'SelfClose' ELSE 'OpenTag' END, 'value': regexp_extract(x, '^<([^> /\\t\\n]*)', 1)}
   ELSE {'type': 'Text', 'value': x} END)) AS x FROM (SELECT page_id, regexp_extract_all(html, '<!--(?:[^-]|-[^-]|--[^>])*-->|<[^>]*(?:>|$)|[^< \\t\\n\\r][^<]*') AS l FROM pages))""")
