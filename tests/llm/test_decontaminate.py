@@ -71,7 +71,7 @@ def test_equals_brute_force(spark, docs_of):
     for d, text in rows:
         t = fold(text)
         for i in {i for i, x in items if fold(x)}:
-            ds = [least_distance(fold(x), t) for j, x in items if j == i and fold(x) if least_distance(fold(x), t) <= int(0.05 * len(fold(x)))] if t else []
+            ds = [least_distance(fold(x), t) for j, x in items if j == i and fold(x) if least_distance(fold(x), t) <= int(0.07 * len(fold(x)))] if t else []
             if ds:
                 want.add((d, i, min(ds)))
     for block in (16 << 20, 300):
@@ -89,4 +89,4 @@ def test_clean_documents_stay_and_columns_too(spark, docs_of):
 
 
 def test_matcher_without_items():
-    assert Matcher([], 0.05)("abc") == []
+    assert Matcher([], 0.07)("abc") == []

@@ -116,7 +116,7 @@ def _match(items: list[tuple[int | None, str]], error_rate: float):
     return match
 
 
-def with_matches(docs: DataFrame, benchmark: DataFrame, out: str, text: str = "text", error_rate: float = 0.05, block_bytes: int = 16 << 20) -> DataFrame:
+def with_matches(docs: DataFrame, benchmark: DataFrame, out: str, text: str = "text", error_rate: float = 0.07, block_bytes: int = 16 << 20) -> DataFrame:
     """docs with ``out``: the items found in each text and their distances."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
