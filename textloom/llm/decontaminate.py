@@ -5,8 +5,9 @@ to k = floor(error_rate * L) edits.  It is split into k + 1 pieces; an occurrenc
 untouched, so an Aho-Corasick automaton over all pieces finds every candidate place, and Myers' bit-parallel algorithm
 finds the smallest edit distance of the whole item to a substring of the window around it.
 
-Items are read in blocks of at most ``block_bytes`` of text (measured); each block's automaton is built in the workers
-and passes once over all documents, in a narrow stage without a shuffle.
+A benchmark of at most ``block_bytes`` of text (measured) travels with the function: its automaton is built in the workers
+and all documents pass it in a narrow stage without a shuffle.  A larger one is dealt into blocks by item; each has a pass
+of its own, which writes the few rows with hits, and these are joined to the documents at the end.
 
 Defined results: null or empty documents match nothing; null or blank items match nothing; items with k = 0 must occur
 exactly; repeated documents are matched each; repeated item rows count once per item_id with the smallest distance;
@@ -15,13 +16,14 @@ null ids are carried; an empty table on either side gives no match; extra column
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import clean_name
+from textloom.llm.common import Workspace, clean_name
 
 HITS = "array<struct<item_id:long,distance:long>>"
 
@@ -116,16 +118,21 @@ def _match(items: list[tuple[int | None, str]], error_rate: float):
     return match
 
 
-def with_matches(docs: DataFrame, benchmark: DataFrame, out: str, text: str = "text", error_rate: float = 0.07, block_bytes: int = 16 << 20) -> DataFrame:
+def with_matches(docs: DataFrame, benchmark: DataFrame, out: str, text: str = "text", error_rate: float = 0.07, block_bytes: int = 2 << 20) -> DataFrame:
     """docs with ``out``: the items found in each text and their distances."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
-    cols = []
+    if blocks == 1:
+        return docs.withColumn(out, _match([tuple(r) for r in items.collect()], error_rate)(F.col(text)))
+    ws, rid, hits = Workspace(docs.sparkSession, "decontaminate"), clean_name(docs, "_rid"), clean_name(docs, "_hits")
+    base, found = ws.write(docs.withColumn(rid, F.monotonically_increasing_id())), []
     for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        cols.append(_match([(r[0], r[1]) for r in part.collect()], error_rate)(F.col(text)))
-    return docs.withColumn(out, F.concat(*cols) if blocks > 1 else cols[0])
+        part = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()]
+        if part:
+            found.append(ws.write(base.select(F.col(rid), _match(part, error_rate)(F.col(text)).alias(hits)).where(F.size(hits) > 0)))
+    got = functools.reduce(DataFrame.union, found).groupBy(rid).agg(F.array_sort(F.flatten(F.collect_list(hits))).alias(hits))
+    return base.join(got, rid, "left").select(*docs.columns, F.coalesce(F.col(hits), F.array().cast(HITS)).alias(out))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
