@@ -89,8 +89,26 @@ column("count_code_points", lambda: v.count_code_points("text"), "length(text)::
 column("validate_utf8_detailed", lambda: v.validate_utf8_detailed(F.concat(F.col("text").cast("binary"), F.lit(bytearray(b"\xe4\xb8"))))["error_offset"], "strlen(text)::BIGINT")
 
 # hashes
-column("crc32", lambda: h.crc32("text"), None)
-column("crc32c", lambda: h.crc32c("text"), None)
+
+def crc_sql(polynomial: int) -> str:
+    """The bytewise CRC with a table made from the reflected polynomial."""
+    return f"""SELECT page_id, xor(list_reduce(
+    list_transform(regexp_extract_all(hex(url), '..'), lambda x: ((instr('0123456789ABCDEF', x[1]) - 1) * 16 + instr('0123456789ABCDEF', x[2]) - 1)::BIGINT),
+    lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS out
+  FROM pages, (SELECT list(list_reduce([1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, {polynomial}::BIGINT) ELSE c // 2 END, i) ORDER BY i) AS t
+    FROM range(256) r(i))"""
+
+
+@query(crc_sql(0xEDB88320))
+def crc32(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", h.crc32("url").alias("out"))
+
+
+@query(crc_sql(0x82F63B78))
+def crc32c(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", h.crc32c("url").alias("out"))
+
+
 column("xxhash64", lambda: h.xxhash64("text"), None)
 column("wyhash", lambda: h.wyhash("text"), None)
 column("fnv1a", lambda: h.fnv1a("url"), """lower(printf('%016x', list_reduce(
