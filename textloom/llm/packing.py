@@ -7,7 +7,7 @@ tightest bin without a conflict is found.  A bin never holds two documents of on
 
 Documents are dealt to shards by a hash of their content and id, about ``shard_docs`` to a shard whatever the input's
 size, so a hot source or a large group of copies spreads over all shards, and a shard's pieces (numbers, not texts) fit
-in memory.  The shard count follows from a count of all rows.
+in memory; a task packs one shard after the other.  The shard count follows from a count of all rows.
 
 Defined results: null or empty texts give one piece of 0 tokens, packed like any other; null source is a source of its
 own; the default cluster is the text with case and white space folded, so repeated rows never share a bin; a null
@@ -89,7 +89,7 @@ def best_fit(docs: DataFrame, capacity: int = 4096, shard_docs: int = 2000, clus
         out["source"] = out["source"].replace("\0null", None)
         return out[["doc_id", "piece", "n_tokens", "shard", "bin", "start", "source"]].astype({"doc_id": "Int64"})
 
-    return small.repartition(shards, "shard").groupBy("shard").applyInPandas(run, SCHEMA)
+    return small.repartition(min(shards, 10_000), "shard").groupBy("shard").applyInPandas(run, SCHEMA)
 
 
 def op8_best_fit_packing(spark, sf_dir):
