@@ -16,7 +16,8 @@ FOOT = "<aside class='sidebar'><p>Side words that go on for a while.</p></aside>
 @pytest.mark.parametrize("a,b", [("<article>", "</article>"), ("<main>", "</main>"), ("<main><article class='post'>", "</article></main>"), ("<div id='content'>", "</div>"), ("<div class=\"post-body\">", "</div>")])
 def test_layouts(a, b):
     notice = "<div class='cookie-notice'>We use cookies.</div><div class=ad>Buy this now</div><form><label>Mail</label><input name=m></form>"
-    for page in (HEAD + CHROME + a + ARTICLE + b + FOOT, HEAD + notice + a + ARTICLE + b + FOOT, HEAD + a + ARTICLE + notice + b + FOOT, a + ARTICLE + b):
+    divs = "<div class='site-header'><span>Some Site</span></div><div id=header>Words up here</div><div class='content-header'><b>Top of the page</b></div>"
+    for page in (HEAD + divs + a + ARTICLE + b + FOOT, HEAD + CHROME + a + ARTICLE + b + FOOT, HEAD + notice + a + ARTICLE + b + FOOT, HEAD + a + ARTICLE + notice + b + FOOT, a + ARTICLE + b):
         assert extract(page, {}) == WANT
 
 

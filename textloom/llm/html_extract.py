@@ -40,6 +40,7 @@ BAD_NAME = re.compile(
     r"cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|signup|login|search|menus?|nav|navbar|navigation|breadcrumbs?|"
     r"footer|masthead|topbar|share|sharing|social|related|recommended|widget|toolbar|pagination|complementary|contentinfo)(?:$|[\s_-])", re.I)
 HOME_NAME = re.compile(r"(?:^|[\s_-])(?:content|articlebody|(?:article|post|entry|story|main|page)[\s_-]?(?:body|content|text)|maintext)(?:$|[\s_-])", re.I)
+HEAD_NAME = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 DEFAULT = {"ok|0|p": 1.0, "ok|0|h": 0.8, "ok|0|li": 0.3, "ok|0|other": 0.3}
 
 
@@ -87,9 +88,9 @@ def tokens(page: str) -> Iterator[tuple]:
         if name in VOID or name in LOOSE or m[3].rstrip().endswith("/"):
             continue
         names = " ".join(x[2] or x[3] or x[4] for x in NAME.finditer(m[3]))
-        home = (name in ("article", "main") or name in ("div", "section") and HOME_NAME.search(names) is not None) and not bad and not BAD_NAME.search(names)
+        home = (name in ("article", "main") or name in ("div", "section") and HOME_NAME.search(names) is not None) and not bad and not BAD_NAME.search(names) and not HEAD_NAME.search(names)
         is_bad = name in BAD or (name not in ("html", "body") and not home and bool(names) and BAD_NAME.search(names) is not None) or (
-            name == "header" and not homestack) or re.search(r"\bhidden\b", NAME.sub("", m[3])) is not None and name not in ("html", "body")
+            (name == "header" or HEAD_NAME.search(names) is not None) and not homestack and name not in ("html", "body")) or re.search(r"\bhidden\b", NAME.sub("", m[3])) is not None and name not in ("html", "body")
         if name == "a":
             link += 1
         bad += is_bad
