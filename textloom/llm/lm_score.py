@@ -12,10 +12,11 @@ count pairs of their part of the corpus and pack them by bucket of the context's
 tree, so that a very frequent context costs each task its distinct successors only; the last task of a bucket codes its
 piece of the trie.
 
-Scoring turns texts into blocks of distinct contexts and pairs.  A model of at most ``ship_bytes`` goes to the executors
-as files of the session, which are memory-mapped there.  A larger one stays where it is and the blocks' questions go to
-it: they are dealt to shelves of pieces (a shelf asked very often is read by several tasks), each task maps its shelf's
-pieces from its own temporary file while it answers, and the answers go back to the blocks.  Both ways use one search.
+Scoring turns texts into blocks of distinct contexts and pairs.  Where the shared folder is a mounted one and the corpus
+is below ``map_bytes`` of text, the pieces are files there and each task memory-maps them in place.  Else the pieces are
+a table and the blocks' questions go to it: they are dealt to shelves of pieces (a shelf asked very often is read by
+several tasks), each task maps its shelf's pieces from its own temporary file while it answers, and the answers go back
+to the blocks.  Both ways use one search.
 
 Defined results: null and empty texts are one end token; null doc_ids are not held out and are learned from; repeated
 rows are scored and counted each; without training texts c, N and V are 0; extra columns do no harm.
@@ -33,7 +34,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -184,21 +184,36 @@ def _pack(key: list, u: np.ndarray, w: np.ndarray, c: np.ndarray) -> pd.DataFram
     return pd.DataFrame({"bucket": [key[0]], "pairs": [encode_pairs(u, w, c)]})
 
 
-def _build(key: list, u: np.ndarray, w: np.ndarray, c: np.ndarray) -> pd.DataFrame:
-    piece = build_piece(u, w, c)
-    start = np.flatnonzero(u == np.uint64(START))
-    return pd.DataFrame({"bucket": key, "tokens": [int(c.sum())], "words": [len(piece["count"]) - bool(len(start))], "texts": [int(c[start].sum())], "piece": [dump(piece)]})
+def _build(folder: str | None):
+    """A piece as a row, or as a file of the shared folder that the row names."""
+
+    def build(key: list, u: np.ndarray, w: np.ndarray, c: np.ndarray) -> pd.DataFrame:
+        arrays = build_piece(u, w, c)
+        start = np.flatnonzero(u == np.uint64(START))
+        piece, path = dump(arrays), None
+        size = len(piece)
+        if folder:
+            os.makedirs(folder, exist_ok=True)
+            path = os.path.join(folder, f"{key[0]}-{uuid.uuid4().hex}")  # a task that runs again writes another file
+            with open(path, "wb") as f:
+                f.write(piece)
+            piece = None
+        return pd.DataFrame({"bucket": key, "tokens": [int(c.sum())], "words": [len(arrays["count"]) - bool(len(start))], "texts": [int(c[start].sum())], "size": [size], "path": [path], "piece": [piece]})
+
+    return build
 
 
 class Pieces:
     """Memory-mapped pieces of the trie by bucket."""
 
     def __init__(self, buckets: int):
-        self.buckets, self.of = buckets, {}
+        self.buckets, self.paths, self.open = buckets, {}, {}
 
-    def add(self, bucket: int, path: str) -> None:
-        a = mapped(path)
-        self.of[bucket] = (a, *(EliasFano.load(a, k) for k in ("words", "pointers", "after")))
+    def get(self, bucket: int) -> tuple:
+        if bucket not in self.open:
+            a = mapped(self.paths[bucket])
+            self.open[bucket] = (a, *(EliasFano.load(a, k) for k in ("words", "pointers", "after")))
+        return self.open[bucket]
 
     def ask(self, u: np.ndarray, fan: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each context its count and back-off weight (log10; NaN: unknown), of each of its fan pairs the probability (0: unseen)."""
@@ -207,14 +222,14 @@ class Pieces:
         of = np.repeat(np.arange(len(u)), fan)
         order = np.argsort(bucket, kind="stable")
         pairs = np.argsort(bucket[of], kind="stable")
-        have = np.array(sorted(self.of), int)
+        have = np.array(sorted(self.paths), int)
         cut = np.searchsorted(bucket[order], np.stack((have, have + 1)))
         cut2 = np.searchsorted(bucket[of][pairs], np.stack((have, have + 1)))
         number = np.full(len(u), -1)
         for b, lo, hi, lo2, hi2 in zip(have.tolist(), *cut.tolist(), *cut2.tolist(), strict=True):
             if lo == hi:
                 continue
-            a, words, pointers, after = self.of[b]
+            a, words, pointers, after = self.get(b)
             mine = order[lo:hi]
             i, hit = words.find(u[mine])
             mine, i = mine[hit], i[hit]
@@ -264,45 +279,37 @@ class Model:
     v: int
     texts: int
     size: int
-    names: dict[int, str] | None  # of the session's files, if the model was shipped
+    paths: dict[int, str] | None  # of the pieces' files, if they can be mapped in place
 
     @property
     def scale(self) -> float:
         return self.n + 0.5 * (self.v + 1)
 
 
-def train(docs: DataFrame, bucket_bytes: int = 32 << 20, ship_bytes: int = 1 << 30, fan_in: int = 64) -> Model:
-    """Counts all texts of docs and codes the trie; the model is shipped if it is small enough."""
+def mount_of(url: str) -> str | None:
+    """The path of a folder that executors see as a mounted one."""
+    return url.removeprefix("file://") if url.startswith(("file:///", "/")) else "/" + url[6:].lstrip("/") if url.startswith("file:/") else None
+
+
+def train(docs: DataFrame, bucket_bytes: int = 32 << 20, map_bytes: int = 64 << 30, fan_in: int = 64) -> Model:
+    """Counts all texts of docs and codes the trie."""
     spark = docs.sparkSession
     ws = Workspace(spark, "lm")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     buckets = max(16, -(-size // bucket_bytes))
+    mount = mount_of(ws.path)
+    folder = f"{mount}/pieces" if mount and size < map_bytes else None
     counted = docs.select("text").mapInPandas(_count(buckets), "bucket int, pairs binary")
     packs = size // (16 * CHUNK) + 1  # of a bucket, about
     while packs > fan_in:
         packs = -(-packs // fan_in)
-        dealt = counted.withColumn("part", (F.rand(7) * packs).cast("int")).repartition(min(buckets * packs, 20_000), "bucket", "part")
+        dealt = counted.withColumn("part", F.pmod(F.xxhash64("pairs"), F.lit(packs)).cast("int")).repartition(min(buckets * packs, 20_000), "bucket", "part")
         counted = ws.write(dealt.sortWithinPartitions("bucket", "part").select("bucket", "part", "pairs").mapInPandas(_merged(_pack), "bucket int, pairs binary"))
-    pieces = ws.write(counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").select("bucket", "pairs").mapInPandas(
-        _merged(_build), "bucket int, tokens long, words long, texts long, piece binary"), compression="none")
-    n, v, texts, total = pieces.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("tokens", "words", "texts", F.length("piece").cast("long"))]).first()
-    model = Model(pieces.select("bucket", "piece"), buckets, n, v + (texts > 0), texts, total, None)
-    if total <= ship_bytes:
-        model.names = _ship(model)
-    return model
-
-
-def _ship(model: Model) -> dict[int, str]:
-    """The pieces as files of the session, one after the other through the driver."""
-    sc = model.pieces.sparkSession.sparkContext
-    folder, names = tempfile.mkdtemp(prefix="trie-"), {}
-    for b, piece in model.pieces.toLocalIterator():
-        names[b] = f"{os.path.basename(folder)}-{b}"
-        path = os.path.join(folder, names[b])
-        with open(path, "wb") as f:
-            f.write(piece)
-        sc.addFile(path)
-    return names
+    pieces = ws.write(counted.repartition(min(buckets, 20_000), "bucket").sortWithinPartitions("bucket").select("bucket", "pairs").mapInPandas(
+        _merged(_build(folder)), "bucket int, tokens long, words long, texts long, size long, path string, piece binary"), compression="none")
+    n, v, texts, total = pieces.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("tokens", "words", "texts", "size")]).first()
+    paths = {r[0]: r[1] for r in pieces.select("bucket", "path").collect()} if folder else None  # size / bucket_bytes rows
+    return Model(pieces.select("bucket", "piece"), buckets, n, v + (texts > 0), texts, total, paths)
 
 
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -315,14 +322,13 @@ def _rows(ids, held, got: tuple[np.ndarray, ...]) -> pd.DataFrame:
 def lm_score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, base_score, score) of docs' (doc_id, held_out, text)."""
     docs = docs.select("doc_id", "held_out", "text")
-    if model.names is None:
+    if model.paths is None:
         return _score_by_shelves(docs, model)
-    names, buckets, ends, scale = model.names, model.buckets, model.texts, model.scale
+    paths, buckets, ends, scale = model.paths, model.buckets, model.texts, model.scale
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie = Pieces(buckets)
-        for b, x in names.items():
-            trie.add(b, SparkFiles.get(x))
+        trie.paths = paths
         for p in batches:
             texts = p["text"].tolist()
             for part in _texts_by_size(texts):
@@ -374,7 +380,7 @@ def _score_by_shelves(docs: DataFrame, model: Model, shelf_bytes: int = 1 << 29)
                         path = os.path.join(folder, str(k))
                         with open(path, "wb") as f:
                             f.write(x)
-                        trie.add(int(k), path)
+                        trie.paths[int(k)] = path
                         continue
                     q = loaded(x)
                     w = np.zeros((len(q["w"]) // 5, 8), np.uint8)
