@@ -7,9 +7,9 @@ suffix array, so equal strings must meet in one task without moving every suffix
    anchors at equal offsets.  Consecutive windows with one anchor form a segment (about one per 85 bytes).
 2. Anchors and segments are counted by hash.  Anchors seen once hold no repeat; segments that are equal are one row with
    a count.  Only the distinct segments of repeated anchors are read again, as bytes, and dealt by anchor.
-3. A task codes its segments as 8-byte symbols aligned at the anchor, builds a suffix array over all of them (module
+3. A task codes its segments as 40-byte symbols aligned at the anchor, builds a suffix array over all of them (module
    ``suffix_array``: linear grouping) and reads off the suffixes that share all whole symbols of a window.  Inside such
-   a run the 8 bytes around the symbols are compared, which makes the answer exact to the byte.
+   a run the 40 bytes around the symbols are compared, so that windows are told apart to the byte.
 4. Repeated windows go back to their documents and are united into spans there.
 
 An anchor with more than ``hot`` distinct segments (a frequent line in ever new surroundings) would fill one task: its
@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from textloom.llm.common import Workspace
 from textloom.llm.suffix_array import suffix_array
 
-KGRAM, PART, LOW = 32, 1 << 19, 20
+KGRAM, PART, LOW = 32, 1 << 16, 20
+SYMBOL = 40
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -49,32 +50,42 @@ BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 BYTE2 = _mix(np.arange(1001, 1257, dtype=np.uint64) * np.uint64(BASE))
 
 
+POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    if len(POWERS.get(base, ())) <= n:
+        out = np.full(n + 1, base, np.uint64)
+        out[0] = 1
+        POWERS[base] = np.cumprod(out, dtype=np.uint64)
+    return POWERS[base]
+
+
 class Hashes:
     """Polynomial hashes of all substrings of a buffer."""
 
     def __init__(self, buf: np.ndarray, byte: np.ndarray = BYTE, base: int = BASE):
         n = len(buf)
-        power = np.full(n + 1, base, np.uint64)
-        power[0] = 1
-        power = np.cumprod(power, dtype=np.uint64)
-        self.back = np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
-        self.back[0] = 1
-        self.back = np.cumprod(self.back, dtype=np.uint64)
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(byte[buf] * power[:n], dtype=np.uint64)))
+        size = 1 << max(10, n.bit_length())
+        self.back = _powers(size, pow(base, -1, 1 << 64))[: n + 1]
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(byte[buf] * _powers(size, base)[:n], dtype=np.uint64, out=self.sums[1:])
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return _mix((self.sums[b] - self.sums[a]) * self.back[a])
 
+    def sliding(self, w: int) -> np.ndarray:
+        """Those of each w consecutive bytes."""
+        return _mix((self.sums[w:] - self.sums[:-w]) * self.back[:-w])
+
 
 def window_min(x: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of each w consecutive values."""
-    n = len(x)
-    full = -(-n // w) * w
-    y = np.full(full, np.iinfo(np.uint64).max, np.uint64)
-    y[:n] = x
-    left = np.minimum.accumulate(y.reshape(-1, w), axis=1).ravel()
-    right = np.minimum.accumulate(y.reshape(-1, w)[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(right[: n - w + 1], left[w - 1: n])
+    """Minimum of each w consecutive values, by doubling."""
+    done = 1
+    while 2 * done <= w:
+        x = np.minimum(x[:-done], x[done:])
+        done *= 2
+    return np.minimum(x[: len(x) - (w - done)], x[w - done:])
 
 
 def segments(buf: np.ndarray, ends: np.ndarray, length: int) -> dict[str, np.ndarray]:
@@ -84,19 +95,22 @@ def segments(buf: np.ndarray, ends: np.ndarray, length: int) -> dict[str, np.nda
     if n < length:
         return none
     hs = Hashes(buf)
-    at = np.arange(n - KGRAM + 1)
-    gram = hs.of(at, at + KGRAM)
+    gram = hs.sliding(KGRAM)
     low = np.uint64((1 << LOW) - 1)
-    least = window_min(gram & ~low | at.astype(np.uint64), length - KGRAM + 1)
-    anchor = (least & low).astype(np.int64)
-    p = np.arange(n - length + 1)
-    of = np.searchsorted(ends, p, side="right")
-    p = p[p + length <= ends[np.minimum(of, len(ends) - 1)]]
-    if not len(p):
+    a = (window_min(gram & ~low | np.arange(len(gram), dtype=np.uint64), length - KGRAM + 1) & low).astype(np.int64)
+    good = np.ones(n - length + 1, bool)  # windows inside one text
+    for e in ends[:-1].tolist():
+        good[max(0, e - length + 1): e] = False
+    new = np.ones(len(good), bool)
+    new[1:] = a[1:] != a[:-1]
+    new[1:] |= ~good[:-1]
+    last = np.ones(len(good), bool)
+    last[:-1] = new[1:]
+    last[:-1] |= ~good[1:]
+    p0, p1 = np.flatnonzero(new & good), np.flatnonzero(last & good)
+    if not len(p0):
         return none
-    a = anchor[p]
-    cut = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (p[1:] != p[:-1] + 1))))
-    p0, p1, a = p[cut], p[np.concatenate((cut[1:], [len(p)])) - 1], a[cut]
+    a = a[p0]
     sid = _mix(hs.of(p0, p1 + length) + (a - p0).astype(np.uint64) * np.uint64(BASE))
     return {"text": np.searchsorted(ends, p0, side="right"), "a": a, "p0": p0, "p1": p1, "h": gram[a].view(np.int64), "sid": sid.view(np.int64)}
 
@@ -130,7 +144,7 @@ def repeated_windows(rows: list[tuple[int, int, int, bytes]], length: int) -> li
 
     For each row a boolean per window: does the window start more than once among the rows, counts included?
     """
-    b = 8
+    b = SYMBOL
     full = length // b - 1
     m = len(rows)
     groups = np.array([r[0] for r in rows])
@@ -140,13 +154,12 @@ def repeated_windows(rows: list[tuple[int, int, int, bytes]], length: int) -> li
     n_win = size - length + 1
     skip = lo % b  # bytes before the first boundary aligned at the anchor
     n_sym = (size - skip) // b
-    raw = np.frombuffer(b"".join(r[3] for r in rows) + bytes(3 * b), np.uint8)
+    hs = Hashes(np.frombuffer(b"".join(r[3] for r in rows), np.uint8))
     at = np.concatenate(([0], np.cumsum(size)[:-1]))
     row = np.repeat(np.arange(m), n_sym)
     k = np.arange(len(row)) - np.repeat(np.cumsum(n_sym) - n_sym, n_sym)
-    pos = (at + skip)[row] + k * b  # of each symbol in raw
-    symbol = raw[pos[:, None] + np.arange(b)].view(">u8").ravel().astype(np.uint64)
-    names = np.unique(symbol, return_inverse=True)[1]
+    pos = (at + skip)[row] + k * b  # of each symbol in the bytes
+    names = np.unique(hs.of(pos, pos + b), return_inverse=True)[1]
     # rows one after another, each closed by a separator of its own that is smaller than all symbols
     n = len(row) + m
     seq = np.empty(n, np.int64)
@@ -178,16 +191,14 @@ def repeated_windows(rows: list[tuple[int, int, int, bytes]], length: int) -> li
     weight = np.bincount(run, weights=count[row]).astype(np.int64)
     alone = weight[run] < 2
     row, k, pos, run = row[~alone], k[~alone], pos[~alone], run[~alone]
-    shift = np.arange(b)
     for t in range(b):
-        # the window starts t bytes before the boundary: t bytes, the whole symbols, b - t bytes
+        # the window starts t bytes before the boundary: t bytes, the whole symbols, and the rest
         start = skip[row] + k * b - t
         ok = (start >= 0) & (start < n_win[row])
         r, ps, rn, st = row[ok], pos[ok], run[ok], start[ok]
         if not len(r):
             continue
-        index = np.where(shift < t, ps[:, None] - t + shift, ps[:, None] + full * b + shift - t)
-        key = raw[index].view(">u8").ravel().astype(np.uint64)
+        key = hs.of(ps - t, ps) * np.uint64(BASE) + hs.of(ps + full * b, ps + length - t)
         order = np.lexsort((key, rn))
         new = np.concatenate(([True], (key[order][1:] != key[order][:-1]) | (rn[order][1:] != rn[order][:-1])))
         ident = np.empty(len(r), np.int64)
