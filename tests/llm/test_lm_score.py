@@ -43,7 +43,7 @@ def corpus():
     return rows + [(3, rows[3][1]), (999, "never seen words w1"), (998, "w2 " * 3000)]
 
 
-@pytest.mark.parametrize("options", [{}, {"bucket_bytes": 64}, {"map_bytes": 0}, {"fan_in": 1, "map_bytes": 0}])
+@pytest.mark.parametrize("options", [{}, {"bucket_bytes": 64}, {"map_bytes": 0}, {"pack_bytes": 4096, "fan_in": 4, "map_bytes": 0}])
 def test_scores_follow_the_model(spark, docs_of, options):
     rows = corpus()
     learn = [t for i, t in rows if i % 3]

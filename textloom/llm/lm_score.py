@@ -291,8 +291,8 @@ def mount_of(url: str) -> str | None:
     return url.removeprefix("file://") if url.startswith(("file:///", "/")) else "/" + url[6:].lstrip("/") if url.startswith("file:/") else None
 
 
-def train(docs: DataFrame, bucket_bytes: int = 32 << 20, map_bytes: int = 64 << 30, fan_in: int = 64) -> Model:
-    """Counts all texts of docs and codes the trie."""
+def train(docs: DataFrame, bucket_bytes: int = 32 << 20, map_bytes: int = 64 << 30, pack_bytes: int = 16 << 20, fan_in: int = 64) -> Model:
+    """Counts all texts of docs and codes the trie.  A pack covers about ``pack_bytes`` of text; at most about ``fan_in`` (2 or more) are merged at once."""
     spark = docs.sparkSession
     ws = Workspace(spark, "lm")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
@@ -300,9 +300,9 @@ def train(docs: DataFrame, bucket_bytes: int = 32 << 20, map_bytes: int = 64 <<
     mount = mount_of(ws.path)
     folder = f"{mount}/pieces" if mount and size < map_bytes else None
     counted = docs.select("text").mapInPandas(_count(buckets), "bucket int, pairs binary")
-    packs = size // (16 * CHUNK) + 1  # of a bucket, about
-    while packs > fan_in:
-        packs = -(-packs // fan_in)
+    packs = size // pack_bytes + 1  # of a bucket, about
+    while packs > max(2, fan_in):
+        packs = -(-packs // max(2, fan_in))
         dealt = counted.withColumn("part", F.pmod(F.xxhash64("pairs"), F.lit(packs)).cast("int")).repartition(min(buckets * packs, 20_000), "bucket", "part")
         counted = ws.write(dealt.sortWithinPartitions("bucket", "part").select("bucket", "part", "pairs").mapInPandas(_merged(_pack), "bucket int, pairs binary"))
     pieces = ws.write(counted.repartition(min(buckets, 20_000), "bucket").sortWithinPartitions("bucket").select("bucket", "pairs").mapInPandas(
