@@ -94,3 +94,36 @@ def test_near_copies_leave_one_row_of_each_group(docs_of):
     assert out.columns == df.columns
     assert sorted(r["doc_id"] for r in out.collect()) == [*range(30), *range(200, 230), 1000, 1002, 1004]
     assert drop_near_copies(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("cap", [2048, 4])
+def test_near_copies_equal_brute_force_about_the_bound(docs_of, cap, monkeypatch):
+    import functools
+
+    from textloom.llm import simhash as m
+
+    monkeypatch.setattr(m, "block_edges", functools.partial(m.block_edges, cap=cap))
+    rng = random.Random(5)
+    rows, want = [], []
+
+    def shingles(w):
+        return {tuple(w[k: k + 5]) for k in range(max(1, len(w) - 4))}
+
+    for i in range(240):
+        n = rng.choice([5, 9, 14, 40, 300, 600])
+        w = [f"{i}x{k}" for k in range(n + 4)]
+        s = rng.uniform(0.78, 0.86)
+        k = max(1, round(n * (1 - s) / (1 + s)))  # the last k of n shingles differ
+        v = w[: len(w) - k] + [f"{i}y{j}" for j in range(k)] if i % 2 else w[: len(w) - k]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+        a, b = shingles(w), shingles(v)
+        want += [2 * i] if len(a & b) / len(a | b) >= 0.8 else [2 * i, 2 * i + 1]
+    w = [f"chain{k}" for k in range(400)]
+    chain = [w[j * 25: j * 25 + 204] for j in range(7)]  # 200 shingles, neighbours share 175 (0.78)
+    rows += [(10000 + j, " ".join(x)) for j, x in enumerate(chain)]
+    want += [10000 + j for j in range(7)]
+    close = [w[j * 20: j * 20 + 204] for j in range(7)]  # neighbours share 180 (0.82): one group
+    rows += [(20000 + j, " ".join(x).replace("chain", "close")) for j, x in enumerate(close)]
+    want += [20000]
+    assert 40 < len(want) - 240 < 200
+    assert sorted(r["doc_id"] for r in drop_near_copies(docs_of(rows)).collect()) == sorted(want)

@@ -1,15 +1,19 @@
 """SimHash near-dedup with pivot distance tables.
 
-A fingerprint is linked to another if their Hamming distance, and for wide fingerprints the similarity that follows from
-it, is in bounds.  Pairs are only looked at inside blocks (below); there a table of distances to many reference
-fingerprints (pivots) is computed once per fingerprint, a pair whose coordinates differ by more than the allowed
-distance anywhere is discarded (triangle inequality, so no link is lost), and survivors are verified bit by bit.
+A fingerprint is linked to another if their Hamming distance is in bounds.  Pairs are only looked at inside blocks
+(below); there a table of distances to many reference fingerprints (pivots) is computed once per fingerprint, a pair
+whose coordinates differ by more than the allowed distance anywhere is discarded (triangle inequality, so no link is
+lost), and survivors are verified bit by bit.
+
+Similarity.  A wide fingerprint's distance only rejects: its bound lies ``SIGMAS`` standard deviations above the distance
+expected of the least similar pair that counts.  Components of what is left are blocks of a second pass, in which pairs
+are verified on their sets of 64-bit shingle hashes.  A pair that is already joined through others needs no verification.
 
 Blocks.  For 64 bits and at most d differing bits, d + 1 bit ranges of which one must agree: exact.  For wide
 fingerprints of shingle sets at Jaccard similarity s, eight pairs of shingle minima, one of which agrees with
 probability 1 - (1 - s^2)^8 (0.9997 at 0.8).  Equal fingerprints (texts) are collapsed first, so copies cost one row.
-A block of more than ``cap`` distinct rows is dealt into chunks and every pair of chunks is its own group: exact, and no
-task holds more than two chunks.  A group emits at most one edge per row (to the smallest row of its local component),
+A block of more than ``cap`` distinct rows (or 2,048 ``cap`` shingles, where sets are sent) is dealt into chunks and every
+pair of chunks is its own group: exact, and a task holds one group and a batch.  A group emits at most one edge per row (to the smallest row of its local component),
 never all pairs; components are then found by alternating stars.
 
 Defined results: null and empty texts have fingerprint zero; null doc_ids are kept and never name a component unless all
@@ -29,6 +33,7 @@ from pyspark.sql import functions as F
 from textloom.llm.common import Workspace, clean_name, components
 
 PIVOTS = 24
+SIGMAS = 5
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -96,15 +101,60 @@ def wide(text: str | None, words: int = 5, w: int = 16) -> tuple[bytes, int, lis
     return pack_bits(bit_counts(x) * 2 > len(h)).tobytes(), len(h), keys.tolist()
 
 
-def jaccard(distance: np.ndarray, bits: int, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """The Jaccard similarity of sets of na and nb items whose fingerprints differ by so many bits, as expected."""
-    common = np.clip(np.cos(np.pi * distance / bits), 0, 1) * np.sqrt(na * nb.astype(float))
-    common = np.minimum(common, np.minimum(na, nb))
-    return common / np.maximum(na + nb - common, 1e-9)
-
+def distance_bound(bits: int, min_jaccard: float) -> int:
+    """The distance that sets of at least this similarity exceed with a probability of about 3e-7.
 
-def local_links(fp: np.ndarray, size: np.ndarray, max_distance: int, min_jaccard: float, step: int = 256) -> np.ndarray:
-    """For the rows of (m, w) fingerprints: the smallest row of each row's component by verified links."""
+    Bits differ independently of each other, with the probability that the majorities of two overlapping sets of fair
+    coins differ; it is largest for small sets, where ties count, and tends to arccos(2 s / (1 + s)) / pi.
+    """
+    top = np.arccos(2 * min_jaccard / (1 + min_jaccard)) / np.pi
+    coins = [np.ones(1)]
+    for _ in range(32):
+        coins.append(np.convolve(coins[-1], [0.5, 0.5]))
+
+    def majority(n: int, c: int) -> np.ndarray:  # by the number of heads among the c common coins
+        return np.array([coins[n - c][max(0, n // 2 - k + 1):].sum() for k in range(c + 1)])
+
+    for n in range(1, 33):
+        for m in range(n, 33):
+            for c in range(n, 0, -1):
+                if c / (n + m - c) < min_jaccard:
+                    break
+                x, y = majority(n, c), majority(m, c)
+                top = max(top, float((coins[c] * (x * (1 - y) + y * (1 - x))).sum()))
+    return int(bits * top + SIGMAS * np.sqrt(bits * top * (1 - top))) + 1
+
+
+def similarity(a: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Jaccard similarities of a to the others, all sorted sets that are not empty."""
+    sizes = np.array([len(x) for x in others])
+    items = np.concatenate(others)
+    hit = a[np.minimum(np.searchsorted(a, items), len(a) - 1)] == items
+    common = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return common / (len(a) + sizes - common)
+
+
+def verified(link: np.ndarray, sets: list[np.ndarray], min_jaccard: float) -> np.ndarray:
+    """The smallest row of each row's component by those of the (m, m) links whose sets are similar."""
+    label, free = np.arange(len(sets), dtype=np.int32), np.ones(len(sets), bool)
+    for first in range(len(sets)):
+        todo = [first] if free[first] else []
+        free[first] = False
+        while todo:
+            i = todo.pop()
+            j = np.flatnonzero(link[i] & free)
+            if len(j):
+                j = j[similarity(sets[i], [sets[k] for k in j]) >= min_jaccard]
+                free[j], label[j] = False, first
+                todo += j.tolist()
+    return label
+
+
+def local_links(fp: np.ndarray, size: np.ndarray, max_distance: int, min_jaccard: float, sets: list[np.ndarray] | None = None, step: int = 256) -> np.ndarray:
+    """For the rows of (m, w) fingerprints: the smallest row of each row's component by verified links.
+
+    With min_jaccard sizes must allow the similarity, and with sets these must have it.
+    """
     m, w = fp.shape
     pivots = mix(np.arange(PIVOTS, dtype=np.uint64), w)
     table = np.stack([np.bitwise_count(fp ^ p).sum(1, dtype=np.int32) for p in pivots], 1)
@@ -121,8 +171,10 @@ def local_links(fp: np.ndarray, size: np.ndarray, max_distance: int, min_jaccard
             d = np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int32)
             good = d <= max_distance
             if min_jaccard:
-                good &= jaccard(d, 64 * w, size[i], size[j]) >= min_jaccard
+                good &= np.minimum(size[i], size[j]) / np.maximum(size[i], size[j]) >= min_jaccard
             link[i[good], j[good]] = link[j[good], i[good]] = True
+    if sets:
+        return verified(link, sets, min_jaccard)
     label = np.arange(m, dtype=np.int32)
     while True:
         new = label.copy()
@@ -134,32 +186,49 @@ def local_links(fp: np.ndarray, size: np.ndarray, max_distance: int, min_jaccard
         label = new
 
 
+def whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches sorted by g, cut anew so that no group is spread over two."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        if not len(b):
+            continue
+        g = b["g"].to_numpy()
+        if held and held[-1]["g"].iloc[-1] != g[0]:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        cut = int(np.searchsorted(g, g[-1]))
+        if cut:
+            yield pd.concat([*held, b[:cut]], ignore_index=True)
+            held = []
+        held.append(b[cut:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def block_edges(ws: Workspace, items: DataFrame, keyed: DataFrame, max_distance: int, min_jaccard: float = 0.0, cap: int = 2048) -> DataFrame:
-    """(a, b) edges that join linked items.  items: node, fp binary, n int; keyed: t, k, node, without repeats."""
-    sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("c")).where("c > 1")
-    chunks = F.ceil(F.col("c") / cap).cast("int")
-    rows = keyed.join(sizes, ["t", "k"]).withColumn("s", chunks).withColumn("i", F.pmod(F.xxhash64("node", "t"), F.col("s")).cast("int"))
+    """(a, b) edges that join linked items.  items: node, fp binary, n int, and the set where similarity is to be verified; keyed: t, k, node, and n with sets, without repeats."""
+    sets = ["set"] if "set" in items.columns else []
+    sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("c"), (F.sum("n") if sets else F.lit(0)).alias("total")).where("c > 1")
+    chunks = F.least("c", F.ceil(F.greatest(F.col("c") / cap, F.col("total") / (2048 * cap)))).cast("int")
+    rows = keyed.select("t", "k", "node").join(sizes, ["t", "k"]).withColumn("s", chunks).withColumn("i", F.pmod(F.xxhash64("node", "t"), F.col("s")).cast("int"))
     rows = rows.withColumn("j", F.explode(F.expr("CASE WHEN s = 1 THEN array(0) ELSE sequence(0, s - 1) END"))).select(
         "node", F.xxhash64("t", "k", F.least("i", "j"), F.greatest("i", "j")).alias("g"))
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [b for b in batches if len(b)]
-        if not held:
-            return
-        pdf = pd.concat(held, ignore_index=True)
-        g, node = pdf["g"].to_numpy(), pdf["node"].to_numpy()
-        order = np.lexsort((node, g))
-        fp = np.frombuffer(b"".join(pdf["fp"]), np.uint64).reshape(len(pdf), -1)[order]
-        g, node, size = g[order], node[order], pdf["n"].to_numpy()[order]
-        cut = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            if b - a > 1:
-                to = local_links(fp[a:b], size[a:b], max_distance, min_jaccard)
-                own = np.flatnonzero(to != np.arange(b - a))
-                if len(own):
-                    yield pd.DataFrame({"a": node[a:b][own], "b": node[a:b][to[own]]})
-
-    return rows.join(items, "node").repartition("g").select("g", "node", "fp", "n").mapInPandas(link, "a long, b long")
+        for pdf in whole_groups(batches):
+            g, node, size = pdf["g"].to_numpy(), pdf["node"].to_numpy(), pdf["n"].to_numpy()
+            fp = np.frombuffer(b"".join(pdf["fp"]), np.uint64).reshape(len(pdf), -1)
+            held = [np.frombuffer(x, np.uint64) for x in pdf["set"]] if sets else None
+            cut = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                if b - a > 1:
+                    to = local_links(fp[a:b], size[a:b], max_distance, min_jaccard, held and held[a:b])
+                    own = np.flatnonzero(to != np.arange(b - a))
+                    if len(own):
+                        yield pd.DataFrame({"a": node[a:b][own], "b": node[a:b][to[own]]})
+
+    rows = rows.join(items, "node").repartition("g").sortWithinPartitions("g", "node")
+    return rows.select("g", "node", "fp", "n", *sets).mapInPandas(link, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, words: int = 3, max_distance: int = 2, ws: Workspace | None = None) -> DataFrame:
@@ -196,7 +265,7 @@ def op9_simhash_neardup(spark, sf_dir):
 def drop_near_copies(docs: DataFrame, words: int = 5, min_jaccard: float = 0.8, w: int = 16) -> DataFrame:
     """docs with one row of each group of near copies: the one with the smallest doc_id (nulls last).
 
-    Similarity is the Jaccard similarity of the sets of word shingles that the 64 w-bit fingerprints' distance implies.
+    Similarity is the Jaccard similarity of the sets of word shingles, candidates by the distance of 64 w-bit fingerprints.
     Texts without words are copies of each other.
     """
     ws = Workspace(docs.sparkSession, "near_copies")
@@ -219,9 +288,17 @@ def drop_near_copies(docs: DataFrame, words: int = 5, min_jaccard: float = 0.8,
     ids = ids.select("c1", "c2", "copies", "best", F.col("best.rid").alias("node"))
     items = ws.write(sigs.join(ids.select(F.col("node").alias("rid")), "rid").select(F.col("rid").alias("node"), "fp", "n", "keys"))
     keyed = items.where("n > 0").select("node", F.posexplode("keys").alias("t", "k"))
-    p = np.arccos(2 * min_jaccard / (1 + min_jaccard)) / np.pi
-    edges = ws.write(block_edges(ws, items.drop("keys"), keyed, int(64 * w * p), min_jaccard))
-    of = ws.write(components(ws, edges))
+    bound = distance_bound(64 * w, min_jaccard)
+    rough = ws.write(components(ws, block_edges(ws, items.drop("keys"), keyed, bound, min_jaccard)))
+
+    @F.pandas_udf("binary")
+    def shingle_set(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, words)).tobytes() for t in texts])
+
+    sets = base.select(F.col(rid).alias("node"), "text").join(rough.select("node"), "node").select("node", shingle_set("text").alias("set"))
+    near = ws.write(items.drop("keys").join(sets, "node"))
+    keyed = rough.join(items.select("node", "n"), "node").select("node", "n", F.lit(0).alias("t"), F.col("comp").alias("k"))
+    of = ws.write(components(ws, block_edges(ws, near, keyed, bound, min_jaccard)))
     best = ids.select("node", "best").join(of, "node").groupBy("comp").agg(F.min("best").alias("best"))
     keep = best.select(F.col("best.rid").alias("rid"))
     lost = of.select(F.col("node").alias("rid")).join(keep, "rid", "left_anti")  # classes whose group keeps another row
