@@ -49,3 +49,12 @@ def test_table_with_learned_weights(spark):
     got = [(r["page_id"], r["text"]) for r in out.collect()]
     assert sorted(got, key=str) == sorted([*((i, WANT) for i in range(20)), (50, ""), (None, "x"), (3, "x")], key=str)
     assert html_extract(df.where("false"), train(df.where("false"))).count() == 0
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<main><article><p>A one two</p></article><p>B three four</p></main>", "A one two\n\nB three four"),
+    ("<article><div class='post-content'><p>A one</p></div><p>B two three</p></article>", "A one\n\nB two three"),
+    ("<article><p>A one</p><article><p>B two</p></article><p>C three</p><article><p>D four</p></article></article>", "A one\n\nB two\n\nC three\n\nD four"),
+    ("<article>" * 3000 + "deep words" + "</article>" * 3000, "deep words")])
+def test_no_block_of_the_best_region_is_lost_to_an_inner_home(page, want):
+    assert extract(page, {"<article": -0.01, "</article": -0.01, "<p": -0.05, "<div": -0.05}) == want

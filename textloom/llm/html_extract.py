@@ -4,7 +4,8 @@ A page is read as a sequence of words and tags.  A word scores by its context (b
 boilerplate element), a tag scores negative by its name, and one linear scan finds the contiguous region of the highest
 sum.  The weights are log-odds counted on labelled pages: pages that mark their content with ``article``, at most
 ``max_train`` of them (those with the smallest hash of their id), words inside being content.  The region then grows to
-the innermost ``article``, ``main`` or content-named element that holds its first word, and blocks inside boilerplate elements (menus,
+the innermost ``article``, ``main`` or content-named element (home) that holds all of it, or, where there is none, to the
+homes of its first and last word, and blocks inside boilerplate elements (menus,
 page headers, footers, asides, forms, adverts, notices, comments ...) are left out.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed, empty ones are left
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|([^<]+|<)", re.S)
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object"}
+PAGE = (0, None)  # homes are (number in page order, home around it)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp",
           "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "label"}
@@ -57,7 +59,7 @@ def tokens(page: str) -> Iterator[tuple]:
         pos = m.end()
         if m[5] is not None:
             ctx = f"{'bad' if bad else 'ok'}|{int(link > 0)}|{shape}"
-            yield "text", m[5], ctx, block, bad > 0, homestack[-1] if homestack else 0
+            yield "text", m[5], ctx, block, bad > 0, homestack[-1] if homestack else PAGE
             continue
         if m[2] is None:
             continue
@@ -96,7 +98,7 @@ def tokens(page: str) -> Iterator[tuple]:
         bad += is_bad
         if home:
             homes += 1
-            homestack.append(homes)
+            homestack.append((homes, homestack[-1] if homestack else PAGE))
         stack.append((name, is_bad, home))
 
 
@@ -138,6 +140,31 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return a, b
 
 
+def common_home(x: tuple, y: tuple) -> tuple:
+    """The innermost home that holds both, else PAGE."""
+    while x is not y:
+        if x[0] > y[0]:
+            x = x[1]
+        else:
+            y = y[1]
+    return x
+
+
+def texts_in(toks: list[tuple], home: tuple) -> list[int]:
+    """The positions of the texts anywhere inside a home."""
+    inside, out = {0: False} | {home[0]: True}, []
+    for i, t in enumerate(toks):
+        if t[0] == "text":
+            path, x = [], t[5]
+            while x[0] not in inside:
+                path.append(x[0])
+                x = x[1]
+            inside.update(dict.fromkeys(path, inside[x[0]]))
+            if inside[t[5][0]]:
+                out.append(i)
+    return out
+
+
 def extract(page: str | None, weights: dict[str, float]) -> str:
     toks = list(tokens(page or ""))
     scores = []
@@ -150,18 +177,16 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     region = [t for t in toks[a:b] if t[0] == "text" and not t[4] and t[1].strip()]
     if not region:
         return ""
-    home = region[0][5]
-    if home:
-        at = [i for i, t in enumerate(toks) if t[0] == "text" and t[5] >= home and not t[4]]
-        lo = [i for i in at if toks[i][5] == home]
-        a, b = min(a, lo[0]), max(b, lo[-1] + 1)
-        home_only = True
-    else:
-        home_only = False
+    first, last = region[0][5], region[-1][5]
+    home = common_home(first, last)
+    for x in [home] if home is not PAGE else [x for x in (first, last) if x is not PAGE]:
+        at = [i for i in texts_in(toks, x) if not toks[i][4]]
+        a, b = min(a, at[0]), max(b, at[-1] + 1)
+    kept = set(texts_in(toks, home))
     edge = {toks[i][3] for i in range(a, b) if toks[i][0] == "text"}
     blocks: dict[int, list[str]] = {}
-    for t in toks:
-        if t[0] == "text" and not t[4] and t[3] in edge and (t[5] >= home if home_only else True):
+    for i, t in enumerate(toks):
+        if t[0] == "text" and not t[4] and t[3] in edge and i in kept:
             blocks.setdefault(t[3], []).append(t[1])
         elif t[0] == "tag" and t[1] == "br" and blocks:
             blocks[next(reversed(blocks))].append(" ")
