@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,31 +17,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own is set only where the session has none (tests)."""
+    """The folder for written tables: ``spark.checkpoint.dir``, else the one given to ``setCheckpointDir``.
+
+    Without either, a folder of our own is set on a local master (tests); on a cluster that is an error, since a folder of
+    the driver would not be seen by the executors.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = given.get() if given.isDefined() else None
+    if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-CLEANUP = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled",)
+# while a table is written: the shuffle files of a finished write are of no more use, and Python tasks hold little at once
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+OPEN: list[list[Workspace]] = []
 
 
 class Workspace:
-    """A folder for the written tables of one operator run.  Written tables cut the lineage and outlive executors."""
+    """A folder for the written tables of one operator run.  Written tables cut the lineage and outlive executors.
+
+    It is deleted when the JVM ends, or by ``scratch`` as soon as what was made from it is written elsewhere.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex[:12]}", 0
+        fs, path = self._at(self.path)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        if OPEN:
+            OPEN[-1].append(self)
+
+    def _at(self, path: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
 
     def write(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
         """Writes df as Parquet and reads it back."""
         self.n += 1
         path = f"{self.path}/{self.n}"
-        was = {k: self.spark.conf.get(k, None) for k in CLEANUP}
+        was = {k: self.spark.conf.get(k, None) for k in WHILE_WRITING}
         try:
-            for k in CLEANUP:  # the shuffle files of a finished write are of no more use
-                self.spark.conf.set(k, "true")
+            for k, v in WHILE_WRITING.items():
+                self.spark.conf.set(k, v)
             df.write.option("compression", compression).parquet(path)
         finally:
             for k, v in was.items():
@@ -49,9 +75,22 @@ class Workspace:
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a table of write() that nothing lazy refers to any more."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._textloom_path)
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        self.delete(df._textloom_path)
+
+    def delete(self, path: str | None = None) -> None:
+        fs, path = self._at(path or self.path)
+        fs.delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes at its end the workspaces opened inside: for callers that write an operator's result themselves."""
+    OPEN.append([])
+    try:
+        yield
+    finally:
+        for ws in OPEN.pop():
+            ws.delete()
 
 
 def clean_name(df: DataFrame, base: str) -> str:

@@ -12,8 +12,14 @@ suffix array, so equal strings must meet in one task without moving every suffix
    a run the 40 bytes around the symbols are compared, so that windows are told apart to the byte.
 4. Repeated windows go back to their documents and are united into spans there.
 
-An anchor with more than ``hot`` distinct segments (a frequent line in ever new surroundings) would fill one task: its
-windows are dealt singly by a 128-bit hash and counted with map-side combination, exact and free of skew.
+An anchor with more than ``hot`` distinct segments (a frequent line in ever new surroundings) would fill one task.  Its
+segments are cut into pieces of ``WIDTH`` window starts, and a piece is dealt by the bytes that all windows of its range
+share (its core, about 180 of 200): equal windows have equal cores, so step 3 runs on each core's pieces.  A core that
+still has more than ``hot`` distinct pieces is dealt by the whole window, whose core it is itself: its groups hold one
+string each, so counting them (with map-side combination) is all that is left to sort.  Each step is exact.
+
+Memory: a task holds one chunk of ``chunk_bytes`` and the pieces of one group, at most ``hot`` of them; texts are read in
+parts of 64 KB and what is cut from them is passed on by bytes.
 
 Hashes are 64 bits of segment content below a 64-bit anchor hash.  Rows are told apart by (doc_id, hash of the text):
 rows equal in both are copies and get the same answer.
@@ -25,10 +31,12 @@ and extra columns do no harm; an empty table gives no rows; very long texts are
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +44,7 @@ from textloom.llm.common import Workspace
 from textloom.llm.suffix_array import suffix_array
 
 KGRAM, PART, LOW = 32, 1 << 16, 20
+WIDTH = 20
 SYMBOL = 40
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -47,7 +56,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
-BYTE2 = _mix(np.arange(1001, 1257, dtype=np.uint64) * np.uint64(BASE))
 
 
 POWERS: dict[int, np.ndarray] = {}
@@ -115,7 +123,7 @@ def segments(buf: np.ndarray, ends: np.ndarray, length: int) -> dict[str, np.nda
     return {"text": np.searchsorted(ends, p0, side="right"), "a": a, "p0": p0, "p1": p1, "h": gram[a].view(np.int64), "sid": sid.view(np.int64)}
 
 
-def texts_in_parts(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def texts_in_parts(texts: Iterable[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Buffers of at most about PART bytes: (bytes, part ends, text of each part, offset of each part in its text)."""
     held: list[bytes] = []
     of: list[int] = []
@@ -224,11 +232,12 @@ def _encode(t: str | None) -> bytes:
 def _segments_of(length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            got = [_per_text(part, length) for part in texts_in_parts([_encode(t) for t in p["text"]], length)]
-            got = pd.concat(got) if got else pd.DataFrame()
-            if len(got):
-                did, tid = p["did"].to_numpy(), p["tid"].to_numpy()
-                yield pd.DataFrame({"did": did[got["i"]], "tid": tid[got["i"]]} | {c: got[c].to_numpy() for c in ("h", "sid", "a", "lo", "hi")})
+            did, tid = p["did"].to_numpy(), p["tid"].to_numpy()
+            parts = texts_in_parts((_encode(t) for t in p["text"]), length)
+            while some := [_per_text(part, length) for part in itertools.islice(parts, 16)]:
+                got = pd.concat(some)
+                if len(got):
+                    yield pd.DataFrame({"did": did[got["i"]], "tid": tid[got["i"]]} | {c: got[c].to_numpy() for c in ("h", "sid", "a", "lo", "hi")})
 
     return run
 
@@ -247,33 +256,81 @@ def _per_text(part, length: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["i", "h", "sid", "a", "lo", "hi"])
 
 
+CUT = "h long, sid long, n long, lo int, seg binary, core long, piece long"
+LEAP = 4 << 20  # bytes that a task passes on at once
+
+
+def _in_steps(rows: Iterable[tuple], columns: list[str], size_of) -> Iterator[pd.DataFrame]:
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += size_of(r) + 200
+        if size > LEAP:
+            yield pd.DataFrame(held, columns=columns)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
+def _digest64(*parts: bytes) -> int:
+    return int.from_bytes(xxhash.xxh3_64_digest(b"".join(parts)), "little", signed=True)
+
+
+def pieces_of(h: int, lo: int, hi: int, seg: bytes, length: int, width: int = WIDTH) -> Iterator[tuple[int, int, int, bytes]]:
+    """(core, piece, lo, bytes) of a segment whose windows start lo to hi bytes before its anchor.
+
+    A piece holds the windows that start in one range of ``width`` bytes; its core hashes the bytes that all windows of
+    the whole range share, and the range itself.
+    """
+    for c in range(hi // width, lo // width + 1):
+        top, low = min(lo, c * width + width - 1), max(hi, c * width)
+        at = lo - top
+        body = seg[at: lo - low + length]
+        core = seg[lo - c * width: lo - (c * width + width - 1) + length]
+        yield _digest64(h.to_bytes(8, "little", signed=True), c.to_bytes(4, "little"), core), _digest64(top.to_bytes(4, "little"), body), top, body
+
+
 def _cut_segments(length: int):
-    """Bytes of the wanted segments; those of hot anchors as single windows."""
+    """Bytes of the wanted segments; those of hot anchors in pieces."""
+
+    def rows(p: pd.DataFrame) -> Iterator[tuple]:
+        for text, want in zip(p["text"], p["want"], strict=True):
+            t = _encode(text)
+            for w in want:
+                lo, hi = w["lo"], w["hi"]
+                seg = t[w["a"] - lo: w["a"] - hi + length]
+                if not w["hot"]:
+                    yield w["h"], w["sid"], w["n"], lo, seg, None, None
+                    continue
+                for core, piece, top, body in pieces_of(w["h"], lo, hi, seg, length):
+                    yield w["h"], w["sid"], w["n"], top, body, core, piece
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            out = []
-            for text, want in zip(p["text"], p["want"], strict=True):
-                t = _encode(text)
-                for w in want:
-                    lo, hi = w["lo"], w["hi"]
-                    seg = t[w["a"] - lo: w["a"] - hi + length]
-                    if not w["hot"]:
-                        out.append((w["h"], w["sid"], w["n"], lo, seg, 0, 0, 0))
-                        continue
-                    buf = np.frombuffer(seg, np.uint8)
-                    x = np.arange(len(seg) - length + 1)
-                    w1 = Hashes(buf).of(x, x + length).view(np.int64)
-                    w2 = Hashes(buf, BYTE2, BASE ^ 0x5555555555555554).of(x, x + length).view(np.int64)
-                    out += [(w["h"], w["sid"], w["n"], lo, None, int(i), int(c), int(d)) for i, c, d in zip(x, w1, w2, strict=True)]
-            if out:
-                yield pd.DataFrame(out, columns=["h", "sid", "n", "lo", "seg", "i", "w1", "w2"])
+            for out in _in_steps(rows(p), ["h", "sid", "n", "lo", "seg", "core", "piece"], lambda r: len(r[4])):
+                yield out.astype({"core": "Int64", "piece": "Int64"})
 
     return run
 
 
-def _sort_segments(length: int, chunk_bytes: int = 4 << 20):
-    """Rows come sorted by anchor; whole anchors are taken together until a chunk is full."""
+def _windows(length: int):
+    """Each window of a piece by a 128-bit hash."""
+
+    def rows(p: pd.DataFrame) -> Iterator[tuple]:
+        for core, piece, n, lo, seg in zip(p["h"], p["sid"], p["n"], p["lo"], p["seg"], strict=True):
+            for i in range(len(seg) - length + 1):
+                w1, w2 = np.frombuffer(xxhash.xxh3_128_digest(seg[i: i + length]), "<i8").tolist()
+                yield core, piece, n, i - lo, w1, w2
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            yield from _in_steps(rows(p), ["h", "sid", "n", "s", "w1", "w2"], lambda r: 0)
+
+    return run
+
+
+def _sort_segments(length: int, chunk_bytes: int):
+    """Rows come sorted by group (an anchor or a core); whole groups are taken together until a chunk is full."""
 
     def solve(held: list[tuple]) -> pd.DataFrame | None:
         got = repeated_windows([(r[0], r[2], r[3], r[4]) for r in held], length)
@@ -300,7 +357,32 @@ def _sort_segments(length: int, chunk_bytes: int = 4 << 20):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, hot: int = 2000) -> DataFrame:
+def _sorted_runs(rows: DataFrame, length: int, chunk_bytes: int) -> DataFrame:
+    """RUNS of repeated windows among the rows (h, sid, n, lo, seg) of each h."""
+    dealt = rows.select("h", "sid", "n", "lo", "seg").repartition("h").sortWithinPartitions("h", "sid")
+    return dealt.mapInPandas(_unique_rows(_sort_segments(length, chunk_bytes)), RUNS)
+
+
+def _hot(kinds: DataFrame, hot: int) -> DataFrame:
+    """(h, hot) of the groups that hold more than one window start."""
+    return kinds.groupBy("h").agg(F.sum("n").alias("total"), (F.count("*") > hot).alias("hot")).where("total > 1").select("h", "hot")
+
+
+def _runs_of_pieces(ws: Workspace, pieces: DataFrame, length: int, hot: int, chunk_bytes: int) -> DataFrame:
+    """RUNS of the segments that were cut into pieces."""
+    own = pieces.repartition("core", "piece").groupBy("core", "piece", "h", "sid").agg(*[F.first(c).alias(c) for c in ("n", "lo", "seg")])  # a repeated row's only once
+    own = own.groupBy(F.col("core").alias("h"), F.col("piece").alias("sid")).agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("lo", "seg")])
+    kinds = ws.write(own)
+    dealt = kinds.join(_hot(kinds, hot), "h")
+    windows = ws.write(dealt.where("hot").select("h", "sid", "n", "lo", "seg").mapInPandas(_windows(length), "h long, sid long, n long, s int, w1 long, w2 long"))
+    twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("c")).where("c > 1")
+    singles = windows.join(twice, ["w1", "w2"]).select("h", "sid", "s", (F.col("s") + 1).alias("e"))
+    found = _sorted_runs(dealt.where("NOT hot"), length, chunk_bytes).union(singles)
+    found = found.groupBy("h", "sid").agg(F.collect_list(F.struct("s", "e")).alias("r")).select(F.col("h").alias("core"), F.col("sid").alias("piece"), "r")
+    return pieces.select("h", "sid", "core", "piece").distinct().join(found, ["core", "piece"]).select("h", "sid", F.inline("r"))
+
+
+def repeated_spans(docs: DataFrame, length: int = 200, hot: int = 2000, chunk_bytes: int = 1 << 20) -> DataFrame:
     """(did, tid, starts): runs [s, e) of the window starts that are repeated, for the texts that have any."""
     ws = Workspace(docs.sparkSession, "suffix_dedup")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("did"), F.xxhash64("text").alias("tid"), "text")
@@ -308,19 +390,14 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = 2000) -> DataF
     flat = segs.select("did", "tid", F.expr("inline(arrays_zip(h, sid, a, lo, hi))"))
     rep = F.min(F.struct("did", "tid", "a", "lo", "hi")).alias("rep")
     kinds = ws.write(flat.groupBy("h", "sid").agg(F.count("*").alias("n"), rep))
-    many = kinds.groupBy("h").agg(F.sum("n").alias("total"), (F.count("*") > hot).alias("hot")).where("total > 1").select("h", "hot")
-    wanted = kinds.join(many, "h").select("rep.did", "rep.tid", F.struct("h", "sid", F.col("n").cast("long").alias("n"), F.col("rep.a").alias("a"), F.col("rep.lo").alias("lo"), F.col("rep.hi").alias("hi"), "hot").alias("w"))
+    wanted = kinds.join(_hot(kinds, hot), "h").select("rep.did", "rep.tid", F.struct("h", "sid", F.col("n").cast("long").alias("n"), F.col("rep.a").alias("a"), F.col("rep.lo").alias("lo"), F.col("rep.hi").alias("hi"), "hot").alias("w"))
     wanted = wanted.groupBy("did", "tid").agg(F.collect_list("w").alias("want"))
     one_each = keyed.join(wanted, ["did", "tid"])  # repeated rows give repeated segments, which the next step tells apart by (h, sid)
-    cut = ws.write(one_each.select("text", "want").mapInPandas(
-        _cut_segments(length), "h long, sid long, n long, lo int, seg binary, i int, w1 long, w2 long"))
+    cut = ws.write(one_each.select("text", "want").mapInPandas(_cut_segments(length), CUT))
     ws.drop(kinds)
-    cold = cut.where("seg is not null").repartition("h").sortWithinPartitions("h", "sid")
-    found = cold.select("h", "sid", "n", "lo", "seg").mapInPandas(_unique_rows(_sort_segments(length)), RUNS)
-    windows = cut.where("seg is null").groupBy("h", "sid", "i", "lo", "w1", "w2").agg(F.first("n").alias("n"))
-    twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("c")).where("c > 1")
-    singles = windows.join(twice, ["w1", "w2"]).select("h", "sid", (F.col("i") - F.col("lo")).alias("s"), (F.col("i") - F.col("lo") + 1).alias("e"))
-    found = ws.write(found.union(singles).groupBy("h", "sid").agg(F.collect_list(F.struct("s", "e")).alias("r")))
+    found = _sorted_runs(cut.where("core is null"), length, chunk_bytes)
+    found = found.union(_runs_of_pieces(ws, cut.where("core is not null"), length, hot, chunk_bytes))
+    found = ws.write(found.groupBy("h", "sid").agg(F.collect_list(F.struct("s", "e")).alias("r")))
     ws.drop(cut)
     back = flat.select("h", "sid", "did", "tid", "a").join(found, ["h", "sid"])
     back = back.select("did", "tid", F.transform("r", lambda x: F.struct((x["s"] + F.col("a")).alias("s"), (x["e"] + F.col("a")).alias("e"))).alias("r"))
