@@ -1,6 +1,7 @@
 """Known answers and models for the Column functions."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +59,7 @@ CASES = [
     ("base64 offset", lambda x: e.base64_decode_result(x)["error_offset"], "string", {"TWFuA!==": 5, "!AAA": 0}),
     ("url_encode", u.url_encode, "string", {"a=b&c=d": "a%3Db%26c%3Dd", "a+b": "a%2Bb", "a b*~": "a%20b%2A~", "é": "%C3%A9"}),
     ("url_decode", u.url_decode, "string", {"hello+world": "hello world", "%GG": "%GG", "hello%": "hello%", "%A": "%A", "test%%": "test%%", "%C3%A9": "é"}),
+    ("url_decode_bytes", u.url_decode_bytes, "string", {"a+b%C3%A9é": "a béé".encode(), "%FF%fe%": b"\xff\xfe%", "%GG": b"%GG", "": b"", "%": b"%"}),
     ("parse_query", u.parse_query, "string", {"?name=test": {"name": "test"}, "key=": {"key": ""}, "k": {"k": ""}, "a=1&a=2": {"a": "2"}, "": {},
                                               "url=http%3A%2F%2Fexample.com": {"url": "http://example.com"}, "a=b=c&": {"a": "b=c"}}),
     ("valid_utf8", v.valid_utf8, B, {bytes.fromhex(x): True for x in ("", "C3A9", "E4B896", "F09F9880", "F48FBFBF", "E0A080", "ED9FBF", "F0908080")}
@@ -93,6 +95,7 @@ def test_hashes_of_many_lengths_in_one_batch_equal_those_of_single_texts(spark):
     rng = random.Random(6)
     blobs = [rng.randbytes(rng.randrange(70)) for _ in range(100)]
     assert h.fnv1a_batch(blobs).tolist() == [int(h.fnv1a_batch([b])[0]) for b in blobs]
+    assert h.wyhash_batch(blobs).tolist() == [int(h.wyhash_batch([b])[0]) for b in blobs]
     assert h.crc32c_batch(blobs).tolist() == [int(h.crc32c_batch([b])[0]) for b in blobs]
 
 
@@ -131,6 +134,15 @@ def test_patterns(spark):
     assert apply(spark, blobs, lambda x: find_all_patterns(x, p("61 ? 62")), B) == want
 
 
+def test_xxhash64_of_many_lengths(spark):
+    import xxhash
+
+    rng = random.Random(9)
+    blobs = [rng.randbytes(n) for n in range(0, 140, 3)]
+    want = [xxhash.xxh64_hexdigest(b, seed=0) for b in blobs]
+    assert apply(spark, blobs, h.xxhash64, B) == want == apply(spark, blobs, h._xxhash64_arrow, B)
+
+
 def test_sql_names(spark):
     from textloom.functions.register import register
 
@@ -142,3 +154,16 @@ def test_sql_names(spark):
       tl_validate_utf8_detailed(X'41FF').error_offset, tl_count_diff_lines('a', 'b'), size(tl_line_diff('a', 'b')), tl_common_prefix_length(X'4142', X'4143'), tl_common_suffix_length(X'41', X'41'), tl_valid_utf8('x')""").first()
     assert tuple(got) == (3, 1, 2, False, "aÉ", "Aé", "x", ["a", "", "b"], 1, "dead", None, "TWFu", "a%20b%2A", "a %GG", 0x3610A686, "a430d84680aabd0b", "26c7827d889f6da3", "e6804837a703ae1f",
                           0xC1D04330, 1, 2, 2, 1, 1, True)
+    cases = {"tl_contains('abc', 'b')": True, "tl_contains_char('abc', 'z')": False, "tl_starts_with('abc', 'a')": True, "tl_ends_with('abc', 'a')": False, "tl_trim_left(' \x0bx ')": "x ", "tl_trim_right(' x\f')": " x",
+             "tl_trim_ws(' x\f')": "x", "tl_split_vec(',a.,', ',')": ["", "a.", ""], "tl_split_vec('a|b', '|')": ["a", "b"], "tl_split_view('a.b.', '.')": ["a", "b"], "tl_split_view('', '.')": [], "tl_split_into('a,b,c', ',', 2)": ["a", "b"],
+             "tl_fields(' a  b\x0bc ')": ["a", "b", "c"], "tl_replace_char('aba', 'a', 'c')": "cbc", "tl_replace_substr('foofoo', 'oo', 'a')": "fafa", "tl_hex_decode_result('é0G0').error_offset": 0, "tl_hex_decode_result('0G').error": "InvalidChar",
+             "tl_hex_val('f')": 15, "tl_hex_val('x')": -1, "tl_base64_decode('TWFu')": b"Man", "tl_base64_decode('TWFu=')": None, "tl_base64_decode_result('TWFuA!==').error_offset": 5,
+             "tl_parse_query('?a=1&a=2%20+&b&c=')": {"a": "2  ", "b": "", "c": ""}, "tl_parse_query('')": {}, "tl_looks_like_json(' {')": True, "tl_looks_like_xml(' x')": False, "tl_is_json_number('-1.5e+10')": True, "tl_is_json_number('1.')": False,
+             "tl_json_unescape(concat('a', chr(92), 'n', chr(92), 'q', chr(92), 'u0041', chr(92), chr(92)))": "a\nq\\u0041\\", "tl_xml_escape('<&\">')": "&lt;&amp;&quot;&gt;", "tl_parse_log_level('warning')": "WARN", "tl_parse_log_level('Warn')": "UNKNOWN",
+             "tl_parse_log_line('2024 ERROR: x y').message": "x y", "tl_parse_log_line('[ts] INFO a').timestamp": "ts", "tl_parse_log_line('plain').message": "plain", "tl_parse_log_line('XERROR ERROR y').level": "", "tl_text_equal('a', 'a')": True,
+             "tl_find_pattern(X'0A0B0C', '0B ?')": 1, "tl_find_pattern(X'0A', 'ZZ')": None, "tl_find_all_patterns(X'AAAAAA', 'AA AA')": [0, 1], "size(tl_json_tokens('[1]'))": 3, "tl_xml_tokens('<a>')[0].type": "OpenTag",
+             "tl_markdown_tokens('# a')[0].level": 1, "tl_config_entries('a=b')[0].value": "b", "tl_csv_rows('a,b')": [["a", "b"]]}
+    assert set(names) >= {re.match(r"(?:size[(])?(tl_[a-z0-9_]+)", c)[1] for c in cases}
+    rows = spark.sql("SELECT " + ", ".join(c.replace("\x0b", "\\u000b").replace("\f", "\\u000c") for c in cases)).first()
+    for (c, want), x in zip(cases.items(), rows, strict=True):
+        assert x == want, c

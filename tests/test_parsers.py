@@ -42,6 +42,12 @@ def test_xml_tokens(spark):
     assert [x[0] for x in frame(spark, [" <a", "a", ""]).coalesce(1).select(p.looks_like_xml("t")).collect()] == [True, False, False]
 
 
+def test_csv_details():
+    cases = {'x"a",b': [["a", "b"]], '"a"x,b': [["a", 'a"x', "b"]], '"open,\n': [["open,\n"]], 'a,"b"': [["a", "b"]], "a,": [["a", ""]], "\n": [[""]], "a\rb\r\nc": [["a\rb"], ["c"]], '""': [[""]], '"a"""': [['a""']]}
+    assert {t: list(p.csv_records(t)) for t in cases} == cases
+    assert list(p.csv_records("'a|b'|c\nd", "|", "'")) == [["a|b", "c"], ["d"]]
+
+
 @pytest.mark.parametrize(("text", "delimiter", "want"), [
     ('"say ""hi""",x', ",", [['say ""hi""', "x"]]), ("a,,c", ",", [["a", "", "c"]]), ("a,b\r\nc,d\n", ",", [["a", "b"], ["c", "d"]]), ("a|b", "|", [["a", "b"]]), ('"x\ny",z', ",", [["x\ny", "z"]]), ("", ",", [])])
 def test_csv(spark, text, delimiter, want):
@@ -59,6 +65,26 @@ def test_markdown(spark):
         ("HorizontalRule", "", 0), ("Heading", "x", 6)]
 
 
+def test_rows_with_equal_and_null_keys_stay_apart(spark):
+    rows = spark.createDataFrame([(1, "```\na"), (1, "b"), (None, "```"), (None, "c")], "id int, t string")
+    got = p.markdown_tokens(rows, "id", "t")
+    assert sorted((x["type"], x["content"]) for x in got.collect()) == [("CodeBlock", ""), ("CodeBlock", ""), ("CodeBlock", "a"), ("Paragraph", "b"), ("Paragraph", "c")]
+    assert "Exchange" not in got._jdf.queryExecution().toString()
+    rows = spark.createDataFrame([(1, "[s]\na=1"), (1, "b=2"), (None, "[t]"), (None, "c=3")], "id int, t string")
+    got = p.config_entries(rows, "id", "t")
+    assert sorted((x["section"], x["name"]) for x in got.collect()) == [("", "b"), ("", "c"), ("s", "a")]
+    assert "Exchange" not in got._jdf.queryExecution().toString()
+
+
+def test_markdown_raw_lines_and_byte_offsets(spark):
+    text = "# é\n  x\n\n```\n  ü\n"
+    rows = p.markdown_tokens(frame(spark, [text, "", "\n"]), "id", "t").orderBy("id", "seq").collect()
+    mine = [x for x in rows if x["id"] == 0]
+    assert "".join(x["text"] for x in mine) == text
+    assert [x["offset"] for x in mine] == [0, 5, 9, 10, 14]
+    assert [(x["id"], x["text"], x["offset"]) for x in rows if x["id"]] == [(2, "\n", 0)]
+
+
 def test_config(spark):
     text = "; c\n[database]\nhost = localhost\nname=\"x y\"\n\n[server]\nport=80\nbad\n"
     e = p.config_entries(frame(spark, [text, None]), "id", "t")
@@ -74,6 +100,22 @@ def test_log_line(spark, line, want):
     assert tuple(frame(spark, [line]).select(p.parse_log_line("t")).first()[0]) == want
 
 
+def test_log_line_details(spark):
+    cases = {"\tWARNING: x": ("", "WARNING", "x"), "XERROR ERROR y": ("", "", "XERROR ERROR y"), "a info b ERROR c": ("a", "info", "b ERROR c"), "[a] ": ("a", "", ""),
+             "[t]  WARN:\t m ": ("t", "WARN", "m "), "é FATAL": ("é", "FATAL", ""), " \t": ("", "", " \t"), "x INFO, ERROR: z": ("x INFO,", "ERROR", "z")}
+    got = frame(spark, cases).coalesce(1).orderBy("id").select(p.parse_log_line("t").alias("e")).collect()
+    assert [tuple(x["e"]) for x in got] == list(cases.values())
+    assert frame(spark, [None]).select(p.parse_log_line("t")).first()[0] is None
+
+
+def test_log_lines_compile_and_give_offsets(spark):
+    rows = p.log_lines(frame(spark, ["é INFO a\n\nERROR b\n", "", None]), "id", "t", offsets=True).orderBy("id", "line_number").collect()
+    assert [(x["line_number"], x["byte_offset"], x["level"], x["rank"]) for x in rows] == [(1, 0, "INFO", 2), (2, 10, "", 6), (3, 11, "ERROR", 4)]
+    plan = p.filter_log_lines(frame(spark, ["INFO a"]), "id", "t", "WARN")
+    for part in spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenStringSeq(plan._jdf.queryExecution().executedPlan()).mkString("\n").split("maxMethodCodeSize:")[1:]:
+        assert int(part.split(";")[0]) < 64_000
+
+
 def test_log_counts_and_filter(spark):
     text = "a INFO x\nb INFO y\nc ERROR z\nd WARN w\ne FATAL v\n"
     got = p.count_log_levels(frame(spark, [text]), "id", "t").first()
@@ -105,6 +147,57 @@ def test_diff_script_rebuilds_both_texts_and_is_shortest():
         assert sum(o[0] != "Equal" for o in ops) == len(x) + len(y) - 2 * best[-1][-1]
 
 
+def test_diff_follows_the_table_at_every_size():
+    rng = random.Random(4)
+    for n in (5, 70, 300):
+        x, y = ([rng.choice("abcd") for _ in range(rng.randrange(n))] for _ in range(2))
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, s in enumerate(x):
+            for j, u in enumerate(y):
+                best[i + 1][j + 1] = best[i][j] + 1 if s == u else max(best[i][j + 1], best[i + 1][j])
+        i, j, want = len(x), len(y), []
+        while i or j:
+            if i and j and x[i - 1] == y[j - 1]:
+                i, j = i - 1, j - 1
+                want.append(("Equal", i + 1, j + 1))
+            elif j and (not i or best[i][j - 1] >= best[i - 1][j]):
+                j -= 1
+                want.append(("Insert", 0, j + 1))
+            else:
+                i -= 1
+                want.append(("Delete", i + 1, 0))
+        a, b = "\n".join(x), "\n".join(y)
+        assert [(o[0], o[3], o[4]) for o in d.diff(a, b)] == want[::-1]
+        assert d.changes(a, b) == len(x) + len(y) - 2 * best[-1][-1]
+
+
+def test_diff_of_many_lines_is_exact():
+    x = [f"line {i}" for i in range(6000)]
+    y = [*x[:10], "new", *x[12:3000], *x[3500:], "end"]
+    ops = d.diff("\n".join(x), "\n".join(y))
+    assert sum(o[0] != "Equal" for o in ops) == 2 + 500 + 2 == d.changes("\n".join(x), "\n".join(y))
+    assert [o[1] for o in ops if o[0] != "Insert"] == x and [o[2] for o in ops if o[0] != "Delete"] == y
+
+
+def test_diff_line_by_line_above_a_limit(spark):
+    rows = spark.createDataFrame([(0, "a\nb\nc", "b\nc")], "id int, a string, b string")
+    assert rows.select(d.count_diff_lines("a", "b"), d.count_diff_lines("a", "b", cells=5), d.count_diff_lines("a", "b", cells=6)).first()[:] == (1, 5, 1)
+    ops = rows.select(F.inline(d.line_diff("a", "b", cells=5))).collect()
+    assert [(o["type"], o["a_line"], o["b_line"]) for o in ops] == [("Delete", 1, 0), ("Insert", 0, 1), ("Delete", 2, 0), ("Insert", 0, 2), ("Delete", 3, 0)]
+
+
+def test_common_lengths_of_bytes(spark):
+    rng = random.Random(5)
+    pairs = [(i, rng.randbytes(n) , rng.randbytes(m)) for i, (n, m) in enumerate([(0, 0), (0, 5), (1, 1), (300, 300)])]
+    pairs += [(10 + i, s + rng.randbytes(3) + e, s + rng.randbytes(2) + e) for i, (s, e) in enumerate([(rng.randbytes(a), rng.randbytes(b)) for a, b in ((1, 0), (7, 9), (1000, 64), (0, 2000))])]
+
+    def common(x, y):
+        return next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+
+    rows = spark.createDataFrame(pairs, "i int, a binary, b binary").coalesce(1).orderBy("i").select("a", "b", d.common_prefix_length("a", "b").alias("p"), d.common_suffix_length("a", "b").alias("s")).collect()
+    assert [(r["p"], r["s"]) for r in rows] == [(common(r["a"], r["b"]), common(r["a"][::-1], r["b"][::-1])) for r in rows]
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_reductions_do_not_depend_on_partitions(spark, parts):
     rows = frame(spark, ["a,b\n", "xx,", "é\n\n", None, ""]).repartition(parts)

@@ -20,7 +20,23 @@ def test_files(spark, tmp_path):
     assert files.file_count_lines(spark, path).first()["n"] == 10_000
     got = files.file_stats(spark, path).first()
     assert (got["lines"], got["is_ascii"], got["valid_utf8"]) == (10_000, False, False)
-    assert files.file_stats(spark, f"file://{tmp_path}/empty.txt").count() == 0
+    got = files.file_stats(spark, path, "line 999").first()
+    assert got["matching"] == 11 and files.file_stats(spark, path, "é").first()["matching"] == 0
+
+
+def test_empty_and_missing_files(spark, tmp_path):
+    (tmp_path / "empty.txt").write_bytes(b"")
+    (tmp_path / "_hidden").write_bytes(b"")
+    (tmp_path / "full.txt").write_bytes(b"a\nb")
+    for name in ("empty.txt", "missing.txt", "none*.txt"):
+        path = f"file://{tmp_path}/{name}"
+        got = files.file_stats(spark, path, "x").collect()
+        assert [(r["size"], r["lines"], r["is_ascii"], r["valid_utf8"], r["matching"]) for r in got] == [(0, 0, True, True, 0)]
+        assert files.text_lines(spark, path).count() == 0
+        assert files.count_matching_lines(spark, path, "x").first()["n"] == 0
+    for path in (f"file://{tmp_path}", f"file://{tmp_path}/*"):
+        assert sorted((r["path"].rsplit("/", 1)[1], r["n"]) for r in files.file_count_lines(spark, path).collect()) == [("empty.txt", 0), ("full.txt", 1)]
+        assert files.text_lines(spark, path).count() == 2
 
 
 def test_write_text(spark, tmp_path):

@@ -6,6 +6,7 @@ FNV-1a and CRC-32C run over a whole Arrow batch at a time: step k folds the k-th
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, LongType, StringType
@@ -51,38 +52,59 @@ def crc32c_batch(texts: list[bytes]) -> np.ndarray:
     return _fold(texts, 0xFFFFFFFF, np.uint32, lambda h, b: table[(h ^ b) & 0xFF] ^ h >> np.uint32(8)) ^ np.uint32(0xFFFFFFFF)
 
 
-def wyhash_one(p: bytes) -> int:
-    """The seedless variant: 48- and 16-byte rounds, then the last 16 bytes."""
-    k0, k1, k2 = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBD8583D0F5D0CD
-
-    def mum(x: int, y: int) -> int:
-        r = x * y
-        return (r ^ r >> 64) & MASK
-
-    def word(at: int, width: int = 8) -> int:
-        return int.from_bytes(p[at: at + width], "little")
-
-    n, at, seed = len(p), 0, 0
-    if n > 16:
-        left = n
-        if left > 48:
-            one = two = 0
-            while left > 48:
-                seed = mum(word(at) ^ k0, word(at + 8) ^ seed)
-                one = mum(word(at + 16) ^ k1, word(at + 24) ^ one)
-                two = mum(word(at + 32) ^ k2, word(at + 40) ^ two)
-                at, left = at + 48, left - 48
-            seed ^= one ^ two
-        while left > 16:
-            seed = mum(word(at) ^ k0, word(at + 8) ^ seed)
-            at, left = at + 16, left - 16
-        a, b = word(n - 16), word(n - 8)
-    elif n >= 4:
-        mid = n >> 3 << 2
-        a, b = word(0, 4) << 32 | word(mid, 4), word(n - 4, 4) << 32 | word(n - 4 - mid, 4)
-    else:
-        a, b = (p[0] << 16 | p[n >> 1] << 8 | p[-1], 0) if n else (0, 0)
-    return mum(k2 ^ n, mum(a ^ k0, b ^ k1 ^ seed))
+def _mum(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Both halves of the 128-bit products, folded by exclusive or."""
+    low, half = np.uint64(0xFFFFFFFF), np.uint64(32)
+    a, b, c, d = x >> half, x & low, y >> half, y & low
+    bd, ad, bc = b * d, a * d, b * c
+    mid = (bd >> half) + (ad & low) + (bc & low)
+    return (mid << half | bd & low) ^ (a * c + (ad >> half) + (bc >> half) + (mid >> half))
+
+
+def wyhash_batch(texts: list[bytes]) -> np.ndarray:
+    """The seedless variant: 48-byte rounds on three lanes, 16-byte rounds on one, then the last 16 bytes.
+
+    Round k runs over all texts at once that are long enough for it.
+    """
+    k0, k1, k2 = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBD8583D0F5D0CD))  # fixed values
+    data = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
+    size = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(size) - size
+    order = np.argsort(-size, kind="stable")
+    size, begin = size[order], begin[order]
+
+    def word(at: np.ndarray, width: int = 8) -> np.ndarray:
+        return sum((data[at + i].astype(np.uint64) << np.uint64(8 * i) for i in range(width)), np.uint64(0))
+
+    def longer(n: int) -> int:
+        return int(np.searchsorted(-size, -n, side="left"))
+
+    lanes = np.zeros((3, len(texts)), np.uint64)
+    at = begin.copy()
+    while n := int(np.searchsorted(-(size - (at - begin)), -48, side="left")):
+        p = at[:n]
+        for lane, k, o in ((0, k0, 0), (1, k1, 16), (2, k2, 32)):
+            lanes[lane, :n] = _mum(word(p + o) ^ k, word(p + o + 8) ^ lanes[lane, :n])
+        at[:n] += 48
+    seed = lanes[0] ^ lanes[1] ^ lanes[2]
+    while len(left := np.flatnonzero(begin + size - at > 16)):
+        seed[left] = _mum(word(at[left]) ^ k0, word(at[left] + 8) ^ seed[left])
+        at[left] += 16
+    a, b = np.zeros((2, len(texts)), np.uint64)
+    end = begin + size
+    n = longer(16)
+    a[:n], b[:n] = word(end[:n] - 16), word(end[:n] - 8)
+    m = longer(3)
+    few = slice(n, m)  # 4 to 16 bytes
+    mid = size[few] >> 3 << 2
+    half = np.uint64(32)
+    a[few] = word(begin[few], 4) << half | word(begin[few] + mid, 4)
+    b[few] = word(end[few] - 4, 4) << half | word(end[few] - 4 - mid, 4)
+    one = slice(m, longer(0))  # 1 to 3 bytes
+    a[one] = word(begin[one], 1) << np.uint64(16) | word(begin[one] + (size[one] >> 1), 1) << np.uint64(8) | word(end[one] - 1, 1)
+    out = np.empty(len(texts), np.uint64)
+    out[order] = _mum(k2 ^ size.astype(np.uint64), _mum(a ^ k0, b ^ k1 ^ seed))
+    return out
 
 
 def _bytes(s: pd.Series) -> list[bytes]:
@@ -108,5 +130,21 @@ def _udf(name: str, kind: DataType, f):
 
 fnv1a = _udf("fnv1a", StringType(), lambda t: [f"{x:016x}" for x in fnv1a_batch(t).tolist()])
 crc32c = _udf("crc32c", LongType(), lambda t: crc32c_batch(t).astype(np.int64))
-xxhash64 = _udf("xxhash64", StringType(), lambda t: [xxhash.xxh64_hexdigest(x, seed=0) for x in t])
-wyhash = _udf("wyhash", StringType(), lambda t: [f"{wyhash_one(x):016x}" for x in t])
+_xxhash64_arrow = _udf("xxhash64", StringType(), lambda t: [xxhash.xxh64_hexdigest(x, seed=0) for x in t])
+wyhash = _udf("wyhash", StringType(), lambda t: [f"{x:016x}" for x in wyhash_batch(t).tolist()])
+
+
+def xxhash64(c) -> Column:
+    """XXH64 with seed 0: Spark's own expression with another seed, inside code generation.
+
+    A session without a JVM at hand (Connect) takes the Arrow function; both give the same.
+    """
+    b = col(c).cast("binary")
+    sc = SparkContext._active_spark_context
+    if sc is None:
+        return _xxhash64_arrow(c)
+    jvm = sc._jvm
+    to_expr = jvm.org.apache.spark.sql.classic.ExpressionUtils
+    args = jvm.PythonUtils.toSeq([to_expr.expression(b._jc)])
+    value = Column(to_expr.column(getattr(jvm.org.apache.spark.sql.catalyst.expressions, "XxHash64")(args, 0)))
+    return F.when(b.isNotNull(), F.lower(F.lpad(F.hex(value), 16, "0")))

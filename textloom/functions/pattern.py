@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -53,13 +54,19 @@ def find_pattern(c, pattern: BytePattern) -> Column:
     return F.nullif(at.cast("long"), F.lit(0).cast("long")) - 1
 
 
-def find_all_patterns(c, pattern: BytePattern) -> Column:
-    """array<long> of the offsets of all matches, overlapping ones too, in time linear in the text."""
+def offsets_of(b: bytes, pattern: BytePattern | None) -> Iterator[int]:
+    """All matches, overlapping ones too, in time linear in the text."""
+    if pattern is None or not len(pattern):
+        return iter(())
     ahead = re.compile(b"(?=" + b"".join(re.escape(bytes([v])) if m else b"." for v, m in zip(pattern.values, pattern.masks, strict=True)) + b")", re.S)
-    empty = not len(pattern)
+    return (m.start() for m in ahead.finditer(b))
+
+
+def find_all_patterns(c, pattern: BytePattern) -> Column:
+    """array<long> of the offsets of all matches, overlapping ones too."""
 
     @F.pandas_udf(ArrayType(LongType()))
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series([None if b is None else [] if empty else [m.start() for m in ahead.finditer(bytes(b))] for b in s], dtype=object)
+        return pd.Series([None if b is None else list(offsets_of(bytes(b), pattern)) for b in s], dtype=object)
 
     return run(col(c).cast("binary"))

@@ -1,7 +1,5 @@
 """Lines, splitting, trimming and replacing."""
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,7 +58,3 @@ def replace_char(c, old: str, new: str) -> Column:
 def replace_substr(c, old: str, new: str) -> Column:
     """Left to right, without overlaps; an empty ``old`` changes nothing."""
     return F.replace(col(c), F.lit(old), F.lit(new))
-
-
-def quote_regex(s: str) -> str:
-    return re.escape(s)

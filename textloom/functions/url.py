@@ -20,6 +20,13 @@ def url_decode(c) -> Column:
     return F.url_decode(F.regexp_replace(col(c), "%(?![0-9A-Fa-f]{2})", "%25"))
 
 
+def url_decode_bytes(c) -> Column:
+    """The same as binary, so that escapes which are no UTF-8 survive."""
+    parts = F.regexp_extract_all(col(c), F.lit("%[0-9A-Fa-f]{2}|[^%+]+|[%+]"), F.lit(0))
+    digits = F.transform(parts, lambda x: F.when(x == "+", "20").when(x.startswith("%") & (x != "%"), F.substring(x, 2, 2)).otherwise(F.hex(x)))
+    return F.unhex(F.array_join(digits, ""))
+
+
 def query_pairs(c) -> Column:
     """array<struct<key, value>> in order: keys as they are, values decoded; without '=' the value is empty."""
     c = F.when(col(c).startswith("?"), F.substring(col(c), 2, 1 << 30)).otherwise(col(c))

@@ -1,15 +1,19 @@
 """Row generators for structured text: JSON, XML, Markdown, CSV, INI and log lines.
 
-JSON, XML and CSV need a cursor for their error rules and run as Arrow-batched UDFs that return one array per row;
-Markdown, INI and log lines are relational.  Null text gives no rows.
+JSON, XML and CSV need a cursor for their error rules, Markdown and INI carry a state from line to line: these run as
+Arrow-batched functions that return one array per row, so nothing is shuffled and rows with equal or null keys stay apart.
+Log lines are expressions.  Null text gives no rows.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
@@ -151,53 +155,35 @@ def xml_escape(c) -> Column:
     return out
 
 
-def csv_scan(s: str, delimiter: str = ",", quote: str = '"') -> list[list[str]]:
-    """Rows of fields: doubled quotes stay doubled, text before a quote in mid-field is dropped."""
-    rows: list[list[str]] = []
-    at, n = 0, len(s)
-    plain = re.compile(f"[^{re.escape(delimiter)}{re.escape(quote)}\r\n]+|\r(?!\n)")
-    while at < n:
-        row: list[str] = []
-        begin, closed = at, False
-        while at < n:
-            c = s[at]
-            if c == quote:
-                at += 1
-                begin = at
-                while True:
-                    q = s.find(quote, at)
-                    if q < 0:
-                        at = n
-                        break
-                    if s[q + 1: q + 2] == quote:
-                        at = q + 2
-                        continue
-                    row.append(s[begin:q])
-                    at = q + 1
-                    if at >= n or s[at] == "\n" or s.startswith("\r\n", at):
-                        at += 2 if s.startswith("\r\n", at) else 1
-                        closed = True
-                    elif s[at] == delimiter:
-                        at += 1
-                        begin = at
-                    break
-                if closed:
-                    break
-            elif c == delimiter:
-                row.append(s[begin:at])
-                at += 1
-                begin = at
-            elif c == "\n" or s.startswith("\r\n", at):
-                row.append(s[begin:at])
-                at += 1 if c == "\n" else 2
-                closed = True
-                break
-            else:
-                at = m.end() if (m := plain.match(s, at)) else at + 1
-        if not closed:
-            row.append(s[begin:n])
-        rows.append(row)
-    return rows
+@cache
+def _csv_piece(delimiter: str, quote: str) -> re.Pattern:
+    """A run of plain text and what ends it: a delimiter, a line end, the end, or a quoted value with what follows that."""
+    d, q = re.escape(delimiter), re.escape(quote)
+    plain, end = rf"(?:[^{d}{q}\r\n]|\r(?!\n))*+", rf"{d}|\r?\n|\Z"
+    return re.compile(rf"{plain}(?:(?P<end>{end})|{q}(?P<value>(?:[^{q}]|{q}{q})*+)(?P<closed>{q}(?P<after>{end})?)?)")
+
+
+def csv_records(s: str, delimiter: str = ",", quote: str = '"') -> Iterator[list[str]]:
+    """Rows of fields, as the text is read.
+
+    Fixed semantics: doubled quotes stay doubled, plain text before a quoted value is dropped, and text between a closing
+    quote and the next delimiter makes a field of its own that begins with the quoted value.
+    """
+    piece, row, at, more, kept = _csv_piece(delimiter, quote), [], 0, False, None
+    while more or at < len(s):
+        m = piece.match(s, at)
+        at = m.end()
+        if m["value"] is None:
+            ended = m["end"]
+            row.append(s[m.start() if kept is None else kept: m.start("end")])
+        else:
+            ended = m["after"] if m["closed"] else ""
+            row.append(m["value"])
+        kept = m.start("value") if ended is None else None
+        more = ended is None or ended == delimiter
+        if not more:
+            yield row
+            row = []
 
 
 def csv_rows(df: DataFrame, key: str, text: str, delimiter: str = ",", quote: str = '"') -> DataFrame:
@@ -205,20 +191,23 @@ def csv_rows(df: DataFrame, key: str, text: str, delimiter: str = ",", quote: st
 
     @F.pandas_udf("array<array<string>>")
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else csv_scan(t, delimiter, quote) for t in s], dtype=object)
+        return pd.Series([None if t is None else list(csv_records(t, delimiter, quote)) for t in s], dtype=object)
 
     rows = df.select(key, F.posexplode(run(text)).alias("row", "_f"))
     return rows.select(key, (F.col("row") + 1).cast("long").alias("row"), F.posexplode("_f").alias("col", "value")).withColumn("col", F.col("col").cast("long"))
 
 
 def parse_csv_row(c, delimiter: str = ",", quote: str = '"') -> Column:
-    """array<string>: the fields of the first row."""
+    """array<string>: the fields of the first row.  Only rows that hold a quote reach Python."""
 
     @F.pandas_udf("array<string>")
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else next(iter(csv_scan(t, delimiter, quote)), []) for t in s], dtype=object)
+        return pd.Series([None if t is None else next(csv_records(t, delimiter, quote), []) for t in s], dtype=object)
 
-    return run(col(c))
+    quoted = F.contains(col(c), F.lit(quote))
+    first = F.regexp_extract(col(c), r"^(?:[^\r\n]|\r(?!\n))*", 0)
+    plain = F.when(col(c) == "", F.array().cast("array<string>")).otherwise(F.split(first, re.escape(delimiter), -1))
+    return F.when(quoted, run(F.when(quoted, col(c)))).otherwise(plain)
 
 
 def numbered_lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -226,39 +215,94 @@ def numbered_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.posexplode(lines(text)).alias("p", "line")).select(key, (F.col("p") + 1).cast("long").alias("line_number"), "line")
 
 
+RULE, HASHES, ORDERED = re.compile(r"(?:-{3,}|\*{3,}|_{3,}) *\Z"), re.compile("(#+) *"), re.compile("[0-9][.]")
+MARKDOWN = ArrayType(StructType().add("seq", LongType()).add("type", StringType()).add("text", StringType()).add("content", StringType()).add("level", LongType()).add("offset", LongType()))
+ENTRIES = ArrayType(StructType().add("section", StringType()).add("name", StringType()).add("value", StringType()).add("line", LongType()))
+
+
+def markdown_line(t: str) -> tuple[str, str, int]:
+    """(type, content, level) of a line outside of a fence, without its leading blanks."""
+    if m := HASHES.match(t):
+        return "Heading", t[m.end():], min(6, len(m[1]))
+    if RULE.match(t):
+        return "HorizontalRule", "", 0
+    if t.startswith(">"):
+        return "Blockquote", t[2:] if t.startswith("> ") else t[1:], 0
+    if t.startswith(("- ", "* ")):
+        return "ListItem", t[2:], 0
+    if ORDERED.match(t):
+        return "ListItem", t[2:], 1
+    return "Paragraph", t, 0
+
+
+def markdown_scan(text: str) -> Iterator[tuple[str, str, str, int, int]]:
+    """(type, raw line with its end, content, level, byte offset) of each line; inside a fence every line is a CodeBlock."""
+    inside, offset = False, 0
+    for raw in text.split("\n"):
+        last = offset + len(raw) >= len(text)  # characters here, bytes in what is yielded
+        if last and not raw:
+            return
+        t = raw.lstrip(" \t")
+        if t.startswith("```"):
+            kind = "CodeBlock", "" if inside else t[3:], 0
+            inside = not inside
+        else:
+            kind = ("CodeBlock", t, 0) if inside else markdown_line(t)
+        yield kind[0], raw if last else raw + "\n", kind[1], kind[2], offset
+        offset += len(raw) + 1
+
+
+def ini_scan(text: str) -> Iterator[tuple[str, str, str, int]]:
+    """(section, name, value, line number) of each entry."""
+    section = ""
+    for number, raw in enumerate(text.split("\n"), 1):
+        t = raw.strip(SPACE)
+        if not t or t[0] in "#;":
+            continue
+        if t[0] == "[" and t[-1] == "]":
+            section = t[1:-1]
+        elif "=" in t:
+            name, value = (x.strip(SPACE) for x in t.split("=", 1))
+            quoted = len(value) >= 2 and value[0] == value[-1] and value[0] in "\"'"
+            yield section, name, value[1:-1] if quoted else value, number
+
+
+def _byte_offsets(text: str, at: list[int]) -> list[int]:
+    """Offsets in UTF-8 of ascending offsets in characters."""
+    if text.isascii():
+        return at
+    out, before, size = [], 0, 0
+    for x in at:
+        size += len(text[before:x].encode())
+        before = x
+        out.append(size)
+    return out
+
+
+@F.pandas_udf(MARKDOWN)
+def markdown_udf(s: pd.Series) -> pd.Series:
+    def one(t: str) -> list[dict]:
+        got = list(markdown_scan(t))
+        return [{"seq": i, "type": k, "text": raw, "content": c, "level": n, "offset": o}
+                for i, ((k, raw, c, n, _), o) in enumerate(zip(got, _byte_offsets(t, [x[4] for x in got]), strict=True))]
+
+    return pd.Series([None if t is None else one(t) for t in s], dtype=object)
+
+
+@F.pandas_udf(ENTRIES)
+def config_udf(s: pd.Series) -> pd.Series:
+    names = ("section", "name", "value", "line")
+    return pd.Series([None if t is None else [dict(zip(names, x, strict=True)) for x in ini_scan(t)] for t in s], dtype=object)
+
+
 def markdown_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, seq, type, content, level) of each line; inside a fence every line is a CodeBlock."""
-    rows = numbered_lines(df, key, text).withColumn("t", F.ltrim(F.col("line"), F.lit(" \t")))
-    fence = F.col("t").startswith("```").cast("int")
-    before = Window.partitionBy(key).orderBy("line_number").rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.coalesce(F.sum(fence).over(before), F.lit(0)) % 2 == 1
-    t = F.col("t")
-    rows = rows.withColumn("inside", inside)
-    rule = t.rlike(r"^(?:-{3,}|\*{3,}|_{3,}) *\z")
-    bullet, ordered = t.rlike(r"^[-*] "), t.rlike(r"^[0-9]\.")
-    kind = (F.when(F.col("inside") | t.startswith("```"), "CodeBlock").when(t.startswith("#"), "Heading").when(rule, "HorizontalRule")
-            .when(t.startswith(">"), "Blockquote").when(bullet | ordered, "ListItem").otherwise("Paragraph"))
-    content = (F.when(F.col("inside"), F.when(t.startswith("```"), "").otherwise(t)).when(t.startswith("```"), F.substring(t, 4, 1 << 30))
-               .when(t.startswith("#"), F.regexp_replace(t, "^#+ *", "")).when(rule, "").when(t.startswith(">"), F.regexp_replace(t, "^> ?", ""))
-               .when(bullet | ordered, F.substring(t, 3, 1 << 30)).otherwise(t))
-    level = F.when(kind == "Heading", F.least(F.char_length(F.regexp_extract(t, "^#+", 0)), F.lit(6))).when((kind == "ListItem") & ordered, 1).otherwise(0)
-    return rows.select(key, (F.col("line_number") - 1).alias("seq"), kind.alias("type"), content.alias("content"), level.cast("long").alias("level"))
+    """(key, seq, type, text, content, level, offset) of each line of each row; ``text`` is the raw line."""
+    return df.select(key, F.inline(markdown_udf(text)))
 
 
 def config_entries(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, section, name, value, line) of INI text."""
-    rows = numbered_lines(df, key, text).withColumn("t", F.trim(F.col("line"), F.lit(SPACE)))
-    t = F.col("t")
-    comment = (t == "") | t.startswith("#") | t.startswith(";")
-    head = ~comment & t.rlike(r"(?s)^\[.*\]\z")
-    up_to = Window.partitionBy(key).orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
-    section = F.coalesce(F.last(F.when(head, F.expr("substring(t, 2, char_length(t) - 2)")), ignorenulls=True).over(up_to), F.lit(""))
-    rows = rows.withColumn("section", section).where(~comment & ~head & (F.instr(t, "=") > 0))
-    value = F.trim(F.expr("substring(t, instr(t, '=') + 1)"), F.lit(SPACE))
-    quoted = value.rlike("(?s)^(\".*\"|'.*')\\z") & (F.char_length(value) >= 2)
-    rows = rows.withColumn("v", value)
-    return rows.select(key, "section", F.trim(F.expr("substring(t, 1, instr(t, '=') - 1)"), F.lit(SPACE)).alias("name"),
-                       F.when(quoted, F.expr("substring(v, 2, char_length(v) - 2)")).otherwise(F.col("v")).alias("value"), F.col("line_number").alias("line"))
+    """(key, section, name, value, line) of each row's INI text."""
+    return df.select(key, F.inline(config_udf(text)))
 
 
 def config_get(entries: DataFrame, key: str, section: str, name: str, default: str = "") -> DataFrame:
@@ -286,35 +330,64 @@ def level_rank(c) -> Column:
     return out.otherwise(6)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it (a lambda's variable)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _first_keyword(body: Column) -> Column:
+    """Position of the earliest keyword whose first occurrence stands alone, or null."""
+
+    def alone(word: Column, at: Column) -> Column:
+        before, after = F.substring(body, at - 1, F.lit(1)), F.substring(body, at + F.char_length(word), F.lit(1))
+        return (at > 0) & ((at == 1) | before.isin(" ", "\t")) & after.isin("", " ", ":")
+
+    places = F.transform(F.array(*map(F.lit, KEYWORDS)), lambda w: let(F.instr(body, w), lambda at: F.when(alone(w, at), at)))
+    return F.array_min(places)
+
+
 def parse_log_line(c) -> Column:
     """struct(timestamp, level, message).
 
     ``[time] LEVEL: message``, or the earliest keyword whose first occurrence stands alone; else all is message.
     """
     line = col(c)
-    body = F.ltrim(line, F.lit(" \t"))
-    found = []
-    for w in KEYWORDS:
-        at = F.instr(body, w)
-        before = F.when(at == 1, "").otherwise(F.substring(body, at - 1, F.lit(1)))
-        after = F.substring(body, at + len(w), F.lit(1))
-        found.append(F.when((at > 0) & before.isin("", " ", "\t") & after.isin("", " ", ":"), at))
-    word = F.least(*found)
-    bracket = F.instr(body, "]")
-    in_brackets = body.startswith("[")
-    stamp = F.when(in_brackets, F.substring(body, F.lit(2), bracket - 2)).otherwise(F.rtrim(F.substring(body, F.lit(1), word - 1), F.lit(" \t")))
-    rest = F.ltrim(F.when(in_brackets, F.substring(body, bracket + 1, F.char_length(body))).otherwise(F.substring(body, word, F.char_length(body))), F.lit(" "))
-    level = F.regexp_extract(rest, "^[^ :]*", 0)
-    message = F.ltrim(F.substring(rest, F.char_length(level) + 1, F.char_length(rest)), F.lit(" :\t"))
-    whole = (body == "") | F.when(in_brackets, bracket == 0).otherwise(word.isNull())
-    return F.when(line.isNotNull(), F.struct(*[F.when(whole, F.lit("") if k != "message" else line).otherwise(v).alias(k)
-                                               for k, v in (("timestamp", stamp), ("level", level), ("message", message))]))
-
-
-def log_lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line_number, line, timestamp, level, message, rank)."""
-    rows = numbered_lines(df, key, text).withColumn("e", parse_log_line("line"))
-    return rows.select(key, "line_number", "line", "e.*").withColumn("rank", level_rank(parse_log_level("level")))
+
+    def split(x: Column) -> Column:
+        rest = F.ltrim(F.substring(x["body"], x["at"], F.char_length(x["body"])), F.lit(" "))
+        return let(F.struct(x["stamp"].alias("stamp"), rest.alias("rest"), F.regexp_extract(rest, "^[^ :]*", 0).alias("level")), lambda y: F.struct(
+            y["stamp"].alias("timestamp"), y["level"].alias("level"),
+            F.ltrim(F.substring(y["rest"], F.char_length(y["level"]) + 1, F.char_length(y["rest"])), F.lit(" :\t")).alias("message")))
+
+    def find(body: Column) -> Column:
+        bracket = F.instr(body, "]")
+        in_brackets = F.struct(body.alias("body"), F.substring(body, F.lit(2), bracket - 2).alias("stamp"), F.when(bracket > 0, bracket + 1).alias("at"))
+        by_word = let(_first_keyword(body), lambda at: F.struct(body.alias("body"), F.rtrim(F.substring(body, F.lit(1), at - 1), F.lit(" \t")).alias("stamp"), at.alias("at")))
+        return F.when(body.startswith("["), in_brackets).otherwise(by_word)
+
+    whole = F.struct(F.lit("").alias("timestamp"), F.lit("").alias("level"), line.alias("message"))
+    found = let(F.ltrim(line, F.lit(" \t")), lambda body: let(find(body), lambda x: F.when(x["at"].isNull(), whole).otherwise(split(x))))
+    return F.when(line.isNotNull(), found)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def line_offsets_udf(s: pd.Series) -> pd.Series:
+    def one(t: str) -> list[int]:
+        x = t.encode().split(b"\n")
+        return list(itertools.accumulate((len(y) + 1 for y in x[:-2 if x[-1] == b"" else -1]), initial=0)) if t else []
+
+    return pd.Series([None if t is None else one(t) for t in s], dtype=object)
+
+
+def log_lines(df: DataFrame, key: str, text: str, offsets: bool = False) -> DataFrame:
+    """(key, line_number, line, timestamp, level, message, rank) and, with ``offsets``, byte_offset of the line in its text."""
+    if offsets:
+        rows = df.select(key, F.posexplode(F.arrays_zip(lines(text).alias("line"), line_offsets_udf(text).alias("byte_offset"))).alias("p", "x"))
+        rows = rows.select(key, (F.col("p") + 1).cast("long").alias("line_number"), "x.line", "x.byte_offset")
+    else:
+        rows = numbered_lines(df, key, text)
+    rows = rows.withColumn("e", parse_log_line("line"))
+    return rows.select(key, "line_number", "line", "e.*", *(["byte_offset"] if offsets else [])).withColumn("rank", level_rank(parse_log_level("level")))
 
 
 def count_log_levels(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -19,6 +19,7 @@ from textloom.operators import diff as d
 from textloom.operators import parsers as p
 from textloom.operators import reductions as r
 from textloom.sources import files
+from textloom.sources.staging import Workspace
 from textloom.streaming.utf8_chunks import utf8_chunked
 
 QUERIES: dict = {}
@@ -74,17 +75,23 @@ column("fields", lambda: F.array_join(t.fields("text"), "|"), "array_to_string(l
 column("replace_char", lambda: t.replace_char("text", "e", "3"), "translate(text, 'e', '3')")
 column("replace_substr", lambda: t.replace_substr("text", "th", "TTH"), "replace(text, 'th', 'TTH')")
 
+
+def broken(tail: str, every: int):
+    """The texts as bytes; one of so many ends in bytes that are no UTF-8."""
+    return F.concat(F.col("text").cast("binary"), F.when(F.col("doc_id") % every == 1, F.lit(bytearray(tail.encode("latin-1")))).otherwise(F.lit(bytearray())))
+
+
 # codecs
 column("hex_encode", lambda: e.hex_encode("text"), "lower(hex(text))")
 column("hex_decode", lambda: e.hex_decode(e.hex_encode("text")).cast("string"), "text")
 column("hex_decode_result", lambda: e.hex_decode_result(F.concat(e.hex_encode("text"), F.lit("zz")))["error_offset"], "(2 * strlen(text))::BIGINT")
 column("base64_encode", lambda: e.base64_encode("text"), "base64(encode(text))")
 column("base64_decode", lambda: e.base64_decode(e.base64_encode("text")).cast("string"), "text")
-column("base64_decode_result", lambda: e.base64_decode_result(F.concat(F.lit("AAAA"), F.lit("A!"), F.substring("text", 1, 0), F.lit("==")))["error_offset"], "5::BIGINT")
+column("base64_decode_result", lambda: e.base64_decode_result(F.concat(e.base64_encode(F.repeat("text", F.lit(3))), F.lit("A!==")))["error_offset"], "(4 * strlen(text) + 1)::BIGINT")
 column("hex_val", lambda: e.hex_val(F.substring("text", 1, 1)).cast("long"), "(instr('0123456789abcdef', lower(substr(text, 1, 1))) - 1)::BIGINT")
 column("url_encode", lambda: u.url_encode("text"), "url_encode(text)")
 column("url_decode", lambda: u.url_decode(F.concat(u.url_encode("text"), F.lit("+%GG%4"))), "text || ' %GG%4'")
-column("valid_utf8", lambda: v.valid_utf8("text"), "text IS NOT NULL")
+column("valid_utf8", lambda: v.valid_utf8(broken("\xc3", 3)), "doc_id % 3 <> 1")
 column("count_code_points", lambda: v.count_code_points("text"), "length(text)::BIGINT")
 column("validate_utf8_detailed", lambda: v.validate_utf8_detailed(F.concat(F.col("text").cast("binary"), F.lit(bytearray(b"\xe4\xb8"))))["error_offset"], "strlen(text)::BIGINT")
 
@@ -92,28 +99,95 @@ column("validate_utf8_detailed", lambda: v.validate_utf8_detailed(F.concat(F.col
 
 def crc_sql(polynomial: int) -> str:
     """The bytewise CRC with a table made from the reflected polynomial."""
-    return f"""SELECT page_id, xor(list_reduce(
-    list_transform(regexp_extract_all(hex(url), '..'), lambda x: ((instr('0123456789ABCDEF', x[1]) - 1) * 16 + instr('0123456789ABCDEF', x[2]) - 1)::BIGINT),
+    return f"""SELECT doc_id, xor(list_reduce(
+    list_transform(regexp_extract_all(hex(text), '..'), lambda x: ((instr('0123456789ABCDEF', x[1]) - 1) * 16 + instr('0123456789ABCDEF', x[2]) - 1)::BIGINT),
     lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS out
-  FROM pages, (SELECT list(list_reduce([1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, {polynomial}::BIGINT) ELSE c // 2 END, i) ORDER BY i) AS t
+  FROM documents, (SELECT list(list_reduce([1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, {polynomial}::BIGINT) ELSE c // 2 END, i) ORDER BY i) AS t
     FROM range(256) r(i))"""
 
 
 @query(crc_sql(0xEDB88320))
 def crc32(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", h.crc32("url").alias("out"))
+    return table(spark, sf_dir, "documents").select("doc_id", h.crc32("text").alias("out"))
 
 
 @query(crc_sql(0x82F63B78))
 def crc32c(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", h.crc32c("url").alias("out"))
+    return table(spark, sf_dir, "documents").select("doc_id", h.crc32c("text").alias("out"))
+
+
+BYTES_SQL = "list_transform(regexp_extract_all(hex(text), '..'), lambda x: ((instr('0123456789ABCDEF', x[1]) - 1) * 16 + instr('0123456789ABCDEF', x[2]) - 1)::UHUGEINT)"
+TWO64 = "18446744073709551616::UHUGEINT"
+column("fnv1a", lambda: h.fnv1a("text"), f"lower(printf('%016x', list_reduce({BYTES_SQL}, lambda hh, b: (xor(hh, b) * 1099511628211::UHUGEINT) % {TWO64}, 14695981039346656037::UHUGEINT)::UBIGINT))")
+
+
+def bound(value: str, name: str, body: str) -> str:
+    """SQL of ``body`` with a name for a value."""
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def word(at: str, width: int = 8) -> str:
+    """SQL of a little-endian word of the byte list b from a 0-based offset."""
+    return "(" + " + ".join(f"b[{at} + {k + 1}] * {256**k}::UHUGEINT" for k in range(width)) + ")"
+
+
+def times(x: str, y: int) -> str:
+    return f"(({x}) * {y}::UHUGEINT % {TWO64})"
+
+
+def turned(x: str, r: int, name: str) -> str:
+    return bound(x, name, f"({name} * {1 << r}::UHUGEINT) % {TWO64} + {name} // {1 << 64 - r}::UHUGEINT")
+
+
+def xxhash_sql() -> str:
+    """XXH64 with seed 0 by its definition: four lanes over 32 bytes, then words, half a word, bytes, and the final mix."""
+    p1, p2, p3, p4, p5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261  # fixed values
+
+    def step(acc: str, x: str, name: str) -> str:
+        return times(turned(f"({acc} + {times(x, p2)}) % {TWO64}", 31, name), p1)
+
+    lanes = [f"list_reduce(list_transform(range(n // 32), lambda k: {word(f'32 * k + {8 * i}')}), lambda acc, x: {step('acc', 'x', 'q')}, {start}::UHUGEINT)"
+             for i, start in enumerate(((p1 + p2) % (1 << 64), p2, 0, (1 << 64) - p1))]
+    merged = f"(({' + '.join(turned(f'v[{i}]', r, 'q') for i, r in ((1, 1), (2, 7), (3, 12), (4, 18)))}) % {TWO64})"
+    merged = f"list_reduce(v, lambda acc, x: ({times('xor(acc, ' + step('0::UHUGEINT', 'x', 'q') + ')', p1)} + {p4}::UHUGEINT) % {TWO64}, {merged})"
+    words = f"list_reduce(list_transform(range(n // 32 * 4, n // 8), lambda k: {word('8 * k')}), lambda acc, x: ({times(turned('xor(acc, ' + step('0::UHUGEINT', 'x', 'q') + ')', 27, 'r'), p1)} + {p4}::UHUGEINT) % {TWO64}, h0)"
+    half = f"CASE WHEN n % 8 >= 4 THEN ({times(turned('xor(h1, ' + times(word('n // 8 * 8', 4), p1) + ')', 23, 'r'), p2)} + {p3}::UHUGEINT) % {TWO64} ELSE h1 END"
+    rest = f"list_reduce(list_transform(range(n // 4 * 4, n), lambda k: b[k + 1]), lambda acc, x: {times(turned('xor(acc, ' + times('x', p5) + ')', 11, 'r'), p1)}, h2)"
+    end = "h3"
+    for k, (shift, prime) in enumerate(((33, p2), (29, p3), (32, 1))):
+        end = bound(end, f"z{k}", times(f"xor(z{k}, z{k} // {1 << shift}::UHUGEINT)", prime))
+    return f"""WITH t AS (SELECT doc_id, {BYTES_SQL} AS b, strlen(text) AS n FROM documents),
+l AS (SELECT *, CASE WHEN n >= 32 THEN [{", ".join(lanes)}] END AS v FROM t),
+a AS (SELECT doc_id, b, n, (CASE WHEN n >= 32 THEN {merged} ELSE {p5}::UHUGEINT END + n::UHUGEINT) % {TWO64} AS h0 FROM l),
+w AS (SELECT doc_id, b, n, {words} AS h1 FROM a), f AS (SELECT doc_id, b, n, {half} AS h2 FROM w), o AS (SELECT doc_id, {rest} AS h3 FROM f)
+SELECT doc_id, lower(printf('%016x', ({end})::UBIGINT)) AS out FROM o"""
+
+
+def wyhash_sql() -> str:
+    """The seedless variant by its definition, for texts of 4 bytes and more; shorter ones are written out."""
+    k0, k1, k2 = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBD8583D0F5D0CD  # fixed values
+
+    def mum(x: str, y: str, name: str) -> str:
+        return bound(f"({x}) * ({y})", name, f"xor({name} // {TWO64}, {name} % {TWO64})")
+
+    def lane(k: int, at: int) -> str:
+        pairs = f"list_transform(range(wide), lambda k: [{word(f'48 * k + {at}')}, {word(f'48 * k + {at + 8}')}])"
+        return f"list_reduce(list_prepend([0::UHUGEINT, 0::UHUGEINT], {pairs}), lambda acc, x: [{mum(f'xor(x[1], {k}::UHUGEINT)', 'xor(x[2], acc[1])', 'q')}, 0::UHUGEINT])[1]"
+
+    narrow = f"list_transform(range(thin), lambda k: [{word('48 * wide + 16 * k')}, {word('48 * wide + 16 * k + 8')}])"
+    seed = f"list_reduce(list_prepend([s, 0::UHUGEINT], {narrow}), lambda acc, x: [{mum(f'xor(x[1], {k0}::UHUGEINT)', 'xor(x[2], acc[1])', 'q')}, 0::UHUGEINT])[1]"
+    mid, big = "(n // 8 * 4)", "4294967296::UHUGEINT"
+    a = f"CASE WHEN n > 16 THEN {word('n - 16')} WHEN n >= 4 THEN {word('0', 4)} * {big} + {word(mid, 4)} WHEN n > 0 THEN b[1] * 65536 + b[n // 2 + 1] * 256 + b[n] ELSE 0 END"
+    c = f"CASE WHEN n > 16 THEN {word('n - 8')} WHEN n >= 4 THEN {word('n - 4', 4)} * {big} + {word(f'n - 4 - {mid}', 4)} ELSE 0 END"
+    return f"""WITH t AS (SELECT doc_id, {BYTES_SQL} AS b, strlen(text) AS n, CASE WHEN strlen(text) > 48 THEN (strlen(text) - 1) // 48 ELSE 0 END AS wide FROM documents),
+l AS (SELECT *, CASE WHEN n - 48 * wide > 16 THEN (n - 48 * wide - 1) // 16 ELSE 0 END AS thin, xor(xor({lane(k0, 0)}, {lane(k1, 16)}), {lane(k2, 32)}) AS s FROM t),
+e AS (SELECT doc_id, n, {seed} AS s, ({a})::UHUGEINT AS a, ({c})::UHUGEINT AS c FROM l)
+SELECT doc_id, lower(printf('%016x', ({mum(f'xor({k2}::UHUGEINT, n::UHUGEINT)', mum(f'xor(a, {k0}::UHUGEINT)', f'xor(xor(c, {k1}::UHUGEINT), s)', 'q'), 'r')})::UBIGINT)) AS out FROM e"""
 
 
 column("xxhash64", lambda: h.xxhash64("text"), None)
 column("wyhash", lambda: h.wyhash("text"), None)
-column("fnv1a", lambda: h.fnv1a("url"), """lower(printf('%016x', list_reduce(
-  list_transform(regexp_extract_all(hex(url), '..'), lambda x: ((instr('0123456789ABCDEF', x[1]) - 1) * 16 + instr('0123456789ABCDEF', x[2]) - 1)::UHUGEINT),
-  lambda hh, b: (xor(hh, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, 14695981039346656037::UHUGEINT)::UBIGINT))""", "pages", "page_id")
+SQL |= {"xxhash64": xxhash_sql(), "wyhash": wyhash_sql()}
 
 # patterns
 PATTERN = "74 68 65 ? 6F"  # "the", any byte, "o"
@@ -122,10 +196,15 @@ column("find_pattern", lambda: find_pattern("text", BytePattern.parse(PATTERN)),
 column("find_all_patterns", lambda: F.size(find_all_patterns("text", BytePattern.parse("74 68 65"))).cast("long"), "((strlen(text) - strlen(replace(text, 'the', ''))) // 3)::BIGINT")
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 116::BIGINT, 255::BIGINT), (1, 104, 255), (2, 101, 255), (3, 0, 0), (4, 111, 255)) x(pos, byte, mask)")
+PATTERNS = (PATTERN, "48 8B 05 ? ? ? ?", "ff 0? ??", "00", "? 0a")
+
+
+@query(f"""SELECT p.i, generate_subscripts(t, 1) - 1 AS pos, unnest(list_transform(t, lambda x: CASE WHEN contains(x, '?') THEN 0 ELSE (instr('0123456789abcdef', lower(x[1])) - 1) * 16 + instr('0123456789abcdef', lower(x[2])) - 1 END))::BIGINT AS byte,
+  unnest(list_transform(t, lambda x: CASE WHEN contains(x, '?') THEN 0 ELSE 255 END))::BIGINT AS mask FROM (SELECT i, string_split(s, ' ') AS t FROM (VALUES {", ".join(f"({i}::BIGINT, '{x}')" for i, x in enumerate(PATTERNS))}) q(i, s)) p""")
 def pattern_parse(spark, sf_dir):
-    b = BytePattern.parse(PATTERN)
-    return spark.createDataFrame([(i, *x) for i, x in enumerate(zip(b.values, b.masks, strict=True))], "pos long, byte long, mask long")
+    """Patterns are parameters, so they are parsed on the driver."""
+    parsed = [BytePattern.parse(x) for x in PATTERNS]
+    return spark.createDataFrame([(i, k, *x) for i, b in enumerate(parsed) for k, x in enumerate(zip(b.values, b.masks, strict=True))], "i long, pos long, byte long, mask long")
 
 
 # lines and queries
@@ -164,7 +243,9 @@ def json_tokens(spark, sf_dir):
 
 
 column("looks_like_json", lambda: p.looks_like_json("props"), "regexp_matches(props, '^[ \\t\\n\\r]*[{\\[]')", "events", "event_id")
-column("is_json_number", lambda: p.is_json_number(F.col("value").cast("decimal(20,3)").cast("string")), "true", "events", "event_id")
+ENDS = ("", ".", ".25", "e", "e+3", "x", "E-2", " ", ".5e")
+column("is_json_number", lambda: p.is_json_number(F.concat(F.when(F.col("event_id") % 2 == 0, "-").otherwise(""), F.col("event_id").cast("string"), F.element_at(F.array(*map(F.lit, ENDS)), (F.col("event_id") % 9 + 1).cast("int")))),
+       "event_id % 9 IN (0, 2, 4, 6)", "events", "event_id")
 column("json_unescape", lambda: p.json_unescape(F.replace(F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit('"'), F.lit('\\"'))), "text")
 column("looks_like_xml", lambda: p.looks_like_xml("html"), "regexp_matches(html, '^[ \\t\\n\\r]*<')", "pages", "page_id")
 column("xml_escape", lambda: p.xml_escape("text"), "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')")
@@ -188,38 +269,39 @@ def csv_rows(spark, sf_dir):
 
 column("parse_csv_row", lambda: F.array_join(p.parse_csv_row(F.concat_ws(",", "c_name", F.lit(""), "c_mktsegment")), "|"), "c_name || '||' || c_mktsegment", "customer", "c_custkey")
 
-MD_SQL = """WITH l AS (SELECT n_nationkey, unnest([
-  {'seq': 0::BIGINT, 'type': 'Heading', 'content': n_name, 'level': 2::BIGINT}, {'seq': 1, 'type': 'Paragraph', 'content': '', 'level': 0},
-  {'seq': 2, 'type': 'ListItem', 'content': n_name, 'level': 0}, {'seq': 3, 'type': 'ListItem', 'content': ' ' || n_name, 'level': 1},
-  {'seq': 4, 'type': 'CodeBlock', 'content': 'py', 'level': 0}, {'seq': 5, 'type': 'CodeBlock', 'content': '# ' || n_name, 'level': 0},
-  {'seq': 6, 'type': 'CodeBlock', 'content': '', 'level': 0}, {'seq': 7, 'type': 'Blockquote', 'content': n_name, 'level': 0},
-  {'seq': 8, 'type': 'HorizontalRule', 'content': '', 'level': 0}]) AS x FROM nation)
-SELECT n_nationkey, x.seq, x.type, x.content, x.level FROM l"""
+MD_SQL = """WITH l AS (SELECT p_partkey, [{'raw': '## ' || p_name, 'type': 'Heading', 'content': p_name, 'level': 2::BIGINT}, {'raw': '', 'type': 'Paragraph', 'content': '', 'level': 0},
+  {'raw': '- ' || p_name, 'type': 'ListItem', 'content': p_name, 'level': 0}, {'raw': ' 1. ' || p_name, 'type': 'ListItem', 'content': ' ' || p_name, 'level': 1},
+  {'raw': '```py', 'type': 'CodeBlock', 'content': 'py', 'level': 0}, {'raw': '# é' || p_name, 'type': 'CodeBlock', 'content': '# é' || p_name, 'level': 0},
+  {'raw': '```', 'type': 'CodeBlock', 'content': '', 'level': 0}, {'raw': '> ' || p_name, 'type': 'Blockquote', 'content': p_name, 'level': 0},
+  {'raw': '---', 'type': 'HorizontalRule', 'content': '', 'level': 0}, {'raw': '**' || p_brand, 'type': 'Paragraph', 'content': '**' || p_brand, 'level': 0}] AS x FROM part),
+t AS (SELECT p_partkey, x, unnest(range(10)) AS seq FROM l)
+SELECT p_partkey, seq, x[seq + 1].type AS type, x[seq + 1].raw || CASE WHEN seq < 9 THEN chr(10) ELSE '' END AS text, x[seq + 1].content AS content, x[seq + 1].level AS level,
+  coalesce(list_sum(list_transform(x[1:seq], lambda y: strlen(y.raw) + 1)), 0)::BIGINT AS "offset" FROM t"""
 
 
 @query(MD_SQL)
 def markdown_tokens(spark, sf_dir):
-    n = F.col("n_name")
-    text = F.concat_ws("\n", F.concat(F.lit("## "), n), F.lit(""), F.concat(F.lit("- "), n), F.concat(F.lit("1. "), n), F.lit("```py"), F.concat(F.lit("# "), n), F.lit("```"),
-                       F.concat(F.lit("> "), n), F.lit("---"))
-    return p.markdown_tokens(table(spark, sf_dir, "nation").withColumn("t", text), "n_nationkey", "t")
+    n = F.col("p_name")
+    text = F.concat_ws("\n", F.concat(F.lit("## "), n), F.lit(""), F.concat(F.lit("- "), n), F.concat(F.lit(" 1. "), n), F.lit("```py"), F.concat(F.lit("# é"), n), F.lit("```"),
+                       F.concat(F.lit("> "), n), F.lit("---"), F.concat(F.lit("**"), "p_brand"))
+    return p.markdown_tokens(table(spark, sf_dir, "part").withColumn("t", text), "p_partkey", "t")
 
 
 def _ini(spark, sf_dir) -> DataFrame:
-    text = F.concat(F.lit("; head\ntop = 1\n[names]\nname = \""), "n_name", F.lit("\"\n # no\nplain=  "), "n_name", F.lit(" \n[keys]\nregion = "), F.col("n_regionkey").cast("string"), F.lit("\n"))
-    return p.config_entries(table(spark, sf_dir, "nation").withColumn("t", text), "n_nationkey", "t")
+    text = F.concat(F.lit("; head\ntop = 1\n[names]\nname = \""), "c_name", F.lit("\"\n # no\nplain=  "), "c_name", F.lit(" \n[keys]\nnation = "), F.col("c_nationkey").cast("string"), F.lit("\n"))
+    return p.config_entries(table(spark, sf_dir, "customer").withColumn("t", text), "c_custkey", "t")
 
 
-@query("""SELECT n_nationkey, x.section, x.name, x.value, x.line FROM (SELECT n_nationkey, unnest([
-  {'section': '', 'name': 'top', 'value': '1', 'line': 2::BIGINT}, {'section': 'names', 'name': 'name', 'value': n_name, 'line': 4},
-  {'section': 'names', 'name': 'plain', 'value': n_name, 'line': 6}, {'section': 'keys', 'name': 'region', 'value': n_regionkey::VARCHAR, 'line': 8}]) AS x FROM nation)""")
+@query("""SELECT c_custkey, x.section, x.name, x.value, x.line FROM (SELECT c_custkey, unnest([
+  {'section': '', 'name': 'top', 'value': '1', 'line': 2::BIGINT}, {'section': 'names', 'name': 'name', 'value': c_name, 'line': 4},
+  {'section': 'names', 'name': 'plain', 'value': c_name, 'line': 6}, {'section': 'keys', 'name': 'nation', 'value': c_nationkey::VARCHAR, 'line': 8}]) AS x FROM customer)""")
 def config_entries(spark, sf_dir):
     return _ini(spark, sf_dir)
 
 
-@query("SELECT n_nationkey, n_name AS value FROM nation")
+@query("SELECT c_custkey, c_name AS value FROM customer")
 def config_get(spark, sf_dir):
-    return p.config_get(_ini(spark, sf_dir), "n_nationkey", "names", "plain", "none")
+    return p.config_get(_ini(spark, sf_dir), "c_custkey", "names", "plain", "none")
 
 
 # logs, made of the events
@@ -278,12 +360,23 @@ def _pairs(spark, sf_dir) -> DataFrame:
 PAIRS_SQL = "(SELECT x.doc_id, x.text, y.text AS other FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 20)"
 
 
-@query()
+TABLE_SQL = f"""p AS (SELECT doc_id, {LINES.format('text', NL)} AS x, {LINES.format('other', NL)} AS y FROM {PAIRS_SQL}),
+d(doc_id, i, r) AS (SELECT doc_id, 0, list_transform(range(0, len(y) + 1), lambda j: 0::BIGINT) FROM p
+  UNION ALL SELECT doc_id, i + 1, list_prepend(0::BIGINT, list_transform(range(1, len(y) + 1), lambda j: list_max(c[1:j]))) FROM (
+    SELECT d.doc_id, d.i, p.y, list_transform(range(1, len(y) + 1), lambda j: CASE WHEN y[j] = x[i + 1] THEN r[j] + 1 ELSE r[j + 1] END) AS c FROM d JOIN p USING (doc_id) WHERE i < len(x)))"""
+
+
+@query(f"""WITH RECURSIVE {TABLE_SQL}, t AS (SELECT p.doc_id, any_value(x) AS x, any_value(y) AS y, list(r ORDER BY i) AS r FROM p JOIN d USING (doc_id) GROUP BY p.doc_id),
+s(doc_id, k, i, j, type) AS (SELECT doc_id, 0, len(x), len(y), NULL::VARCHAR FROM t
+  UNION ALL SELECT doc_id, k + 1, i - (type <> 'Insert')::BIGINT, j - (type <> 'Delete')::BIGINT, type FROM (SELECT t.doc_id, k, i, j, CASE WHEN i > 0 AND j > 0 AND x[i] = y[j] THEN 'Equal'
+    WHEN j > 0 AND (i = 0 OR r[i + 1][j] >= r[i][j + 1]) THEN 'Insert' ELSE 'Delete' END AS type FROM s JOIN t USING (doc_id) WHERE i > 0 OR j > 0))
+SELECT s.doc_id, row_number() OVER (PARTITION BY s.doc_id ORDER BY k DESC) - 1 AS seq, type, CASE WHEN type = 'Insert' THEN '' ELSE x[i + 1] END AS a_text, CASE WHEN type = 'Delete' THEN '' ELSE y[j + 1] END AS b_text,
+  CASE WHEN type = 'Insert' THEN 0 ELSE i + 1 END::BIGINT AS a_line, CASE WHEN type = 'Delete' THEN 0 ELSE j + 1 END::BIGINT AS b_line FROM s JOIN t USING (doc_id) WHERE k > 0""")
 def line_diff(spark, sf_dir):
     return _pairs(spark, sf_dir).select("doc_id", F.inline(d.line_diff("text", "other")))
 
 
-@query()
+@query(f"WITH RECURSIVE {TABLE_SQL} SELECT p.doc_id, (len(x) + len(y) - 2 * r[len(y) + 1])::BIGINT AS out FROM p JOIN d ON p.doc_id = d.doc_id AND d.i = len(p.x)")
 def count_diff_lines(spark, sf_dir):
     return _pairs(spark, sf_dir).select("doc_id", d.count_diff_lines("text", "other").alias("out"))
 
@@ -293,20 +386,20 @@ def text_equal(spark, sf_dir):
     return _pairs(spark, sf_dir).select("doc_id", d.text_equal("text", "other").alias("out"))
 
 
-@query("""SELECT page_id, CASE WHEN m IS NULL THEN least(strlen(a), strlen(b)) ELSE m - 1 END::BIGINT AS out FROM (SELECT page_id, a, b,
-  list_position(list_transform(list_zip(regexp_extract_all(hex(a), '..'), regexp_extract_all(hex(b), '..'), true), lambda x: x[1] = x[2]), false) AS m
-  FROM (SELECT x.page_id, x.url AS a, y.url AS b FROM pages x JOIN pages y ON y.page_id = x.page_id + 1))""")
+def common_sql(order: str) -> str:
+    a, b = (f"{order}(regexp_extract_all(hex({x}), '..'))" for x in ("text", "other"))
+    same = f"list_position(list_transform(list_zip({a}, {b}, true), lambda x: x[1] = x[2]), false)"
+    return f"SELECT doc_id, coalesce({same} - 1, least(strlen(text), strlen(other)))::BIGINT AS out FROM {PAIRS_SQL}"
+
+
+@query(common_sql(""))
 def common_prefix_length(spark, sf_dir):
-    x = table(spark, sf_dir, "pages").select("page_id", "url")
-    return x.join(x.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("other")), "page_id").select("page_id", d.common_prefix_length("url", "other").alias("out"))
+    return _pairs(spark, sf_dir).select("doc_id", d.common_prefix_length("text", "other").alias("out"))
 
 
-@query("""SELECT page_id, CASE WHEN m IS NULL THEN least(strlen(a), strlen(b)) ELSE m - 1 END::BIGINT AS out FROM (SELECT page_id, a, b,
-  list_position(list_transform(list_zip(list_reverse(regexp_extract_all(hex(a), '..')), list_reverse(regexp_extract_all(hex(b), '..')), true), lambda x: x[1] = x[2]), false) AS m
-  FROM (SELECT x.page_id, x.url AS a, y.url AS b FROM pages x JOIN pages y ON y.page_id = x.page_id + 1))""")
+@query(common_sql("list_reverse"))
 def common_suffix_length(spark, sf_dir):
-    x = table(spark, sf_dir, "pages").select("page_id", "url")
-    return x.join(x.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("other")), "page_id").select("page_id", d.common_suffix_length("url", "other").alias("out"))
+    return _pairs(spark, sf_dir).select("doc_id", d.common_suffix_length("text", "other").alias("out"))
 
 
 # reductions and files
@@ -320,9 +413,12 @@ def reduction(name: str, expr, sql: str, tab: str = "documents") -> None:
 reduction("agg_count_byte", lambda: r.agg_count_byte("text", "e"), "sum(strlen(text) - strlen(replace(text, 'e', '')))::BIGINT")
 reduction("agg_count_newlines", lambda: r.agg_count_newlines("text"), f"sum(strlen(text) - strlen(replace(text, {NL}, '')))::BIGINT")
 reduction("agg_is_ascii", lambda: r.agg_is_ascii("text"), "bool_and(strlen(text) = length(text))")
-reduction("agg_valid_utf8", lambda: r.agg_valid_utf8("text"), "true")
 reduction("agg_find_byte", lambda: r.agg_find_byte("text", ","), "min(CASE WHEN contains(text, ',') THEN strlen(substr(text, 1, instr(text, ',') - 1)) END)::BIGINT")
-SQL["agg_valid_utf8"] = "SELECT bool_and(text IS NOT NULL) AS out FROM documents"
+
+
+@query("SELECT source, bool_and(doc_id % 101 <> 1) AS out FROM documents GROUP BY source")
+def agg_valid_utf8(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source").agg(r.agg_valid_utf8(broken("\xe4\xb8", 101)).alias("out"))
 
 
 @query("""SELECT doc_id, o AS "offset", strlen(text) - o AS result FROM (SELECT doc_id, text, unnest(range(0, strlen(text), 65536)) AS o FROM documents)
@@ -331,38 +427,51 @@ def for_each_chunk(spark, sf_dir):
     return r.for_each_chunk(table(spark, sf_dir, "documents"), "doc_id", "text", 1 << 16, lambda b, off: len(b), "long")
 
 
-@query("""SELECT lang, count(*) AS n_docs, sum(strlen(text))::BIGINT AS bytes,
-  sum(strlen(text) - strlen(replace(text, chr(10), '')))::BIGINT AS newlines,
-  bool_and(strlen(text) = length(text)) AS is_ascii, bool_and(text IS NOT NULL) AS valid_utf8 FROM documents GROUP BY lang""")
+# files: the texts, written as lines to the shared folder in one folder per language, and read back
+def _written(spark, sf_dir) -> str:
+    path = f"{Workspace(spark, 'texts').path}/text"
+    files.write_text(table(spark, sf_dir, "documents").select("lang", "text"), "text", path, by="lang")
+    return path
+
+
+def _lang():
+    return F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang")
+
+
+ALL_LINES = f"(SELECT lang, unnest(string_split(text, {NL})) AS line FROM documents)"
+
+
+@query(f"""SELECT d.*, matching FROM (SELECT lang, sum(strlen(text) + 1)::BIGINT AS size, sum(strlen(text) - strlen(replace(text, {NL}, '')) + 1)::BIGINT AS lines, bool_and(strlen(text) = length(text)) AS is_ascii,
+  true AS valid_utf8 FROM documents GROUP BY lang) d JOIN (SELECT lang, (count(*) FILTER (contains(line, 'idiot')))::BIGINT AS matching FROM {ALL_LINES} GROUP BY lang) m ON d.lang = m.lang""")
 def file_stats(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(
-        F.count("*").alias("n_docs"), F.sum(F.octet_length("text").cast("long")).alias("bytes"), r.agg_count_newlines("text").alias("newlines"),
-        r.agg_is_ascii("text").alias("is_ascii"), r.agg_valid_utf8("text").alias("valid_utf8"))
+    got = files.file_stats(spark, f"{_written(spark, sf_dir)}/*/*.txt", "idiot")
+    return got.groupBy(_lang()).agg(F.sum("size").alias("size"), F.sum("lines").alias("lines"), F.bool_and("is_ascii").alias("is_ascii"), F.bool_and("valid_utf8").alias("valid_utf8"), F.sum("matching").alias("matching"))
 
 
-@query(f"SELECT doc_id, line FROM (SELECT doc_id, unnest({LINES.format('text', NL)}) AS line FROM documents) WHERE contains(line, 'idiot')")
+@query(f"SELECT line FROM {ALL_LINES} WHERE contains(line, 'idiot')")
 def grep_lines(spark, sf_dir):
-    return lines(spark, sf_dir).where(F.contains("line", F.lit("idiot"))).select("doc_id", "line")
+    return files.grep_lines(spark, f"{_written(spark, sf_dir)}/*/*.txt", "idiot").select(F.col("value").alias("line"))
 
 
-@query(f"SELECT count(*) AS n FROM (SELECT unnest({LINES.format('text', NL)}) AS line FROM documents) WHERE contains(line, 'idiot')")
+@query(f"SELECT count(*) AS n FROM {ALL_LINES} WHERE contains(line, 'idiot')")
 def count_matching_lines(spark, sf_dir):
-    return lines(spark, sf_dir).agg(F.count_if(F.contains("line", F.lit("idiot"))).alias("n"))
+    return files.count_matching_lines(spark, f"{_written(spark, sf_dir)}/*/*.txt", "idiot")
 
 
-@query()
+@query("SELECT lang, sum(strlen(text) + 1)::BIGINT AS length FROM documents GROUP BY lang")
 def src_whole_file(spark, sf_dir):
-    return files.whole_files(spark, f"{sf_dir}/region.parquet").select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "length")
+    got = files.whole_files(spark, f"{_written(spark, sf_dir)}/*/*.txt")
+    return got.groupBy(_lang()).agg(F.sum(F.octet_length("content").cast("long")).alias("length"))
 
 
-@query()
+@query(f"SELECT line FROM {ALL_LINES}")
 def src_text_lines(spark, sf_dir):
-    return files.text_lines(spark, f"{sf_dir}/region.parquet").select(F.octet_length("value").cast("long").alias("n_bytes"))
+    return files.text_lines(spark, f"{_written(spark, sf_dir)}/*/*.txt").select(F.col("value").alias("line"))
 
 
-@query()
+@query(f"SELECT lang, sum(strlen(text) - strlen(replace(text, {NL}, '')) + 1)::BIGINT AS n FROM documents GROUP BY lang")
 def file_count_lines(spark, sf_dir):
-    return files.file_count_lines(spark, f"{sf_dir}/region.parquet").select("n")
+    return files.file_count_lines(spark, f"{_written(spark, sf_dir)}/*/*.txt").groupBy(_lang()).agg(F.sum("n").alias("n"))
 
 
 @query("""SELECT (p_partkey % 7)::BIGINT AS k, count(*) AS n_hits, sum(strlen(l) - strlen(replace(l, ',', '')))::BIGINT AS commas FROM
@@ -383,10 +492,10 @@ def utf8_first_bad_line(spark, sf_dir):
     return rows.select("doc_id", (F.char_length(before) - F.char_length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("line_number"), F.col("e.error_offset").alias("byte_offset"))
 
 
-@query("SELECT doc_id AS stream_id, true AS valid FROM documents")
+@query("SELECT doc_id AS stream_id, doc_id % 3 <> 1 AS valid FROM documents")
 def utf8_chunked_query(spark, sf_dir):
-    b = F.col("text").cast("binary")
-    n = F.greatest(F.ceil(F.octet_length("text") / 1000), F.lit(1)).cast("int")
+    b = broken("\xe4\xb8", 3)
+    n = F.greatest(F.ceil(F.octet_length(b) / 1000), F.lit(1)).cast("int")
     chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("stream_id"), b.alias("b"), F.explode(F.sequence(F.lit(0), n - 1)).alias("seq"))
     return utf8_chunked(chunks.select("stream_id", "seq", F.substring("b", F.col("seq") * 1000 + 1, F.lit(1000)).alias("chunk")))
 
