@@ -1,96 +1,17 @@
-"""Shared pieces: table access, written intermediate tables in the shared folder, connected components."""
+"""Shared pieces: table access, connected components, and the written tables of ``sources.staging``."""
 
 from __future__ import annotations
 
-import contextlib
-import re
-import tempfile
-import uuid
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.sources.staging import Workspace, scratch, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for written tables: ``spark.checkpoint.dir``, else the one given to ``setCheckpointDir``.
-
-    Without either, a folder of our own is set on a local master (tests); on a cluster that is an error, since a folder of
-    the driver would not be seen by the executors.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        given = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = given.get() if given.isDefined() else None
-    if not base:
-        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-# while a table is written: the shuffle files of a finished write are of no more use, and Python tasks hold little at once
-WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
-OPEN: list[list[Workspace]] = []
-
+__all__ = ["Workspace", "clean_name", "components", "scratch", "shared_dir", "table"]
 
-class Workspace:
-    """A folder for the written tables of one operator run.  Written tables cut the lineage and outlive executors.
 
-    It is deleted when the JVM ends, or by ``scratch`` as soon as what was made from it is written elsewhere.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex[:12]}", 0
-        fs, path = self._at(self.path)
-        fs.mkdirs(path)
-        fs.deleteOnExit(path)
-        if OPEN:
-            OPEN[-1].append(self)
-
-    def _at(self, path: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
-
-    def write(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
-        """Writes df as Parquet and reads it back."""
-        self.n += 1
-        path = f"{self.path}/{self.n}"
-        was = {k: self.spark.conf.get(k, None) for k in WHILE_WRITING}
-        try:
-            for k, v in WHILE_WRITING.items():
-                self.spark.conf.set(k, v)
-            df.write.option("compression", compression).parquet(path)
-        finally:
-            for k, v in was.items():
-                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._textloom_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table of write() that nothing lazy refers to any more."""
-        self.delete(df._textloom_path)
-
-    def delete(self, path: str | None = None) -> None:
-        fs, path = self._at(path or self.path)
-        fs.delete(path, True)
-
-
-@contextlib.contextmanager
-def scratch() -> Iterator[None]:
-    """Deletes at its end the workspaces opened inside: for callers that write an operator's result themselves."""
-    OPEN.append([])
-    try:
-        yield
-    finally:
-        for ws in OPEN.pop():
-            ws.delete()
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def clean_name(df: DataFrame, base: str) -> str:
@@ -101,7 +22,7 @@ def clean_name(df: DataFrame, base: str) -> str:
     return base
 
 
-def components(ws: Workspace, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """Connected components of the undirected ``edges`` (a, b: long) by alternating large and small stars.
 
     Returns (node, comp) with comp the smallest node reachable; nodes without an edge to another node are absent.
@@ -111,7 +32,7 @@ def components(ws: Workspace, edges: DataFrame, max_rounds: int = 60) -> DataFra
     e = edges.where("a is not null and b is not null and a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     cur, last = ws.write(e), None
-    for _ in range(max_rounds):
+    while True:  # each round but the last lowers some minimum; chains halve, so rounds grow with the log of the longest
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         big = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
@@ -126,7 +47,5 @@ def components(ws: Workspace, edges: DataFrame, max_rounds: int = 60) -> DataFra
         if state == last:
             break
         last = state
-    else:
-        raise RuntimeError("components did not settle")
     leaves = cur.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "node")
     return leaves.union(cur.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
