@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from textloom.llm.simhash import bit_counts, drop_near_copies, fingerprint, simhash_components
+from textloom.llm.simhash import bit_counts, block_masks, drop_near_copies, fingerprint, simhash_components
 
 
 def plain_fingerprint(text, n=3):
@@ -45,6 +45,25 @@ def test_bit_counts():
         assert bit_counts(x).tolist() == want
 
 
+@pytest.mark.parametrize(("n", "ranges", "masks"), [(0, 21, 3), (1 << 27, 21, 3), (1 << 28, 32, 6), (1 << 39, 38, 10), (1 << 45, 42, 15)])
+def test_blocks_follow_the_number_of_fingerprints_and_lose_no_pair(n, ranges, masks):
+    rng = random.Random(n)
+    got = block_masks(n, 2)
+    assert len(got) == masks and min(m.bit_count() for m in got) >= ranges and len(set(got)) == masks
+    for _ in range(300):
+        x = rng.getrandbits(64)
+        y = x
+        for _ in range(2):
+            y ^= 1 << rng.randrange(64)
+        assert any(x & m == y & m for m in got)
+
+
+def test_case_and_punctuation_do_not_tell_near_copies_apart(docs_of):
+    w = [f"word{i}" for i in range(12)]
+    rows = [(1, " ".join(w)), (2, ", ".join(w).title() + "."), (3, "--- ... !"), (4, ""), (5, " ".join(w[:11]) + " other"), (6, "ÄÖ straße " * 3), (7, "äö (STRASSE) " * 3), (8, "äö-straße " * 3)]
+    assert sorted(r["doc_id"] for r in drop_near_copies(docs_of(rows)).collect()) == [1, 3, 5, 6, 7]
+
+
 @pytest.mark.parametrize("cap", [2048, 4])
 def test_components_equal_all_pairs(spark, docs_of, cap, monkeypatch):
     import functools

@@ -5,11 +5,16 @@ A fingerprint is linked to another if their Hamming distance is in bounds.  Pair
 whose coordinates differ by more than the allowed distance anywhere is discarded (triangle inequality, so no link is
 lost), and survivors are verified bit by bit.
 
+Words.  Fingerprints of 64 bits take words as their contract says, with punctuation.  Near copies compare runs of letters
+and digits in small letters, as texts that differ in case or punctuation only are copies of each other.
+
 Similarity.  A wide fingerprint's distance only rejects: its bound lies ``SIGMAS`` standard deviations above the distance
 expected of the least similar pair that counts.  Components of what is left are blocks of a second pass, in which pairs
 are verified on their sets of 64-bit shingle hashes.  A pair that is already joined through others needs no verification.
 
-Blocks.  For 64 bits and at most d differing bits, d + 1 bit ranges of which one must agree: exact.  For wide
+Blocks.  For 64 bits and at most d differing bits, m bit ranges of which m - d must agree: a key for each choice of m - d
+ranges, exact.  m is the smallest with blocks of about 64 unrelated fingerprints or fewer at the measured number of
+fingerprints (3 ranges up to 10^8, 4 up to 10^11), so pairs looked at grow with the input and not with its square.  For wide
 fingerprints of shingle sets at Jaccard similarity s, eight pairs of shingle minima, one of which agrees with
 probability 1 - (1 - s^2)^8 (0.9997 at 0.8).  Equal fingerprints (texts) are collapsed first, so copies cost one row.
 A block of more than ``cap`` distinct rows (or 2,048 ``cap`` shingles, where sets are sent) is dealt into chunks and every
@@ -22,6 +27,8 @@ of it is null; repeated rows and ties are linked like any copies; an empty table
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +39,23 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import Workspace, clean_name, components
 
+PLAIN = re.compile(r"[^\W_]+")
 PIVOTS = 24
 SIGMAS = 5
 
 
-def shingle_hashes(text: str | None, words: int) -> np.ndarray:
-    """XXH64 (seed 42) of each shingle of the text with A-Z folded, repeats included, as uint64."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and ASCII white space only
+def raw_words(text: str | None) -> list[bytes]:
+    """Words between ASCII white space, A-Z folded."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and ASCII white space only
+
+
+def plain_words(text: str | None) -> list[bytes]:
+    """Runs of letters and digits in small letters."""
+    return [w.encode("utf-8", "surrogatepass") for w in PLAIN.findall((text or "").lower())]
+
+
+def shingle_hashes(w: list[bytes], words: int) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle of the words, repeats included, as uint64."""
     if not w:
         return np.zeros(0, np.uint64)
     joined = b" ".join(w)
@@ -78,7 +95,7 @@ def pack_bits(bits: np.ndarray) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int = 3) -> int:
     """64-bit fingerprint: a bit is 1 if set in over half of the shingles' hashes."""
-    h = shingle_hashes(text, words)
+    h = shingle_hashes(raw_words(text), words)
     return int(pack_bits(bit_counts(h[:, None])[0] * 2 > len(h))) if len(h) else 0
 
 
@@ -90,8 +107,8 @@ def mix(h: np.ndarray, w: int) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def wide(text: str | None, words: int = 5, w: int = 16) -> tuple[bytes, int, list[int]]:
-    """(64 w-bit fingerprint of the set of shingles, its size, w/2 block keys)."""
+def wide(text: list[bytes], words: int = 5, w: int = 16) -> tuple[bytes, int, list[int]]:
+    """(64 w-bit fingerprint of the set of shingles of a text's words, its size, w/2 block keys)."""
     h = np.unique(shingle_hashes(text, words))
     if not len(h):
         return bytes(8 * w), 0, [0] * (w // 2)
@@ -231,20 +248,30 @@ def block_edges(ws: Workspace, items: DataFrame, keyed: DataFrame, max_distance:
     return rows.select("g", "node", "fp", "n", *sets).mapInPandas(link, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, words: int = 3, max_distance: int = 2, ws: Workspace | None = None) -> DataFrame:
-    """(doc_id, fp long, component_id): fingerprints of at most max_distance differing bits are linked."""
+def block_masks(n: int, max_distance: int, room: int = 64) -> list[int]:
+    """Masks of 64 bits such that two words of at most max_distance differing bits agree under one of them."""
+    for m in range(max_distance + 1, 65):
+        cuts = [64 * i // m for i in range(m + 1)]
+        parts = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
+        masks = [sum(x) for x in itertools.combinations(parts, m - max_distance)]
+        if n <= room << min(x.bit_count() for x in masks) or m == 64:
+            return masks
+    raise ValueError("max_distance is at most 63")
+
+
+def simhash_components(docs: DataFrame, words: int = 3, max_distance: int = 2, ws: Workspace | None = None, keep: tuple[str, ...] = (), room: int = 64) -> DataFrame:
+    """(doc_id, fp long, component_id) and the columns in ``keep``: fingerprints of at most max_distance differing bits are linked."""
     ws = ws or Workspace(docs.sparkSession, "simhash")
 
     @F.pandas_udf("long")
     def udf(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64))
 
-    fps = ws.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), udf("text").alias("fp")))
+    fps = ws.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), udf("text").alias("fp"), *keep))
     own = ws.write(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    cuts = [64 * i // (max_distance + 1) for i in range(max_distance + 2)]
-    masks = [sum(1 << i for i in range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    keyed = own.select(F.col("fp").alias("node"), F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("t", "k"))
+    masks = [F.col("fp").bitwiseAND(F.lit(signed(m))) for m in block_masks(own.count(), max_distance, room)]
+    keyed = own.select(F.col("fp").alias("node"), F.posexplode(F.array(*masks)).alias("t", "k"))
     items = own.select(F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp"), F.lit(1).alias("n"))
     edges = ws.write(block_edges(ws, items, keyed, max_distance))
     of = components(ws, edges).join(own.withColumnRenamed("fp", "node"), "node")
@@ -252,7 +279,7 @@ def simhash_components(docs: DataFrame, words: int = 3, max_distance: int = 2, w
     least = of.groupBy("comp").agg(F.min("low").alias("component_id"))
     named = of.join(least, "comp").select(F.col("node").alias("fp"), "component_id")
     named = own.join(named, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id", *keep)
 
 
 def op9_simhash_neardup(spark, sf_dir):
@@ -265,8 +292,8 @@ def op9_simhash_neardup(spark, sf_dir):
 def drop_near_copies(docs: DataFrame, words: int = 5, min_jaccard: float = 0.8, w: int = 16) -> DataFrame:
     """docs with one row of each group of near copies: the one with the smallest doc_id (nulls last).
 
-    Similarity is the Jaccard similarity of the sets of word shingles, candidates by the distance of 64 w-bit fingerprints.
-    Texts without words are copies of each other.
+    Similarity is the Jaccard similarity of the sets of word shingles, candidates by the distance of 64 w-bit fingerprints;
+    words are runs of letters and digits in small letters.  Texts without words are copies of each other.
     """
     ws = Workspace(docs.sparkSession, "near_copies")
     rid, sig = clean_name(docs, "_rid"), clean_name(docs, "_sig")
@@ -275,8 +302,9 @@ def drop_near_copies(docs: DataFrame, words: int = 5, min_jaccard: float = 0.8,
     def udf(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
-            fp, n, keys = wide(t, words, w)
-            c = xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()))
+            plain = plain_words(t)
+            fp, n, keys = wide(plain, words, w)
+            c = xxhash.xxh3_128_digest(b" ".join(plain))
             c1, c2 = np.frombuffer(c, np.int64)
             rows.append((fp, n, keys, c1, c2))
         return pd.DataFrame(rows, columns=["fp", "n", "keys", "c1", "c2"])
@@ -293,7 +321,7 @@ def drop_near_copies(docs: DataFrame, words: int = 5, min_jaccard: float = 0.8,
 
     @F.pandas_udf("binary")
     def shingle_set(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, words)).tobytes() for t in texts])
+        return pd.Series([np.unique(shingle_hashes(plain_words(t), words)).tobytes() for t in texts])
 
     sets = base.select(F.col(rid).alias("node"), "text").join(rough.select("node"), "node").select("node", shingle_set("text").alias("set"))
     near = ws.write(items.drop("keys").join(sets, "node"))
