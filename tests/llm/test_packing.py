@@ -53,3 +53,17 @@ def test_rows(docs_of):
 
 def test_empty(docs_of):
     assert best_fit(docs_of([(1, "a")]).where("false")).count() == 0
+
+
+def test_near_copies_share_no_bin(spark, tmp_path):
+    from collections import Counter
+
+    from textloom.llm.packing import op8_best_fit_packing
+
+    w = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(w), f"s{i}") for i in range(5)] + [(10 + i, f"other{i} " * 40, f"s{i}") for i in range(5)] + [(3, " ".join(w), "s9"), (None, None, None), (None, "", "t")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = op8_best_fit_packing(spark, f"file://{tmp_path}").collect()
+    assert sum(r["n_tokens"] for r in got) == 6 * 60 + 5 * 40 and len(got) == len(rows)
+    copies = [(r["shard"], r["bin"]) for r in got if r["n_tokens"] == 60]
+    assert max(Counter(copies).values()) == 1

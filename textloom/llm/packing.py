@@ -10,7 +10,8 @@ size, so a hot source or a large group of copies spreads over all shards, and a
 in memory; a task packs one shard after the other.  The shard count follows from a count of all rows.
 
 Defined results: null or empty texts give one piece of 0 tokens, packed like any other; null source is a source of its
-own; the default cluster is the text with case and white space folded, so repeated rows never share a bin; a null
+own; the default cluster is the text with case and white space folded, so repeated rows never share a bin (the query takes
+components of near copies instead); a null
 doc_id is kept; ties go by length, doc_id and text hash; extra columns are ignored; an empty table gives no rows.
 """
 
@@ -20,7 +21,7 @@ import bisect
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, piece int, n_tokens long, shard int, bin int, start long, source string"
@@ -59,14 +60,28 @@ def pack(pieces: list[tuple[int, int, int]], capacity: int) -> list[tuple[int, i
     return out
 
 
+def source_of() -> Column:
+    return F.coalesce(F.col("source").cast("string"), F.lit("\0null")).alias("source")
+
+
+def words_of() -> Column:
+    return F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter(F.split("text", r"\s+"), lambda x: x != ""))).cast("long").alias("n")
+
+
+def sizes_of(docs: DataFrame, cluster: Column | None = None) -> DataFrame:
+    """(doc_id, source, n, cl) of (doc_id, source, text): what packing needs of a document, without its text."""
+    same = F.lower(F.regexp_replace(F.trim(F.coalesce("text", F.lit(""))), r"\s+", " "))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_of(), words_of(), F.xxhash64((same if cluster is None else cluster).cast("string")).alias("cl"))
+
+
 def best_fit(docs: DataFrame, capacity: int = 4096, shard_docs: int = 2000, cluster: str | None = None) -> DataFrame:
-    """SCHEMA's rows, one for each piece of each document of (doc_id, source, text)."""
-    words = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")))
-    cl = F.col(cluster) if cluster else F.lower(F.regexp_replace(F.trim(F.coalesce("text", F.lit(""))), r"\s+", " "))
-    n = docs.count()
+    """SCHEMA's rows, one for each piece of each document of (doc_id, source, text[, cluster])."""
+    return pack_sizes(sizes_of(docs, F.col(cluster) if cluster else None), docs.count(), capacity, shard_docs)
+
+
+def pack_sizes(small: DataFrame, n: int, capacity: int = 4096, shard_docs: int = 2000) -> DataFrame:
+    """SCHEMA's rows for n documents given as (doc_id, source, n, cl)."""
     shards = max(1, -(-n // shard_docs))
-    small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("\0null")).alias("source"),
-                        words.cast("long").alias("n"), F.xxhash64(cl.cast("string")).alias("cl"))
     small = small.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cl", "n"), F.lit(shards)).cast("int"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -93,6 +108,11 @@ def best_fit(docs: DataFrame, capacity: int = 4096, shard_docs: int = 2000, clus
 
 
 def op8_best_fit_packing(spark, sf_dir):
-    from textloom.llm.common import table
-
-    return best_fit(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    """Clusters are the components of SimHash fingerprints, so near copies keep apart as exact ones do."""
+    from textloom.llm.common import Workspace, table
+    from textloom.llm.simhash import simhash_components
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", source_of(), words_of())
+    ws = Workspace(spark, "packing")
+    got = ws.write(simhash_components(docs, keep=("source", "n"), ws=ws).select("doc_id", "source", "n", F.xxhash64("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).alias("cl")))
+    return pack_sizes(got, got.count())
