@@ -10,7 +10,6 @@ from __future__ import annotations
 import itertools
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -155,7 +154,6 @@ def xml_escape(c) -> Column:
     return out
 
 
-@cache
 def _csv_piece(delimiter: str, quote: str) -> re.Pattern:
     """A run of plain text and what ends it: a delimiter, a line end, the end, or a quoted value with what follows that."""
     d, q = re.escape(delimiter), re.escape(quote)
@@ -169,7 +167,7 @@ def csv_records(s: str, delimiter: str = ",", quote: str = '"') -> Iterator[list
     Fixed semantics: doubled quotes stay doubled, plain text before a quoted value is dropped, and text between a closing
     quote and the next delimiter makes a field of its own that begins with the quoted value.
     """
-    piece, row, at, more, kept = _csv_piece(delimiter, quote), [], 0, False, None
+    piece, row, at, more, kept = _csv_piece(delimiter, quote), [], 0, False, None  # the re module keeps compiled patterns
     while more or at < len(s):
         m = piece.match(s, at)
         at = m.end()
