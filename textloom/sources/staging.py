@@ -29,8 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-# while a table is written: the shuffle files of a finished write are of no more use, and Python tasks hold little at once
-WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+CLEANUP, BATCH = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"
 OPEN: list[list[Workspace]] = []
 
 
@@ -52,13 +51,18 @@ class Workspace:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
 
-    def write(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
-        """Writes df as Parquet and reads it back."""
+    def write(self, df: DataFrame, compression: str = "zstd", batch_rows: int = 2000) -> DataFrame:
+        """Writes df as Parquet and reads it back.
+
+        Meanwhile shuffle files go as soon as they were read, and Python tasks take ``batch_rows`` rows at once: few where
+        rows are large.
+        """
         self.n += 1
         path = f"{self.path}/{self.n}"
-        was = {k: self.spark.conf.get(k, None) for k in WHILE_WRITING}
+        conf = {CLEANUP: "true", BATCH: str(batch_rows)}
+        was = {k: self.spark.conf.get(k, None) for k in conf}
         try:
-            for k, v in WHILE_WRITING.items():
+            for k, v in conf.items():
                 self.spark.conf.set(k, v)
             df.write.option("compression", compression).parquet(path)
         finally:
