@@ -69,3 +69,29 @@ def test_graph_recall():
     ids, _ = g.search(0, q, g.descend(q, 0), 64)
     truth = np.argsort(-(x[:200] @ x.T), axis=1)[:, :10]
     assert np.mean([len(set(a[:10]) & set(b)) for a, b in zip(ids, truth, strict=True)]) >= 9
+
+
+def test_audit_draws_until_it_has_seen_links():
+    from textloom.llm.embedding_dedup import AUDIT_LINKS, AUDIT_QUERIES
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 24))
+    x[:600] = np.repeat(x[:300], 2, axis=0) + 0.02 * rng.normal(size=(600, 24))  # pairs
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    g = Graph(x).build()
+    drawn, truth = g.audit(x, x[:800], 0.9)
+    assert truth.sum() >= AUDIT_LINKS and truth.tolist() == (x[drawn] @ x.T >= 0.9).sum(1).tolist()
+    drawn, truth = g.audit(x, -x[600:900], 0.9)  # no links at all
+    assert len(drawn) == AUDIT_QUERIES and truth.sum() == 0
+    tally = np.zeros(2, np.int64)
+    a, b = g.links(x, x[:800], 0.9, 0.98, tally)
+    assert tally[0] >= 0.98 * tally[1] > 0
+    want = (x[:800] @ x.T >= 0.9).sum()
+    assert 0.98 * want <= len(a) <= want
+    tally = np.array([0, 1000])  # blocks before missed all: the beam widens until it is exact
+    assert len(g.links(x, x[:50], 0.9, 0.98, tally)[0]) == (x[:50] @ x.T >= 0.9).sum()
+
+
+def test_repeated_ids_and_rows(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 3.0])], "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in embedding_components(df).collect()) == [(1, 1, 1, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False)]

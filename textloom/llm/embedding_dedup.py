@@ -1,10 +1,12 @@
 """Embedding near-dedup with hierarchical navigable small-world graphs.
 
 Equal vectors are one class.  Classes are dealt to shards by a hash of the vector; each shard's graph is built in its
-own task and written to the shared folder.  Every class then queries every shard: graphs come back one group of shards
-at a time, each graph bounded by ``shard_rows`` vectors, and one narrow pass over all classes searches them.  A search
-whose beam is full of links is repeated with twice the beam, and so is a block of queries whose audit (a brute-force
-count for some of its queries) finds less than ``audit_recall`` of the links; a beam as wide as the shard is exact.
+own task and written to the shared folder.  Every class then queries every shard: classes are packed into blocks, blocks
+into ranges, and a graph of at most ``shard_rows`` vectors meets the blocks of one range at a time, so that nothing passes
+the driver and a task holds one graph and one block.  A search whose beam is full of links is repeated with twice the beam,
+and so is a block of queries whose audit finds less than ``audit_recall`` of the links: a brute-force count for queries
+drawn until ``AUDIT_LINKS`` links or ``AUDIT_QUERIES`` queries were seen, judged for the block and for all blocks that the
+task has searched in this graph.  A beam as wide as the shard is exact.
 Hits are verified by cosine in double precision.  A task returns per class the number of linked vectors and one edge per
 local component touched, never all pairs; components are found by alternating stars.
 
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from textloom.llm.common import Workspace, components
 
 M = 12
+AUDIT_LINKS, AUDIT_QUERIES = 24, 256
+BLOCK = 1024
 
 
 class Graph:
@@ -165,14 +169,26 @@ class Graph:
             at += size
         return self
 
-    def links(self, exact: np.ndarray, q: np.ndarray, least: float, recall: float, ef: int = 32) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs of cosine >= least.  exact: this graph's unit rows in double precision; q likewise."""
+    def audit(self, exact: np.ndarray, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(queries drawn, their numbers of links by brute force)."""
+        order = np.random.default_rng(len(q)).permutation(len(q))
+        truth = np.zeros(0, np.int64)
+        while len(truth) < min(len(q), AUDIT_QUERIES) and truth.sum() < AUDIT_LINKS:
+            more = order[len(truth): len(truth) + 16]
+            truth = np.concatenate((truth, (q[more] @ exact.T >= least).sum(1)))
+        return order[: len(truth)], truth
+
+    def links(self, exact: np.ndarray, q: np.ndarray, least: float, recall: float, tally: np.ndarray | None = None, ef: int = 32) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) pairs of cosine >= least.  exact: this graph's unit rows in double precision; q likewise.
+
+        tally: links found and true ones of the audits so far; this block's are added.
+        """
         n = len(self.x)
+        tally = np.zeros(2, np.int64) if tally is None else tally
         q32 = q.astype(np.float32)
         pairs: list[tuple[np.ndarray, np.ndarray]] = []
         todo = np.arange(len(q))
-        audit = np.linspace(0, len(q) - 1, min(len(q), 8)).astype(int)
-        truth = (q[audit] @ exact.T >= least).sum(1)
+        drawn, truth = self.audit(exact, q, least)
         found_of = np.zeros(len(q), np.int64)
         while len(todo):
             wide = ef >= n
@@ -195,13 +211,15 @@ class Graph:
                 found_of[t] = np.bincount(r, minlength=len(t))
                 again.append(t[full])
             full = np.concatenate(again)
-            checked = np.isin(audit, np.setdiff1d(todo, full))
-            if checked.any() and not wide and found_of[audit[checked]].sum() < recall * truth[checked].sum():
-                full = todo  # the audit failed: all again with a wider beam
+            if not wide and not len(full):
+                got = np.array([found_of[drawn].sum(), truth.sum()])
+                if got[0] < recall * got[1] or (got + tally)[0] < recall * (got + tally)[1]:
+                    full = np.arange(len(q))  # the audit failed: all again with a wider beam
             if len(full):
                 drop = np.isin
                 pairs = [(a[~drop(a, full)], b[~drop(a, full)]) for a, b in pairs]
             todo, ef = full, ef * 2
+        tally += np.array([found_of[drawn].sum(), truth.sum()])
         return np.concatenate([a for a, _ in pairs] or [np.zeros(0, int)]), np.concatenate([b for _, b in pairs] or [np.zeros(0, int)])
 
 
@@ -211,8 +229,16 @@ def pack(**arrays: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def unit(rows: pd.Series, d: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), d)
+def rows_of(vectors: pd.Series, d: int) -> np.ndarray:
+    """The vectors as rows; in single precision if that holds them exactly."""
+    x = np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), d)
+    with np.errstate(over="ignore"):
+        y = x.astype(np.float32)
+    return y if np.array_equal(x, y) else x
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -228,8 +254,7 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def embedding_components(vectors: DataFrame, least: float = 0.9, shard_rows: int = 20_000, min_shards: int = 8, audit_recall: float = 0.98,
-                         at_once: int = 8) -> DataFrame:
+def embedding_components(vectors: DataFrame, least: float = 0.9, shard_rows: int = 20_000, min_shards: int = 8, audit_recall: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for the rows of (vec_id, embedding)."""
     spark = vectors.sparkSession
     ws = Workspace(spark, "embeddings")
@@ -258,28 +283,33 @@ def embedding_components(vectors: DataFrame, least: float = 0.9, shard_rows: int
     def build(p: pd.DataFrame) -> pd.DataFrame:
         d = int(p["d"].iloc[0])
         p = p.sort_values(["c1", "c2"])
-        x = unit(p["v"], d)
+        rows = rows_of(p["v"], d)
+        x, tally = unit(rows), np.zeros(2, np.int64)
         g = Graph(x).build()
-        a, b = [np.concatenate(z) for z in zip(*[(s[0] + i, s[1]) for i in range(0, len(x), 1024) for s in [g.links(x, x[i: i + 1024], least, audit_recall)]], strict=True)]
-        blob = pack(x=x, cid=p["cid"].to_numpy(), copies=p["copies"].to_numpy(), top=np.array(g.top), label=local_components(len(x), a, b),
+        a, b = [np.concatenate(z) for z in zip(*[(s[0] + i, s[1]) for i in range(0, len(x), BLOCK) for s in [g.links(x, x[i: i + BLOCK], least, audit_recall, tally)]], strict=True)]
+        blob = pack(x=rows, cid=p["cid"].to_numpy(), copies=p["copies"].to_numpy(), top=np.array(g.top), label=local_components(len(x), a, b),
                     level=g.level, **{f"adj{i}": v for i, v in enumerate(g.adj)})
-        return pd.DataFrame({"d": [d], "shard": [int(p["shard"].iloc[0])], "graph": [blob]})
-
-    graphs = ws.write(classes.groupBy("d", "shard").applyInPandas(build, "d int, shard int, graph binary"))
-    keys = sorted((r[0], r[1]) for r in graphs.select("d", "shard").collect())
-    parts = []
-    for k in range(0, len(keys), at_once):
-        union = None
-        for d, shard in keys[k: k + at_once]:
-            blob = spark.sparkContext.broadcast(graphs.where((F.col("d") == d) & (F.col("shard") == shard)).first()["graph"])
-            got = classes.where(F.col("d") == d).select("cid", "v").mapInPandas(_search(blob, d, least, audit_recall), "cid long, links long, a long, b long")
-            union = got if union is None else union.union(got)
-        parts.append(ws.write(union))
-    if not parts:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
+        return pd.DataFrame({"d": [d], "shard": [int(p["shard"].iloc[0])], "x": [blob]})
+
+    graphs = ws.write(classes.groupBy("d", "shard").applyInPandas(build, "d int, shard int, x binary"))
+
+    def blocks_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            for d, own in p.groupby("d"):
+                for i in range(0, len(own), BLOCK):
+                    part = own.iloc[i: i + BLOCK]
+                    blob = pack(x=rows_of(part["v"], int(d)), cid=part["cid"].to_numpy())
+                    yield pd.DataFrame({"d": [int(d)], "block": [int(part["cid"].iloc[0])], "x": [blob]})
+
+    blocks = ws.write(classes.select("d", "cid", "v").mapInPandas(blocks_of, "d int, block long, x binary"))
+    ranges = max(1, -(-max(n.values(), default=1) // shard_rows))
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    held = graphs.select("d", "shard", each(ranges).alias("range"), F.lit(-1).cast("long").alias("block"), "x")
+    asked = blocks.select("d", each(shards).alias("shard"), F.pmod(F.xxhash64("block"), F.lit(ranges)).cast("int").alias("range"), "block", "x")
+    dealt = held.union(asked).repartition(min(max(1, len(n)) * shards * ranges, 20_000), "d", "shard", "range").sortWithinPartitions("d", "shard", "range", "block")
+    found = ws.write(dealt.mapInPandas(_search(least, audit_recall), "cid long, links long, a long, b long"), batch_rows=4)
+    ws.drop(graphs)
+    ws.drop(blocks)
     of = components(ws, found.where("a is not null").select("a", "b")).withColumnRenamed("node", "cid")
     named = classes.select("cid", "low", "d", "c1", "c2", "copies").join(of, "cid", "left").join(
         found.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left")
@@ -292,17 +322,30 @@ def embedding_components(vectors: DataFrame, least: float = 0.9, shard_rows: int
                       F.col("vec_id").eqNullSafe(comp).alias("kept"))
 
 
-def _search(blob, d: int, least: float, recall: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        z = np.load(io.BytesIO(blob.value))
-        x, cid, copies, label = z["x"], z["cid"], z["copies"], z["label"]
+def _search(least: float, recall: float):
+    """Rows come sorted by (d, shard, range, block): a graph first (block -1), then the blocks that query it."""
+
+    def opened(blob: bytes) -> tuple:
+        z = np.load(io.BytesIO(blob))
+        x = unit(z["x"])
         g = Graph.__new__(Graph)
         g.x, g.level, g.top = x.astype(np.float32), z["level"], z["top"].tolist()
         g.adj = [z[f"adj{i}"] for i in range(sum(k.startswith("adj") for k in z.files))]
+        return g, x, z["cid"], z["copies"], z["label"], np.zeros(2, np.int64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, None
         for p in batches:
-            for i in range(0, len(p), 1024):
-                own = p["cid"].to_numpy()[i: i + 1024]
-                a, b = g.links(x, unit(p["v"].iloc[i: i + 1024], d), least, recall)
+            for d, shard, range_, block, blob in zip(*(p[c] for c in ("d", "shard", "range", "block", "x")), strict=True):
+                if block < 0:
+                    at, held = (d, shard, range_), opened(blob)
+                    continue
+                if at != (d, shard, range_):
+                    continue  # no vector of this length in this shard
+                g, x, cid, copies, label, tally = held
+                z = np.load(io.BytesIO(blob))
+                own = z["cid"]
+                a, b = g.links(x, unit(z["x"]), least, recall, tally)
                 ok = own[a] != cid[b]
                 a, b = a[ok], b[ok]
                 if not len(a):
