@@ -1,418 +1,610 @@
-"""Language-model scoring with an Elias-Fano n-gram trie of two levels.
+"""Language-model scoring with an Elias-Fano n-gram trie of three levels.
 
-Tokens are 64-bit hashes of words (A-Z folded) and one end per text.  Level 1 holds the training words, Elias-Fano coded
-in order of their hashes, with counts and quantised back-off weights; monotone Elias-Fano pointers lead to level 2, the
-words seen after each, as 40-bit hashes behind the context's number, with quantised discounted probabilities.  A query
-finds its context on level 1 and then its word by successor search among that context's values.
+Tokens are 64-bit hashes of words (A-Z folded) and one end per text, after two starts.  With c the counts in the training
+texts and T the number of distinct words that follow,
 
-    p(w | u) = max(c(uw) - D, 0) / c(u) + D T(u) / c(u) p1(w),   p1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))
+    p(w | t u) = max(c(tuw) - D, 0) / c(tu) + D T(tu) / c(tu) p(w | u)
+    p(w | u)   = max(c(uw) - D, 0) / c(u) + D T(u) / c(u) p1(w),        p1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))
 
-with T(u) the number of distinct words after u; an unknown context gives p1(w).  Counts cover all training texts: tasks
-count pairs of their part of the corpus and pack them by bucket of the context's hash; packs of a bucket are merged in a
-tree, so that a very frequent context costs each task its distinct successors only; the last task of a bucket codes its
-piece of the trie.
+and the shorter context alone where the longer one was never seen.
 
-Scoring turns texts into blocks of distinct contexts and pairs.  Where the shared folder is a mounted one and the corpus
-is below ``map_bytes`` of text, the pieces are files there and each task memory-maps them in place.  Else the pieces are
-a table and the blocks' questions go to it: they are dealt to shelves of pieces (a shelf asked very often is read by
-several tasks), each task maps its shelf's pieces from its own temporary file while it answers, and the answers go back
-to the blocks.  Both ways use one search.
+Training and scoring share one exchange, since nearly every n-gram that is counted is asked for as well:
 
-Defined results: null and empty texts are one end token; null doc_ids are not held out and are learned from; repeated
-rows are scored and counted each; without training texts c, N and V are 0; extra columns do no harm.
+1. Texts are written as blocks of ``block_bytes``; a longer text is spread over several.
+2. A block's distinct trigrams, with their counts in its training texts, go to buckets by a hash of their first two words,
+   in packs of words, successors and their successors.  A bucket covers about ``bucket_bytes`` of text.
+3. A bucket's task counts the trigrams of its packs and codes them as a trie: level 1 holds the first words, Elias-Fano
+   coded in the order of their hashes; monotone Elias-Fano pointers lead to level 2, the words after each, and from there to
+   level 3, as 40-bit hashes behind the number of their context.  Levels 2 and 3 carry quantised discounted probabilities
+   and back-off weights (16 bits).  The trie is memory-mapped from a file of the task, and each pack of the bucket is answered by
+   successor search within its contexts.
+4. Counts and successor counts of words are summed over the buckets in a second, smaller exchange, which answers each
+   block's words.  Answers go back to the blocks, whose texts are scored.
+
+Skew.  A pair of words that makes more than ``hot_share`` of all tokens is split: its trigrams are dealt by the third word
+as well, and its totals are summed (at most 2 / hot_share pairs, a list of bounded size that goes to the tasks).  So no
+context, however frequent, fills one task, and a task holds one bucket or one block.  Rows of the first exchange are blocks
+times buckets, at most one for each distinct trigram of a block.  Counts are 64-bit.
+
+Strings are told apart by 64 bits, words behind a known context by 40.  Defined results: null and empty texts are one end
+token; null doc_ids are carried; null held_out is false; repeated rows are scored and counted each; without training texts
+c, N and V are 0; extra columns do no harm; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import Workspace
 from textloom.llm.elias_fano import EliasFano, dump, loaded, mapped
 
-START = xxhash.xxh64_intdigest(b"\n\n")  # no word holds a newline
-END = xxhash.xxh64_intdigest(b"\n")
-SHORT = np.uint64(24)
+BASE = 0x9E3779B97F4A7C15
+START, END, PAD = (np.uint64(x) for x in (0x9D39247E33776D41, 0x2AF7398005AAA5C7, 0x44DB015024623547))
+SHORT, MASK21, TOP = np.uint64(24), np.uint64((1 << 21) - 1), 1 << 21
 DISCOUNT = 0.75
-CHUNK = 1 << 20
-
-
-def token_hashes(text: str | None) -> list[int]:
-    digest = xxhash.xxh64_intdigest
-    return [digest(w) for w in (text or "").encode("utf-8", "surrogatepass").lower().split()]
-
-
-def pairs_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, token, text number) of every token, end included."""
-    flat: list[int] = []
-    size = []
-    for t in texts:
-        h = token_hashes(t)
-        flat += [START, *h, END]
-        size.append(len(h) + 1)
-    x = np.array(flat, np.uint64)
-    size = np.array(size, np.int64)
-    first = np.zeros(len(x), bool)
-    first[np.concatenate(([0], np.cumsum(size + 1)[:-1]))] = True
-    token = np.flatnonzero(~first)
-    return x[token - 1], x[token], np.repeat(np.arange(len(size)), size)
-
-
-def _texts_by_size(texts, limit: int = CHUNK * 6) -> Iterator[list[int]]:
-    held, size = [], 0
-    for i, t in enumerate(texts):
-        held.append(i)
-        size += len(t) if t is not None else 0
-        if size > limit:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def merge(u: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((w, u))
-    u, w, c = u[order], w[order], c[order]
-    new = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])))) if len(u) else np.zeros(0, int)
-    return u[new], w[new], np.add.reduceat(c, new) if len(new) else c
-
-
-def encode_pairs(u: np.ndarray, w: np.ndarray, c: np.ndarray) -> bytes:
-    new = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
-    fan = np.diff(np.concatenate((new, [len(u)])))
-    tail = w.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-    rest = fan.astype("<u4").tobytes() + c.astype("<u4").tobytes()
-    return np.array([len(new), len(u)], "<u8").tobytes() + u[new].astype("<u8").tobytes() + tail + zlib.compress(rest, 1)
-
-
-def decode_pairs(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, m = np.frombuffer(b, "<u8", 2).tolist()
-    u = np.frombuffer(b, "<u8", n, 16)
-    w = np.zeros((m, 8), np.uint8)
-    w[:, :5] = np.frombuffer(b, np.uint8, 5 * m, 16 + 8 * n).reshape(m, 5)
-    rest = np.frombuffer(zlib.decompress(b[16 + 8 * n + 5 * m:]), "<u4")
-    return np.repeat(u, rest[:n]), w.view("<u8").ravel(), rest[n:].astype(np.int64)
-
-
-def _count(buckets: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
-        size = 0
-
-        def flush():
-            u, w, c = merge(*[np.concatenate(x) for x in zip(*held, strict=True)])
-            of = (u % np.uint64(buckets)).astype(int)
-            order = np.argsort(of, kind="stable")
-            cut = np.searchsorted(of[order], np.arange(buckets + 1))
-            rows = [(b, encode_pairs(*(x[order[cut[b]: cut[b + 1]]] for x in (u, w, c)))) for b in range(buckets) if cut[b] < cut[b + 1]]
-            return pd.DataFrame(rows, columns=["bucket", "pairs"])
+GRID, NONE = 4096, 65535
+WHITE = re.compile(rb"[\x20\x09-\x0D]")
+IS_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+
+
+def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, 64-bit hash) of each word between ASCII white space, A-Z folded."""
+    b = np.frombuffer(raw.lower(), np.uint8)
+    white = IS_WHITE[b]
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], white, [True])).view(np.int8)))
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    if not len(start):
+        return start, np.zeros(0, np.uint64)
+    power = np.full(int(size.max()), BASE, np.uint64)
+    power[0] = 1
+    power = np.cumprod(power, dtype=np.uint64)
+    first = np.cumsum(size) - size
+    h = BYTE[b[~white]]
+    h *= power[np.arange(len(h)) - np.repeat(first, size)]
+    return start, mix(np.add.reduceat(h, first) + size.astype(np.uint64) * np.uint64(BASE))
+
+
+def _parts(raw: bytes, limit: int) -> Iterator[tuple[bytes, bool, bool, tuple[int, int]]]:
+    """(bytes, first?, last?, the two tokens before) of a text, cut at white space about every ``limit`` bytes."""
+    at, before = 0, (START, START)
+    while True:
+        end = WHITE.search(raw, at + limit) if at + limit < len(raw) else None
+        piece = raw[at: end.start()] if end else raw[at:]
+        yield piece, at == 0, end is None, before
+        if end is None:
+            return
+        at = end.end()
+        before = (*before, *words_of(piece)[1][-2:])[-2:]
+
+
+def _blocks(block_bytes: int, hot_share: float):
+    """Rows as blocks, with the hashes and counts of the pairs of words that are frequent in each."""
+
+    def flush(held: list[tuple]) -> pd.DataFrame:
+        ids, held_out, rid, raw, first, last, before = zip(*held, strict=True)
+        null = np.array([i is None for i in ids])
+        arrays = {"raw": np.frombuffer(b"\n".join(raw), np.uint8), "size": np.array([len(x) for x in raw]), "id": np.array([i or 0 for i in ids], np.int64), "null": null, "held": np.array(held_out),
+                  "rid": np.array(rid, np.int64), "last": np.array(last), "before": np.array(before, np.uint64).ravel()}
+        s = sequence(arrays)
+        keys = np.sort(pair_key(s.seq[s.gram - 2], s.seq[s.gram - 1] >> SHORT))
+        new = np.flatnonzero(np.concatenate((keys[:1] == keys[:1], keys[1:] != keys[:-1])))
+        count = np.diff(np.concatenate((new, [len(keys)])))
+        often = count >= max(8.0, hot_share / 2 * len(keys))
+        return pd.DataFrame({"block": [uuid.uuid4().int >> 66], "x": [dump(arrays)], "grams": [len(keys)], "often": [keys[new][often].view(np.int64).tolist()], "counts": [count[often].tolist()]})
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for p in batches:
-            texts = p["text"].tolist()
-            for part in _texts_by_size(texts):
-                u, w, _ = pairs_of([texts[i] for i in part])
-                got = merge(u, w >> SHORT, np.ones(len(u), np.int64))
-                held.append(got)
-                size += len(got[0])
-                if size > 4 * CHUNK:
-                    yield flush()
-                    held, size = [], 0
+            for i, h, t in zip(p["doc_id"], p["held_out"], p["text"], strict=True):  # ids as text: pandas has no integer column with nulls
+                raw = (t or "").encode("utf-8", "surrogatepass")
+                rid = uuid.uuid4().int >> 66 if len(raw) > block_bytes else 0
+                for piece, first, last, before in _parts(raw, block_bytes):
+                    if held and size + len(piece) > block_bytes:
+                        yield flush(held)
+                        held, size = [], 0
+                    held.append((None if i is None else int(i), bool(h), rid, piece, first, last, before))
+                    size += len(piece) + 1
         if held:
-            yield flush()
+            yield flush(held)
 
     return run
 
 
-def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """8-bit codes and the codebook: the mean of each of 256 bins of equal numbers of distinct values."""
-    values, code = np.unique(x, return_inverse=True)
-    if len(values) > 256:
-        bins = np.arange(len(values)) * 256 // len(values)
-        book = np.bincount(bins, weights=values) / np.bincount(bins)
-        return bins[code].astype(np.uint8), book
-    return code.astype(np.uint8), values if len(values) else np.zeros(1)
+@dataclass
+class Sequence:
+    """The tokens of a block's parts one after the other, each part behind its two tokens of context."""
+
+    seq: np.ndarray  # 64-bit hashes
+    gram: np.ndarray  # positions that end a trigram: tokens and, after each end, a pad
+    of: np.ndarray  # the part of each of these
+    pad: np.ndarray  # is it a pad?
+
+
+def sequence(x: dict[str, np.ndarray]) -> Sequence:
+    start, h = words_of(x["raw"].tobytes())
+    size, last = x["size"].astype(np.int64), x["last"].astype(np.int64)
+    of = np.searchsorted(np.cumsum(size + 1), start, side="right")
+    n = np.bincount(of, minlength=len(size))
+    length = 2 + n + 2 * last
+    at = np.cumsum(length) - length
+    seq = np.empty(int(length.sum()), np.uint64)
+    seq[at], seq[at + 1] = x["before"][0::2], x["before"][1::2]
+    seq[at[of] + 2 + np.arange(len(h)) - (np.cumsum(n) - n)[of]] = h
+    ends = (at + 2 + n)[last > 0]
+    seq[ends], seq[ends + 1] = END, PAD
+    is_gram, is_pad = np.ones(len(seq), bool), np.zeros(len(seq), bool)
+    is_gram[at] = is_gram[at + 1] = False
+    is_pad[ends + 1] = True
+    gram = np.flatnonzero(is_gram)
+    return Sequence(seq, gram, np.repeat(np.arange(len(size)), length)[gram], is_pad[gram])
+
+
+def pair_key(a: np.ndarray, b40: np.ndarray) -> np.ndarray:
+    return mix(a * np.uint64(BASE) + b40)
+
+
+@dataclass
+class Hot:
+    """Split pairs: sorted keys and over how many buckets each is dealt."""
 
+    keys: np.ndarray
+    ways: np.ndarray
 
-def build_piece(u: np.ndarray, w: np.ndarray, c: np.ndarray) -> dict[str, np.ndarray]:
-    """The trie over merged pairs of one bucket."""
-    new = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
-    ctx = np.cumsum(np.concatenate(([True], u[1:] != u[:-1]))) - 1
-    total = np.add.reduceat(c, new)
-    fan = np.diff(np.concatenate((new, [len(u)])))
-    rest, rest_book = quantise(np.log10(DISCOUNT * fan / total))
-    prob, prob_book = quantise(np.log10((c - DISCOUNT) / total[ctx]))
-    keys = (ctx.astype(np.uint64) << np.uint64(40)) | w
-    return {"count": total, "rest": rest, "rest_book": rest_book, "prob": prob, "prob_book": prob_book,
-            **EliasFano.encode(u[new], 1 << 64).parts("words"), **EliasFano.encode(np.concatenate((new, [len(u)])), len(u) + 1).parts("pointers"),
-            **EliasFano.encode(keys, len(new) << 40).parts("after")}
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[i] == keys, i, -1)
 
 
-def _merged(then):
-    """Runs over rows sorted by their first columns; of each key the packed pairs are merged as they come."""
+@dataclass
+class Grams:
+    """A block's distinct words, pairs and trigrams, in the order of the packs that are sent to the buckets."""
+
+    words: np.ndarray
+    a: np.ndarray  # of each pair its words' numbers
+    b: np.ndarray
+    hot: np.ndarray  # and its number among the split pairs, or -1
+    entry_of: np.ndarray  # and where it is asked, if it is not split
+    bucket: np.ndarray  # of each entry (a pair in a bucket)
+    pair: np.ndarray
+    fan: np.ndarray  # its trigrams
+    ctx: np.ndarray  # of each trigram its pairs: the context, and the last two words
+    tail: np.ndarray
+    c: np.ndarray  # and its last word
+    count: np.ndarray  # and its count in the training texts
+    number: np.ndarray  # of each position of the sequence its trigram
+
+
+def grams(s: Sequence, learn: np.ndarray, buckets: int, hot: Hot) -> Grams:
+    words, ids = np.unique(s.seq, return_inverse=True)
+    if len(words) >= TOP:
+        raise ValueError("a block holds more than 2^21 words: block_bytes is too large")
+    ids = ids.astype(np.uint64)
+    key = ids[s.gram - 2] << np.uint64(42) | ids[s.gram - 1] << np.uint64(21) | ids[s.gram]
+    order = np.argsort(key)
+    key = key[order]
+    new = np.concatenate((key[:1] == key[:1], key[1:] != key[:-1]))
+    number = np.empty(len(key), np.int64)
+    number[order] = np.cumsum(new) - 1
+    key = key[new]
+    count = np.bincount(number, weights=learn[s.of], minlength=len(key)).astype(np.int64)
+    pairs = np.unique(np.concatenate((key >> np.uint64(21), key & np.uint64((1 << 42) - 1))))
+    ctx, tail = np.searchsorted(pairs, key >> np.uint64(21)), np.searchsorted(pairs, key & np.uint64((1 << 42) - 1))
+    a, b, c = (pairs >> np.uint64(21)).astype(np.int64), (pairs & MASK21).astype(np.int64), (key & MASK21).astype(np.int64)
+    pk = pair_key(words[a], words[b] >> SHORT)
+    is_hot = hot.find(pk)
+    own = (pk % np.uint64(buckets)).astype(np.int64)
+    bucket = own[ctx]
+    if len(split := np.flatnonzero(is_hot[ctx] >= 0)):
+        ways = hot.ways[is_hot[ctx[split]]].astype(np.uint64)
+        bucket[split] = ((pk[ctx[split]] % np.uint64(buckets) + mix(words[c[split]] >> SHORT) % ways) % np.uint64(buckets)).astype(np.int64)
+    cold = np.flatnonzero(is_hot < 0)
+    where = np.unique(np.concatenate((own[cold] << 32 | cold, bucket[split] << 32 | ctx[split])))
+    entry_of = np.full(len(pairs), -1)
+    e_bucket, e_pair = where >> 32, where & 0xFFFFFFFF
+    plain = is_hot[e_pair] < 0
+    entry_of[e_pair[plain]] = np.flatnonzero(plain)
+    entry = entry_of[ctx]
+    entry[split] = np.searchsorted(where, bucket[split] << 32 | ctx[split])
+    order = np.argsort(entry, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return Grams(words, a, b, is_hot, entry_of, e_bucket, e_pair, np.bincount(entry, minlength=len(where)), ctx[order], tail[order], c[order], count[order], place[number])
+
+
+def small(x: np.ndarray) -> np.ndarray:
+    """Non-negative integers as bytes; 255 stands for one of the 8-byte integers behind them."""
+    return np.concatenate((np.minimum(x, 255).astype(np.uint8), x[x >= 255].astype("<i8").view(np.uint8)))
+
+
+def unsmall(x: np.ndarray, n: int) -> np.ndarray:
+    out = x[:n].astype(np.int64)
+    out[out == 255] = np.frombuffer(x[n:].tobytes(), "<i8")
+    return out
+
+
+def five(x: np.ndarray) -> np.ndarray:
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+
+
+def unfive(x: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x) // 5, 8), np.uint8)
+    out[:, :5] = x.reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
+def packs(g: Grams) -> Iterator[tuple[int, bytes]]:
+    """(bucket, pack): sizes, first words, entries of each, second words, trigrams of each, third words, counts."""
+    bucket, a = g.bucket, g.a[g.pair]
+    new = np.concatenate((bucket[:1] == bucket[:1], (bucket[1:] != bucket[:-1]) | (a[1:] != a[:-1])))
+    head = np.flatnonzero(new)
+    first = g.words[a[head]].astype("<u8")
+    fan = np.diff(np.concatenate((head, [len(bucket)])))
+    b, c = five(g.words[g.b[g.pair]] >> SHORT), five(g.words[g.c] >> SHORT)
+    cut = np.flatnonzero(np.concatenate((bucket[:1] == bucket[:1], bucket[1:] != bucket[:-1])))
+    tri = np.concatenate(([0], np.cumsum(g.fan)))
+    cuts = [*cut.tolist(), len(bucket)]
+    heads = np.searchsorted(head, cuts).tolist()
+    for k, (e0, e1) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        h0, h1, t0, t1 = heads[k], heads[k + 1], tri[e0], tri[e1]
+        parts = [small(fan[h0:h1]), small(g.fan[e0:e1]), small(g.count[t0:t1])]
+        sizes = np.array([h1 - h0, e1 - e0, t1 - t0, len(parts[0]), len(parts[1])], "<u4")
+        yield int(bucket[e0]), b"".join((sizes.tobytes(), first[h0:h1].tobytes(), b[e0:e1].tobytes(), c[t0:t1].tobytes(), *(x.tobytes() for x in parts)))
+
+
+def unpacked(x: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word and second of each entry, its trigrams, third word and count of each trigram)."""
+    n_a, n_e, n_t, f_a, f_e = np.frombuffer(x, "<u4", 5).tolist()
+    y, at = np.frombuffer(x, np.uint8), 20
+    cut = []
+    for n in (8 * n_a, 5 * n_e, 5 * n_t, f_a, f_e):
+        cut.append(y[at: at + n])
+        at += n
+    return np.repeat(np.frombuffer(cut[0].tobytes(), "<u8"), unsmall(cut[3], n_a)), unfive(cut[1]), unsmall(cut[4], n_e), unfive(cut[2]), unsmall(y[at:], n_t)
+
+
+def share_code(p: np.ndarray) -> np.ndarray:
+    """16-bit code of a number in (0, 1]."""
+    return np.minimum(np.rint(-np.log10(p) * GRID), NONE - 1).astype(np.uint16)
+
+
+def amount_code(x: np.ndarray) -> np.ndarray:
+    """16-bit code of a number from 0.1 to 10^15."""
+    return np.minimum(np.rint((np.log10(x) + 1) * GRID), NONE - 1).astype(np.uint16)
+
+
+SHARE, AMOUNT = 10.0 ** (-np.arange(1 << 16) / GRID), 10.0 ** (np.arange(1 << 16) / GRID - 1)
+SHARE[NONE] = AMOUNT[NONE] = 0.0
+
+
+def build_trie(a: np.ndarray, b: np.ndarray, c: np.ndarray, count: np.ndarray, hot: Hot) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """(the trie's arrays, totals) of counted trigrams, in any order and with repeats.
+
+    Totals: of each first word the sums over its pairs, split ones left out; of each split pair its sums here.
+    """
+    order = np.lexsort((c, b, a))
+    a, b, c, count = a[order], b[order], c[order], count[order]
+    top = np.concatenate((a[:1] == a[:1], a[1:] != a[:-1]))
+    mid = top | np.concatenate((a[:1] == a[:1], b[1:] != b[:-1]))
+    low = mid | np.concatenate((a[:1] == a[:1], c[1:] != c[:-1]))
+    low = np.flatnonzero(low)
+    count = np.add.reduceat(count, low) if len(low) else count
+    a, b, c, top, mid = a[low], b[low], c[low], np.flatnonzero(top[low]), np.flatnonzero(mid[low])
+    total = np.add.reduceat(count, mid) if len(mid) else count
+    fan = np.diff(np.concatenate((mid, [len(c)])))
+    pair_of, word_of = np.repeat(np.arange(len(mid)), fan), np.searchsorted(top, mid, side="right") - 1
+    split = hot.find(pair_key(a[mid], b[mid]))
+    own = split < 0
+    prob = np.where(own[pair_of], share_code((count - DISCOUNT) / total[pair_of]), amount_code(count - DISCOUNT)) if len(c) else np.zeros(0, np.uint16)
+    width = [min(40, 63 - max(1, len(x)).bit_length()) for x in (top, mid)]  # bits of a hash behind its context's number
+    keys = [(of.astype(np.uint64) << np.uint64(w)) | x >> np.uint64(40 - w) for of, w, x in ((word_of, width[0], b[mid]), (pair_of, width[1], c))]
+    first = np.searchsorted(mid, top)
+    trie = {"pair": amount_code(total - DISCOUNT), "rest": share_code(np.minimum(1.0, DISCOUNT * fan / total)), "prob": prob.astype(np.uint16), "width": np.array(width),
+            **EliasFano.encode(a[top], 1 << 64).parts("words"), **EliasFano.encode(keys[0], max(1, len(top)) << width[0]).parts("second"), **EliasFano.encode(keys[1], max(1, len(mid)) << width[1]).parts("third"),
+            **EliasFano.encode(np.concatenate((first, [len(mid)])), len(mid) + 1).parts("to_second"), **EliasFano.encode(np.concatenate((mid, [len(c)])), len(c) + 1).parts("to_third")}
+    real = own & ~((a[mid] == START) & (b[mid] == START >> SHORT))  # nothing precedes a text's first word
+    pads = c == PAD >> SHORT
+    totals = {"word": a[top], "count": np.bincount(word_of[real], weights=total[real], minlength=len(top)).astype(np.int64), "fan": np.bincount(word_of[real], minlength=len(top)),
+              "hot": hot.keys[split[~own]], "hot_word": a[mid][~own], "hot_count": total[~own], "hot_fan": fan[~own], "tokens": np.array([count[~pads].sum(), count[pads].sum()])}
+    return trie, totals
+
+
+class Trie:
+    """Successor search in a memory-mapped trie."""
+
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        self.arrays = arrays
+        self.words, self.second, self.third, self.to_second, self.to_third = (EliasFano.load(arrays, k) for k in ("words", "second", "third", "to_second", "to_third"))
+        self.width = arrays["width"].tolist()
+
+    def _under(self, ctx: np.ndarray, x: np.ndarray, level: EliasFano, to: EliasFano, width: int) -> np.ndarray:
+        """Of each word behind its context (numbers, -1: unknown) the number on the next level, or -1."""
+        out = np.full(len(ctx), -1)
+        known = np.flatnonzero(ctx >= 0)
+        own = ctx[known]
+        i, hit = level.find((own.astype(np.uint64) << np.uint64(width)) | x[known] >> np.uint64(40 - width))
+        hit &= (i >= to.get(own).astype(np.int64)) & (i < to.get(own + 1).astype(np.int64))
+        out[known[hit]] = i[hit]
+        return out
+
+    def ask(self, a: np.ndarray, b: np.ndarray, fan: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of each entry's discounted count and back-off weight, and of each of its trigrams' probability."""
+        i, hit = self.words.find(a)
+        pair = self._under(np.where(hit, i, -1), b, self.second, self.to_second, self.width[0])
+        tri = self._under(np.repeat(pair, fan), c, self.third, self.to_third, self.width[1])
+        pick = lambda codes, k: np.where(k >= 0, codes[np.maximum(k, 0)] if len(codes) else NONE, NONE).astype(np.uint16)
+        return pick(self.arrays["pair"], pair), pick(self.arrays["rest"], pair), pick(self.arrays["prob"], tri)
+
+
+SENT = "bucket int, block long, x binary"
+ANSWERS = "kind int, block long, part int, x binary"
+CODES, TOTALS, ASKED, SPLIT, SUMS = range(5)
+
+
+def _ask(buckets: int, shelves: int, hot: Hot):
+    """Packs for the buckets, and the block's words for the shelves behind these."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
-        size, at = 0, None
         for p in batches:
-            for *key, blob in zip(*(p[c] for c in p.columns), strict=True):
-                if at is not None and key != at:
-                    yield then(at, *merge(*[np.concatenate(x) for x in zip(*held, strict=True)]))
-                    held, size = [], 0
-                at = key
-                held.append(decode_pairs(blob))
-                size += len(held[-1][0])
-                if size > 4 * CHUNK and len(held) > 1:
-                    held = [merge(*[np.concatenate(x) for x in zip(*held, strict=True)])]
-                    size = len(held[0][0]) // 2
-        if held:
-            yield then(at, *merge(*[np.concatenate(x) for x in zip(*held, strict=True)]))
+            for block, x in zip(p["block"], p["x"], strict=True):
+                arrays = loaded(x)
+                g = grams(sequence(arrays), ~arrays["held"], buckets, hot)
+                rows = [(b, block, y) for b, y in packs(g)] + [(buckets + s, block, w.tobytes()) for s, w in dealt(g.words, shelves)]
+                yield pd.DataFrame(rows, columns=["bucket", "block", "x"])
 
     return run
 
 
-def _pack(key: list, u: np.ndarray, w: np.ndarray, c: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"bucket": [key[0]], "pairs": [encode_pairs(u, w, c)]})
-
-
-def _build(folder: str | None):
-    """A piece as a row, or as a file of the shared folder that the row names."""
-
-    def build(key: list, u: np.ndarray, w: np.ndarray, c: np.ndarray) -> pd.DataFrame:
-        arrays = build_piece(u, w, c)
-        start = np.flatnonzero(u == np.uint64(START))
-        piece, path = dump(arrays), None
-        size = len(piece)
-        if folder:
-            os.makedirs(folder, exist_ok=True)
-            path = os.path.join(folder, f"{key[0]}-{uuid.uuid4().hex}")  # a task that runs again writes another file
-            with open(path, "wb") as f:
-                f.write(piece)
-            piece = None
-        return pd.DataFrame({"bucket": key, "tokens": [int(c.sum())], "words": [len(arrays["count"]) - bool(len(start))], "texts": [int(c[start].sum())], "size": [size], "path": [path], "piece": [piece]})
-
-    return build
-
-
-class Pieces:
-    """Memory-mapped pieces of the trie by bucket."""
-
-    def __init__(self, buckets: int):
-        self.buckets, self.paths, self.open = buckets, {}, {}
-
-    def get(self, bucket: int) -> tuple:
-        if bucket not in self.open:
-            a = mapped(self.paths[bucket])
-            self.open[bucket] = (a, *(EliasFano.load(a, k) for k in ("words", "pointers", "after")))
-        return self.open[bucket]
-
-    def ask(self, u: np.ndarray, fan: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each context its count and back-off weight (log10; NaN: unknown), of each of its fan pairs the probability (0: unseen)."""
-        count, rest, prob = np.zeros(len(u)), np.full(len(u), np.nan), np.zeros(len(w))
-        bucket = (u % np.uint64(self.buckets)).astype(int)
-        of = np.repeat(np.arange(len(u)), fan)
-        order = np.argsort(bucket, kind="stable")
-        pairs = np.argsort(bucket[of], kind="stable")
-        have = np.array(sorted(self.paths), int)
-        cut = np.searchsorted(bucket[order], np.stack((have, have + 1)))
-        cut2 = np.searchsorted(bucket[of][pairs], np.stack((have, have + 1)))
-        number = np.full(len(u), -1)
-        for b, lo, hi, lo2, hi2 in zip(have.tolist(), *cut.tolist(), *cut2.tolist(), strict=True):
-            if lo == hi:
-                continue
-            a, words, pointers, after = self.get(b)
-            mine = order[lo:hi]
-            i, hit = words.find(u[mine])
-            mine, i = mine[hit], i[hit]
-            count[mine], rest[mine], number[mine] = a["count"][i], a["rest_book"][a["rest"][i]], i
-            mine = pairs[lo2:hi2]
-            mine = mine[number[of[mine]] >= 0]
-            ctx = number[of[mine]]
-            i, hit = after.find((ctx.astype(np.uint64) << np.uint64(40)) | w[mine])
-            hit &= (i >= pointers.get(ctx).astype(np.int64)) & (i < pointers.get(ctx + 1).astype(np.int64))
-            prob[mine[hit]] = 10.0 ** a["prob_book"][a["prob"][i[hit]]]
-        return count, rest, prob
-
-
-def questions(texts: list[str | None], buckets: int, shelves: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """(what turns answers into scores, contexts, 40-bit hashes of the words after them), in order of shelf and context."""
-    u, w, of = pairs_of(texts)
-    words, where = np.unique(np.concatenate((u, w)), return_inverse=True)
-    shelf = (words % np.uint64(buckets) % np.uint64(shelves)).astype(np.int64)
-    shelf[words == np.uint64(END)] = shelves  # no context
+def dealt(words: np.ndarray, shelves: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shelf, its words in order)."""
+    shelf = (words % np.uint64(shelves)).astype(np.int64)
     order = np.argsort(shelf, kind="stable")
-    rank = np.empty(len(words), np.int64)
-    rank[order] = np.arange(len(words))
-    pair, back = np.unique(rank[where[: len(u)]] * len(words) + where[len(u):], return_inverse=True)
-    ctx, after = pair // len(words), pair % len(words)
-    n = len(words) - int((shelf == shelves).sum())
-    how = {"tokens": np.bincount(of, minlength=len(texts)).astype(np.uint32), "pair": back.astype(np.uint32), "fan": np.bincount(ctx, minlength=n).astype(np.uint32),
-           "word": rank[after].astype(np.uint32), "cut": np.searchsorted(shelf[order][:n], np.arange(shelves + 1)).astype(np.uint32)}
-    return how, words[order][:n], words[after] >> SHORT
-
-
-def scores(how: dict[str, np.ndarray], count: np.ndarray, rest: np.ndarray, prob: np.ndarray, ends: int, scale: float) -> tuple[np.ndarray, ...]:
-    """(tokens, known tokens, base score, score) of each text."""
-    c = np.concatenate((count, [ends]))[how["word"]]
-    p1 = (c + 0.5) / scale
-    p = np.where(np.isnan(rest), 1.0, 10.0 ** np.nan_to_num(rest)).repeat(how["fan"]) * p1 + prob
-    tokens = how["tokens"].astype(np.int64)
-    of, n = np.repeat(np.arange(len(tokens)), tokens), len(tokens)
-    total = lambda x: np.bincount(of, weights=x[how["pair"]], minlength=n)
-    return tokens, total((c > 0).astype(float)).astype(np.int64), total(np.log10(p1)), total(np.log10(p))
+    cut = np.searchsorted(shelf[order], np.arange(shelves + 1))
+    for s in np.flatnonzero(np.diff(cut)).tolist():
+        yield s, words[order[cut[s]: cut[s + 1]]]
+
+
+def _answer(buckets: int, shelves: int, hot: Hot):
+    """Rows come sorted by bucket: its packs are counted, coded and answered; words pass on to their shelves."""
+
+    def solve(rows: list[tuple[int, bytes]]) -> pd.DataFrame:
+        a, b, fan, c, count = (list(x) for x in zip(*(unpacked(x) for _, x in rows), strict=True))
+        entries, grams_ = [len(x) for x in a], [len(x) for x in c]
+        a, b, fan, c, count = (np.concatenate(x) for x in (a, b, fan, c, count))
+        learned = np.flatnonzero(count)
+        of = np.repeat(np.arange(len(a)), fan)[learned]
+        arrays, totals = build_trie(a[of], b[of], c[learned], count[learned], hot)
+        with tempfile.TemporaryDirectory(prefix="trie-") as folder:
+            path = os.path.join(folder, "levels")
+            with open(path, "wb") as f:
+                f.write(dump(arrays))
+            pair, rest, prob = Trie(mapped(path)).ask(a, b, fan, c)
+        out, e, t = [], 0, 0
+        for (block, _), n, m in zip(rows, entries, grams_, strict=True):
+            out.append((CODES, block, b"".join(x.tobytes() for x in (pair[e: e + n], rest[e: e + n], prob[t: t + m]))))
+            e, t = e + n, t + m
+        for s, w in dealt(totals["word"], shelves):
+            i = np.searchsorted(totals["word"], w)
+            out.append((TOTALS, s, dump({"word": w, "count": totals["count"][i], "fan": totals["fan"][i]})))
+        if len(totals["hot"]):
+            out.append((SPLIT, 0, dump({k: totals[k] for k in ("hot", "hot_word", "hot_count", "hot_fan")})))
+        out.append((SUMS, 0, dump({"tokens": totals["tokens"]})))
+        return pd.DataFrame(out, columns=["kind", "block", "x"])
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, []
+        for p in batches:
+            for bucket, block, x in zip(p["bucket"], p["block"], p["x"], strict=True):
+                if bucket != at and held:
+                    yield solve(held).assign(part=at)[["kind", "block", "part", "x"]]
+                    held = []
+                at = bucket
+                if bucket < buckets:
+                    held.append((block, x))
+                else:
+                    yield pd.DataFrame({"kind": [ASKED], "block": [block], "part": [bucket - buckets], "x": [x]})
+        if held:
+            yield solve(held).assign(part=at)[["kind", "block", "part", "x"]]
 
-@dataclass
-class Model:
-    pieces: DataFrame  # bucket, piece
-    buckets: int
-    n: int
-    v: int
-    texts: int
-    size: int
-    paths: dict[int, str] | None  # of the pieces' files, if they can be mapped in place
+    return run
 
-    @property
-    def scale(self) -> float:
-        return self.n + 0.5 * (self.v + 1)
 
+def _words(extra: dict[str, np.ndarray], shelves: int):
+    """Rows come sorted by (shelf, order): totals of words first, then the blocks' questions."""
 
-def mount_of(url: str) -> str | None:
-    """The path of a folder that executors see as a mounted one."""
-    return url.removeprefix("file://") if url.startswith(("file:///", "/")) else "/" + url[6:].lstrip("/") if url.startswith("file:/") else None
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held, table = None, [], None
+
+        def closed() -> tuple:
+            mine = (extra["word"] % np.uint64(shelves)).astype(np.int64) == at
+            rows = [*held, {k: v[mine] for k, v in extra.items()}]
+            word, count, fan = (np.concatenate([r[k] for r in rows]) for k in ("word", "count", "fan"))
+            words, of = np.unique(word, return_inverse=True)
+            sums = [np.zeros(len(words), np.int64) for _ in range(2)]
+            for s, x in zip(sums, (count, fan), strict=True):
+                np.add.at(s, of, x)
+            seen = sums[0] > 0
+            return EliasFano.encode(words[seen], 1 << 64), sums[0][seen], share_code(np.minimum(1.0, DISCOUNT * sums[1][seen] / sums[0][seen])), int((words[seen] != START).sum())
+
+        def totals() -> pd.DataFrame:
+            return pd.DataFrame({"kind": [SUMS], "block": [table[3]], "part": [at], "x": [b""]})
 
+        for p in batches:
+            for shelf, order, block, x in zip(p["shelf"], p["order"], p["block"], p["x"], strict=True):
+                if shelf != at:
+                    if at is not None:
+                        table = table or closed()
+                        yield totals()
+                    at, held, table = shelf, [], None
+                if order == 0:
+                    held.append({k: v.copy() for k, v in loaded(x).items()})
+                    continue
+                table = table or closed()
+                level, count, rest, _ = table
+                i, hit = level.find(np.frombuffer(x, np.uint64))
+                i = np.where(hit, i, 0)
+                n = np.where(hit, count[i], 0) if len(count) else np.zeros(len(i), np.int64)
+                r = np.where(hit, rest[i], NONE).astype(np.uint16) if len(count) else np.full(len(i), NONE, np.uint16)
+                n = n.astype(np.min_scalar_type(int(n.max(initial=0))))
+                yield pd.DataFrame({"kind": [CODES], "block": [block], "part": [shelf], "x": [dump({"count": n, "rest": r})]})
+        if at is not None:
+            table = table or closed()
+            yield totals()
 
-def train(docs: DataFrame, bucket_bytes: int = 32 << 20, map_bytes: int = 64 << 30, pack_bytes: int = 16 << 20, fan_in: int = 64) -> Model:
-    """Counts all texts of docs and codes the trie.  A pack covers about ``pack_bytes`` of text; at most about ``fan_in`` (2 or more) are merged at once."""
-    spark = docs.sparkSession
-    ws = Workspace(spark, "lm")
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    buckets = max(16, -(-size // bucket_bytes))
-    mount = mount_of(ws.path)
-    folder = f"{mount}/pieces" if mount and size < map_bytes else None
-    counted = docs.select("text").mapInPandas(_count(buckets), "bucket int, pairs binary")
-    packs = size // pack_bytes + 1  # of a bucket, about
-    while packs > max(2, fan_in):
-        packs = -(-packs // max(2, fan_in))
-        dealt = counted.withColumn("part", F.pmod(F.xxhash64("pairs"), F.lit(packs)).cast("int")).repartition(min(buckets * packs, 20_000), "bucket", "part")
-        counted = ws.write(dealt.sortWithinPartitions("bucket", "part").select("bucket", "part", "pairs").mapInPandas(_merged(_pack), "bucket int, pairs binary"))
-    pieces = ws.write(counted.repartition(min(buckets, 20_000), "bucket").sortWithinPartitions("bucket").select("bucket", "pairs").mapInPandas(
-        _merged(_build(folder)), "bucket int, tokens long, words long, texts long, size long, path string, piece binary"), compression="none")
-    n, v, texts, total = pieces.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("tokens", "words", "texts", "size")]).first()
-    paths = {r[0]: r[1] for r in pieces.select("bucket", "path").collect()} if folder else None  # size / bucket_bytes rows
-    return Model(pieces.select("bucket", "piece"), buckets, n, v + (texts > 0), texts, total, paths)
+    return run
 
 
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _rows(ids, held, got: tuple[np.ndarray, ...]) -> pd.DataFrame:
-    return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "held_out": held} | dict(zip(("n_tokens", "n_known", "base_score", "score"), got, strict=True)))
-
-
-def lm_score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, base_score, score) of docs' (doc_id, held_out, text)."""
-    docs = docs.select("doc_id", "held_out", "text")
-    if model.paths is None:
-        return _score_by_shelves(docs, model)
-    paths, buckets, ends, scale = model.paths, model.buckets, model.texts, model.scale
+def _finish(buckets: int, shelves: int, hot: Hot, hot_count: np.ndarray, hot_fan: np.ndarray, texts: int, scale: float):
+    """Rows come sorted by (block, kind, part): the texts, the buckets' answers, the shelves' answers."""
+
+    def solve(arrays: dict[str, np.ndarray], answers: list[bytes], by_word: list[tuple[int, dict[str, np.ndarray]]]) -> pd.DataFrame:
+        s = sequence(arrays)
+        g = grams(s, ~arrays["held"], buckets, hot)
+        cut = np.flatnonzero(np.concatenate((g.bucket[:1] == g.bucket[:1], g.bucket[1:] != g.bucket[:-1], [True])))
+        pair, rest, prob = [], [], []
+        for x, n in zip(answers, np.diff(cut).tolist(), strict=True):
+            codes = np.frombuffer(x, np.uint16)
+            pair.append(codes[:n])
+            rest.append(codes[n: 2 * n])
+            prob.append(codes[2 * n:])
+        pair, rest, prob = (np.concatenate(x) for x in (pair, rest, prob))
+        count, back = np.zeros(len(g.words)), np.zeros(len(g.words))
+        for (shelf, w), (part, got) in zip(dealt(g.words, shelves), by_word, strict=True):
+            if shelf != part:
+                raise ValueError("a shelf's answer is missing")
+            i = np.searchsorted(g.words, w)
+            count[i], back[i] = got["count"], SHARE[got["rest"]]
+        context, end = count.copy(), np.searchsorted(g.words, END)
+        if end < len(g.words) and g.words[end] == END:
+            count[end] = texts
+        p1 = (count + 0.5) / scale
+        # of each pair its discounted count, its count and its back-off weight
+        is_hot, entry = g.hot >= 0, np.maximum(g.entry_of, 0)
+        kept = np.where(is_hot, 0.0, AMOUNT[pair[entry]])
+        weight, known = SHARE[rest[entry]], rest[entry] != NONE
+        if is_hot.any():
+            i = g.hot[is_hot]
+            kept[is_hot], weight[is_hot], known[is_hot] = np.maximum(hot_count[i] - DISCOUNT, 0), DISCOUNT * hot_fan[i] / np.maximum(hot_count[i], 1), hot_count[i] > 0
+        seen = context[g.a] > 0
+        p2 = np.where(seen, kept / np.maximum(context[g.a], 1) + back[g.a] * p1[g.b], p1[g.b])
+        share = SHARE[prob]
+        if len(i := np.flatnonzero(is_hot[g.ctx])):
+            share[i] = AMOUNT[prob[i]] / np.maximum(hot_count[g.hot[g.ctx[i]]], 1)
+        p3 = np.where(known[g.ctx], share + weight[g.ctx] * p2[g.tail], p2[g.tail])
+        token = ~s.pad
+        at, of, n = g.number[token], s.of[token], len(arrays["size"])
+        total = lambda x: np.bincount(of, weights=x[at], minlength=n)
+        return pd.DataFrame({"rid": arrays["rid"], "doc_id": pd.array(np.where(arrays["null"], 0, arrays["id"]), "Int64"), "null": arrays["null"].astype(bool), "held_out": arrays["held"].astype(bool),
+                             "n_tokens": np.bincount(of, minlength=n), "n_known": total((count[g.c] > 0).astype(float)).astype(np.int64), "base_score": total(np.log10(p1[g.c])), "score": total(np.log10(p3))})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie = Pieces(buckets)
-        trie.paths = paths
+        at, held, answers, by_word = None, None, [], []
         for p in batches:
-            texts = p["text"].tolist()
-            for part in _texts_by_size(texts):
-                how, u, w = questions([texts[i] for i in part], buckets, 1)
-                yield _rows(p["doc_id"].iloc[part], p["held_out"].iloc[part].to_numpy(), scores(how, *trie.ask(u, how["fan"], w), ends, scale))
-
-    return docs.mapInPandas(run, OUT)
+            for block, kind, part, x in zip(p["block"], p["kind"], p["part"], p["x"], strict=True):
+                if block != at:
+                    if at is not None:
+                        yield solve(held, answers, by_word)
+                    at, answers, by_word = block, [], []
+                if kind < 0:
+                    held = loaded(x)
+                elif kind == 0:
+                    answers.append(x)
+                else:
+                    by_word.append((part, loaded(x)))
+        if at is not None:
+            yield solve(held, answers, by_word)
 
+    return run
 
-def _score_by_shelves(docs: DataFrame, model: Model, shelf_bytes: int = 1 << 29) -> DataFrame:
-    spark = docs.sparkSession
-    ws = Workspace(spark, "lm_score")
-    buckets, ends, scale = model.buckets, model.texts, model.scale
-    shelves = min(buckets, max(4, -(-model.size // shelf_bytes)))
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            texts = p["text"].tolist()
-            for part in _texts_by_size(texts):
-                how, u, w = questions([texts[i] for i in part], buckets, shelves)
-                ids = p["doc_id"].iloc[part].astype("Int64")
-                more = {"id": ids.fillna(0).to_numpy(np.int64), "null": ids.isna().to_numpy(), "held": p["held_out"].iloc[part].to_numpy(bool)}
-                rows = [(-1, dump(how | more))]
-                pair = np.concatenate(([0], np.cumsum(how["fan"].astype(np.int64))))
-                for s, (a, b) in enumerate(zip(how["cut"][:-1].tolist(), how["cut"][1:].tolist(), strict=True)):
-                    if a < b:
-                        rows.append((s, dump({"u": u[a:b], "fan": how["fan"][a:b], "w": w[pair[a]: pair[b]].view(np.uint8).reshape(-1, 8)[:, :5].ravel()})))
-                yield pd.DataFrame(rows, columns=["shelf", "x"]).assign(block=uuid.uuid4().int >> 65)[["block", "shelf", "x"]]
-
-    asked = ws.write(docs.mapInPandas(ask, "block long, shelf int, x binary"))
-    sizes = asked.where("shelf >= 0").groupBy("shelf").agg(F.sum(F.length("x").cast("long")).alias("bytes"))
-    sizes = ws.write(sizes.withColumn("ways", F.ceil(F.col("bytes") / (256 << 20)).cast("int")).select("shelf", "ways"))
-    # the pieces first, then the questions, for each shelf and way
-    held = model.pieces.select((F.col("bucket") % shelves).alias("shelf"), "bucket", F.col("piece").alias("x")).join(sizes, "shelf")
-    held = held.select("shelf", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"), F.lit(0).alias("kind"), F.col("bucket").cast("long").alias("k"), "x")
-    put = asked.where("shelf >= 0").join(sizes, "shelf").select("shelf", F.pmod(F.col("block"), F.col("ways")).cast("int").alias("way"), F.lit(1).alias("kind"), F.col("block").alias("k"), "x")
-
-    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, trie = None, Pieces(buckets)
-        with tempfile.TemporaryDirectory(prefix="shelf-") as folder:
-            for p in batches:
-                rows = []
-                for shelf, way, kind, k, x in zip(*(p[c] for c in ("shelf", "way", "kind", "k", "x")), strict=True):
-                    if (shelf, way) != at:
-                        at, trie = (shelf, way), Pieces(buckets)
-                        for name in os.listdir(folder):
-                            os.unlink(os.path.join(folder, name))
-                    if kind == 0:
-                        path = os.path.join(folder, str(k))
-                        with open(path, "wb") as f:
-                            f.write(x)
-                        trie.paths[int(k)] = path
-                        continue
-                    q = loaded(x)
-                    w = np.zeros((len(q["w"]) // 5, 8), np.uint8)
-                    w[:, :5] = q["w"].reshape(-1, 5)
-                    count, rest, prob = trie.ask(q["u"], q["fan"], w.view("<u8").ravel())
-                    rows.append((k, shelf, dump({"count": count, "rest": rest, "prob": prob.astype(np.float32)})))
-                if rows:
-                    yield pd.DataFrame(rows, columns=["block", "shelf", "x"])
-
-    dealt = held.union(put).repartition("shelf", "way").sortWithinPartitions("shelf", "way", "kind", "k")
-    answers = ws.write(dealt.mapInPandas(answer, "block long, shelf int, x binary"))
-
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, how, got = None, {}, []
-
-        def done():
-            z = [np.concatenate([g[c] for g in got]) for c in ("count", "rest", "prob")]
-            return _rows(pd.Series(how["id"]).astype("Int64").mask(how["null"]), how["held"], scores(how, *z, ends, scale))
+@dataclass
+class Scored:
+    rows: DataFrame  # OUT
+    tokens: int  # of the training texts
+    words: int  # distinct ones, with the end
+    hot_pairs: int
 
-        for p in batches:
-            for block, shelf, x in zip(p["block"], p["shelf"], p["x"], strict=True):
-                if shelf < 0:
-                    if at is not None:
-                        yield done()
-                    at, how, got = block, loaded(x), []
-                else:
-                    got.append(loaded(x))
-        if at is not None:
-            yield done()
 
-    back = asked.where("shelf < 0").union(answers).repartition("block").sortWithinPartitions("block", "shelf")
-    return back.mapInPandas(finish, OUT)
+def lm_score(docs: DataFrame, bucket_bytes: int = 8 << 20, block_bytes: int = 4 << 20, hot_share: float = 2e-5) -> Scored:
+    """Scores all rows of (doc_id, held_out, text) by the model of those that are not held out."""
+    spark = docs.sparkSession
+    ws = Workspace(spark, "lm")
+    docs = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce(F.col("held_out"), F.lit(False)).alias("held_out"), "text")
+    blocks = ws.write(docs.mapInPandas(_blocks(block_bytes, hot_share), "block long, x binary, grams long, often array<long>, counts array<long>"))
+    size, total = blocks.agg(F.coalesce(F.sum(F.length("x").cast("long")), F.lit(0)), F.coalesce(F.sum("grams"), F.lit(0))).first()
+    buckets = max(16, -(-size // bucket_bytes))
+    shelves = min(4096, max(4, buckets // 4))
+    often = blocks.select(F.inline(F.arrays_zip("often", "counts"))).groupBy("often").agg(F.sum("counts").alias("n")).where(F.col("n") > hot_share / 2 * total)
+    often = sorted((r["often"] % (1 << 64), r["n"]) for r in often.collect())  # fewer than 2 / hot_share rows
+    ways = [min(buckets, 1 + -(-4 * n * buckets // max(1, total))) for _, n in often]
+    hot = Hot(np.array([k for k, _ in often], np.uint64), np.array(ways, np.int64))
+    sent = blocks.select("block", "x").mapInPandas(_ask(buckets, shelves, hot), SENT)
+    sent = sent.repartition(min(buckets + shelves, 20_000), "bucket").sortWithinPartitions("bucket", "block")
+    answers = ws.write(sent.mapInPandas(_answer(buckets, shelves, hot), ANSWERS), batch_rows=16)
+    # split pairs: fewer than 2 / hot_share of them, in at most as many buckets as each is dealt over
+    hot_count, hot_fan, hot_word = np.zeros(len(often), np.int64), np.zeros(len(often), np.int64), np.zeros(len(often), np.uint64)
+    if often:
+        split = answers.where(F.col("kind") == SPLIT).select("x").mapInPandas(_split_sums, "hot long, word long, n long, fan long").groupBy("hot").agg(F.min("word").alias("word"), F.sum("n").alias("n"), F.sum("fan").alias("fan"))
+        for r in split.collect():
+            i = hot.find(np.array([r["hot"] % (1 << 64)], np.uint64))[0]
+            hot_count[i], hot_fan[i], hot_word[i] = r["n"], r["fan"], r["word"] % (1 << 64)
+    # what split pairs add to their first words; a pair of two starts does not count as one
+    real = (hot_count > 0) & (hot.keys != pair_key(np.array([START]), np.array([START >> SHORT]))[0]) if often else np.zeros(0, bool)
+    extra = {"word": hot_word[real], "count": hot_count[real], "fan": np.ones(int(real.sum()), np.int64)}
+    of_words = answers.where(F.col("kind") == TOTALS).select(F.col("block").cast("int").alias("shelf"), F.lit(0).alias("order"), F.lit(0).cast("long").alias("block"), "x").union(
+        answers.where(F.col("kind") == ASKED).select(F.col("part").alias("shelf"), F.lit(1), "block", "x"))
+    of_words = of_words.repartition(shelves, "shelf").sortWithinPartitions("shelf", "order", "block")
+    by_word = ws.write(of_words.mapInPandas(_words(extra, shelves), ANSWERS), batch_rows=64)
+    tokens = texts = 0
+    for r in answers.where(F.col("kind") == SUMS).select("x").mapInPandas(_token_sums, "tokens long, texts long").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "texts")]).collect():
+        tokens, texts = r
+    v = by_word.where(F.col("kind") == SUMS).agg(F.coalesce(F.sum("block"), F.lit(0))).first()[0] + (texts > 0)
+    back = blocks.select("block", F.lit(-1).alias("kind"), F.lit(-1).alias("part"), "x").union(
+        answers.where(F.col("kind") == CODES).select("block", F.lit(0), "part", "x")).union(by_word.where(F.col("kind") == CODES).select("block", F.lit(1), "part", "x"))
+    back = back.repartition("block").sortWithinPartitions("block", "kind", "part")
+    rows = ws.write(back.mapInPandas(_finish(buckets, shelves, hot, hot_count, hot_fan, texts, tokens + 0.5 * (v + 1)), f"rid long, {OUT.replace('held', 'null boolean, held', 1)}"), batch_rows=64)
+    for x in (blocks, answers, by_word):
+        ws.drop(x)
+    one = rows.where("rid = 0")
+    many = rows.where("rid <> 0").groupBy("rid", "doc_id", "null", "held_out").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+    out = one.unionByName(many).select(F.when(~F.col("null"), F.col("doc_id")).alias("doc_id"), "held_out", "n_tokens", "n_known", "base_score", "score")
+    return Scored(out, tokens, v, len(often))
+
+
+def _split_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for p in batches:
+        for x in map(loaded, p["x"]):
+            yield pd.DataFrame({"hot": x["hot"].view(np.int64), "word": x["hot_word"].view(np.int64), "n": x["hot_count"], "fan": x["hot_fan"]})
+
+
+def _token_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for p in batches:
+        got = np.sum([loaded(x)["tokens"] for x in p["x"]], axis=0, dtype=np.int64)
+        yield pd.DataFrame({"tokens": [got[0]], "texts": [got[1]]})
 
 
 def op10_lm_score(spark, sf_dir):
@@ -420,6 +612,5 @@ def op10_lm_score(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn(
         "held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False)))
-    model = train(docs.where(~F.col("held_out")))
-    got = lm_score(docs, model)
-    return got.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+    got = lm_score(docs)
+    return got.rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(got.tokens).cast("long").alias("train_tokens"), "base_score", "score")
