@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import decontaminate, line_dedup, packing, simhash, toxicity
-from textloom.llm.common import Workspace, table
+from textloom.llm.common import Workspace, scratch, table
 
 ORACLE_SQL = None  # a learned score and packing can't be put in SQL
 
@@ -39,8 +39,9 @@ STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("simhash_neardu
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents."""
+    """Applies the stages to documents.  What a stage wrote on its way goes as soon as its result is written."""
     docs, ws = table(spark, sf_dir, "documents"), Workspace(spark, "pipeline")
     for _, stage in STAGES:
-        docs = ws.write(stage(spark, docs, sf_dir))
+        with scratch():
+            docs = ws.write(stage(spark, docs, sf_dir))
     return docs

@@ -54,6 +54,8 @@ CASES = [
     ("hex offset", lambda x: e.hex_decode_result(x)["error_offset"], "string", {"00G0": 2, "000g": 3, "00": 0, "é0é0": 0}),
     ("hex_val", e.hex_val, "string", {"0": 0, "f": 15, "A": 10, "g": -1, "": -1}),
     ("base64_encode", e.base64_encode, B, {b"Man": "TWFu", b"Hello": "SGVsbG8=", b"A": "QQ==", b"AB": "QUI=", b"": "", b"x" * 60: "eHh4" * 20}),
+    ("base64_decode strict", e.base64_decode, "string", {"TWF\n": None, "TW u": None, "====": None, "QR==": b"A", "QQ=Q": None, "Q===": None, "TWFuQQ==": b"ManA", "QQ==TWFu": None, "TW\x0bu": None, "éééé": None, "TWF-": None, "TWF_": None}),
+    ("hex_decode strict", e.hex_decode, "string", {"0 ": None, "é": None, "0x": None, "ff00": b"\xff\x00", " 0": None}),
     ("base64_decode", e.base64_decode, "string", {"TWFu": b"Man", "QQ==": b"A", "TWFu=": None, "A=B=": None, "AA!A": None, "": b""}),
     ("base64 error", lambda x: e.base64_decode_result(x)["error"], "string", {"TWFu=": "InvalidLength", "A=B=": "InvalidChar", "TWFu": "Ok"}),
     ("base64 offset", lambda x: e.base64_decode_result(x)["error_offset"], "string", {"TWFuA!==": 5, "!AAA": 0}),
