@@ -2,7 +2,7 @@
 
 import random
 
-from textloom.llm.decontaminate import Matcher, decontaminate, fold, myers, pieces, with_matches
+from textloom.llm.decontaminate import Matcher, decontaminate, fold, heads, myers, pieces, probes, with_matches
 
 
 def least_distance(pattern, text):
@@ -74,8 +74,8 @@ def test_equals_brute_force(spark, docs_of):
             ds = [least_distance(fold(x), t) for j, x in items if j == i and fold(x) if least_distance(fold(x), t) <= int(0.07 * len(fold(x)))] if t else []
             if ds:
                 want.add((d, i, min(ds)))
-    for block in (16 << 20, 300):
-        got = {(r["doc_id"], h["item_id"], h["distance"]) for r in with_matches(docs_of(rows, extra=True), bench, "found", block_bytes=block).collect() for h in r["found"]}
+    for size in (16 << 20, 0):
+        got = {(r["doc_id"], h["item_id"], h["distance"]) for r in with_matches(docs_of(rows, extra=True), bench, "found", automaton_bytes=size).collect() for h in r["found"]}
         assert got == want and len(want) > 20
 
 
@@ -85,8 +85,25 @@ def test_clean_documents_stay_and_columns_too(spark, docs_of):
     out = decontaminate(df, bench)
     assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == [2, 2, 3]
     assert decontaminate(df, bench.where("false")).count() == 4
+    out = decontaminate(df, bench, automaton_bytes=0)
+    assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == [2, 2, 3]
+    assert decontaminate(df, spark.createDataFrame([(1, " "), (2, "")], bench.schema), automaton_bytes=0).count() == 4
+    assert decontaminate(df.where("false"), bench, automaton_bytes=0).count() == 0
     assert decontaminate(df.where("false"), bench).count() == 0
 
 
+def test_bit_table_lets_all_heads_through():
+    rng = random.Random(6)
+    text = "".join(rng.choice("aé€😀 b") for _ in range(200))
+    got = {q: h for q, h in heads(text, {3, 12})}
+    assert {q: len(h) for q, h in got.items()} == {3: 198, 12: 189}
+    for q in (3, 12):
+        same = {}
+        for i, h in enumerate(got[q].tolist()):
+            assert same.setdefault(text[i: i + q], h) == h
+        assert len(set(same.values())) == len(same)
+    assert dict(heads("ab", {3})) == {} and all((p < 1024).all() for p in probes(got[3], 1024))
+
+
 def test_matcher_without_items():
     assert Matcher([], 0.07)("abc") == []
