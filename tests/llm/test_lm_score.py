@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from textloom.llm.elias_fano import EliasFano, dump, loaded
-from textloom.llm.lm_score import AMOUNT, NONE, SHARE, Hot, Trie, build_trie, lm_score, small, unsmall, words_of
+from textloom.llm.lm_score import AMOUNT, NONE, SHARE, Hot, Trie, behind, build_trie, lm_score, small, unsmall, words_of
 
 
 @pytest.mark.parametrize("universe", [10, 1000, 1 << 40, 1 << 64])
@@ -134,20 +134,19 @@ def test_words_are_told_apart_as_their_definition_says():
 def test_counts_beyond_32_bits():
     big = (1 << 32) + 5
     assert unsmall(small(np.array([0, 254, 255, big, 1])), 5).tolist() == [0, 254, 255, big, 1]
-    a, b, c = (np.array(x, np.uint64) for x in ([7, 7, 7, 9], [1, 1, 2, 1], [5, 6, 5, 5]))
-    none = Hot(np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    arrays, totals = build_trie(np.tile(a, 2), np.tile(b, 2), np.tile(c, 2), np.array([big, 1, 1, 3, 1, 0, 1, 0]) + 1, none)
-    assert totals["count"].tolist() == [big + 10, 5] and totals["fan"].tolist() == [2, 1]
-    pair, rest, prob = Trie(loaded(dump(arrays))).ask(np.array([7, 7, 8], np.uint64), np.array([1, 3, 1], np.uint64), np.array([2, 1, 1]), np.array([5, 9, 5, 5], np.uint64))
+    a, fan_a, b, fan_b, c = np.array([7, 9, 8], np.uint64), np.array([2, 1, 1]), np.array([1, 2, 1, 4], np.uint64), np.array([2, 1, 1, 1]), np.array([5, 6, 5, 5, 5], np.uint64)
+    arrays, totals = build_trie(*(np.tile(x, 2) for x in (a, fan_a, b, fan_b, c)), np.array([big, 1, 1, 3, 0, 3, 2, 3, 2, 0]), Hot.none())
+    assert totals["word"].tolist() == [7, 9] and totals["count"].tolist() == [big + 10, 5] and totals["fan"].tolist() == [2, 1] and totals["tokens"].tolist() == [big + 15, 0]
+    pair, rest, prob = Trie(loaded(dump(arrays))).ask(np.array([7, 8], np.uint64), np.array([2, 1]), np.array([1, 3, 1], np.uint64), np.array([2, 1, 1]), np.array([5, 9, 5, 5], np.uint64))
     assert AMOUNT[pair[0]] == pytest.approx(big + 6, rel=1e-3) and pair[1:].tolist() == rest[1:].tolist() == [NONE, NONE]
     assert SHARE[prob[0]] == pytest.approx((big + 3 - 0.75) / (big + 6), rel=1e-3) and prob[1:].tolist() == [NONE] * 3
 
 
 def test_levels_of_many_contexts():
     n = 5000
-    a = np.arange(n, dtype=np.uint64) * np.uint64(1 << 50)
-    none = Hot(np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    arrays, _ = build_trie(a, a >> np.uint64(24), a >> np.uint64(24), np.ones(n, np.int64), none)
+    a, one = np.arange(n, dtype=np.uint64) * np.uint64(1 << 50), np.ones(n, np.int64)
+    arrays, _ = build_trie(a, one, a >> np.uint64(24), one, a >> np.uint64(24), one, Hot.none())
     assert arrays["width"].tolist() == [40, 40]
-    _, _, prob = Trie(loaded(dump(arrays))).ask(a, a >> np.uint64(24), np.ones(n, np.int64), a >> np.uint64(24))
+    _, _, prob = Trie(loaded(dump(arrays))).ask(a, one, a >> np.uint64(24), one, a >> np.uint64(24))
     assert (prob != NONE).all()
+    assert behind(np.zeros(1), np.zeros(1, np.uint64), 1 << 40)[1] == 22  # more contexts leave fewer bits for what follows

@@ -15,6 +15,18 @@ class EliasFano:
 
     def __init__(self, n: int, l: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):  # noqa: E741
         self.n, self.l, self.low, self.high, self.zeros = n, l, low, high, zeros
+        self.zero_at: np.ndarray | None = None
+
+    def unpack_zeros(self) -> EliasFano:
+        """Keeps the places of all zeros of the high bits at hand, 4 bytes each: for many searches one after the other."""
+        at = np.flatnonzero(np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little") == 0)
+        self.zero_at = at.astype(np.uint32) if len(self.high) < 1 << 26 else at
+        return self
+
+    def values(self) -> np.ndarray:
+        """All values, decoded."""
+        at = np.flatnonzero(np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little"))[: self.n]
+        return ((at - np.arange(self.n)).astype(np.uint64) << np.uint64(self.l)) | self.low_bits(np.arange(self.n))
 
     @classmethod
     def encode(cls, x: np.ndarray, universe: int) -> EliasFano:
@@ -38,6 +50,8 @@ class EliasFano:
 
     def _zero(self, j: np.ndarray) -> np.ndarray:
         """Positions of the j-th zeros (from 0)."""
+        if self.zero_at is not None:
+            return self.zero_at[j].astype(np.int64)
         w = np.searchsorted(self.zeros, j.astype(self.zeros.dtype), side="right") - 1
         left = j - self.zeros[w].astype(np.int64)
         word = ~self.high[w]

@@ -11,7 +11,7 @@ and the shorter context alone where the longer one was never seen.
 Training and scoring share one exchange, since nearly every n-gram that is counted is asked for as well:
 
 1. Texts are written as blocks of ``block_bytes``; a longer text is spread over several.
-2. A block's distinct trigrams, with their counts in its training texts, go to buckets by a hash of their first two words,
+2. A block's distinct trigrams, with their counts in its training texts, go to buckets by a hash of their first word,
    in packs of words, successors and their successors.  A bucket covers about ``bucket_bytes`` of text.
 3. A bucket's task counts the trigrams of its packs and codes them as a trie: level 1 holds the first words, Elias-Fano
    coded in the order of their hashes; monotone Elias-Fano pointers lead to level 2, the words after each, and from there to
@@ -21,9 +21,10 @@ Training and scoring share one exchange, since nearly every n-gram that is count
 4. Counts and successor counts of words are summed over the buckets in a second, smaller exchange, which answers each
    block's words.  Answers go back to the blocks, whose texts are scored.
 
-Skew.  A pair of words that makes more than ``hot_share`` of all tokens is split: its trigrams are dealt by the third word
-as well, and its totals are summed (at most 2 / hot_share pairs, a list of bounded size that goes to the tasks).  So no
-context, however frequent, fills one task, and a task holds one bucket or one block.  Rows of the first exchange are blocks
+Skew.  A word that makes about a bucket's share of all tokens is dealt by its pairs, and a pair that does by its third words
+as well; the totals of such split pairs are summed apart.  Both lists follow from counts of all texts and hold fewer than
+2 / hot_share entries, so they go to all tasks.  No context, however frequent, fills one task, and a task holds one bucket
+or one block.  Rows of the first exchange are blocks
 times buckets, at most one for each distinct trigram of a block.  Counts are 64-bit.
 
 Strings are told apart by 64 bits, words behind a known context by 40.  Defined results: null and empty texts are one end
@@ -96,6 +97,15 @@ def _parts(raw: bytes, limit: int) -> Iterator[tuple[bytes, bool, bool, tuple[in
         before = (*before, *words_of(piece)[1][-2:])[-2:]
 
 
+def frequent(keys: np.ndarray, least: float) -> tuple[list[int], list[int]]:
+    """(key, count) of the keys that occur that often."""
+    keys = np.sort(keys)
+    new = np.flatnonzero(np.concatenate((keys[:1] == keys[:1], keys[1:] != keys[:-1])))
+    count = np.diff(np.concatenate((new, [len(keys)])))
+    often = count >= least
+    return keys[new][often].view(np.int64).tolist(), count[often].tolist()
+
+
 def _blocks(block_bytes: int, hot_share: float):
     """Rows as blocks, with the hashes and counts of the pairs of words that are frequent in each."""
 
@@ -105,11 +115,9 @@ def _blocks(block_bytes: int, hot_share: float):
         arrays = {"raw": np.frombuffer(b"\n".join(raw), np.uint8), "size": np.array([len(x) for x in raw]), "id": np.array([i or 0 for i in ids], np.int64), "null": null, "held": np.array(held_out),
                   "rid": np.array(rid, np.int64), "last": np.array(last), "before": np.array(before, np.uint64).ravel()}
         s = sequence(arrays)
-        keys = np.sort(pair_key(s.seq[s.gram - 2], s.seq[s.gram - 1] >> SHORT))
-        new = np.flatnonzero(np.concatenate((keys[:1] == keys[:1], keys[1:] != keys[:-1])))
-        count = np.diff(np.concatenate((new, [len(keys)])))
-        often = count >= max(8.0, hot_share / 2 * len(keys))
-        return pd.DataFrame({"block": [uuid.uuid4().int >> 66], "x": [dump(arrays)], "grams": [len(keys)], "often": [keys[new][often].view(np.int64).tolist()], "counts": [count[often].tolist()]})
+        a, b = s.seq[s.gram - 2], s.seq[s.gram - 1] >> SHORT
+        often = [[(level, k, n) for k, n in zip(*frequent(keys, max(8.0, hot_share / 2 * len(a))), strict=True)] for level, keys in ((1, a), (2, pair_key(a, b)))]
+        return pd.DataFrame({"block": [uuid.uuid4().int >> 66], "x": [dump(arrays)], "grams": [len(a)], "often": [[dict(zip(("level", "k", "n"), x, strict=True)) for y in often for x in y]]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -134,9 +142,10 @@ class Sequence:
     """The tokens of a block's parts one after the other, each part behind its two tokens of context."""
 
     seq: np.ndarray  # 64-bit hashes
-    gram: np.ndarray  # positions that end a trigram: tokens and, after each end, a pad
+    gram: np.ndarray  # positions that end a trigram: tokens and, after each part's last one, a pad
     of: np.ndarray  # the part of each of these
     pad: np.ndarray  # is it a pad?
+    real: np.ndarray  # is it to be counted?  All but the pads of parts that their text goes on after
 
 
 def sequence(x: dict[str, np.ndarray]) -> Sequence:
@@ -144,18 +153,18 @@ def sequence(x: dict[str, np.ndarray]) -> Sequence:
     size, last = x["size"].astype(np.int64), x["last"].astype(np.int64)
     of = np.searchsorted(np.cumsum(size + 1), start, side="right")
     n = np.bincount(of, minlength=len(size))
-    length = 2 + n + 2 * last
+    length = 3 + n + last
     at = np.cumsum(length) - length
     seq = np.empty(int(length.sum()), np.uint64)
     seq[at], seq[at + 1] = x["before"][0::2], x["before"][1::2]
     seq[at[of] + 2 + np.arange(len(h)) - (np.cumsum(n) - n)[of]] = h
-    ends = (at + 2 + n)[last > 0]
-    seq[ends], seq[ends + 1] = END, PAD
+    seq[at + length - 1], seq[(at + 2 + n)[last > 0]] = PAD, END
     is_gram, is_pad = np.ones(len(seq), bool), np.zeros(len(seq), bool)
     is_gram[at] = is_gram[at + 1] = False
-    is_pad[ends + 1] = True
+    is_pad[at + length - 1] = True
     gram = np.flatnonzero(is_gram)
-    return Sequence(seq, gram, np.repeat(np.arange(len(size)), length)[gram], is_pad[gram])
+    of, is_pad = np.repeat(np.arange(len(size)), length)[gram], is_pad[gram]
+    return Sequence(seq, gram, of, is_pad, ~is_pad | (last[of] > 0))
 
 
 def pair_key(a: np.ndarray, b40: np.ndarray) -> np.ndarray:
@@ -164,17 +173,23 @@ def pair_key(a: np.ndarray, b40: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Hot:
-    """Split pairs: sorted keys and over how many buckets each is dealt."""
+    """Words dealt by their pairs, and split pairs with the number of buckets that each is dealt over; sorted keys."""
 
+    words: np.ndarray
     keys: np.ndarray
     ways: np.ndarray
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The number of each key, or -1."""
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[i] == keys, i, -1)
+    @classmethod
+    def none(cls) -> Hot:
+        return cls(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def number_in(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The number of each key among the sorted known ones, or -1."""
+    if not len(known):
+        return np.full(len(keys), -1)
+    i = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[i] == keys, i, -1)
 
 
 @dataclass
@@ -185,17 +200,26 @@ class Grams:
     a: np.ndarray  # of each pair its words' numbers
     b: np.ndarray
     hot: np.ndarray  # and its number among the split pairs, or -1
-    entry_of: np.ndarray  # and where it is asked, if it is not split
+    entry_of: np.ndarray  # and where it is asked (one of the places, if it is split)
     bucket: np.ndarray  # of each entry (a pair in a bucket)
     pair: np.ndarray
     fan: np.ndarray  # its trigrams
-    ctx: np.ndarray  # of each trigram its pairs: the context, and the last two words
+    ctx: np.ndarray  # of each trigram its pairs: the context, and the last two words (any for a pad)
     tail: np.ndarray
     c: np.ndarray  # and its last word
     count: np.ndarray  # and its count in the training texts
     number: np.ndarray  # of each position of the sequence its trigram
 
 
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before in any column."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for x in columns:
+        out[1:] |= x[1:] != x[:-1]
+    return out
+
+
 def grams(s: Sequence, learn: np.ndarray, buckets: int, hot: Hot) -> Grams:
     words, ids = np.unique(s.seq, return_inverse=True)
     if len(words) >= TOP:
@@ -204,33 +228,33 @@ def grams(s: Sequence, learn: np.ndarray, buckets: int, hot: Hot) -> Grams:
     key = ids[s.gram - 2] << np.uint64(42) | ids[s.gram - 1] << np.uint64(21) | ids[s.gram]
     order = np.argsort(key)
     key = key[order]
-    new = np.concatenate((key[:1] == key[:1], key[1:] != key[:-1]))
+    new = changes(key)
     number = np.empty(len(key), np.int64)
     number[order] = np.cumsum(new) - 1
     key = key[new]
-    count = np.bincount(number, weights=learn[s.of], minlength=len(key)).astype(np.int64)
-    pairs = np.unique(np.concatenate((key >> np.uint64(21), key & np.uint64((1 << 42) - 1))))
-    ctx, tail = np.searchsorted(pairs, key >> np.uint64(21)), np.searchsorted(pairs, key & np.uint64((1 << 42) - 1))
+    count = np.bincount(number, weights=learn[s.of] & s.real, minlength=len(key)).astype(np.int64)
+    pairs = key >> np.uint64(21)
+    new = changes(pairs)
+    ctx, pairs = np.cumsum(new) - 1, pairs[new]
+    tail = np.zeros(len(key), np.int64)
+    tail[number[:-1]] = ctx[number[1:]]  # the last two words of a position are the context of the next one
     a, b, c = (pairs >> np.uint64(21)).astype(np.int64), (pairs & MASK21).astype(np.int64), (key & MASK21).astype(np.int64)
     pk = pair_key(words[a], words[b] >> SHORT)
-    is_hot = hot.find(pk)
-    own = (pk % np.uint64(buckets)).astype(np.int64)
+    is_hot = number_in(hot.keys, pk)
+    own = np.where(number_in(hot.words, words)[a] >= 0, pk, mix(words)[a]) % np.uint64(buckets)
     bucket = own[ctx]
     if len(split := np.flatnonzero(is_hot[ctx] >= 0)):
         ways = hot.ways[is_hot[ctx[split]]].astype(np.uint64)
-        bucket[split] = ((pk[ctx[split]] % np.uint64(buckets) + mix(words[c[split]] >> SHORT) % ways) % np.uint64(buckets)).astype(np.int64)
-    cold = np.flatnonzero(is_hot < 0)
-    where = np.unique(np.concatenate((own[cold] << 32 | cold, bucket[split] << 32 | ctx[split])))
-    entry_of = np.full(len(pairs), -1)
-    e_bucket, e_pair = where >> 32, where & 0xFFFFFFFF
-    plain = is_hot[e_pair] < 0
-    entry_of[e_pair[plain]] = np.flatnonzero(plain)
-    entry = entry_of[ctx]
-    entry[split] = np.searchsorted(where, bucket[split] << 32 | ctx[split])
-    order = np.argsort(entry, kind="stable")
+        bucket[split] = (bucket[split] + mix(words[c[split]] >> SHORT) % ways) % np.uint64(buckets)
+    bucket = bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+    order = np.argsort(bucket, kind="stable")
+    bucket, ctx, tail, c, count = bucket[order], ctx[order], tail[order], c[order], count[order]
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    return Grams(words, a, b, is_hot, entry_of, e_bucket, e_pair, np.bincount(entry, minlength=len(where)), ctx[order], tail[order], c[order], count[order], place[number])
+    head = np.flatnonzero(changes(bucket, ctx))
+    entry_of = np.zeros(len(pairs), np.int64)
+    entry_of[ctx[head]] = np.arange(len(head))
+    return Grams(words, a, b, is_hot, entry_of, bucket[head].astype(np.int64), ctx[head], np.diff(np.concatenate((head, [len(order)]))), ctx, tail, c, count, place[number])
 
 
 def small(x: np.ndarray) -> np.ndarray:
@@ -257,12 +281,11 @@ def unfive(x: np.ndarray) -> np.ndarray:
 def packs(g: Grams) -> Iterator[tuple[int, bytes]]:
     """(bucket, pack): sizes, first words, entries of each, second words, trigrams of each, third words, counts."""
     bucket, a = g.bucket, g.a[g.pair]
-    new = np.concatenate((bucket[:1] == bucket[:1], (bucket[1:] != bucket[:-1]) | (a[1:] != a[:-1])))
-    head = np.flatnonzero(new)
+    head = np.flatnonzero(changes(bucket, a))
     first = g.words[a[head]].astype("<u8")
     fan = np.diff(np.concatenate((head, [len(bucket)])))
     b, c = five(g.words[g.b[g.pair]] >> SHORT), five(g.words[g.c] >> SHORT)
-    cut = np.flatnonzero(np.concatenate((bucket[:1] == bucket[:1], bucket[1:] != bucket[:-1])))
+    cut = np.flatnonzero(changes(bucket))
     tri = np.concatenate(([0], np.cumsum(g.fan)))
     cuts = [*cut.tolist(), len(bucket)]
     heads = np.searchsorted(head, cuts).tolist()
@@ -273,15 +296,15 @@ def packs(g: Grams) -> Iterator[tuple[int, bytes]]:
         yield int(bucket[e0]), b"".join((sizes.tobytes(), first[h0:h1].tobytes(), b[e0:e1].tobytes(), c[t0:t1].tobytes(), *(x.tobytes() for x in parts)))
 
 
-def unpacked(x: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first word and second of each entry, its trigrams, third word and count of each trigram)."""
+def unpacked(x: bytes) -> tuple[np.ndarray, ...]:
+    """(first words, entries of each, second word of each entry, its trigrams, third word and count of each trigram)."""
     n_a, n_e, n_t, f_a, f_e = np.frombuffer(x, "<u4", 5).tolist()
     y, at = np.frombuffer(x, np.uint8), 20
     cut = []
     for n in (8 * n_a, 5 * n_e, 5 * n_t, f_a, f_e):
         cut.append(y[at: at + n])
         at += n
-    return np.repeat(np.frombuffer(cut[0].tobytes(), "<u8"), unsmall(cut[3], n_a)), unfive(cut[1]), unsmall(cut[4], n_e), unfive(cut[2]), unsmall(y[at:], n_t)
+    return np.frombuffer(cut[0].tobytes(), "<u8"), unsmall(cut[3], n_a), unfive(cut[1]), unsmall(cut[4], n_e), unfive(cut[2]), unsmall(y[at:], n_t)
 
 
 def share_code(p: np.ndarray) -> np.ndarray:
@@ -298,61 +321,80 @@ SHARE, AMOUNT = 10.0 ** (-np.arange(1 << 16) / GRID), 10.0 ** (np.arange(1 << 16
 SHARE[NONE] = AMOUNT[NONE] = 0.0
 
 
-def build_trie(a: np.ndarray, b: np.ndarray, c: np.ndarray, count: np.ndarray, hot: Hot) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
-    """(the trie's arrays, totals) of counted trigrams, in any order and with repeats.
+def behind(ctx: np.ndarray, x: np.ndarray, contexts: int) -> tuple[np.ndarray, int]:
+    """(a 40-bit hash behind the number of its context, the bits that are left for it)."""
+    width = min(40, 63 - max(1, contexts).bit_length())
+    return (ctx.astype(np.uint64) << np.uint64(width)) | x >> np.uint64(40 - width), width
+
+
+def build_trie(a: np.ndarray, fan_a: np.ndarray, b: np.ndarray, fan_b: np.ndarray, c: np.ndarray, count: np.ndarray, hot: Hot) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """(the trie's arrays, totals) of packed trigrams, in any order and with repeats; those with count 0 stay out.
 
     Totals: of each first word the sums over its pairs, split ones left out; of each split pair its sums here.
     """
-    order = np.lexsort((c, b, a))
-    a, b, c, count = a[order], b[order], c[order], count[order]
-    top = np.concatenate((a[:1] == a[:1], a[1:] != a[:-1]))
-    mid = top | np.concatenate((a[:1] == a[:1], b[1:] != b[:-1]))
-    low = mid | np.concatenate((a[:1] == a[:1], c[1:] != c[:-1]))
-    low = np.flatnonzero(low)
-    count = np.add.reduceat(count, low) if len(low) else count
-    a, b, c, top, mid = a[low], b[low], c[low], np.flatnonzero(top[low]), np.flatnonzero(mid[low])
+    seen = count > 0
+    tri = np.repeat(np.arange(len(b)), fan_b)[seen]  # the entry of each counted trigram
+    c, count = c[seen], count[seen]
+    used = np.zeros(len(b), bool)
+    used[tri] = True
+    word = np.repeat(np.arange(len(a)), fan_a)
+    top = np.unique(a[np.unique(word[used])])
+    rank = np.searchsorted(top, a)[word]  # of each entry its first word's number; only those of used entries matter
+    key, width2 = behind(rank, b, len(top))
+    second, of = np.unique(key[used], return_inverse=True)
+    number = np.zeros(len(b), np.int64)
+    number[used] = of
+    first_of = np.zeros(len(second), np.int64)
+    first_of[of] = np.flatnonzero(used)  # an entry for each pair
+    key, width3 = behind(number[tri], c, len(second))
+    order = np.argsort(key)
+    third, count, c = key[order], count[order], c[order]
+    head = np.flatnonzero(changes(third))
+    third, c, count = third[head], c[head], np.add.reduceat(count, head) if len(head) else count
+    pair_of = (third >> np.uint64(width3)).astype(np.int64)
+    word_of = (second >> np.uint64(width2)).astype(np.int64)
+    mid = np.searchsorted(pair_of, np.arange(len(second)))
     total = np.add.reduceat(count, mid) if len(mid) else count
-    fan = np.diff(np.concatenate((mid, [len(c)])))
-    pair_of, word_of = np.repeat(np.arange(len(mid)), fan), np.searchsorted(top, mid, side="right") - 1
-    split = hot.find(pair_key(a[mid], b[mid]))
+    fan = np.diff(np.concatenate((mid, [len(third)])))
+    pair_a, pair_b = top[word_of], b[first_of]
+    split = number_in(hot.keys, pair_key(pair_a, pair_b))
     own = split < 0
     prob = np.where(own[pair_of], share_code((count - DISCOUNT) / total[pair_of]), amount_code(count - DISCOUNT)) if len(c) else np.zeros(0, np.uint16)
-    width = [min(40, 63 - max(1, len(x)).bit_length()) for x in (top, mid)]  # bits of a hash behind its context's number
-    keys = [(of.astype(np.uint64) << np.uint64(w)) | x >> np.uint64(40 - w) for of, w, x in ((word_of, width[0], b[mid]), (pair_of, width[1], c))]
-    first = np.searchsorted(mid, top)
-    trie = {"pair": amount_code(total - DISCOUNT), "rest": share_code(np.minimum(1.0, DISCOUNT * fan / total)), "prob": prob.astype(np.uint16), "width": np.array(width),
-            **EliasFano.encode(a[top], 1 << 64).parts("words"), **EliasFano.encode(keys[0], max(1, len(top)) << width[0]).parts("second"), **EliasFano.encode(keys[1], max(1, len(mid)) << width[1]).parts("third"),
-            **EliasFano.encode(np.concatenate((first, [len(mid)])), len(mid) + 1).parts("to_second"), **EliasFano.encode(np.concatenate((mid, [len(c)])), len(c) + 1).parts("to_third")}
-    real = own & ~((a[mid] == START) & (b[mid] == START >> SHORT))  # nothing precedes a text's first word
+    first = np.searchsorted(word_of, np.arange(len(top)))
+    trie = {"pair": amount_code(total - DISCOUNT), "rest": share_code(np.minimum(1.0, DISCOUNT * fan / total)), "prob": prob.astype(np.uint16), "width": np.array([width2, width3]),
+            **EliasFano.encode(top, 1 << 64).parts("words"), **EliasFano.encode(second, max(1, len(top)) << width2).parts("second"), **EliasFano.encode(third, max(1, len(second)) << width3).parts("third"),
+            **EliasFano.encode(np.concatenate((first, [len(second)])), len(second) + 1).parts("to_second"), **EliasFano.encode(np.concatenate((mid, [len(third)])), len(third) + 1).parts("to_third")}
+    real = own & ~((pair_a == START) & (pair_b == START >> SHORT))  # nothing precedes a text's first word
     pads = c == PAD >> SHORT
-    totals = {"word": a[top], "count": np.bincount(word_of[real], weights=total[real], minlength=len(top)).astype(np.int64), "fan": np.bincount(word_of[real], minlength=len(top)),
-              "hot": hot.keys[split[~own]], "hot_word": a[mid][~own], "hot_count": total[~own], "hot_fan": fan[~own], "tokens": np.array([count[~pads].sum(), count[pads].sum()])}
+    totals = {"word": top, "count": np.bincount(word_of[real], weights=total[real], minlength=len(top)).astype(np.int64), "fan": np.bincount(word_of[real], minlength=len(top)),
+              "hot": hot.keys[split[~own]], "hot_word": pair_a[~own], "hot_count": total[~own], "hot_fan": fan[~own], "tokens": np.array([count[~pads].sum(), count[pads].sum()])}
     return trie, totals
 
 
 class Trie:
-    """Successor search in a memory-mapped trie."""
+    """Successor search in a memory-mapped trie.  The places of zeros and the pointers are unpacked for a batch of questions."""
 
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.arrays = arrays
-        self.words, self.second, self.third, self.to_second, self.to_third = (EliasFano.load(arrays, k) for k in ("words", "second", "third", "to_second", "to_third"))
+        self.words, self.second, self.third = (EliasFano.load(arrays, k).unpack_zeros() for k in ("words", "second", "third"))
+        self.to_second, self.to_third = (EliasFano.load(arrays, k).values().astype(np.int64) for k in ("to_second", "to_third"))
         self.width = arrays["width"].tolist()
 
-    def _under(self, ctx: np.ndarray, x: np.ndarray, level: EliasFano, to: EliasFano, width: int) -> np.ndarray:
+    def _under(self, ctx: np.ndarray, x: np.ndarray, level: EliasFano, to: np.ndarray, width: int) -> np.ndarray:
         """Of each word behind its context (numbers, -1: unknown) the number on the next level, or -1."""
         out = np.full(len(ctx), -1)
         known = np.flatnonzero(ctx >= 0)
         own = ctx[known]
         i, hit = level.find((own.astype(np.uint64) << np.uint64(width)) | x[known] >> np.uint64(40 - width))
-        hit &= (i >= to.get(own).astype(np.int64)) & (i < to.get(own + 1).astype(np.int64))
+        hit &= (i >= to[own]) & (i < to[own + 1])
         out[known[hit]] = i[hit]
         return out
 
-    def ask(self, a: np.ndarray, b: np.ndarray, fan: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def ask(self, a: np.ndarray, fan_a: np.ndarray, b: np.ndarray, fan_b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes of each entry's discounted count and back-off weight, and of each of its trigrams' probability."""
         i, hit = self.words.find(a)
-        pair = self._under(np.where(hit, i, -1), b, self.second, self.to_second, self.width[0])
-        tri = self._under(np.repeat(pair, fan), c, self.third, self.to_third, self.width[1])
+        pair = self._under(np.repeat(np.where(hit, i, -1), fan_a), b, self.second, self.to_second, self.width[0])
+        tri = self._under(np.repeat(pair, fan_b), c, self.third, self.to_third, self.width[1])
         pick = lambda codes, k: np.where(k >= 0, codes[np.maximum(k, 0)] if len(codes) else NONE, NONE).astype(np.uint16)
         return pick(self.arrays["pair"], pair), pick(self.arrays["rest"], pair), pick(self.arrays["prob"], tri)
 
@@ -389,17 +431,15 @@ def _answer(buckets: int, shelves: int, hot: Hot):
     """Rows come sorted by bucket: its packs are counted, coded and answered; words pass on to their shelves."""
 
     def solve(rows: list[tuple[int, bytes]]) -> pd.DataFrame:
-        a, b, fan, c, count = (list(x) for x in zip(*(unpacked(x) for _, x in rows), strict=True))
-        entries, grams_ = [len(x) for x in a], [len(x) for x in c]
-        a, b, fan, c, count = (np.concatenate(x) for x in (a, b, fan, c, count))
-        learned = np.flatnonzero(count)
-        of = np.repeat(np.arange(len(a)), fan)[learned]
-        arrays, totals = build_trie(a[of], b[of], c[learned], count[learned], hot)
+        parts = list(zip(*(unpacked(x) for _, x in rows), strict=True))
+        entries, grams_ = [len(x) for x in parts[2]], [len(x) for x in parts[4]]
+        *packed, count = (np.concatenate(x) for x in parts)
+        arrays, totals = build_trie(*packed, count, hot)
         with tempfile.TemporaryDirectory(prefix="trie-") as folder:
             path = os.path.join(folder, "levels")
             with open(path, "wb") as f:
                 f.write(dump(arrays))
-            pair, rest, prob = Trie(mapped(path)).ask(a, b, fan, c)
+            pair, rest, prob = Trie(mapped(path)).ask(*packed)
         out, e, t = [], 0, 0
         for (block, _), n, m in zip(rows, entries, grams_, strict=True):
             out.append((CODES, block, b"".join(x.tobytes() for x in (pair[e: e + n], rest[e: e + n], prob[t: t + m]))))
@@ -484,7 +524,7 @@ def _finish(buckets: int, shelves: int, hot: Hot, hot_count: np.ndarray, hot_fan
     def solve(arrays: dict[str, np.ndarray], answers: list[bytes], by_word: list[tuple[int, dict[str, np.ndarray]]]) -> pd.DataFrame:
         s = sequence(arrays)
         g = grams(s, ~arrays["held"], buckets, hot)
-        cut = np.flatnonzero(np.concatenate((g.bucket[:1] == g.bucket[:1], g.bucket[1:] != g.bucket[:-1], [True])))
+        cut = np.concatenate((np.flatnonzero(changes(g.bucket)), [len(g.bucket)]))
         pair, rest, prob = [], [], []
         for x, n in zip(answers, np.diff(cut).tolist(), strict=True):
             codes = np.frombuffer(x, np.uint16)
@@ -503,7 +543,7 @@ def _finish(buckets: int, shelves: int, hot: Hot, hot_count: np.ndarray, hot_fan
             count[end] = texts
         p1 = (count + 0.5) / scale
         # of each pair its discounted count, its count and its back-off weight
-        is_hot, entry = g.hot >= 0, np.maximum(g.entry_of, 0)
+        is_hot, entry = g.hot >= 0, g.entry_of
         kept = np.where(is_hot, 0.0, AMOUNT[pair[entry]])
         weight, known = SHARE[rest[entry]], rest[entry] != NONE
         if is_hot.any():
@@ -554,26 +594,27 @@ def lm_score(docs: DataFrame, bucket_bytes: int = 8 << 20, block_bytes: int = 4
     spark = docs.sparkSession
     ws = Workspace(spark, "lm")
     docs = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce(F.col("held_out"), F.lit(False)).alias("held_out"), "text")
-    blocks = ws.write(docs.mapInPandas(_blocks(block_bytes, hot_share), "block long, x binary, grams long, often array<long>, counts array<long>"))
+    blocks = ws.write(docs.mapInPandas(_blocks(block_bytes, hot_share), "block long, x binary, grams long, often array<struct<level:int,k:long,n:long>>"))
     size, total = blocks.agg(F.coalesce(F.sum(F.length("x").cast("long")), F.lit(0)), F.coalesce(F.sum("grams"), F.lit(0))).first()
     buckets = max(16, -(-size // bucket_bytes))
     shelves = min(4096, max(4, buckets // 4))
-    often = blocks.select(F.inline(F.arrays_zip("often", "counts"))).groupBy("often").agg(F.sum("counts").alias("n")).where(F.col("n") > hot_share / 2 * total)
-    often = sorted((r["often"] % (1 << 64), r["n"]) for r in often.collect())  # fewer than 2 / hot_share rows
-    ways = [min(buckets, 1 + -(-4 * n * buckets // max(1, total))) for _, n in often]
-    hot = Hot(np.array([k for k, _ in often], np.uint64), np.array(ways, np.int64))
+    often = blocks.select(F.inline("often")).groupBy("level", "k").agg(F.sum("n").alias("n")).where(F.col("n") > max(hot_share, min(hot_share * 1000, 1 / buckets)) / 2 * total)
+    often = sorted((r["level"], r["k"] % (1 << 64), r["n"]) for r in often.collect())  # fewer than 2 / hot_share rows of each level
+    pairs = [(k, n) for level, k, n in often if level == 2]
+    ways = [min(buckets, 1 + -(-4 * n * buckets // max(1, total))) for _, n in pairs]
+    hot = Hot(np.array([k for level, k, _ in often if level == 1], np.uint64), np.array([k for k, _ in pairs], np.uint64), np.array(ways, np.int64))
     sent = blocks.select("block", "x").mapInPandas(_ask(buckets, shelves, hot), SENT)
     sent = sent.repartition(min(buckets + shelves, 20_000), "bucket").sortWithinPartitions("bucket", "block")
     answers = ws.write(sent.mapInPandas(_answer(buckets, shelves, hot), ANSWERS), batch_rows=16)
     # split pairs: fewer than 2 / hot_share of them, in at most as many buckets as each is dealt over
-    hot_count, hot_fan, hot_word = np.zeros(len(often), np.int64), np.zeros(len(often), np.int64), np.zeros(len(often), np.uint64)
-    if often:
+    hot_count, hot_fan, hot_word = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.uint64)
+    if pairs:
         split = answers.where(F.col("kind") == SPLIT).select("x").mapInPandas(_split_sums, "hot long, word long, n long, fan long").groupBy("hot").agg(F.min("word").alias("word"), F.sum("n").alias("n"), F.sum("fan").alias("fan"))
         for r in split.collect():
-            i = hot.find(np.array([r["hot"] % (1 << 64)], np.uint64))[0]
+            i = number_in(hot.keys, np.array([r["hot"] % (1 << 64)], np.uint64))[0]
             hot_count[i], hot_fan[i], hot_word[i] = r["n"], r["fan"], r["word"] % (1 << 64)
     # what split pairs add to their first words; a pair of two starts does not count as one
-    real = (hot_count > 0) & (hot.keys != pair_key(np.array([START]), np.array([START >> SHORT]))[0]) if often else np.zeros(0, bool)
+    real = (hot_count > 0) & (hot.keys != pair_key(np.array([START]), np.array([START >> SHORT]))[0]) if pairs else np.zeros(0, bool)
     extra = {"word": hot_word[real], "count": hot_count[real], "fan": np.ones(int(real.sum()), np.int64)}
     of_words = answers.where(F.col("kind") == TOTALS).select(F.col("block").cast("int").alias("shelf"), F.lit(0).alias("order"), F.lit(0).cast("long").alias("block"), "x").union(
         answers.where(F.col("kind") == ASKED).select(F.col("part").alias("shelf"), F.lit(1), "block", "x"))
@@ -592,7 +633,7 @@ def lm_score(docs: DataFrame, bucket_bytes: int = 8 << 20, block_bytes: int = 4
     one = rows.where("rid = 0")
     many = rows.where("rid <> 0").groupBy("rid", "doc_id", "null", "held_out").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     out = one.unionByName(many).select(F.when(~F.col("null"), F.col("doc_id")).alias("doc_id"), "held_out", "n_tokens", "n_known", "base_score", "score")
-    return Scored(out, tokens, v, len(often))
+    return Scored(out, tokens, v, len(pairs))
 
 
 def _split_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
