@@ -136,8 +136,9 @@ def test_counts_beyond_32_bits():
     assert unsmall(small(np.array([0, 254, 255, big, 1])), 5).tolist() == [0, 254, 255, big, 1]
     a, fan_a, b, fan_b, c = np.array([7, 9, 8], np.uint64), np.array([2, 1, 1]), np.array([1, 2, 1, 4], np.uint64), np.array([2, 1, 1, 1]), np.array([5, 6, 5, 5, 5], np.uint64)
     arrays, totals = build_trie(*(np.tile(x, 2) for x in (a, fan_a, b, fan_b, c)), np.array([big, 1, 1, 3, 0, 3, 2, 3, 2, 0]), Hot.none())
-    assert totals["word"].tolist() == [7, 9] and totals["count"].tolist() == [big + 10, 5] and totals["fan"].tolist() == [2, 1] and totals["tokens"].tolist() == [big + 15, 0]
-    pair, rest, prob = Trie(loaded(dump(arrays))).ask(np.array([7, 8], np.uint64), np.array([2, 1]), np.array([1, 3, 1], np.uint64), np.array([2, 1, 1]), np.array([5, 9, 5, 5], np.uint64))
+    assert arrays["count"].tolist() == [big + 10, 5] and totals["tokens"].tolist() == [big + 15, 0, 2]
+    count, back, pair, rest, prob = Trie(loaded(dump(arrays))).ask(np.array([7, 8], np.uint64), np.array([2, 1]), np.array([1, 3, 1], np.uint64), np.array([2, 1, 1]), np.array([5, 9, 5, 5], np.uint64))
+    assert count.tolist() == [big + 10, 0] and SHARE[back[0]] == pytest.approx(2 * 0.75 / (big + 10), rel=1e-3) and back[1] == NONE
     assert AMOUNT[pair[0]] == pytest.approx(big + 6, rel=1e-3) and pair[1:].tolist() == rest[1:].tolist() == [NONE, NONE]
     assert SHARE[prob[0]] == pytest.approx((big + 3 - 0.75) / (big + 6), rel=1e-3) and prob[1:].tolist() == [NONE] * 3
 
@@ -145,8 +146,8 @@ def test_counts_beyond_32_bits():
 def test_levels_of_many_contexts():
     n = 5000
     a, one = np.arange(n, dtype=np.uint64) * np.uint64(1 << 50), np.ones(n, np.int64)
-    arrays, _ = build_trie(a, one, a >> np.uint64(24), one, a >> np.uint64(24), one, Hot.none())
-    assert arrays["width"].tolist() == [40, 40]
-    _, _, prob = Trie(loaded(dump(arrays))).ask(a, one, a >> np.uint64(24), one, a >> np.uint64(24))
+    arrays, _ = build_trie(a, one, a >> np.uint64(32), one, a >> np.uint64(32), one, Hot.none())
+    assert arrays["width"].tolist() == [32, 32]
+    *_, prob = Trie(loaded(dump(arrays))).ask(a, one, a >> np.uint64(32), one, a >> np.uint64(32))
     assert (prob != NONE).all()
     assert behind(np.zeros(1), np.zeros(1, np.uint64), 1 << 40)[1] == 22  # more contexts leave fewer bits for what follows

@@ -15,19 +15,18 @@ Training and scoring share one exchange, since nearly every n-gram that is count
    in packs of words, successors and their successors.  A bucket covers about ``bucket_bytes`` of text.
 3. A bucket's task counts the trigrams of its packs and codes them as a trie: level 1 holds the first words, Elias-Fano
    coded in the order of their hashes; monotone Elias-Fano pointers lead to level 2, the words after each, and from there to
-   level 3, as 40-bit hashes behind the number of their context.  Levels 2 and 3 carry quantised discounted probabilities
+   level 3, as 32-bit hashes behind the number of their context.  Levels 2 and 3 carry quantised discounted probabilities
    and back-off weights (16 bits).  The trie is memory-mapped from a file of the task, and each pack of the bucket is answered by
    successor search within its contexts.
-4. Counts and successor counts of words are summed over the buckets in a second, smaller exchange, which answers each
-   block's words.  Answers go back to the blocks, whose texts are scored.
+4. Answers go back to the blocks, whose texts are scored.  A word's own totals come from the bucket of its pairs.
 
 Skew.  A word that makes about a bucket's share of all tokens is dealt by its pairs, and a pair that does by its third words
-as well; the totals of such split pairs are summed apart.  Both lists follow from counts of all texts and hold fewer than
+as well; the totals of such words and pairs are summed apart.  Both lists follow from counts of all texts and hold fewer than
 2 / hot_share entries, so they go to all tasks.  No context, however frequent, fills one task, and a task holds one bucket
 or one block.  Rows of the first exchange are blocks
 times buckets, at most one for each distinct trigram of a block.  Counts are 64-bit.
 
-Strings are told apart by 64 bits, words behind a known context by 40.  Defined results: null and empty texts are one end
+Strings are told apart by 64 bits, words behind a known context by 32.  Defined results: null and empty texts are one end
 token; null doc_ids are carried; null held_out is false; repeated rows are scored and counted each; without training texts
 c, N and V are 0; extra columns do no harm; an empty table gives no rows.
 """
@@ -51,7 +50,7 @@ from textloom.llm.elias_fano import EliasFano, dump, loaded, mapped
 
 BASE = 0x9E3779B97F4A7C15
 START, END, PAD = (np.uint64(x) for x in (0x9D39247E33776D41, 0x2AF7398005AAA5C7, 0x44DB015024623547))
-SHORT, MASK21, TOP = np.uint64(24), np.uint64((1 << 21) - 1), 1 << 21
+SHORT, MASK21, TOP = np.uint64(32), np.uint64((1 << 21) - 1), 1 << 21
 DISCOUNT = 0.75
 GRID, NONE = 4096, 65535
 WHITE = re.compile(rb"[\x20\x09-\x0D]")
@@ -142,7 +141,7 @@ class Sequence:
     """The tokens of a block's parts one after the other, each part behind its two tokens of context."""
 
     seq: np.ndarray  # 64-bit hashes
-    gram: np.ndarray  # positions that end a trigram: tokens and, after each part's last one, a pad
+    gram: np.ndarray  # positions that end a trigram: tokens and, after each part's last ones, pads, so that each word is a first one
     of: np.ndarray  # the part of each of these
     pad: np.ndarray  # is it a pad?
     real: np.ndarray  # is it to be counted?  All but the pads of parts that their text goes on after
@@ -153,22 +152,24 @@ def sequence(x: dict[str, np.ndarray]) -> Sequence:
     size, last = x["size"].astype(np.int64), x["last"].astype(np.int64)
     of = np.searchsorted(np.cumsum(size + 1), start, side="right")
     n = np.bincount(of, minlength=len(size))
-    length = 3 + n + last
+    length = 4 + n
     at = np.cumsum(length) - length
     seq = np.empty(int(length.sum()), np.uint64)
     seq[at], seq[at + 1] = x["before"][0::2], x["before"][1::2]
     seq[at[of] + 2 + np.arange(len(h)) - (np.cumsum(n) - n)[of]] = h
-    seq[at + length - 1], seq[(at + 2 + n)[last > 0]] = PAD, END
+    seq[at + 2 + n], seq[at + 3 + n] = np.where(last > 0, END, PAD), PAD
     is_gram, is_pad = np.ones(len(seq), bool), np.zeros(len(seq), bool)
     is_gram[at] = is_gram[at + 1] = False
-    is_pad[at + length - 1] = True
+    is_pad[at + 3 + n] = True
+    is_pad[at + 2 + n] = last == 0
     gram = np.flatnonzero(is_gram)
     of, is_pad = np.repeat(np.arange(len(size)), length)[gram], is_pad[gram]
     return Sequence(seq, gram, of, is_pad, ~is_pad | (last[of] > 0))
 
 
-def pair_key(a: np.ndarray, b40: np.ndarray) -> np.ndarray:
-    return mix(a * np.uint64(BASE) + b40)
+def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of first words and the short hashes of the second ones."""
+    return mix(a * np.uint64(BASE) + b)
 
 
 @dataclass
@@ -268,14 +269,8 @@ def unsmall(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def five(x: np.ndarray) -> np.ndarray:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-
-
-def unfive(x: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(x) // 5, 8), np.uint8)
-    out[:, :5] = x.reshape(-1, 5)
-    return out.view("<u8").ravel()
+def short(x: np.ndarray) -> np.ndarray:
+    return (x >> SHORT).astype("<u4")
 
 
 def packs(g: Grams) -> Iterator[tuple[int, bytes]]:
@@ -284,7 +279,7 @@ def packs(g: Grams) -> Iterator[tuple[int, bytes]]:
     head = np.flatnonzero(changes(bucket, a))
     first = g.words[a[head]].astype("<u8")
     fan = np.diff(np.concatenate((head, [len(bucket)])))
-    b, c = five(g.words[g.b[g.pair]] >> SHORT), five(g.words[g.c] >> SHORT)
+    b, c = short(g.words[g.b[g.pair]]), short(g.words[g.c])
     cut = np.flatnonzero(changes(bucket))
     tri = np.concatenate(([0], np.cumsum(g.fan)))
     cuts = [*cut.tolist(), len(bucket)]
@@ -301,10 +296,11 @@ def unpacked(x: bytes) -> tuple[np.ndarray, ...]:
     n_a, n_e, n_t, f_a, f_e = np.frombuffer(x, "<u4", 5).tolist()
     y, at = np.frombuffer(x, np.uint8), 20
     cut = []
-    for n in (8 * n_a, 5 * n_e, 5 * n_t, f_a, f_e):
+    for n in (8 * n_a, 4 * n_e, 4 * n_t, f_a, f_e):
         cut.append(y[at: at + n])
         at += n
-    return np.frombuffer(cut[0].tobytes(), "<u8"), unsmall(cut[3], n_a), unfive(cut[1]), unsmall(cut[4], n_e), unfive(cut[2]), unsmall(y[at:], n_t)
+    whole = lambda z, kind: np.frombuffer(z.tobytes(), kind).astype(np.uint64)
+    return whole(cut[0], "<u8"), unsmall(cut[3], n_a), whole(cut[1], "<u4"), unsmall(cut[4], n_e), whole(cut[2], "<u4"), unsmall(y[at:], n_t)
 
 
 def share_code(p: np.ndarray) -> np.ndarray:
@@ -322,15 +318,16 @@ SHARE[NONE] = AMOUNT[NONE] = 0.0
 
 
 def behind(ctx: np.ndarray, x: np.ndarray, contexts: int) -> tuple[np.ndarray, int]:
-    """(a 40-bit hash behind the number of its context, the bits that are left for it)."""
-    width = min(40, 63 - max(1, contexts).bit_length())
-    return (ctx.astype(np.uint64) << np.uint64(width)) | x >> np.uint64(40 - width), width
+    """(a 32-bit hash behind the number of its context, the bits that are left for it)."""
+    width = min(32, 63 - max(1, contexts).bit_length())
+    return (ctx.astype(np.uint64) << np.uint64(width)) | x >> np.uint64(32 - width), width
 
 
 def build_trie(a: np.ndarray, fan_a: np.ndarray, b: np.ndarray, fan_b: np.ndarray, c: np.ndarray, count: np.ndarray, hot: Hot) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
     """(the trie's arrays, totals) of packed trigrams, in any order and with repeats; those with count 0 stay out.
 
-    Totals: of each first word the sums over its pairs, split ones left out; of each split pair its sums here.
+    Totals: sums of the first words that are dealt by pairs (split pairs left out) and of the split pairs, tokens, texts and
+    the other first words.
     """
     seen = count > 0
     tri = np.repeat(np.arange(len(b)), fan_b)[seen]  # the entry of each counted trigram
@@ -366,8 +363,11 @@ def build_trie(a: np.ndarray, fan_a: np.ndarray, b: np.ndarray, fan_b: np.ndarra
             **EliasFano.encode(np.concatenate((first, [len(second)])), len(second) + 1).parts("to_second"), **EliasFano.encode(np.concatenate((mid, [len(third)])), len(third) + 1).parts("to_third")}
     real = own & ~((pair_a == START) & (pair_b == START >> SHORT))  # nothing precedes a text's first word
     pads = c == PAD >> SHORT
-    totals = {"word": top, "count": np.bincount(word_of[real], weights=total[real], minlength=len(top)).astype(np.int64), "fan": np.bincount(word_of[real], minlength=len(top)),
-              "hot": hot.keys[split[~own]], "hot_word": pair_a[~own], "hot_count": total[~own], "hot_fan": fan[~own], "tokens": np.array([count[~pads].sum(), count[pads].sum()])}
+    sums, fans = np.bincount(word_of[real], weights=total[real], minlength=len(top)).astype(np.int64), np.bincount(word_of[real], minlength=len(top))
+    trie |= {"count": sums, "back": share_code(np.minimum(1.0, np.maximum(DISCOUNT * fans, 1e-9) / np.maximum(sums, 1)))}
+    spread = number_in(hot.words, top) >= 0
+    totals = {"word": top[spread], "count": sums[spread], "fan": fans[spread], "hot": hot.keys[split[~own]], "hot_word": pair_a[~own], "hot_count": total[~own], "hot_fan": fan[~own],
+              "tokens": np.array([count[~pads].sum(), count[pads].sum(), (~spread & (sums > 0) & (top != START)).sum()])}
     return trie, totals
 
 
@@ -385,70 +385,59 @@ class Trie:
         out = np.full(len(ctx), -1)
         known = np.flatnonzero(ctx >= 0)
         own = ctx[known]
-        i, hit = level.find((own.astype(np.uint64) << np.uint64(width)) | x[known] >> np.uint64(40 - width))
+        i, hit = level.find((own.astype(np.uint64) << np.uint64(width)) | x[known] >> np.uint64(32 - width))
         hit &= (i >= to[own]) & (i < to[own + 1])
         out[known[hit]] = i[hit]
         return out
 
-    def ask(self, a: np.ndarray, fan_a: np.ndarray, b: np.ndarray, fan_b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes of each entry's discounted count and back-off weight, and of each of its trigrams' probability."""
+    def ask(self, a: np.ndarray, fan_a: np.ndarray, b: np.ndarray, fan_b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Count and code of the back-off weight of each first word, codes of each entry's discounted count and back-off weight, and of each trigram's probability."""
         i, hit = self.words.find(a)
         pair = self._under(np.repeat(np.where(hit, i, -1), fan_a), b, self.second, self.to_second, self.width[0])
         tri = self._under(np.repeat(pair, fan_b), c, self.third, self.to_third, self.width[1])
         pick = lambda codes, k: np.where(k >= 0, codes[np.maximum(k, 0)] if len(codes) else NONE, NONE).astype(np.uint16)
-        return pick(self.arrays["pair"], pair), pick(self.arrays["rest"], pair), pick(self.arrays["prob"], tri)
+        word = np.where(hit, i, -1)
+        count = np.where(hit, self.arrays["count"][np.where(hit, i, 0)], 0) if hit.any() else np.zeros(len(a), np.int64)
+        return count, pick(self.arrays["back"], word), pick(self.arrays["pair"], pair), pick(self.arrays["rest"], pair), pick(self.arrays["prob"], tri)
 
 
 SENT = "bucket int, block long, x binary"
 ANSWERS = "kind int, block long, part int, x binary"
-CODES, TOTALS, ASKED, SPLIT, SUMS = range(5)
+CODES, SPLIT, SUMS = range(3)
 
 
-def _ask(buckets: int, shelves: int, hot: Hot):
-    """Packs for the buckets, and the block's words for the shelves behind these."""
+def _ask(buckets: int, hot: Hot):
+    """Packs for the buckets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             for block, x in zip(p["block"], p["x"], strict=True):
                 arrays = loaded(x)
                 g = grams(sequence(arrays), ~arrays["held"], buckets, hot)
-                rows = [(b, block, y) for b, y in packs(g)] + [(buckets + s, block, w.tobytes()) for s, w in dealt(g.words, shelves)]
-                yield pd.DataFrame(rows, columns=["bucket", "block", "x"])
+                yield pd.DataFrame([(b, block, y) for b, y in packs(g)], columns=["bucket", "block", "x"])
 
     return run
 
 
-def dealt(words: np.ndarray, shelves: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(shelf, its words in order)."""
-    shelf = (words % np.uint64(shelves)).astype(np.int64)
-    order = np.argsort(shelf, kind="stable")
-    cut = np.searchsorted(shelf[order], np.arange(shelves + 1))
-    for s in np.flatnonzero(np.diff(cut)).tolist():
-        yield s, words[order[cut[s]: cut[s + 1]]]
-
-
-def _answer(buckets: int, shelves: int, hot: Hot):
-    """Rows come sorted by bucket: its packs are counted, coded and answered; words pass on to their shelves."""
+def _answer(hot: Hot):
+    """Rows come sorted by bucket: its packs are counted, coded and answered."""
 
     def solve(rows: list[tuple[int, bytes]]) -> pd.DataFrame:
         parts = list(zip(*(unpacked(x) for _, x in rows), strict=True))
-        entries, grams_ = [len(x) for x in parts[2]], [len(x) for x in parts[4]]
+        sizes = [[len(x) for x in parts[k]] for k in (0, 2, 4)]
         *packed, count = (np.concatenate(x) for x in parts)
         arrays, totals = build_trie(*packed, count, hot)
         with tempfile.TemporaryDirectory(prefix="trie-") as folder:
             path = os.path.join(folder, "levels")
             with open(path, "wb") as f:
                 f.write(dump(arrays))
-            pair, rest, prob = Trie(mapped(path)).ask(*packed)
-        out, e, t = [], 0, 0
-        for (block, _), n, m in zip(rows, entries, grams_, strict=True):
-            out.append((CODES, block, b"".join(x.tobytes() for x in (pair[e: e + n], rest[e: e + n], prob[t: t + m]))))
-            e, t = e + n, t + m
-        for s, w in dealt(totals["word"], shelves):
-            i = np.searchsorted(totals["word"], w)
-            out.append((TOTALS, s, dump({"word": w, "count": totals["count"][i], "fan": totals["fan"][i]})))
-        if len(totals["hot"]):
-            out.append((SPLIT, 0, dump({k: totals[k] for k in ("hot", "hot_word", "hot_count", "hot_fan")})))
+            n, back, pair, rest, prob = Trie(mapped(path)).ask(*packed)
+        out, a, e, t = [], 0, 0, 0
+        for (block, _), i, j, k in zip(rows, *sizes, strict=True):
+            out.append((CODES, block, b"".join(x.tobytes() for x in (pair[e: e + j], rest[e: e + j], prob[t: t + k], back[a: a + i], small(n[a: a + i])))))
+            a, e, t = a + i, e + j, t + k
+        if len(totals["word"]):
+            out.append((SPLIT, 0, dump({k: totals[k] for k in ("word", "count", "fan", "hot", "hot_word", "hot_count", "hot_fan")})))
         out.append((SUMS, 0, dump({"tokens": totals["tokens"]})))
         return pd.DataFrame(out, columns=["kind", "block", "x"])
 
@@ -460,84 +449,47 @@ def _answer(buckets: int, shelves: int, hot: Hot):
                     yield solve(held).assign(part=at)[["kind", "block", "part", "x"]]
                     held = []
                 at = bucket
-                if bucket < buckets:
-                    held.append((block, x))
-                else:
-                    yield pd.DataFrame({"kind": [ASKED], "block": [block], "part": [bucket - buckets], "x": [x]})
+                held.append((block, x))
         if held:
             yield solve(held).assign(part=at)[["kind", "block", "part", "x"]]
 
     return run
 
 
-def _words(extra: dict[str, np.ndarray], shelves: int):
-    """Rows come sorted by (shelf, order): totals of words first, then the blocks' questions."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, held, table = None, [], None
-
-        def closed() -> tuple:
-            mine = (extra["word"] % np.uint64(shelves)).astype(np.int64) == at
-            rows = [*held, {k: v[mine] for k, v in extra.items()}]
-            word, count, fan = (np.concatenate([r[k] for r in rows]) for k in ("word", "count", "fan"))
-            words, of = np.unique(word, return_inverse=True)
-            sums = [np.zeros(len(words), np.int64) for _ in range(2)]
-            for s, x in zip(sums, (count, fan), strict=True):
-                np.add.at(s, of, x)
-            seen = sums[0] > 0
-            return EliasFano.encode(words[seen], 1 << 64), sums[0][seen], share_code(np.minimum(1.0, DISCOUNT * sums[1][seen] / sums[0][seen])), int((words[seen] != START).sum())
-
-        def totals() -> pd.DataFrame:
-            return pd.DataFrame({"kind": [SUMS], "block": [table[3]], "part": [at], "x": [b""]})
-
-        for p in batches:
-            for shelf, order, block, x in zip(p["shelf"], p["order"], p["block"], p["x"], strict=True):
-                if shelf != at:
-                    if at is not None:
-                        table = table or closed()
-                        yield totals()
-                    at, held, table = shelf, [], None
-                if order == 0:
-                    held.append({k: v.copy() for k, v in loaded(x).items()})
-                    continue
-                table = table or closed()
-                level, count, rest, _ = table
-                i, hit = level.find(np.frombuffer(x, np.uint64))
-                i = np.where(hit, i, 0)
-                n = np.where(hit, count[i], 0) if len(count) else np.zeros(len(i), np.int64)
-                r = np.where(hit, rest[i], NONE).astype(np.uint16) if len(count) else np.full(len(i), NONE, np.uint16)
-                n = n.astype(np.min_scalar_type(int(n.max(initial=0))))
-                yield pd.DataFrame({"kind": [CODES], "block": [block], "part": [shelf], "x": [dump({"count": n, "rest": r})]})
-        if at is not None:
-            table = table or closed()
-            yield totals()
+@dataclass
+class Sums:
+    """Totals of the words and pairs that were dealt over several buckets, in the order of ``Hot``."""
 
-    return run
+    word_count: np.ndarray
+    word_fan: np.ndarray
+    pair_count: np.ndarray
+    pair_fan: np.ndarray
 
 
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _finish(buckets: int, shelves: int, hot: Hot, hot_count: np.ndarray, hot_fan: np.ndarray, texts: int, scale: float):
-    """Rows come sorted by (block, kind, part): the texts, the buckets' answers, the shelves' answers."""
+def _finish(buckets: int, hot: Hot, sums: Sums, texts: int, scale: float):
+    """Rows come sorted by (block, kind, part): the texts, then the buckets' answers."""
 
-    def solve(arrays: dict[str, np.ndarray], answers: list[bytes], by_word: list[tuple[int, dict[str, np.ndarray]]]) -> pd.DataFrame:
+    def solve(arrays: dict[str, np.ndarray], answers: list[bytes]) -> pd.DataFrame:
         s = sequence(arrays)
         g = grams(s, ~arrays["held"], buckets, hot)
         cut = np.concatenate((np.flatnonzero(changes(g.bucket)), [len(g.bucket)]))
-        pair, rest, prob = [], [], []
-        for x, n in zip(answers, np.diff(cut).tolist(), strict=True):
-            codes = np.frombuffer(x, np.uint16)
-            pair.append(codes[:n])
-            rest.append(codes[n: 2 * n])
-            prob.append(codes[2 * n:])
-        pair, rest, prob = (np.concatenate(x) for x in (pair, rest, prob))
+        tri = np.concatenate(([0], np.cumsum(g.fan)))[cut]
+        a = g.a[g.pair]
+        head = np.flatnonzero(changes(g.bucket, a))
+        got = []
+        for x, j, k, i in zip(answers, np.diff(cut).tolist(), np.diff(tri).tolist(), np.diff(np.searchsorted(head, cut)).tolist(), strict=True):
+            codes = np.frombuffer(x, np.uint16, 2 * j + k + i)
+            got.append((*np.split(codes, (j, 2 * j, 2 * j + k)), unsmall(np.frombuffer(x, np.uint8)[2 * len(codes):], i)))
+        pair, rest, prob, back_code, n = (np.concatenate(x) for x in zip(*got, strict=True))
         count, back = np.zeros(len(g.words)), np.zeros(len(g.words))
-        for (shelf, w), (part, got) in zip(dealt(g.words, shelves), by_word, strict=True):
-            if shelf != part:
-                raise ValueError("a shelf's answer is missing")
-            i = np.searchsorted(g.words, w)
-            count[i], back[i] = got["count"], SHARE[got["rest"]]
+        count[a[head]], back[a[head]] = n, SHARE[back_code]
+        spread = number_in(hot.words, g.words)
+        if len(w := np.flatnonzero(spread >= 0)):
+            c, f = sums.word_count[spread[w]], sums.word_fan[spread[w]]
+            count[w], back[w] = c, DISCOUNT * f / np.maximum(c, 1)
         context, end = count.copy(), np.searchsorted(g.words, END)
         if end < len(g.words) and g.words[end] == END:
             count[end] = texts
@@ -548,12 +500,13 @@ def _finish(buckets: int, shelves: int, hot: Hot, hot_count: np.ndarray, hot_fan
         weight, known = SHARE[rest[entry]], rest[entry] != NONE
         if is_hot.any():
             i = g.hot[is_hot]
-            kept[is_hot], weight[is_hot], known[is_hot] = np.maximum(hot_count[i] - DISCOUNT, 0), DISCOUNT * hot_fan[i] / np.maximum(hot_count[i], 1), hot_count[i] > 0
+            c, f = sums.pair_count[i], sums.pair_fan[i]
+            kept[is_hot], weight[is_hot], known[is_hot] = np.maximum(c - DISCOUNT, 0), DISCOUNT * f / np.maximum(c, 1), c > 0
         seen = context[g.a] > 0
         p2 = np.where(seen, kept / np.maximum(context[g.a], 1) + back[g.a] * p1[g.b], p1[g.b])
         share = SHARE[prob]
         if len(i := np.flatnonzero(is_hot[g.ctx])):
-            share[i] = AMOUNT[prob[i]] / np.maximum(hot_count[g.hot[g.ctx[i]]], 1)
+            share[i] = AMOUNT[prob[i]] / np.maximum(sums.pair_count[g.hot[g.ctx[i]]], 1)
         p3 = np.where(known[g.ctx], share + weight[g.ctx] * p2[g.tail], p2[g.tail])
         token = ~s.pad
         at, of, n = g.number[token], s.of[token], len(arrays["size"])
@@ -562,21 +515,19 @@ def _finish(buckets: int, shelves: int, hot: Hot, hot_count: np.ndarray, hot_fan
                              "n_tokens": np.bincount(of, minlength=n), "n_known": total((count[g.c] > 0).astype(float)).astype(np.int64), "base_score": total(np.log10(p1[g.c])), "score": total(np.log10(p3))})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, held, answers, by_word = None, None, [], []
+        at, held, answers = None, None, []
         for p in batches:
-            for block, kind, part, x in zip(p["block"], p["kind"], p["part"], p["x"], strict=True):
+            for block, kind, x in zip(p["block"], p["kind"], p["x"], strict=True):
                 if block != at:
                     if at is not None:
-                        yield solve(held, answers, by_word)
-                    at, answers, by_word = block, [], []
+                        yield solve(held, answers)
+                    at, answers = block, []
                 if kind < 0:
                     held = loaded(x)
-                elif kind == 0:
-                    answers.append(x)
                 else:
-                    by_word.append((part, loaded(x)))
+                    answers.append(x)
         if at is not None:
-            yield solve(held, answers, by_word)
+            yield solve(held, answers)
 
     return run
 
@@ -597,38 +548,23 @@ def lm_score(docs: DataFrame, bucket_bytes: int = 8 << 20, block_bytes: int = 4
     blocks = ws.write(docs.mapInPandas(_blocks(block_bytes, hot_share), "block long, x binary, grams long, often array<struct<level:int,k:long,n:long>>"))
     size, total = blocks.agg(F.coalesce(F.sum(F.length("x").cast("long")), F.lit(0)), F.coalesce(F.sum("grams"), F.lit(0))).first()
     buckets = max(16, -(-size // bucket_bytes))
-    shelves = min(4096, max(4, buckets // 4))
     often = blocks.select(F.inline("often")).groupBy("level", "k").agg(F.sum("n").alias("n")).where(F.col("n") > max(hot_share, min(hot_share * 1000, 1 / buckets)) / 2 * total)
     often = sorted((r["level"], r["k"] % (1 << 64), r["n"]) for r in often.collect())  # fewer than 2 / hot_share rows of each level
     pairs = [(k, n) for level, k, n in often if level == 2]
     ways = [min(buckets, 1 + -(-4 * n * buckets // max(1, total))) for _, n in pairs]
     hot = Hot(np.array([k for level, k, _ in often if level == 1], np.uint64), np.array([k for k, _ in pairs], np.uint64), np.array(ways, np.int64))
-    sent = blocks.select("block", "x").mapInPandas(_ask(buckets, shelves, hot), SENT)
-    sent = sent.repartition(min(buckets + shelves, 20_000), "bucket").sortWithinPartitions("bucket", "block")
-    answers = ws.write(sent.mapInPandas(_answer(buckets, shelves, hot), ANSWERS), batch_rows=16)
-    # split pairs: fewer than 2 / hot_share of them, in at most as many buckets as each is dealt over
-    hot_count, hot_fan, hot_word = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.uint64)
-    if pairs:
-        split = answers.where(F.col("kind") == SPLIT).select("x").mapInPandas(_split_sums, "hot long, word long, n long, fan long").groupBy("hot").agg(F.min("word").alias("word"), F.sum("n").alias("n"), F.sum("fan").alias("fan"))
-        for r in split.collect():
-            i = number_in(hot.keys, np.array([r["hot"] % (1 << 64)], np.uint64))[0]
-            hot_count[i], hot_fan[i], hot_word[i] = r["n"], r["fan"], r["word"] % (1 << 64)
-    # what split pairs add to their first words; a pair of two starts does not count as one
-    real = (hot_count > 0) & (hot.keys != pair_key(np.array([START]), np.array([START >> SHORT]))[0]) if pairs else np.zeros(0, bool)
-    extra = {"word": hot_word[real], "count": hot_count[real], "fan": np.ones(int(real.sum()), np.int64)}
-    of_words = answers.where(F.col("kind") == TOTALS).select(F.col("block").cast("int").alias("shelf"), F.lit(0).alias("order"), F.lit(0).cast("long").alias("block"), "x").union(
-        answers.where(F.col("kind") == ASKED).select(F.col("part").alias("shelf"), F.lit(1), "block", "x"))
-    of_words = of_words.repartition(shelves, "shelf").sortWithinPartitions("shelf", "order", "block")
-    by_word = ws.write(of_words.mapInPandas(_words(extra, shelves), ANSWERS), batch_rows=64)
-    tokens = texts = 0
-    for r in answers.where(F.col("kind") == SUMS).select("x").mapInPandas(_token_sums, "tokens long, texts long").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "texts")]).collect():
-        tokens, texts = r
-    v = by_word.where(F.col("kind") == SUMS).agg(F.coalesce(F.sum("block"), F.lit(0))).first()[0] + (texts > 0)
-    back = blocks.select("block", F.lit(-1).alias("kind"), F.lit(-1).alias("part"), "x").union(
-        answers.where(F.col("kind") == CODES).select("block", F.lit(0), "part", "x")).union(by_word.where(F.col("kind") == CODES).select("block", F.lit(1), "part", "x"))
-    back = back.repartition("block").sortWithinPartitions("block", "kind", "part")
-    rows = ws.write(back.mapInPandas(_finish(buckets, shelves, hot, hot_count, hot_fan, texts, tokens + 0.5 * (v + 1)), f"rid long, {OUT.replace('held', 'null boolean, held', 1)}"), batch_rows=64)
-    for x in (blocks, answers, by_word):
+    sent = blocks.select("block", "x").mapInPandas(_ask(buckets, hot), SENT)
+    sent = sent.repartition(min(buckets, 20_000), "bucket").sortWithinPartitions("bucket", "block")
+    answers = ws.write(sent.mapInPandas(_answer(hot), ANSWERS), batch_rows=8)
+    sums = _sums(answers, hot)
+    tokens = texts = v = 0
+    for r in answers.where(F.col("kind") == SUMS).select("x").mapInPandas(_token_sums, "tokens long, texts long, words long").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "texts", "words")]).collect():
+        tokens, texts, v = r
+    v += int(((sums.word_count > 0) & (hot.words != START)).sum()) + (texts > 0)
+    back = blocks.select("block", F.lit(-1).alias("kind"), F.lit(-1).alias("part"), "x").union(answers.where(F.col("kind") == CODES).select("block", F.lit(0), "part", "x"))
+    back = back.repartition("block").sortWithinPartitions("block", "kind", "part").select("block", "kind", "x")
+    rows = ws.write(back.mapInPandas(_finish(buckets, hot, sums, texts, tokens + 0.5 * (v + 1)), f"rid long, {OUT.replace('held', 'null boolean, held', 1)}"), batch_rows=16)
+    for x in (blocks, answers):
         ws.drop(x)
     one = rows.where("rid = 0")
     many = rows.where("rid <> 0").groupBy("rid", "doc_id", "null", "held_out").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
@@ -639,13 +575,35 @@ def lm_score(docs: DataFrame, bucket_bytes: int = 8 << 20, block_bytes: int = 4
 def _split_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for p in batches:
         for x in map(loaded, p["x"]):
-            yield pd.DataFrame({"hot": x["hot"].view(np.int64), "word": x["hot_word"].view(np.int64), "n": x["hot_count"], "fan": x["hot_fan"]})
+            yield pd.DataFrame({"level": 1, "k": x["word"].view(np.int64), "word": 0, "n": x["count"], "fan": x["fan"]})
+            yield pd.DataFrame({"level": 2, "k": x["hot"].view(np.int64), "word": x["hot_word"].view(np.int64), "n": x["hot_count"], "fan": x["hot_fan"]})
+
+
+def _sums(answers: DataFrame, hot: Hot) -> Sums:
+    """Sums over the buckets, of fewer than 2 / hot_share words and as many pairs."""
+    out = Sums(*(np.zeros(n, np.int64) for n in (len(hot.words), len(hot.words), len(hot.keys), len(hot.keys))))
+    if not len(hot.words):
+        return out
+    split = answers.where(F.col("kind") == SPLIT).select("x").mapInPandas(_split_sums, "level int, k long, word long, n long, fan long")
+    got = split.groupBy("level", "k").agg(F.min("word").alias("word"), F.sum("n").alias("n"), F.sum("fan").alias("fan")).toPandas()
+    starts = pair_key(np.array([START]), np.array([START >> SHORT]))[0]
+    words, pairs = got[got["level"] == 1], got[got["level"] == 2]
+    i = number_in(hot.words, words["k"].to_numpy(np.int64).view(np.uint64))
+    out.word_count[i], out.word_fan[i] = words["n"], words["fan"]
+    key = pairs["k"].to_numpy(np.int64).view(np.uint64)
+    i = number_in(hot.keys, key)
+    out.pair_count[i], out.pair_fan[i] = pairs["n"], pairs["fan"]
+    real = (pairs["n"].to_numpy() > 0) & (key != starts)  # two starts are no pair of a text
+    of = number_in(hot.words, pairs["word"].to_numpy(np.int64).view(np.uint64))[real]
+    np.add.at(out.word_count, of, pairs["n"].to_numpy(np.int64)[real])
+    np.add.at(out.word_fan, of, 1)
+    return out
 
 
 def _token_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for p in batches:
         got = np.sum([loaded(x)["tokens"] for x in p["x"]], axis=0, dtype=np.int64)
-        yield pd.DataFrame({"tokens": [got[0]], "texts": [got[1]]})
+        yield pd.DataFrame({"tokens": [got[0]], "texts": [got[1]], "words": [got[2]]})
 
 
 def op10_lm_score(spark, sf_dir):
