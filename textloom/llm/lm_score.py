@@ -66,9 +66,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 
 
-def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(start, 64-bit hash) of each word between ASCII white space, A-Z folded."""
-    b = np.frombuffer(raw.lower(), np.uint8)
+def _words_in(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     white = IS_WHITE[b]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], white, [True])).view(np.int8)))
     start, size = edge[::2], edge[1::2] - edge[::2]
@@ -83,6 +81,18 @@ def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return start, mix(np.add.reduceat(h, first) + size.astype(np.uint64) * np.uint64(BASE))
 
 
+def words_of(raw: bytes, slice_bytes: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """(start, 64-bit hash) of each word between ASCII white space, A-Z folded."""
+    b, at, got = np.frombuffer(raw.lower(), np.uint8), 0, []
+    while at < len(b) or not got:
+        end = WHITE.search(raw, at + slice_bytes) if at + slice_bytes < len(b) else None
+        end = end.start() if end else len(b)
+        start, h = _words_in(b[at:end])
+        got.append((start + at, h))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*got, strict=True))
+
+
 def _parts(raw: bytes, limit: int) -> Iterator[tuple[bytes, bool, bool, tuple[int, int]]]:
     """(bytes, first?, last?, the two tokens before) of a text, cut at white space about every ``limit`` bytes."""
     at, before = 0, (START, START)
@@ -540,7 +550,7 @@ class Scored:
     hot_pairs: int
 
 
-def lm_score(docs: DataFrame, bucket_bytes: int = 8 << 20, block_bytes: int = 4 << 20, hot_share: float = 2e-5) -> Scored:
+def lm_score(docs: DataFrame, bucket_bytes: int = 4 << 20, block_bytes: int = 4 << 20, hot_share: float = 2e-5) -> Scored:
     """Scores all rows of (doc_id, held_out, text) by the model of those that are not held out."""
     spark = docs.sparkSession
     ws = Workspace(spark, "lm")
@@ -555,7 +565,7 @@ def lm_score(docs: DataFrame, bucket_bytes: int = 8 << 20, block_bytes: int = 4
     hot = Hot(np.array([k for level, k, _ in often if level == 1], np.uint64), np.array([k for k, _ in pairs], np.uint64), np.array(ways, np.int64))
     sent = blocks.select("block", "x").mapInPandas(_ask(buckets, hot), SENT)
     sent = sent.repartition(min(buckets, 20_000), "bucket").sortWithinPartitions("bucket", "block")
-    answers = ws.write(sent.mapInPandas(_answer(hot), ANSWERS), batch_rows=8)
+    answers = ws.write(sent.mapInPandas(_answer(hot), ANSWERS), batch_rows=4)
     sums = _sums(answers, hot)
     tokens = texts = v = 0
     for r in answers.where(F.col("kind") == SUMS).select("x").mapInPandas(_token_sums, "tokens long, texts long, words long").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "texts", "words")]).collect():
@@ -563,7 +573,7 @@ def lm_score(docs: DataFrame, bucket_bytes: int = 8 << 20, block_bytes: int = 4
     v += int(((sums.word_count > 0) & (hot.words != START)).sum()) + (texts > 0)
     back = blocks.select("block", F.lit(-1).alias("kind"), F.lit(-1).alias("part"), "x").union(answers.where(F.col("kind") == CODES).select("block", F.lit(0), "part", "x"))
     back = back.repartition("block").sortWithinPartitions("block", "kind", "part").select("block", "kind", "x")
-    rows = ws.write(back.mapInPandas(_finish(buckets, hot, sums, texts, tokens + 0.5 * (v + 1)), f"rid long, {OUT.replace('held', 'null boolean, held', 1)}"), batch_rows=16)
+    rows = ws.write(back.mapInPandas(_finish(buckets, hot, sums, texts, tokens + 0.5 * (v + 1)), f"rid long, {OUT.replace('held', 'null boolean, held', 1)}"), batch_rows=4)
     for x in (blocks, answers):
         ws.drop(x)
     one = rows.where("rid = 0")
