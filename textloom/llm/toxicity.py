@@ -46,6 +46,7 @@ CONTRAST = set("but however though aber sondern jedoch mais pourtant pero sino ,
 REPORTED = set("said says say claimed called quoted wrote reported sagte sagt schrieb nannte dit disait écrit cité dijo dice escribió llamó".split())
 TARGET = set("you your yours u he she they them him her his their this that these those du dich dir ihr euch sie er tu toi vous votre il elle ils tú usted ustedes te tus él ella ellos".split())
 THREAT = set("kill hurt destroy stab shoot murder beat burn töten umbringen schlagen tuer frapper brûler matar golpear quemar".split())
+GRAMMAR_WORDS = NEGATION | CONTRAST | REPORTED | TARGET
 GIVEN = {"insult": 1.0, "insult@": 1.15, "insult~": 0.25, "insult~@": 0.3, 'insult"': 0.6, 'insult"@': 0.6, 'insult~"': 0.2, 'insult~"@': 0.2, "threat@": 1.0, "threat~@": 0.2, 'threat"@': 0.5, 'threat~"@': 0.1}
 THREAT_WEIGHT = 2.0
 PRIOR, DRAW = 20, 5
@@ -161,14 +162,15 @@ def heads_of(lexicon: dict[str, float]) -> set[str]:
 
 
 def symbols_of(words: list[str], known: dict[str, float]) -> list[tuple[str, float]]:
+    """The words' symbols; plain words are left out, since every state stays as it is over them."""
     out = []
     for w in words:
         if w in known:
             out.append(("insult", known[w]))
         elif w in THREAT:
             out.append(("threat", THREAT_WEIGHT))
-        else:
-            out.append(("negation" if w in NEGATION else "report" if w in REPORTED else "target" if w in TARGET else "contrast" if w in CONTRAST else "word", 0.0))
+        elif w in GRAMMAR_WORDS:
+            out.append(("negation" if w in NEGATION else "report" if w in REPORTED else "target" if w in TARGET else "contrast", 0.0))
     return out
 
 
