@@ -95,3 +95,68 @@ def test_audit_draws_until_it_has_seen_links():
 def test_repeated_ids_and_rows(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 3.0])], "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in embedding_components(df).collect()) == [(1, 1, 1, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
+
+
+def test_memory_of_a_search_does_not_grow_with_a_group():
+    import tracemalloc
+
+    import pandas as pd
+
+    from textloom.llm.embedding_dedup import _search, pack, unit
+
+    rng = np.random.default_rng(6)
+    x = np.float32(1 + 0.05 * rng.normal(size=(3000, 64)))  # one group
+    q, x = x[2000:], x[:2000]
+    g = Graph(unit(x)).build()
+    graph = pack(x=x, cid=np.arange(2000), copies=np.ones(2000, np.int64), top=np.array(g.top), label=np.zeros(2000, np.int64), level=g.level,
+                 **{f"adj{i}": v for i, v in enumerate(g.adj)})
+    rows = pd.DataFrame({"d": 64, "shard": 0, "range": 0, "block": [-1, 5000], "x": [graph, pack(x=q, cid=np.arange(5000, 6000))]})
+    tracemalloc.start()
+    try:
+        got = pd.concat(list(_search(0.9, 0.98)(iter([rows]))))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got["links"].sum() == 2_000_000 and got["a"].notna().sum() == 1000
+    assert most < 200e6  # all pairs of 256 queries in double precision are 500 MB
+
+
+def test_graphs_travel_in_pieces(spark, monkeypatch):
+    from textloom.llm.common import Workspace
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1200, 128))
+    x[600:] = x[:600] + 0.02 * rng.normal(size=(600, 128))
+    longest, write = [], Workspace.write
+
+    def spied(self, df, *a, **b):
+        out = write(self, df, *a, **b)
+        if "x" in out.columns:
+            longest.append(out.selectExpr("max(length(x))").first()[0])
+        return out
+
+    monkeypatch.setattr(Workspace, "write", spied)
+    df = spark.createDataFrame([(i, [float(y) for y in np.float32(v)]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = embedding_components(df, min_shards=1).collect()
+    assert sorted(tuple(r) for r in got) == [(i, 1, i % 600, i < 600) for i in range(1200)]
+    assert len(longest) == 2 and max(longest) <= 1 << 18
+
+
+def test_shards_are_searched_in_waves(spark, monkeypatch):
+    from textloom.llm.common import Workspace
+
+    widths, write = [], Workspace.write
+
+    def spied(self, df, *a, **b):
+        out = write(self, df, *a, **b)
+        if out.columns == ["cid", "links", "a", "b"]:
+            widths.append(out.count())
+        return out
+
+    monkeypatch.setattr(Workspace, "write", spied)
+    rows = vectors(2, n=160)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in embedding_components(df, min_shards=20).collect())
+    want = brute([(r["vec_id"], r["embedding"]) for r in df.collect()])
+    assert got == want
+    assert len(widths) == 3 and min(widths) > 0  # of eight, eight and four shards

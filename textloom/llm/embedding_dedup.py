@@ -1,12 +1,17 @@
 """Embedding near-dedup with hierarchical navigable small-world graphs.
 
-Equal vectors are one class.  Classes are dealt to shards by a hash of the vector; each shard's graph is built in its
-own task and written to the shared folder.  Every class then queries every shard: classes are packed into blocks, blocks
-into ranges, and a graph of at most ``shard_rows`` vectors meets the blocks of one range at a time, so that nothing passes
-the driver and a task holds one graph and one block.  A search whose beam is full of links is repeated with twice the beam,
-and so is a block of queries whose audit finds less than ``audit_recall`` of the links: a brute-force count for queries
-drawn until ``AUDIT_LINKS`` links or ``AUDIT_QUERIES`` queries were seen, judged for the block and for all blocks that the
-task has searched in this graph.  A beam as wide as the shard is exact.
+Equal vectors are one class. Classes are dealt to shards by a hash of the vector; each shard's graph is built in its own
+task and written to the shared folder in pieces of at most ``PIECE`` bytes, since a graph in one row is a large object
+in every buffer of the JVM it passes. Every class then queries every shard: classes are packed into blocks, blocks into
+ranges, and a graph of at most ``shard_rows`` vectors meets the blocks of one range at a time, so that nothing passes
+the driver and a task holds one graph and one block. A range has up to four times the vectors of a shard, so that graphs
+are sent less often than blocks; ``SHARDS`` shards are searched at a time (a 64th of all if that is more), so that few
+copies of the vectors are sent at once. Links come from a search a few at a time and are counted and joined to
+components at once; what a task keeps of a query is its number of links and the local components it touches, however
+many copies a group has. A search whose beam is full of links is repeated with twice the beam, and so is a block of
+queries whose audit finds less than ``audit_recall`` of the links: a brute-force count for queries drawn until
+``AUDIT_LINKS`` links or ``AUDIT_QUERIES`` queries were seen, judged for the block and for all blocks that the task has
+searched in this graph. A beam as wide as the shard is exact.
 Hits are verified by cosine in double precision.  A task returns per class the number of linked vectors and one edge per
 local component touched, never all pairs; components are found by alternating stars.
 
@@ -32,6 +37,9 @@ from textloom.llm.common import Workspace, components
 M = 12
 AUDIT_LINKS, AUDIT_QUERIES = 24, 256
 BLOCK = 1024
+PIECE = 1 << 18
+SHARDS = 8
+FOUND = "cid long, links long, a long, b long"
 
 
 class Graph:
@@ -178,48 +186,53 @@ class Graph:
             truth = np.concatenate((truth, (q[more] @ exact.T >= least).sum(1)))
         return order[: len(truth)], truth
 
-    def links(self, exact: np.ndarray, q: np.ndarray, least: float, recall: float, tally: np.ndarray | None = None, ef: int = 32) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs of cosine >= least.  exact: this graph's unit rows in double precision; q likewise.
+    def hits(self, exact: np.ndarray, q: np.ndarray, least: float, recall: float, tally: np.ndarray | None = None, ef: int = 32) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+        """Links of cosine >= least as (queries, nodes), few at a time; (queries, None) takes back all that was given for these.
 
-        tally: links found and true ones of the audits so far; this block's are added.
+        exact: this graph's unit rows in double precision; q likewise.  tally: links found and true ones of the audits so
+        far; this block's are added.
         """
-        n = len(self.x)
+        n, few = len(self.x), max(1, (1 << 21) // max(1, q.shape[1]))
         tally = np.zeros(2, np.int64) if tally is None else tally
-        q32 = q.astype(np.float32)
-        pairs: list[tuple[np.ndarray, np.ndarray]] = []
         todo = np.arange(len(q))
         drawn, truth = self.audit(exact, q, least)
         found_of = np.zeros(len(q), np.int64)
         while len(todo):
             wide = ef >= n
             again: list[np.ndarray] = []
-            for i in range(0, len(todo), step := max(1, min(256, (1 << 24) // (n + 1)))):
+            step = max(1, (1 << 21) // (n + 1) if wide else min(256, (1 << 24) // (n + 1), (1 << 20) // (ef + 8 * M)))
+            for i in range(0, len(todo), step):
                 t = todo[i: i + step]
+                full = np.zeros(len(t), bool)
                 if wide:
-                    ids = np.tile(np.arange(n), (len(t), 1))
-                    full = np.zeros(len(t), bool)
+                    r, node = np.nonzero(q[t] @ exact.T >= least - 1e-9)
                 else:
-                    ids, sims = self.search(0, q32[t], self.descend(q32[t], 0), ef)
+                    q32 = q[t].astype(np.float32)
+                    ids, sims = self.search(0, q32, self.descend(q32, 0), ef)
                     full = (sims.shape[1] >= ef) & (sims[:, -1] >= least - 1e-4)
-                    hit = sims >= least - 1e-4
-                    ids = np.where(hit, ids, -1)
-                r, c = np.nonzero(ids >= 0) if not wide else np.nonzero(q[t] @ exact.T >= least)
-                node = ids[r, c]
-                ok = np.einsum("nd,nd->n", q[t[r]], exact[node]) >= least
-                r, node = r[ok & ~full[r]], node[ok & ~full[r]]
-                pairs.append((t[r], node))
-                found_of[t] = np.bincount(r, minlength=len(t))
+                    r, c = np.nonzero((ids >= 0) & (sims >= least - 1e-4) & ~full[:, None])
+                    node = ids[r, c]
+                found_of[t] = 0
+                for k in range(0, len(r), few):
+                    a, b = t[r[k: k + few]], node[k: k + few]
+                    ok = np.einsum("nd,nd->n", q[a], exact[b]) >= least
+                    np.add.at(found_of, a[ok], 1)
+                    yield a[ok], b[ok]
                 again.append(t[full])
             full = np.concatenate(again)
             if not wide and not len(full):
                 got = np.array([found_of[drawn].sum(), truth.sum()])
                 if got[0] < recall * got[1] or (got + tally)[0] < recall * (got + tally)[1]:
                     full = np.arange(len(q))  # the audit failed: all again with a wider beam
-            if len(full):
-                drop = np.isin
-                pairs = [(a[~drop(a, full)], b[~drop(a, full)]) for a, b in pairs]
+                    yield full, None
             todo, ef = full, ef * 2
         tally += np.array([found_of[drawn].sum(), truth.sum()])
+
+    def links(self, exact: np.ndarray, q: np.ndarray, least: float, recall: float, tally: np.ndarray | None = None, ef: int = 32) -> tuple[np.ndarray, np.ndarray]:
+        """All (query, node) pairs of hits()."""
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        for a, b in self.hits(exact, q, least, recall, tally, ef):
+            pairs = pairs + [(a, b)] if b is not None else [(x[~np.isin(x, a)], y[~np.isin(x, a)]) for x, y in pairs]
         return np.concatenate([a for a, _ in pairs] or [np.zeros(0, int)]), np.concatenate([b for _, b in pairs] or [np.zeros(0, int)])
 
 
@@ -254,6 +267,17 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The components ``label`` after links between a and b."""
+    n = len(label)
+    pairs = np.unique(label[a] * n + label[b])
+    return local_components(n, pairs // n, pairs % n)[label]
+
+
+def pieces(blob: bytes) -> list[bytes]:
+    return [blob[i: i + PIECE] for i in range(0, len(blob), PIECE)]
+
+
 def embedding_components(vectors: DataFrame, least: float = 0.9, shard_rows: int = 20_000, min_shards: int = 8, audit_recall: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for the rows of (vec_id, embedding)."""
     spark = vectors.sparkSession
@@ -286,28 +310,37 @@ def embedding_components(vectors: DataFrame, least: float = 0.9, shard_rows: int
         rows = rows_of(p["v"], d)
         x, tally = unit(rows), np.zeros(2, np.int64)
         g = Graph(x).build()
-        a, b = [np.concatenate(z) for z in zip(*[(s[0] + i, s[1]) for i in range(0, len(x), BLOCK) for s in [g.links(x, x[i: i + BLOCK], least, audit_recall, tally)]], strict=True)]
-        blob = pack(x=rows, cid=p["cid"].to_numpy(), copies=p["copies"].to_numpy(), top=np.array(g.top), label=local_components(len(x), a, b),
-                    level=g.level, **{f"adj{i}": v for i, v in enumerate(g.adj)})
-        return pd.DataFrame({"d": [d], "shard": [int(p["shard"].iloc[0])], "x": [blob]})
+        label = np.arange(len(x))
+        for i in range(0, len(x), BLOCK):
+            for a, b in g.hits(x, x[i: i + BLOCK], least, audit_recall, tally):
+                label = joined(label, a + i, b) if b is not None else label  # links taken back are links all the same
+        parts = pieces(pack(x=rows, cid=p["cid"].to_numpy(), copies=p["copies"].to_numpy(), top=np.array(g.top), label=label,
+                            level=g.level, **{f"adj{i}": v for i, v in enumerate(g.adj)}))
+        return pd.DataFrame({"d": d, "shard": int(p["shard"].iloc[0]), "piece": range(len(parts)), "x": parts})
 
-    graphs = ws.write(classes.groupBy("d", "shard").applyInPandas(build, "d int, shard int, x binary"))
+    graphs = ws.write(classes.groupBy("d", "shard").applyInPandas(build, "d int, shard int, piece int, x binary"))
 
     def blocks_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             for d, own in p.groupby("d"):
                 for i in range(0, len(own), BLOCK):
                     part = own.iloc[i: i + BLOCK]
-                    blob = pack(x=rows_of(part["v"], int(d)), cid=part["cid"].to_numpy())
-                    yield pd.DataFrame({"d": [int(d)], "block": [int(part["cid"].iloc[0])], "x": [blob]})
-
-    blocks = ws.write(classes.select("d", "cid", "v").mapInPandas(blocks_of, "d int, block long, x binary"))
-    ranges = max(1, -(-max(n.values(), default=1) // shard_rows))
-    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    held = graphs.select("d", "shard", each(ranges).alias("range"), F.lit(-1).cast("long").alias("block"), "x")
-    asked = blocks.select("d", each(shards).alias("shard"), F.pmod(F.xxhash64("block"), F.lit(ranges)).cast("int").alias("range"), "block", "x")
-    dealt = held.union(asked).repartition(min(max(1, len(n)) * shards * ranges, 20_000), "d", "shard", "range").sortWithinPartitions("d", "shard", "range", "block")
-    found = ws.write(dealt.mapInPandas(_search(least, audit_recall), "cid long, links long, a long, b long"), batch_rows=4)
+                    parts = pieces(pack(x=rows_of(part["v"], int(d)), cid=part["cid"].to_numpy()))
+                    yield pd.DataFrame({"d": int(d), "block": int(part["cid"].iloc[0]), "piece": range(len(parts)), "x": parts})
+
+    blocks = ws.write(classes.select("d", "cid", "v").mapInPandas(blocks_of, "d int, block long, piece int, x binary"))
+    most = max(n.values(), default=1)
+    ranges = max(1, min(4, -(-most // shard_rows)), -(-most // (4 * shard_rows)))
+    each = lambda a, b: F.explode(F.sequence(F.lit(a), F.lit(b)))
+    wave = max(SHARDS, -(-shards // 64))
+    paths = []
+    for first in range(0, shards, wave):
+        last = min(first + wave, shards) - 1
+        held = graphs.where(F.col("shard").between(first, last)).select("d", "shard", each(0, ranges - 1).alias("range"), F.lit(-1).cast("long").alias("block"), "piece", "x")
+        asked = blocks.select("d", each(first, last).alias("shard"), F.pmod(F.xxhash64("block"), F.lit(ranges)).cast("int").alias("range"), "block", "piece", "x")
+        dealt = held.union(asked).repartition(min(max(1, len(n)) * (last - first + 1) * ranges, 20_000), "d", "shard", "range").sortWithinPartitions("d", "shard", "range", "block", "piece")
+        paths.append(ws.write(dealt.mapInPandas(_search(least, audit_recall), FOUND), batch_rows=4)._textloom_path)
+    found = spark.read.schema(FOUND).parquet(*paths)
     ws.drop(graphs)
     ws.drop(blocks)
     of = components(ws, found.where("a is not null").select("a", "b")).withColumnRenamed("node", "cid")
@@ -323,7 +356,7 @@ def embedding_components(vectors: DataFrame, least: float = 0.9, shard_rows: int
 
 
 def _search(least: float, recall: float):
-    """Rows come sorted by (d, shard, range, block): a graph first (block -1), then the blocks that query it."""
+    """Rows come sorted by (d, shard, range, block, piece): a graph first (block -1), then the blocks that query it."""
 
     def opened(blob: bytes) -> tuple:
         z = np.load(io.BytesIO(blob))
@@ -333,28 +366,45 @@ def _search(least: float, recall: float):
         g.adj = [z[f"adj{i}"] for i in range(sum(k.startswith("adj") for k in z.files))]
         return g, x, z["cid"], z["copies"], z["label"], np.zeros(2, np.int64)
 
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, bytes]]:
+        at, parts = None, []
+        for p in batches:
+            for d, shard, range_, block, x in zip(*(p[c] for c in ("d", "shard", "range", "block", "x")), strict=True):
+                if at != (d, shard, range_, block):
+                    if parts:
+                        yield at, b"".join(parts)
+                    at, parts = (d, shard, range_, block), []
+                parts.append(x)
+        if parts:
+            yield at, b"".join(parts)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held = None, None
-        for p in batches:
-            for d, shard, range_, block, blob in zip(*(p[c] for c in ("d", "shard", "range", "block", "x")), strict=True):
-                if block < 0:
-                    at, held = (d, shard, range_), opened(blob)
+        for (*key, block), blob in whole(batches):
+            if block < 0:
+                at, held = key, None  # the graph before goes first
+                held = opened(blob)
+                continue
+            if at != key:
+                continue  # no vector of this length in this shard
+            g, x, cid, copies, label, tally = held
+            z = np.load(io.BytesIO(blob))
+            own, n = z["cid"], len(cid)
+            total, ties = np.zeros(len(own), np.int64), [np.zeros(0, np.int64)]
+            for a, b in g.hits(x, unit(z["x"]), least, recall, tally):
+                if b is None:
+                    total[a], ties = 0, [t[~np.isin(t // n, a)] for t in ties]
                     continue
-                if at != (d, shard, range_):
-                    continue  # no vector of this length in this shard
-                g, x, cid, copies, label, tally = held
-                z = np.load(io.BytesIO(blob))
-                own = z["cid"]
-                a, b = g.links(x, unit(z["x"]), least, recall, tally)
                 ok = own[a] != cid[b]
                 a, b = a[ok], b[ok]
-                if not len(a):
-                    continue
-                total = np.bincount(a, weights=copies[b], minlength=len(own)).astype(np.int64)
-                one = np.unique(np.stack((a, label[b]), 1), axis=0)  # an edge for each local component
-                head = np.flatnonzero(total)
-                yield pd.DataFrame({"cid": own[head], "links": total[head], "a": pd.array([None] * len(head), "Int64"), "b": pd.array([None] * len(head), "Int64")})
-                yield pd.DataFrame({"cid": own[one[:, 0]], "links": 0, "a": pd.array(own[one[:, 0]], "Int64"), "b": pd.array(cid[one[:, 1]], "Int64")})
+                np.add.at(total, a, copies[b])
+                ties.append(np.unique(a * n + label[b]))
+            one = np.unique(np.concatenate(ties))  # an edge for each local component
+            if not len(one):
+                continue
+            head = np.flatnonzero(total)
+            yield pd.DataFrame({"cid": own[head], "links": total[head], "a": pd.array([None] * len(head), "Int64"), "b": pd.array([None] * len(head), "Int64")})
+            yield pd.DataFrame({"cid": own[one // n], "links": 0, "a": pd.array(own[one // n], "Int64"), "b": pd.array(cid[one % n], "Int64")})
 
     return run
 
