@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.sources import staging as common
 
@@ -37,3 +38,13 @@ def test_scratch_deletes(spark):
     ws = common.Workspace(spark, "t")
     ws.drop(ws.write(spark.range(3)))
     assert os.listdir(ws.path.removeprefix("file://")) == []
+
+
+def test_large_rows_end_row_groups(spark):
+    pq = pytest.importorskip("pyarrow.parquet")
+    rows = spark.range(0, 40, 1, 1).withColumn("x", F.unhex(F.repeat(F.sha2(F.col("id").cast("string"), 256), F.lit(1 << 15))))  # 1 MB each
+    with common.scratch():
+        df = common.Workspace(spark, "t").write(rows, compression="uncompressed")
+        sizes = [m.row_group(i).total_byte_size for f in df.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file://")).metadata] for i in range(m.num_row_groups)]
+        assert sum(sizes) > 40 << 20 and max(sizes) < 20 << 20
+        assert df.agg(F.sum(F.length("x"))).first()[0] == 40 << 20

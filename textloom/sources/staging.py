@@ -30,6 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 CLEANUP, BATCH = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"
+# Parquet looks at the size of pages and row groups after 100 rows only, which may be 100 blocks of megabytes; and readers
+# take up to 4,096 rows of a row group at once.
+PARQUET = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1}
 OPEN: list[list[Workspace]] = []
 
 
@@ -55,7 +58,8 @@ class Workspace:
         """Writes df as Parquet and reads it back.
 
         Meanwhile shuffle files go as soon as they were read, and Python tasks take ``batch_rows`` rows at once: few where
-        rows are large.
+        rows are large.  A row group ends at 16 MB or its first row beyond, which bounds what writers and readers hold,
+        however many large rows a task writes.
         """
         self.n += 1
         path = f"{self.path}/{self.n}"
@@ -64,7 +68,7 @@ class Workspace:
         try:
             for k, v in conf.items():
                 self.spark.conf.set(k, v)
-            df.write.option("compression", compression).parquet(path)
+            df.write.options(compression=compression, **PARQUET).parquet(path)
         finally:
             for k, v in was.items():
                 self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
