@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,3 +217,10 @@ def test_chunked_utf8(spark):
     rows = [(1, 0, b"\xc2"), (2, 1, b"\xa5"), (2, 0, b"\xc2"), (3, 0, b"\xff"), (3, 1, b"a"), (4, 0, b"a" * 9), (5, 0, b"\xf0\x9f"), (5, 2, b"\x80"), (5, 1, b"\x98")]
     got = utf8_chunked(spark.createDataFrame(rows, "stream_id int, seq int, chunk binary")).collect()
     assert {x["stream_id"]: x["valid"] for x in got} == {1: False, 2: True, 3: False, 4: True, 5: True}
+
+
+def test_tokens_come_in_pieces_of_a_batch():
+    texts = ["<a>x</a>" * 40_000, None, "", *["<b/>"] * 1000, "<c>" * 400_000, "<d/>"]
+    got = list(p.xml_tokens_udf.func(iter([pd.Series(texts), pd.Series([], dtype=object)])))
+    assert [len(x) for x in got] == [1003, 1, 1, 0]
+    assert [len(y) if y is not None else None for x in got for y in x] == [120_000, None, 0, *[1] * 1000, 400_000, 1]

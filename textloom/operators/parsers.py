@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
+from textloom.functions.batches import each
 from textloom.functions.scan import col
 from textloom.functions.strings import SPACE, lines
 
@@ -102,10 +103,12 @@ def xml_scan(b: bytes) -> list[tuple[str, bytes, int]]:
 
 
 def _tokens(scan):
+    def one(t: str) -> list[dict]:
+        return [{"seq": i, "type": k, "value": v.decode(errors="replace"), "offset": o} for i, (k, v, o) in enumerate(scan(t.encode()))]
+
     @F.pandas_udf(TOKENS)
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else [{"seq": i, "type": k, "value": v.decode(errors="replace"), "offset": o}
-                                                  for i, (k, v, o) in enumerate(scan(t.encode()))] for t in s], dtype=object)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return each(batches, one)
 
     return run
 
@@ -188,8 +191,8 @@ def csv_rows(df: DataFrame, key: str, text: str, delimiter: str = ",", quote: st
     """(key, row, col, value); rows count from 1, columns from 0."""
 
     @F.pandas_udf("array<array<string>>")
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else list(csv_records(t, delimiter, quote)) for t in s], dtype=object)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return each(batches, lambda t: list(csv_records(t, delimiter, quote)))
 
     rows = df.select(key, F.posexplode(run(text)).alias("row", "_f"))
     return rows.select(key, (F.col("row") + 1).cast("long").alias("row"), F.posexplode("_f").alias("col", "value")).withColumn("col", F.col("col").cast("long"))
@@ -278,19 +281,19 @@ def _byte_offsets(text: str, at: list[int]) -> list[int]:
 
 
 @F.pandas_udf(MARKDOWN)
-def markdown_udf(s: pd.Series) -> pd.Series:
+def markdown_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     def one(t: str) -> list[dict]:
         got = list(markdown_scan(t))
         return [{"seq": i, "type": k, "text": raw, "content": c, "level": n, "offset": o}
                 for i, ((k, raw, c, n, _), o) in enumerate(zip(got, _byte_offsets(t, [x[4] for x in got]), strict=True))]
 
-    return pd.Series([None if t is None else one(t) for t in s], dtype=object)
+    return each(batches, one)
 
 
 @F.pandas_udf(ENTRIES)
-def config_udf(s: pd.Series) -> pd.Series:
+def config_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     names = ("section", "name", "value", "line")
-    return pd.Series([None if t is None else [dict(zip(names, x, strict=True)) for x in ini_scan(t)] for t in s], dtype=object)
+    return each(batches, lambda t: [dict(zip(names, x, strict=True)) for x in ini_scan(t)])
 
 
 def markdown_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
