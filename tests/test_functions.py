@@ -182,3 +182,17 @@ def test_hex_val_query_on_odd_first_characters(spark, tmp_path):
     got = catalog.QUERIES["hex_val"](spark, str(tmp_path)).orderBy("doc_id").collect()
     duckdb.sql(f"CREATE OR REPLACE TEMP VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     assert [tuple(x) for x in got] == duckdb.sql(f"{catalog.SQL['hex_val']} ORDER BY doc_id").fetchall()
+
+
+def test_decode_results_take_an_argument_once(spark):
+    """The argument is evaluated once, however many fields are read, and both forms agree on odd inputs."""
+    odd = ["", "0", "00", "0g", "g0", "00é0", "é0", "0\U0001f600", "AAAA", "AA==", "A===", "AAA\n", None]
+    rows = spark.createDataFrame([(x,) for x in odd], "t string").coalesce(1)
+    got = rows.select(e.hex_decode_result("t").alias("h"), e.base64_decode_result("t").alias("b")).collect()
+    ok = lambda x: x and (x["bytes"], x["error"], x["error_offset"])
+    assert [ok(x["h"]) for x in got] == [(b"", "Ok", 0), (None, "InvalidLength", 0), (b"\0", "Ok", 0), (None, "InvalidChar", 1), (None, "InvalidChar", 0), (None, "InvalidLength", 0), (None, "InvalidLength", 0),
+                                         (None, "InvalidLength", 0), (b"\xaa\xaa", "Ok", 0), (None, "InvalidChar", 2), (None, "InvalidChar", 1), (None, "InvalidChar", 3), None]
+    assert [ok(x["b"]) for x in got][8:] == [(b"\0\0\0", "Ok", 0), (b"\0", "Ok", 0), (None, "InvalidChar", 1), (None, "InvalidChar", 3), None]
+    for f in (e.hex_decode_result, e.base64_decode_result):
+        plan = rows.select(f(F.reverse("t"))["error_offset"].alias("out"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("reverse(") == 1

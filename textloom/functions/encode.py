@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textloom.functions.scan import col
+from textloom.functions.scan import col, let
 
 
 def hex_encode(c) -> Column:
@@ -15,13 +15,20 @@ def hex_decode(c) -> Column:
     return F.when(F.octet_length(c) % 2 == 0, F.unhex(c))  # null where a digit is none
 
 
+DIGITS = "^[0123456789ABCDEFabcdef]*+"  # single characters: Java looks these up in a table, unlike ranges
+
+
 def hex_decode_result(c) -> Column:
     """struct(bytes, error, error_offset): InvalidLength before InvalidChar; the offset is that of the first bad digit."""
-    c = col(c)
-    at = F.regexp_instr(c, F.lit("[^0-9A-Fa-f]"))
-    error = F.when(F.octet_length(c) % 2 != 0, "InvalidLength").when(at > 0, "InvalidChar").otherwise("Ok")
-    off = F.when(error == "InvalidChar", F.octet_length(F.substring(c, F.lit(1), at - 1))).otherwise(0).cast("long")
-    return F.when(c.isNotNull(), F.struct(hex_decode(c).alias("bytes"), error.alias("error"), off.alias("error_offset")))
+
+    def result(x: Column) -> Column:
+        odd, size = F.octet_length(x["c"]) % 2 != 0, F.octet_length(x["c"])
+        bad = ~odd & (x["good"] < size)
+        error = F.when(odd, "InvalidLength").when(bad, "InvalidChar").otherwise("Ok")
+        return F.struct(F.when(error == "Ok", F.unhex(x["c"])).alias("bytes"), error.alias("error"), F.when(bad, x["good"]).otherwise(0).cast("long").alias("error_offset"))
+
+    good = lambda t: F.octet_length(F.regexp_extract(t, DIGITS, 0))
+    return let(col(c), lambda t: let(F.struct(t.alias("c"), good(t).alias("good")), lambda x: F.when(x["c"].isNotNull(), result(x))))
 
 
 def hex_val(c) -> Column:
@@ -45,8 +52,12 @@ def base64_decode(c) -> Column:
 
 def base64_decode_result(c) -> Column:
     """struct(bytes, error, error_offset): the offset is that of the first character that breaks the form."""
-    c = col(c)
-    error = F.when(F.octet_length(c) % 4 != 0, "InvalidLength").when(~c.rlike(GOOD64), "InvalidChar").otherwise("Ok")
-    good = F.regexp_extract(c, "^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{0,3})", 0)
-    off = F.when(error == "InvalidChar", F.octet_length(good)).otherwise(0).cast("long")
-    return F.when(c.isNotNull(), F.struct(base64_decode(c).alias("bytes"), error.alias("error"), off.alias("error_offset")))
+
+    def result(x: Column) -> Column:
+        odd, bad = F.octet_length(x["c"]) % 4 != 0, ~x["fits"]
+        error = F.when(odd, "InvalidLength").when(bad, "InvalidChar").otherwise("Ok")
+        good = F.regexp_extract(x["c"], "^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{0,3})", 0)
+        off = F.when(~odd & bad, F.octet_length(good)).otherwise(0).cast("long")
+        return F.struct(F.when(~bad, F.unbase64(x["c"])).alias("bytes"), error.alias("error"), off.alias("error_offset"))
+
+    return let(col(c), lambda t: let(F.struct(t.alias("c"), t.rlike(GOOD64).alias("fits")), lambda x: F.when(x["c"].isNotNull(), result(x))))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from textloom.functions.batches import each
-from textloom.functions.scan import col
+from textloom.functions.scan import col, let
 from textloom.functions.strings import SPACE, lines
 
 TOKENS = ArrayType(StructType().add("seq", LongType()).add("type", StringType()).add("value", StringType()).add("offset", LongType()))
@@ -331,11 +331,6 @@ def level_rank(c) -> Column:
     return out.otherwise(6)
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is evaluated once however often the body names it (a lambda's variable)."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _first_keyword(body: Column) -> Column:
     """Position of the earliest keyword whose first occurrence stands alone, or null."""
 
