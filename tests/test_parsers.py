@@ -224,3 +224,14 @@ def test_tokens_come_in_pieces_of_a_batch():
     got = list(p.xml_tokens_udf.func(iter([pd.Series(texts), pd.Series([], dtype=object)])))
     assert [len(x) for x in got] == [1003, 1, 1, 0]
     assert [len(y) if y is not None else None for x in got for y in x] == [120_000, None, 0, *[1] * 1000, 400_000, 1]
+
+
+def test_common_lengths_take_an_argument_once(spark):
+    rng = random.Random(5)
+    pairs = [(rng.choice(["", "é", "xé"]) + "ab" * rng.randrange(5), "ab" * rng.randrange(5) + rng.choice(["", "é", "yé"])) for _ in range(200)] + [("x" * 70_000, "x" * 69_999), ("a" * 50_000 + "b" * 9, "c" + "b" * 9)]
+    rows = spark.createDataFrame(pairs, "a string, b string").coalesce(1)
+    common = lambda x, y: next((i for i, (m, n) in enumerate(zip(x, y, strict=False)) if m != n), min(len(x), len(y)))
+    want = [(common(x.encode(), y.encode()), common(x.encode()[::-1], y.encode()[::-1])) for x, y in pairs]
+    assert [tuple(x) for x in rows.select(d.common_prefix_length("a", "b"), d.common_suffix_length("a", "b")).collect()] == want
+    for f in (d.common_prefix_length, d.common_suffix_length):
+        assert rows.select(f(F.initcap("a"), "b").alias("out"))._jdf.queryExecution().optimizedPlan().toString().count("initcap(") == 1
