@@ -196,3 +196,16 @@ def test_decode_results_take_an_argument_once(spark):
     for f in (e.hex_decode_result, e.base64_decode_result):
         plan = rows.select(f(F.reverse("t"))["error_offset"].alias("out"))._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("reverse(") == 1
+
+
+def test_hashes_in_pieces():
+    rng = random.Random(4)
+    blobs = [rng.randbytes(n) for n in (0, 1, 3, 4, 1023, 1024, 1025, 2048, 2049, 5000)]
+    for f in (h.crc32c_batch, h.fnv1a_batch, h.wyhash_batch):
+        seen = []
+        got = h.in_pieces(pd.Series([*blobs, None]), lambda t: seen.append(sum(map(len, t))) or f(t), 3000)  # noqa: B023
+        assert got.tolist() == f([*blobs, b""]).tolist() and len(seen) > 3 and max(seen) <= 5000
+    slow = lambda t: h._fold(t, 0xFFFFFFFF, np.uint32, lambda x, b: h._castagnoli()[(x ^ b) & 0xFF] ^ x >> np.uint32(8)) ^ np.uint32(0xFFFFFFFF)
+    assert h.crc32c_batch(blobs).tolist() == slow(blobs).tolist()
+    start = time.perf_counter()  # byte by byte this text takes four million steps
+    assert len(h.crc32c_batch([bytes(4 << 20)])) == 1 and time.perf_counter() - start < 10

@@ -1,6 +1,7 @@
 """Hashes.  64-bit values are 16 lowercase hex digits, 32-bit ones LongType.
 
-FNV-1a and CRC-32C run over a whole Arrow batch at a time: step k folds the k-th byte of every text that has one.
+FNV-1a and CRC-32C run over many texts at a time: step k folds the k-th byte of every text that has one.  CRC-32C takes
+1,024 bytes of a text as a text of its own and then joins them, so that long texts take no more steps.
 """
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, LongType, StringType
 
+from textloom.functions.batches import pieces
 from textloom.functions.scan import col
 
 MASK = (1 << 64) - 1
@@ -22,11 +24,12 @@ def crc32(c) -> Column:
 
 def _fold(texts: list[bytes], start: int, dtype, step) -> np.ndarray:
     size = np.array([len(t) for t in texts], np.int64)
+    return _fold_at(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, size, np.full(len(texts), start, dtype), step)
+
+
+def _fold_at(data: np.ndarray, begin: np.ndarray, size: np.ndarray, state: np.ndarray, step) -> np.ndarray:
     order = np.argsort(-size, kind="stable")
-    begin = np.concatenate(([0], np.cumsum(size)[:-1]))[order] if len(texts) else size
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    state = np.full(len(texts), start, dtype)
-    longest = size[order]
+    begin, state, longest = begin[order], state[order], size[order]
     live = np.searchsorted(-longest, -np.arange(1, (longest[0] if len(longest) else 0) + 1), side="right")
     for k, n in enumerate(live.tolist()):
         state[:n] = step(state[:n], data[begin[:n] + k])
@@ -47,9 +50,34 @@ def _castagnoli() -> np.ndarray:
     return t
 
 
+CHUNK = 1024
+
+
 def crc32c_batch(texts: list[bytes]) -> np.ndarray:
+    """A text is a first chunk of at most 1,024 bytes and full ones.  The state behind two strings is that behind the first
+    and 1,024 zeros, by exclusive or with that behind the second from state 0: the register is linear.
+    """
     table = _castagnoli()
-    return _fold(texts, 0xFFFFFFFF, np.uint32, lambda h, b: table[(h ^ b) & 0xFF] ^ h >> np.uint32(8)) ^ np.uint32(0xFFFFFFFF)
+    step = lambda h, b: table[(h ^ b) & 0xFF] ^ h >> np.uint32(8)
+    zeros = np.arange(256, dtype=np.uint32) << np.arange(0, 32, 8, dtype=np.uint32)[:, None]  # each byte of a state
+    for _ in range(CHUNK):
+        zeros = step(zeros, np.uint32(0))
+    size = np.array([len(t) for t in texts], np.int64)
+    chunks = np.maximum(1, -(-size // CHUNK))
+    first = np.cumsum(chunks) - chunks
+    length = np.full(int(chunks.sum()), CHUNK, np.int64)
+    length[first] = size - (chunks - 1) * CHUNK
+    start = np.zeros(len(length), np.uint32)
+    start[first] = 0xFFFFFFFF
+    part = _fold_at(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(length) - length, length, start, step)
+    state = part[first]
+    order = np.argsort(-chunks, kind="stable")
+    live = np.searchsorted(-chunks[order], -np.arange(2, (int(chunks.max()) if len(chunks) else 0) + 1), side="right")
+    for k, n in enumerate(live.tolist(), 1):
+        at = order[:n]
+        h = state[at]
+        state[at] = zeros[0, h & 0xFF] ^ zeros[1, h >> 8 & 0xFF] ^ zeros[2, h >> 16 & 0xFF] ^ zeros[3, h >> 24] ^ part[first[at] + k]
+    return state ^ np.uint32(0xFFFFFFFF)
 
 
 def _mum(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -107,17 +135,24 @@ def wyhash_batch(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def _bytes(s: pd.Series) -> list[bytes]:
-    return [b"" if x is None else bytes(x) for x in s]
+def in_pieces(s: pd.Series, f, limit: int) -> pd.Series:
+    """``f`` of the texts, the longest ones first, ``limit`` bytes at a time: few steps are taken for a long text alone."""
+    size = np.array([0 if x is None else len(x) for x in s], np.int64)
+    order = np.argsort(-size, kind="stable")
+    texts, out = s.array, np.empty(len(s), object)
+    for first, last in pieces(size[order], limit):
+        at = order[first:last]
+        out[at] = f([b"" if texts[i] is None else bytes(texts[i]) for i in at.tolist()])
+    return pd.Series(out, index=s.index)
 
 
 UDFS: dict = {}
 
 
-def _udf(name: str, kind: DataType, f):
+def _udf(name: str, kind: DataType, f, limit: int = 4 << 20):
     @F.pandas_udf(kind)
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series(f(_bytes(s)), index=s.index)
+        return in_pieces(s, f, limit)
 
     UDFS[name] = run
 
