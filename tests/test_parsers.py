@@ -235,3 +235,20 @@ def test_common_lengths_take_an_argument_once(spark):
     assert [tuple(x) for x in rows.select(d.common_prefix_length("a", "b"), d.common_suffix_length("a", "b")).collect()] == want
     for f in (d.common_prefix_length, d.common_suffix_length):
         assert rows.select(f(F.initcap("a"), "b").alias("out"))._jdf.queryExecution().optimizedPlan().toString().count("initcap(") == 1
+
+
+def test_log_filter_parses_a_line_once(spark):
+    plan = p.filter_log_lines(frame(spark, ["INFO a"]), "id", "t", "WARN")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 2  # both of one parsed line
+
+
+def test_log_keywords_as_by_hand(spark):
+    rng = random.Random(6)
+    parts = [*p.KEYWORDS, "INFORMATION", "xERROR", "a", "é\U0001f600", "[", "]", ":", " ", "\t", " ", ",", "\n"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(9))) for _ in range(600)]
+
+    def first(t):
+        at = [i for w in p.KEYWORDS for i in [t.find(w)] if i >= 0 and (i == 0 or t[i - 1] in " \t") and (i + len(w) == len(t) or t[i + len(w)] in " :")]
+        return min(at) + 1 if at else None
+
+    assert [x[0] for x in frame(spark, texts).coalesce(1).orderBy("id").select(p._first_keyword(F.col("t"))).collect()] == [first(t) for t in texts]

@@ -315,6 +315,8 @@ def config_get(entries: DataFrame, key: str, section: str, name: str, default: s
 LEVELS = ("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL")
 KEYWORDS = [x for w in ("TRACE", "DEBUG", "INFO", "WARN", "WARNING", "ERROR", "FATAL") for x in (w, w.lower())]
 
+ALONE = rf"(?<![^ \t])(?:{'|'.join(KEYWORDS)})(?![^ :])"
+
 
 def parse_log_level(c) -> Column:
     """One of the six levels or UNKNOWN: names in capitals or small letters only."""
@@ -332,14 +334,19 @@ def level_rank(c) -> Column:
 
 
 def _first_keyword(body: Column) -> Column:
-    """Position of the earliest keyword whose first occurrence stands alone, or null."""
+    """Position of the earliest keyword whose first occurrence stands alone, or null.
+
+    One search finds the earliest that stands alone.  Where that is its word's first occurrence, it is the one; else each
+    word is looked at.
+    """
 
     def alone(word: Column, at: Column) -> Column:
         before, after = F.substring(body, at - 1, F.lit(1)), F.substring(body, at + F.char_length(word), F.lit(1))
         return (at > 0) & ((at == 1) | before.isin(" ", "\t")) & after.isin("", " ", ":")
 
     places = F.transform(F.array(*map(F.lit, KEYWORDS)), lambda w: let(F.instr(body, w), lambda at: F.when(alone(w, at), at)))
-    return F.array_min(places)
+    earliest = F.regexp_extract(body, ALONE, 0)
+    return let(earliest, lambda w: F.when(w != "", let(F.instr(body, w), lambda at: F.when(alone(w, at), at).otherwise(F.array_min(places)))))
 
 
 def parse_log_line(c) -> Column:
@@ -383,7 +390,8 @@ def log_lines(df: DataFrame, key: str, text: str, offsets: bool = False) -> Data
     else:
         rows = numbered_lines(df, key, text)
     rows = rows.withColumn("e", parse_log_line("line"))
-    return rows.select(key, "line_number", "line", "e.*", *(["byte_offset"] if offsets else [])).withColumn("rank", level_rank(parse_log_level("level")))
+    # the level is named once: a filter on the rank is pushed to the lines with what it names written out
+    return rows.select(key, "line_number", "line", "e.*", *(["byte_offset"] if offsets else [])).withColumn("rank", let(F.col("level"), lambda x: let(parse_log_level(x), level_rank)))
 
 
 def count_log_levels(df: DataFrame, key: str, text: str) -> DataFrame:
